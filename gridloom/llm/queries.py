@@ -28,7 +28,24 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n
 FROM n JOIN g USING (body)
 """
 
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.mixing import mix_plan
+
+    plan = mix_plan(read_table(spark, sf_dir, "documents"), Workspace(spark, "op3"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.simhash import hex_fingerprint, near_groups
+
+    groups = near_groups(read_table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
+    return groups.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_source_mixing": op3_source_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

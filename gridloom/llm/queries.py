@@ -43,9 +43,25 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.token_counts import count_tokens
+
+    counted = count_tokens(read_table(spark, sf_dir, "documents"), Workspace(spark, "op6"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.ogg import describe_column, encode_column
+
+    work = Workspace(spark, "op8")
+    return describe_column(work.keep(encode_column(read_table(spark, sf_dir, "documents")), "media"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
+    "op6_token_counts": op6_token_counts,
+    "op8_ogg_media": op8_ogg_media,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -43,6 +43,18 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.toxicity import score_toxicity
+
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), Workspace(spark, "op5"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.quality import score_quality
+
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), Workspace(spark, "op9"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.token_counts import count_tokens
 
@@ -60,8 +72,10 @@ def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op8_ogg_media": op8_ogg_media,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -62,6 +62,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.sentencepiece_codec import digests
+
+    Workspace(spark, "op7")  # sends the package to the executors
+    return digests(read_table(spark, sf_dir, "documents"))
+
+
 def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.ogg import describe_column, encode_column
 
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_ogg_media": op8_ogg_media,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,

@@ -43,6 +43,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"), Workspace(spark, "op4"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.toxicity import score_toxicity
 
@@ -79,6 +85,7 @@ def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_sentencepiece": op7_sentencepiece,

@@ -29,6 +29,12 @@ FROM n JOIN g USING (body)
 """
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.license_scan import document_paths, scan_licenses
+
+    return scan_licenses(document_paths(read_table(spark, sf_dir, "documents")), Workspace(spark, "op1"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.mixing import mix_plan
 
@@ -83,6 +89,7 @@ def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_suffix_dedup": op4_suffix_dedup,

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -65,7 +66,9 @@ class Codec:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece goes over the border of words")
         self.unknown_score = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
+        plain = {_BYTE: lambda p: bytes([int(p[3:5], 16)]), _UNKNOWN: lambda p: " ⁇ ".encode(), _NORMAL: lambda p: p.replace(MARK, " ").encode()}
+        self.raw = [plain[t](p) if t in plain else b"" for p, t in zip(self.pieces, self.types, strict=True)]
         self._fits: dict[int, bool] = {}
         self._prepare()
 
@@ -194,31 +197,27 @@ class Codec:
             else:
                 yield word, self._to_ids([word[n - sizes[n] : n] for n in reversed(ends)])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_arrays(self, texts: list[str]) -> list[np.ndarray]:
         split = [_MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = {w for words in split for w in words if w not in self.known}
+        distinct = set(chain.from_iterable(split))
+        fresh = distinct - self.known.keys()
         if len(self.known) + len(fresh) > CACHED_WORDS:
             self.known = {}
-            fresh = {w for words in split for w in words}
+            fresh = distinct
         known = self.known
-        known.update(self.encode_words(sorted(fresh)))
-        out = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+        for word, ids in self.encode_words(sorted(fresh)):
+            known[word] = array("i", ids).tobytes()
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
         if not self.bytes:  # unknown characters of neighbouring words are one piece too
-            out = [[x for k, x in enumerate(ids) if not (k and x == self.unknown == ids[k - 1])] for ids in out]
+            out = [x[~np.concatenate([[False], (x[1:] == self.unknown) & (x[:-1] == self.unknown)])] if len(x) else x for x in out]
         return out
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.tolist() for x in self.encode_arrays(texts)]
+
     # -- decoding --------------------------------------------------------------------------------------------------
     def decode(self, ids: list[int]) -> str:
-        raw = bytearray()
-        for i in ids:
-            kind = self.types[i]
-            if kind == _BYTE:
-                raw.append(int(self.pieces[i][3:5], 16))
-            elif kind == _UNKNOWN:
-                raw += " ⁇ ".encode()
-            elif kind == _NORMAL:
-                raw += self.pieces[i].encode()
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -246,7 +245,7 @@ def encode_column(docs: DataFrame, name: str = "piece_bpe_32k.model", folder: st
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         c = codec(name, folder)
-        return pd.Series([np.array(x, np.int32) for group in _groups(texts.fillna("").tolist()) for x in c.encode(group)], dtype=object)
+        return pd.Series([x for group in _groups(texts.fillna("").tolist()) for x in c.encode_arrays(group)], dtype=object)
 
     return docs.withColumn("piece_ids", ids(F.col("text").cast("string")))
 
@@ -270,9 +269,9 @@ def digests(docs: DataFrame, name: str = "piece_bpe_32k.model", folder: str | No
         for frame in frames:
             rows = []
             for group in _groups(frame["text"].tolist()):
-                for text, ids in zip(group, c.encode(group), strict=True):
-                    back = c.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
+                for text, ids in zip(group, c.encode_arrays(group), strict=True):
+                    back = c.decode(ids.tolist())
+                    rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
             out = pd.DataFrame(rows, columns=["n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out

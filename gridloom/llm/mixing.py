@@ -46,8 +46,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: f
     shared = F.sum("source_size").over(everything) * F.lit(float(budget))
     level = (shared - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     levelled = weighed.withColumn("level", level)
-    fits = F.min(F.when(F.col("cap") / F.col("w") >= F.col("level"), F.struct((F.col("cap") / F.col("w")).alias("at"), "level"))).over(everything)
-    return levelled.select("source", "source_size", F.least(F.col("cap"), F.coalesce(fits["level"] * F.col("w"), F.col("cap"))).alias("target"))
+    # Of sources with equal cap / w, the first has the level with none of them full.
+    fits = F.min(F.when(F.col("cap") / F.col("w") >= F.col("level"), F.struct((F.col("cap") / F.col("w")).alias("at"), (-F.col("level")).alias("less")))).over(everything)
+    return levelled.select("source", "source_size", F.least(F.col("cap"), F.coalesce(-fits["less"] * F.col("w"), F.col("cap"))).alias("target"))
 
 
 def copies(rate: Column, identifier: Column, seed: int = 0) -> Column:

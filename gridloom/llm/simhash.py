@@ -155,20 +155,30 @@ def near_links(fps: DataFrame, work: Workspace, radius: int = RADIUS, tile: int
 
 
 def near_groups(docs: DataFrame, work: Workspace, radius: int = RADIUS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
-    """One row a document: doc_id, fp, component_id (the smallest doc_id of its component)."""
+    """One row a document: doc_id, fp, component_id (the smallest doc_id of its component), label (a fingerprint of it)."""
     marked = work.keep(fingerprints(docs), "fingerprints")
     distinct = work.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     labels = connected_components(near_links(distinct.select("fp"), work, radius, tile, blocks), work)
     labelled = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_fp = labelled.join(least, "label").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = labelled.join(least, "label").select("fp", "component_id", "label")
+    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id", "label")
 
 
 def drop_near(docs: DataFrame, work: Workspace) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id; rows that repeat it all but one go."""
-    groups = near_groups(docs, work)
-    stay = work.keep(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_m")), "stay")
-    rows = docs.join(stay.select(F.col("doc_id").alias("_id"), "_m"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    once, again = rows.where("_m = 1"), rows.where("_m > 1").dropDuplicates(["_id"])
-    return once.unionByName(again).select(*docs.columns)
+    """``docs`` with one row of each group: of its smallest doc_id (null last), then of its smallest fingerprint."""
+    groups = work.keep(near_groups(docs, work), "groups")
+    first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("r")).select("r.doc_id", "r.fp")
+    rows_of = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_m"))
+    stay = first.join(rows_of, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_id", F.col("fp").alias("_fp"), "_m")
+    stay = work.keep(stay, "stay")
+    rows = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    # An identifier alone says which row only where one row has it.
+    unsure = rows.where("_m > 1")
+
+    @F.pandas_udf("long")
+    def own(text: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter(map(fingerprint, text.fillna("")), np.uint64, len(text)).view(np.int64))
+
+    sure = unsure.where(own(F.col("text").cast("string")) == F.col("_fp")).dropDuplicates(["_id", "_fp"])
+    return rows.where("_m = 1").unionByName(sure).select(*docs.columns)

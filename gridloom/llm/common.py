@@ -55,11 +55,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+#: Bytes of an Arrow batch on its way to Python: texts can be long, and pandas holds a batch several times over.
+ARROW_BYTES = 8 << 20
+
+
 class Workspace:
-    """Tables of one run below the shared folder; a written table cuts the lineage and survives lost executors."""
+    """Tables of one run below the shared folder; a written table cuts the lineage and survives lost executors.
+
+    Also sends the package to the executors and bounds the session's Arrow batches by bytes.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
         self.spark = spark
         self.path = f"{shared_root(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
         self._n = 0

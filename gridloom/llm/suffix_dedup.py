@@ -41,9 +41,9 @@ from gridloom.llm.common import Workspace, text_or_empty
 LENGTH = 50
 GRAM = 24
 #: Bytes of text in a document group, and about what is exchanged by one part.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Bytes of one text that are hashed at once.
-PIECE = 1 << 20
+PIECE = 1 << 16
 LAST = np.iinfo(np.int64).max
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -78,26 +78,51 @@ def smallest(hashes: np.ndarray, width: int) -> np.ndarray:
     return hashes if step == width else np.minimum(hashes[: step - width], hashes[width - step :])
 
 
-def runs(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one smallest hash: hash, first window, number of windows (at most length - gram + 1)."""
-    most = length - gram + 1
-    data = np.frombuffer(text, np.uint8)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(data) - length + 1, PIECE):
-        least = smallest(gram_hashes(data[at : at + PIECE + length - 1], gram), most)
-        starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        sizes = np.diff(np.append(starts, len(least)))
-        if (parts := -(-sizes // most)).max() > 1:  # texts with a short period have longer runs
-            first = np.repeat(starts, parts)
-            turn = np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)
-            sizes = np.minimum(np.repeat(sizes, parts) - turn * most, most)
-            starts = first + turn * most
-        found.append((least[starts], starts + at, sizes))
+def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one smallest hash, text by text: text number, hash, first window, number of windows.
+
+    A run has at most length - gram + 1 windows. Short texts are hashed together, long ones piece by piece.
+    """
+    found = []
+    group: list[tuple[int, int, bytes]] = []  # text, place of the piece in it, bytes
+    held = 0
+    for number, text in enumerate(texts):
+        for at in range(0, len(text) - length + 1, PIECE):
+            piece = text[at : at + PIECE + length - 1]
+            group.append((number, at, piece))
+            held += len(piece)
+            if held >= PIECE:
+                found.append(_runs_of(group, length, gram))
+                group, held = [], 0
+    if group:
+        found.append(_runs_of(group, length, gram))
     if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _runs_of(group: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    most = length - gram + 1
+    data = np.frombuffer(b"".join(x[2] for x in group), np.uint8)
+    ends = np.cumsum([len(x[2]) for x in group])
+    least = smallest(gram_hashes(data, gram), most)
+    inside = np.ones(len(least), bool)
+    for end in ends[:-1].tolist():  # windows over the border of two texts
+        inside[end - length + 1 : end] = False
+    window = np.flatnonzero(inside)
+    least = least[window]
+    starts = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (window[1:] != window[:-1] + 1)]))
+    sizes = np.diff(np.append(starts, len(least)))
+    hashes, first = least[starts], window[starts]
+    if (parts := -(-sizes // most)).max() > 1:  # texts with a short period have longer runs
+        turn = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        hashes, first = np.repeat(hashes, parts), np.repeat(first, parts) + turn * most
+        sizes = np.minimum(np.repeat(sizes, parts) - turn * most, most)
+    of = np.searchsorted(ends, first, "right")
+    base = np.array([at for _, at, _ in group]) - np.concatenate([[0], ends[:-1]])
+    return np.array([number for number, _, _ in group])[of], hashes, first + base[of], sizes
+
+
 # -- the column-wise construction ----------------------------------------------------------------------------------
 def _range_least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The minimum of each values[start:end], start < end."""
@@ -109,21 +134,19 @@ def _range_least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return out
 
 
-class _Files:
-    """Arrays in external files: each round reads the last ones in order and writes new ones."""
-
-    def __init__(self) -> None:
-        self.folder = tempfile.mkdtemp(prefix="columns-")
-        self.turn = 0
+class _File:
+    """One array of the construction in two external files: each round reads one in order and writes the other."""
 
-    def merged(self, old: np.ndarray, at: np.ndarray, values: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        self.turn += 1
-        new = np.memmap(f"{self.folder}/{self.turn % 8}", old.dtype, "w+", shape=(len(old) + len(values),))
-        new[rest], new[at] = old, values
-        return new
+    def __init__(self, folder: str, name: str, start: np.ndarray, most: int):
+        self.files = [np.memmap(f"{folder}/{name}{k}", start.dtype, "w+", shape=(most,)) for k in (0, 1)]
+        self.now = self.files[0][: len(start)]
+        self.now[:] = start
 
-    def close(self) -> None:
-        shutil.rmtree(self.folder, ignore_errors=True)
+    def merge(self, at: np.ndarray, values: np.ndarray, rest: np.ndarray) -> None:
+        self.files.reverse()
+        new = self.files[0][: len(rest)]
+        new[rest], new[at] = self.now, values
+        self.now = new
 
 
 def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,55 +155,63 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     An end sorts before any byte; equal suffixes sort by their strings' ends, and so by string number.
     """
     sizes = np.array([len(s) for s in strings])
-    most = int(sizes.max())
-    symbols = np.zeros((len(strings), most + 1), np.uint16)  # right-aligned, bytes plus 1; 0 is an end
-    for i, s in enumerate(strings):
-        symbols[i, most + 1 - len(s) :] = np.frombuffer(s, np.uint8)
-        symbols[i, most + 1 - len(s) :] += 1
-    column = lambda r: symbols[:, most + 1 - r]  # noqa: E731  the r-th symbol from the right
-    files = _Files()
+    most, total = int(sizes.max()), int(sizes.sum())
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    # Symbols: the bytes that occur, numbered in their order from 1; 0 is an end.
+    occurs = np.zeros(256, bool)
+    occurs[data] = True
+    n_symbols = int(occurs.sum()) + 1
+    code = np.cumsum(occurs).astype(np.uint8 if n_symbols <= 256 else np.uint16)
+    symbols = np.zeros((len(strings), most + 1), code.dtype)  # right-aligned
+    symbols[np.arange(most + 1) > most - sizes[:, None]] = code[data]
+    symbols = np.ascontiguousarray(symbols.T)
+    column = lambda r: symbols[most + 1 - r] if r <= most + 1 else symbols[0]  # noqa: E731  the r-th symbol from the right
+    folder = tempfile.mkdtemp(prefix="columns-")
     try:
         last = column(1)
         order = np.argsort(last, kind="stable")
-        before = column(2)[order]
-        common = np.concatenate([[0], last[order][1:] == last[order][:-1]]).astype(np.uint8)
-        owner, length = order.astype(np.int32), np.ones(len(order), np.uint8)
+        sorted_last = last[order]
+        before = _File(folder, "transform", column(2)[order], total)
+        common = _File(folder, "common", np.concatenate([[0], sorted_last[1:] == sorted_last[:-1]]).astype(np.uint8), total)
+        which = _File(folder, "suffix", order << 8 | 1, total)  # string and length
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        ends = np.bincount(last, minlength=257)
+        ends = np.bincount(last, minlength=n_symbols)
         for r in range(1, most):
             active = np.flatnonzero(sizes > r)
+            b, lcp = np.asarray(before.now), np.asarray(common.now)
             p = place[active]
-            c = before[p]
-            by_symbol = np.argsort(before, kind="stable")
-            counts = np.bincount(before, minlength=257)
+            c = b[p]
+            by_symbol = np.argsort(b, kind="stable")
+            counts = np.bincount(b, minlength=n_symbols)
             first = np.cumsum(counts) - counts
-            turn = np.empty(len(before), np.int64)
-            turn[by_symbol] = np.arange(len(before))
+            turn = np.empty(len(b), np.int32)
+            turn[by_symbol] = np.arange(len(b), dtype=np.int32)
             j = turn[p]
             rank = j - first[c]
             starting = ends + counts
             starting[0] = 0
             at = (np.cumsum(starting) - starting)[c] + ends[c] + rank
-            with_before = np.where(ends[c] > 0, 1, 0).astype(np.uint8)
+            with_before = (ends[c] > 0).astype(np.uint8)
             k = np.flatnonzero(rank > 0)
-            with_before[k] = 1 + _range_least(common, by_symbol[j[k] - 1] + 1, p[k] + 1) if len(k) else 0
+            if len(k):
+                with_before[k] = 1 + _range_least(lcp, by_symbol[j[k] - 1] + 1, p[k] + 1)
             with_next = np.zeros(len(p), np.uint8)
             k = np.flatnonzero(rank < counts[c] - 1)
-            with_next[k] = 1 + _range_least(common, p[k] + 1, by_symbol[j[k] + 1] + 1) if len(k) else 0
-            rest = np.ones(len(before) + len(at), bool)
+            if len(k):
+                with_next[k] = 1 + _range_least(lcp, p[k] + 1, by_symbol[j[k] + 1] + 1)
+            rest = np.ones(len(b) + len(at), bool)
             rest[at] = False
-            before = files.merged(before, at, column(r + 2)[active] if r + 2 <= most + 1 else np.zeros(len(at), np.uint16), rest)
-            common = files.merged(common, at, with_before, rest)
-            owner = files.merged(owner, at, active.astype(np.int32), rest)
-            length = files.merged(length, at, np.full(len(at), r + 1, np.uint8), rest)
-            inner = at + 1 < len(common)
-            common[at[inner] + 1] = with_next[inner]
-            common[0] = 0
+            before.merge(at, column(r + 2)[active], rest)
+            common.merge(at, with_before, rest)
+            which.merge(at, active << 8 | (r + 1), rest)
+            inner = at + 1 < len(rest)
+            common.now[at[inner] + 1] = with_next[inner]
+            common.now[0] = 0
             place[active] = at
-        return np.array(owner), np.array(length), np.array(common)
+        return (which.now >> 8).astype(np.int64), np.array(which.now & 255), np.array(common.now)
     finally:
-        files.close()
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def least_owner(strings: list[bytes], documents: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -205,23 +236,22 @@ class _Strings:
         self.index: dict[bytes, int] = {}
         self.hashes: list[int] = []
         self.least: list[int] = []
-        self.found: list[tuple[int, list[tuple[int, int, int]]]] = []
-        for row, (doc, text) in enumerate(zip(frame["doc"], frame["text"], strict=True)):
-            data = text.encode("utf-8", "surrogatepass")
-            hashes, starts, sizes = runs(data, length, gram)
-            at = np.searchsorted(shared, hashes)
-            k = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == hashes) if len(shared) else []
-            met = []
-            for h, s, n in zip(hashes[k].tolist(), starts[k].tolist(), sizes[k].tolist(), strict=True):
-                content = data[s : s + n + length - 1]
-                i = self.index.setdefault(content, len(self.hashes))
-                if i == len(self.hashes):
-                    self.hashes.append(h)
-                    self.least.append(doc)
-                elif doc < self.least[i]:
-                    self.least[i] = doc
-                met.append((i, s, n))
-            self.found.append((row, met))
+        self.texts = [t.encode("utf-8", "surrogatepass") for t in frame["text"]]
+        self.found: list[list[tuple[int, int, int]]] = [[] for _ in self.texts]
+        docs = frame["doc"].tolist()
+        numbers, hashes, starts, sizes = runs(self.texts, length, gram)
+        at = np.searchsorted(shared, hashes)
+        k = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == hashes) if len(shared) else np.empty(0, np.int64)
+        index, least, extra = self.index, self.least, length - 1
+        for t, h, s, n in zip(numbers[k].tolist(), hashes[k].tolist(), starts[k].tolist(), sizes[k].tolist(), strict=True):
+            content = self.texts[t][s : s + n + extra]
+            i = index.setdefault(content, len(least))
+            if i == len(least):
+                self.hashes.append(h)
+                least.append(docs[t])
+            elif docs[t] < least[i]:
+                least[i] = docs[t]
+            self.found[t].append((i, s, n))
 
     def by_part(self, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         """Parts and the numbers of their strings."""
@@ -246,15 +276,17 @@ MARKED = "doc long, digest binary, n_removed long, n_spans long, kept_sha256 str
 
 def _group_hashes(parts: int, length: int, gram: int):
     def each(frame: pd.DataFrame) -> pd.DataFrame:
-        own = [np.unique(runs(t.encode("utf-8", "surrogatepass"), length, gram)[0]) for t in frame["text"]]
-        every = np.sort(np.concatenate(own)) if own else np.empty(0, np.uint64)
+        numbers, every, _, _ = runs([t.encode("utf-8", "surrogatepass") for t in frame["text"]], length, gram)
         if not len(every):
             return _empty(HASHES)
-        hashes, counts = np.unique(every, return_counts=True)
+        order = np.argsort(every, kind="stable")  # within a hash by text
+        numbers, every = numbers[order], every[order]
+        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        hashes, several = every[starts], numbers[starts] != numbers[np.append(starts[1:], len(every)) - 1]
         part = (hashes % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         pieces = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
-        return pd.DataFrame({"bucket": frame["bucket"].iloc[0], "part": [int(part[k[0]]) for k in pieces], "hashes": [hashes[k].tobytes() for k in pieces], "several": [np.packbits(counts[k] > 1).tobytes() for k in pieces]})
+        return pd.DataFrame({"bucket": frame["bucket"].iloc[0], "part": [int(part[k[0]]) for k in pieces], "hashes": [hashes[k].tobytes() for k in pieces], "several": [np.packbits(several[k]).tobytes() for k in pieces]})
 
     return each
 
@@ -343,17 +375,23 @@ def _group_marks(parts: int, length: int, gram: int):
             bits[k] = np.frombuffer(by_part[part], np.uint64)
         least, masks = own.least, bits.tolist()
         rows = []
-        for (row, met), doc, text, digest in zip(own.found, frame["doc"], frame["text"], frame["digest"], strict=True):
-            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        for met, doc, text, digest in zip(own.found, frame["doc"].tolist(), own.texts, frame["digest"], strict=True):
+            data = np.frombuffer(text, np.uint8)
             edge = np.zeros(len(data) + 1, np.int32)
+            whole = []
             for i, s, n in met:
-                if doc > least[i]:  # the group has the string in a smaller document
-                    edge[s] += 1
-                    edge[s + n + length - 1] -= 1
-                elif mask := masks[i]:
-                    w = np.flatnonzero(np.array([mask >> b & 1 for b in range(n)])) + s
+                full = (1 << n) - 1
+                # In the same group a smaller document has the string, or an answer for every window.
+                if doc > least[i] or (mask := masks[i] & full) == full:
+                    whole.append((s, s + n + length - 1))
+                elif mask:
+                    w = np.flatnonzero([mask >> b & 1 for b in range(n)]) + s
                     np.add.at(edge, w, 1)
                     np.add.at(edge, w + length, -1)
+            if whole:
+                sides = np.array(whole)
+                np.add.at(edge, sides[:, 0], 1)
+                np.add.at(edge, sides[:, 1], -1)
             gone = np.cumsum(edge[:-1]) > 0
             spans = int(gone[:1].sum() + np.count_nonzero(gone[1:] & ~gone[:-1]))
             rows.append((doc, digest, int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))

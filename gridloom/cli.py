@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     detect = with_map("detect", "find patterns")
     detect.add_argument("prefix")
     with_kernel(detect)
+    detect.add_argument("--inter", action="store_true", help="also between chromosomes")
     detect.add_argument("--smooth-trend", action="store_true")
     detect.add_argument("--subsample", type=float, help="a share below or equal to 1, or a number of contacts")
     detect.add_argument("--dump")
@@ -151,7 +152,7 @@ def main(argv: list[str] | None = None) -> int:
     cmap = normalise(cmap, args.norm)
     if args.command == "detect":
         cmap = _sampled(cmap, args.subsample, args.seed)
-        patterns, pile = pipeline.detect(cmap, config, raw=args.norm == "raw", smooth=args.smooth_trend, plan=args.plan, dump=args.dump, factor=args.kernel_factor)
+        patterns, pile = pipeline.detect(cmap, config, raw=args.norm == "raw", smooth=args.smooth_trend, plan=args.plan, dump=args.dump, factor=args.kernel_factor, inter=args.inter)
         patterns = patterns.persist()
         sinks.write_patterns(patterns, args.prefix, order=["kernel_id", "iteration", "bin1", "bin2"])
         size = (pile.agg(F.max("a")).first()[0] or 0) + 1

@@ -109,6 +109,19 @@ def normxcorr2(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, si
     return pearson(inside.join(gone, ["sub", "kernel_id", "i", "j"], "left"), kernel, missing_tol, eps)
 
 
+def normxcorr2_inter(local: DataFrame, kernel: DataFrame, sizes: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, missing_tol: float = 0.75, eps: float = EPS) -> DataFrame:
+    """Between chromosomes: sizes (sub, n, m); cells outside, and those of missing rows or columns, are left out; no band."""
+    sums = scatter_sums(local, kernel, None, intra=False).join(F.broadcast(sizes), "sub").where("i < n AND j < m")
+    cells = sums.select("sub", "kernel_id", "i", "j", "n", "m").join(F.broadcast(kernel), "kernel_id").withColumn("x", F.col("i") + F.col("di")).withColumn("y", F.col("j") + F.col("dj"))
+    gone = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") >= F.col("n")) | (F.col("y") >= F.col("m"))
+    for axis, side in (("x", missing_rows), ("y", missing_columns)):
+        cells = cells.join(side.select("sub", F.col("bin").alias(axis), F.lit(True).alias(f"miss_{axis}")), ["sub", axis], "left")
+        gone = gone | F.coalesce(f"miss_{axis}", F.lit(False))
+    lost = (F.count(F.lit(1)).alias("m0"), F.sum("w").alias("mk"), F.sum(F.col("w") * F.col("w")).alias("mkk"))
+    masked = cells.where(gone).groupBy("sub", "kernel_id", "i", "j").agg(*lost)
+    return pearson(sums.drop("n", "m").join(masked, ["sub", "kernel_id", "i", "j"], "left"), kernel, missing_tol, eps)
+
+
 def _tiled(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes: DataFrame, missing: DataFrame, missing_tol: float, eps: float) -> DataFrame:
     """Dense blocks along the band; pixels are copied only into halos."""
     h = size // 2

@@ -7,17 +7,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cells(patterns: DataFrame, local: DataFrame, sizes: DataFrame, missing: DataFrame, size: int, lower_missing: bool = True) -> DataFrame:
-    """patterns (pid, sub, i, j) to (pid, sub, a, b, v): v is null where missing, 0 where empty; a, b count from 0."""
+def cells(patterns: DataFrame, local: DataFrame, sizes: DataFrame, missing: DataFrame, size: int, missing_columns: DataFrame | None = None) -> DataFrame:
+    """patterns (pid, sub, i, j) to (pid, sub, a, b, v): v is null where missing, 0 where empty; a, b count from 0.
+
+    With ``missing_columns`` the map is one between chromosomes: ``sizes`` has n rows and m columns, nothing below the
+    diagonal is missing.
+    """
     h = size // 2
+    width = "n" if missing_columns is None else "m"
     spark = patterns.sparkSession
     footprint = spark.createDataFrame([(a, b) for a in range(size) for b in range(size)], "a int, b int")
     at = patterns.join(F.broadcast(footprint)).join(F.broadcast(sizes), "sub").withColumn("x", F.col("i") + F.col("a") - h).withColumn("y", F.col("j") + F.col("b") - h)
-    gone = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") >= F.col("n")) | (F.col("y") >= F.col("n"))
-    for axis in ("x", "y"):
-        at = at.join(missing.select("sub", F.col("bin").alias(axis), F.lit(True).alias(f"_{axis}")), ["sub", axis], "left")
+    gone = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") >= F.col("n")) | (F.col("y") >= F.col(width))
+    for axis, side in (("x", missing), ("y", missing if missing_columns is None else missing_columns)):
+        at = at.join(side.select("sub", F.col("bin").alias(axis), F.lit(True).alias(f"_{axis}")), ["sub", axis], "left")
         gone = gone | F.coalesce(f"_{axis}", F.lit(False))
-    if lower_missing:
+    if missing_columns is None:
         gone = gone | (F.col("y") - F.col("x")).between(-size, -1)
     filled = local.select("sub", F.col("i").alias("x"), F.col("j").alias("y"), "v")
     return at.join(filled, ["sub", "x", "y"], "left").select("pid", "sub", "a", "b", F.when(~gone, F.coalesce("v", F.lit(0.0))).alias("v"))
@@ -28,9 +33,10 @@ def validity(patterns: DataFrame, window_cells: DataFrame, sizes: DataFrame, mos
     n = F.count(F.lit(1))
     stats = window_cells.groupBy("pid").agg((F.sum(F.when(F.col("v").isNull(), 1).otherwise(0)) / n).alias("undetected"), F.try_divide(F.sum(F.when(F.col("v") == 0, 1).otherwise(0)), F.count("v")).alias("zero"))
     joined = patterns.join(stats, "pid").join(F.broadcast(sizes), "sub")
-    inside = (F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") < F.col("n") - 1) & (F.col("j") < F.col("n") - 1)
+    width = "m" if "m" in sizes.columns else "n"
+    inside = (F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") < F.col("n") - 1) & (F.col("j") < F.col(width) - 1)
     ok = inside & (F.col("undetected") < most_missing / 100) & F.coalesce(F.col("zero") < most_zero / 100, F.lit(False))
-    return joined.withColumn("valid", ok).drop("n")
+    return joined.withColumn("valid", ok).drop("n", "m")
 
 
 def pileup(window_cells: DataFrame) -> DataFrame:

@@ -40,6 +40,23 @@ def prepared(cmap: ContactMap, max_dist: int, largest: int, raw: bool = False, s
     return signal, sizes, gone
 
 
+def prepared_inter(cmap: ContactMap, raw: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(pixels between chromosomes over their pair's median, sizes (sub, n, m), missing rows, missing columns).
+
+    ``sub`` is sub1 * number of chromosomes + sub2.
+    """
+    n_chroms = cmap.chroms.count()
+    values = preprocess.raw_values(cmap.pixels, cmap.bins) if raw else preprocess.balanced(cmap.pixels, cmap.bins)
+    scaled = preprocess.inter_scale(genome.to_local(values, cmap.chroms, inter=True).where("sub1 <> sub2"))
+    pair = (F.col("sub1") * n_chroms + F.col("sub2")).alias("sub")
+    signal = scaled.select(pair, "i", "j", "v").where("v IS NOT NULL AND v <> 0")
+    side = lambda k, n: cmap.chroms.select(F.col("chrom").alias(f"chrom{k}"), F.col("chrom_idx").alias(f"sub{k}"), (F.col("end_bin") - F.col("start_bin")).alias(n))
+    pairs = side(1, "n").join(side(2, "m"), F.col("sub1") < F.col("sub2"))
+    gone = cmap.bins.where("weight IS NULL").join(F.broadcast(cmap.chroms), "chrom").select("chrom", (F.col("bin_id") - F.col("start_bin")).alias("bin"))
+    rows, columns = (pairs.join(gone.withColumnRenamed("chrom", f"chrom{k}"), f"chrom{k}").select(pair, "bin") for k in (1, 2))
+    return signal, pairs.select(pair, "n", "m"), rows, columns
+
+
 def _with_scores(patterns: DataFrame, corr: DataFrame) -> DataFrame:
     """r and p at the patterns' pixels; pixels without a stored correlation have r 0 and p 1."""
     at = corr.select("sub", "kernel_id", "i", "j", F.col("r").alias("score"), "log10_p")
@@ -47,8 +64,51 @@ def _with_scores(patterns: DataFrame, corr: DataFrame) -> DataFrame:
     return joined.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("pvalue", F.coalesce(F.pow(F.lit(10.0), F.col("log10_p")), F.lit(1.0))).drop("log10_p")
 
 
-def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bool = False, plan: str = "scatter", dump: str | None = None, factor: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(patterns with the columns DETECT, mean window by kernel: kernel_id, a, b, mean)."""
+def _search(cmap: ContactMap, config: KernelConfig, part: tuple, kernels: list, turn: int, plan: str, dump: str | None) -> tuple[DataFrame, DataFrame]:
+    """One pass over one kind of sub-matrices: (patterns in whole-map bins, sums of windows by kernel and cell).
+
+    ``part`` is (signal, sizes, missing) within chromosomes, (signal, sizes, missing rows, missing columns) between.
+    """
+    spark, size = cmap.bins.sparkSession, kernels[0].shape[0]
+    inter = len(part) == 4
+    name = "inter" if inter else "intra"
+    kernel, reach = kernel_frame(spark, kernels), max_dist_bins(config, cmap.bin_size)
+    tolerance = config.max_perc_undetected / 100
+    if inter:
+        corr = correlate.normxcorr2_inter(part[0], kernel, *part[1:], tolerance)
+    else:
+        corr = correlate.normxcorr2(part[0], kernel, reach, size, part[1], part[2], tolerance, plan=plan)
+    corr = dump_stage(corr, dump, f"03_normxcorr2_{name}_{turn}").persist()
+    labelled = foci.sized(foci.label(foci.candidates(corr, config.pearson)))
+    picked = foci.best_pixel(dump_stage(labelled, dump, f"05_foci_{name}_{turn}"))
+    picked = picked if inter else foci.snap_to_diagonal(picked, config.max_dist)
+    picked = picked.select("sub", "kernel_id", "label", "i", "j").withColumn("pid", F.struct("kernel_id", "sub", "label"))
+    cells = windows.cells(picked, part[0], part[1], part[2], size, part[3] if inter else None)
+    checked = windows.validity(picked, cells, part[1], config.max_perc_zero, config.max_perc_undetected).where("valid")
+    scored = _with_scores(checked, corr).withColumn("iteration", F.lit(turn))
+    if inter:
+        n = cmap.chroms.count()
+        split = scored.withColumn("sub1", F.expr(f"sub div {n}")).withColumn("sub2", F.col("sub") % n)
+        for k, axis in ((1, "i"), (2, "j")):
+            start = cmap.chroms.select(F.col("chrom_idx").alias(f"sub{k}"), F.col("start_bin").alias(f"_s{k}"))
+            split = split.join(F.broadcast(start), f"sub{k}").withColumn(f"bin{k}", F.col(axis) + F.col(f"_s{k}"))
+        placed = split
+    else:
+        placed = genome.to_global(scored, cmap.chroms)
+    # Patterns are few, one a focus: they leave the loop as rows.
+    rows = spark.createDataFrame(placed.select("bin1", "bin2", "kernel_id", "iteration", "score", "pvalue").toArrow())
+    sums = (F.sum("v").alias("total"), F.count("v").alias("n"))
+    pile = cells.join(checked.select("pid"), "pid", "left_semi").groupBy("pid.kernel_id", "a", "b").agg(*sums)
+    pile = spark.createDataFrame(pile.toArrow())
+    corr.unpersist()
+    return rows, pile
+
+
+def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bool = False, plan: str = "scatter", dump: str | None = None, factor: float | None = None, inter: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(patterns with the columns DETECT, mean window by kernel: kernel_id, a, b, mean).
+
+    ``inter`` also looks between chromosomes, for configurations whose patterns lie off the diagonal.
+    """
     from gridloom.sources.kernels import resize
 
     spark = cmap.bins.sparkSession
@@ -56,28 +116,23 @@ def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bo
     size = kernels[0].shape[0]
     if any(k.shape != (size, size) for k in kernels):
         raise ValueError("kernels of one configuration must be square and of one size")
-    reach = max_dist_bins(config, cmap.bin_size)
-    signal, sizes, gone = prepared(cmap, reach, size, raw, smooth)
+    signal, sizes, gone = prepared(cmap, max_dist_bins(config, cmap.bin_size), size, raw, smooth)
     sizes = sizes.where(F.col("n") > size)
-    signal = dump_stage(signal.join(F.broadcast(sizes.select("sub")), "sub", "left_semi"), dump, "01_detrended").persist()
+    parts = [(signal, sizes, gone)]
+    if inter:
+        across, areas, rows, columns = prepared_inter(cmap, raw)
+        parts.append((across, areas.where((F.col("n") > size) & (F.col("m") > size)), rows, columns))
+    parts = [(dump_stage(p[0].join(F.broadcast(p[1].select("sub")), "sub", "left_semi"), dump, f"01_signal_{k}").persist(), *p[1:]) for k, p in enumerate(parts)]
     found, piles = None, None
     try:
         for turn in range(config.max_iterations):
-            kernel = kernel_frame(spark, kernels)
-            corr = correlate.normxcorr2(signal, kernel, reach, size, sizes, gone, config.max_perc_undetected / 100, plan=plan)
-            corr = dump_stage(corr, dump, f"03_normxcorr2_{turn}").persist()
-            labelled = foci.sized(foci.label(foci.candidates(corr, config.pearson)))
-            picked = foci.snap_to_diagonal(foci.best_pixel(dump_stage(labelled, dump, f"05_foci_{turn}")), config.max_dist)
-            picked = picked.select("sub", "kernel_id", "label", "i", "j").withColumn("pid", F.struct("kernel_id", "sub", "label"))
-            cells = windows.cells(picked, signal, sizes, gone, size)
-            checked = windows.validity(picked, cells, sizes, config.max_perc_zero, config.max_perc_undetected).where("valid")
-            scored = _with_scores(checked, corr).withColumn("iteration", F.lit(turn))
-            # Patterns are few, one a focus: they leave the loop as rows.
-            rows = spark.createDataFrame(genome.to_global(scored, cmap.chroms).select("bin1", "bin2", "kernel_id", "iteration", "score", "pvalue", "sub", "label").toArrow())
-            pile = cells.join(checked.select("pid"), "pid", "left_semi").groupBy("pid.kernel_id", "a", "b").agg(F.avg("v").alias("mean")).toPandas()
-            corr.unpersist()
-            found = rows if found is None else found.unionByName(rows)
-            piles = spark.createDataFrame(pile, "kernel_id int, a int, b int, mean double") if len(pile) else piles
+            results = [_search(cmap, config, p, kernels, turn, plan, dump) for p in parts]
+            for rows, _ in results:
+                found = rows if found is None else found.unionByName(rows)
+            total = results[0][1] if len(results) == 1 else results[0][1].unionByName(results[1][1])
+            mean = total.groupBy("kernel_id", "a", "b").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
+            pile = mean.toPandas()  # one window a kernel
+            piles = spark.createDataFrame(mean.toArrow()) if len(pile) or piles is None else piles
             if not len(pile) or turn + 1 == config.max_iterations:
                 break
             if config.max_dist == 0:
@@ -87,12 +142,11 @@ def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bo
                 window[cells_of["a"], cells_of["b"]] = cells_of["mean"].fillna(0.0)
                 kernels[k] = window
     finally:
-        signal.unpersist()
+        for p in parts:
+            p[0].unpersist()
     separation = max(int(config.min_separation // cmap.bin_size), 1)
-    kept = nms.remove_neighbours(found.select("bin1", "bin2", "kernel_id", "iteration", "score", "pvalue"), separation)
+    kept = nms.remove_neighbours(found, separation)
     placed = nms.farther_than(genome.bins_to_coords(kept, cmap.bins), config.min_dist).where("pvalue IS NOT NULL")
-    if piles is None:
-        piles = spark.createDataFrame([], "kernel_id int, a int, b int, mean double")
     return benjamini_hochberg(placed).select(*DETECT), piles
 
 

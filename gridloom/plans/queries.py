@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import benjamini_hochberg, rank_glyphs
-from gridloom.operators import balance, correlate, foci, genome, nms, preprocess, windows
+from gridloom.operators import balance, correlate, foci, genome, matrix, nms, preprocess, windows
 from gridloom.plans import pipeline
 from gridloom.plans.oracle import BAND, BIN_SIZE, MOST_MISSING, MOST_ZERO, N_BINS, PER_CHROM, SIZE, THRESHOLD, assemble, log10p, pieces
 from gridloom.sources.contacts import ContactMap, chrom_offsets, cooccurrence, self_pairs, swap_anchors
@@ -390,6 +390,65 @@ def corr_pvalues(spark, sf_dir):
     return correlation(spark, sf_dir).select("sub", "i", "j", (F.round("log10_p", 5) + 0.0).alias("log10_p"))
 
 
+def _inter_blocks() -> dict[str, str]:
+    blocks = dict(BLOCKS)
+    blocks["det"] = f"SELECT sub1 * 4 + sub2 AS sub, bin1_id % {PER_CHROM} AS i, bin2_id % {PER_CHROM} AS j, v / median(v) OVER (PARTITION BY sub1, sub2) AS v FROM bal WHERE sub1 <> sub2"
+    blocks["sums"] = f"SELECT sub, i - di AS i, j - dj AS j, sum(v * w) AS vk, sum(v) AS v1, sum(v * v) AS v2 FROM det CROSS JOIN kern WHERE i - di >= 0 AND j - dj >= 0 AND i - di < {PER_CHROM} AND j - dj < {PER_CHROM} GROUP BY 1, 2, 3"
+    blocks["cells"] = "SELECT s.sub, s.i, s.j, k.w, s.i + k.di AS x, s.j + k.dj AS y, a.bin IS NOT NULL AS mx, b.bin IS NOT NULL AS my FROM sums s CROSS JOIN kern k LEFT JOIN lost a ON a.sub = s.sub // 4 AND a.bin = s.i + k.di LEFT JOIN lost b ON b.sub = s.sub % 4 AND b.bin = s.j + k.dj"
+    blocks["masked"] = f"SELECT sub, i, j, count(*) AS m0, sum(w) AS mk, sum(w * w) AS mkk FROM cells WHERE x < 0 OR y < 0 OR x >= {PER_CHROM} OR y >= {PER_CHROM} OR mx OR my GROUP BY 1, 2, 3"
+    return blocks
+
+
+@query("SELECT sub, i, j, round(r, 6) + 0.0 AS r, n_obs FROM corr", _inter_blocks())
+def normxcorr_inter(spark, sf_dir):
+    across, sizes, rows, columns = pipeline.prepared_inter(base_map(spark, sf_dir))
+    got = correlate.normxcorr2_inter(across, kernel_frame(spark, [KERNEL]), sizes, rows, columns, MOST_MISSING / 100)
+    return got.select("sub", "i", "j", six("r").alias("r"), "n_obs")
+
+
+@query()
+def detect_inter(spark, sf_dir):
+    patterns, _ = pipeline.detect(base_map(spark, sf_dir), CONFIG, inter=True)
+    return patterns.withColumns({c: six(c) for c in ("score", "pvalue", "qvalue")})
+
+
+# -- plain matrix operations ---------------------------------------------------------------------------------------
+@query("SELECT sub, i + 3 AS i, j + 5 AS j, round(v, 6) + 0.0 AS v FROM loc")
+def zero_pad(spark, sf_dir):
+    return matrix.zero_pad(local(spark, sf_dir), 3, 5).withColumn("v", six("v"))
+
+
+@query(f"SELECT sub, i, j, round(v, 6) + 0.0 AS v FROM loc WHERE j - i <> 2 UNION ALL SELECT s.sub, r.range, r.range + 2, 7.5::DOUBLE FROM (SELECT DISTINCT sub FROM loc) s CROSS JOIN range({PER_CHROM - 2}) r")
+def set_diagonal(spark, sf_dir):
+    return matrix.set_diagonal(local(spark, sf_dir), PER_CHROM, 2, 7.5).withColumn("v", six("v"))
+
+
+@query("SELECT bin1_id, bin2_id, round(v, 6) + 0.0 AS v FROM bal")
+def gathered(spark, sf_dir):
+    m = base_map(spark, sf_dir)
+    rows = genome.to_local(preprocess.balanced(m.pixels, m.bins), m.chroms, inter=True)
+    return matrix.gather(rows.select("sub1", "sub2", "i", "j", "v"), m.chroms).withColumn("v", six("v"))
+
+
+@query("SELECT sub, i, j, round(v, 6) + 0.0 AS v FROM loc UNION ALL SELECT sub, j, i, round(v, 6) + 0.0 FROM loc WHERE i <> j")
+def symmetric_map(spark, sf_dir):
+    return matrix.symmetric(local(spark, sf_dir)).withColumn("v", six("v"))
+
+
+@query("SELECT bin1_id, bin2_id, round(ln(count), 6) + 0.0 AS count FROM pixels WHERE bin1_id > 20 AND bin1_id < 60 AND bin2_id > 20 AND bin2_id < 60")
+def region_view(spark, sf_dir):
+    return matrix.inside_region(base_map(spark, sf_dir).pixels, 20, 60, "count", log=True).withColumn("count", six("count"))
+
+
+_TIME = {"slot": "SELECT user_id AS u, (epoch_us(ts) // 1000000 // 3600 % 200)::BIGINT AS b, count(*) AS c FROM events GROUP BY 1, 2"}
+
+
+@query("SELECT x.b AS bin1_id, y.b AS bin2_id, sum(CASE WHEN x.b = y.b THEN x.c * (x.c - 1) // 2 ELSE x.c * y.c END)::DOUBLE AS count FROM slot x JOIN slot y ON x.u = y.u AND x.b <= y.b GROUP BY 1, 2 HAVING sum(CASE WHEN x.b = y.b THEN x.c * (x.c - 1) // 2 ELSE x.c * y.c END) > 0", _TIME)
+def time_map(spark, sf_dir):
+    slot = F.expr("unix_micros(cast(ts as timestamp)) div 1000000 div 3600 % 200")
+    return cooccurrence(table(spark, sf_dir, "events").select("user_id", slot.alias("b")), "user_id", "b")
+
+
 # -- foci and windows ----------------------------------------------------------------------------------------------
 @query("SELECT sub, i, j, i AS i2, j + 1 AS j2 FROM cand c WHERE EXISTS (SELECT 1 FROM cand d WHERE d.sub = c.sub AND d.i = c.i AND d.j = c.j + 1) UNION ALL SELECT sub, i, j, i + 1, j FROM cand c WHERE EXISTS (SELECT 1 FROM cand d WHERE d.sub = c.sub AND d.i = c.i + 1 AND d.j = c.j)")
 def adjacency_edges(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 Features are boundary-marked pieces of words: the whole word, its runs of five characters and its beginnings. Pieces that confirmed
 toxic documents have far more often than unlabelled ones are chosen on a bounded sample, general ones first; a linear
-model over which of them a text has is trained in numpy. Whole texts of any length are scored in one pass, with a
+model over which of them a text has, in one distinct word or in several, is trained in numpy. Whole texts of any length are scored in one pass, with a
 bounded memory of words seen.
 
 Defined results: null and empty texts get the score of a text without toxic pieces; without labels or positives every
@@ -31,6 +31,8 @@ BEGINNINGS = (4, 6, 7, 8)
 LEAST_Z = 6.0
 #: Pieces in fewer of the positives may come from copies of a few documents.
 LEAST_SHARE = 0.015
+#: A piece in so many distinct words of a text counts once more: ordinary words have rare pieces by chance, one at a time.
+SEVERAL = 2
 CACHED_WORDS = 1 << 18
 
 _WORD = re.compile(r"\w+")
@@ -86,7 +88,7 @@ def holders(rows: DataFrame, found: list[str]) -> list[tuple[str, int, int]]:
 def general(found: list[str], held: list[tuple[str, int, int]], least: int, scale: float) -> list[str]:
     """A cover of the words by few pieces, so that a piece also meets words not seen before.
 
-    Time after time the piece with the most positive rows over its words not covered yet is kept, discounted by most of
+    Time after time the piece with the most positive rows over its words not covered yet is kept, discounted by a part of
     the unlabelled rows (``scale`` brings those of a piece that only positives have to the number of its positives);
     a piece left with fewer than ``least`` positives, or more of them among the unlabelled, says nothing of its own.
     """
@@ -96,7 +98,7 @@ def general(found: list[str], held: list[tuple[str, int, int]], least: int, scal
             of[piece].add((word, p, u))
     kept: list[str] = []
     while of:
-        gain = lambda x: sum(p for _, p, _ in of[x]) - 0.7 * scale * sum(u for _, _, u in of[x])
+        gain = lambda x: sum(p for _, p, _ in of[x]) - 0.4 * scale * sum(u for _, _, u in of[x])
         best = max(sorted(of), key=lambda x: (gain(x), -len(x)))
         if gain(best) <= 0:
             break
@@ -109,24 +111,37 @@ def general(found: list[str], held: list[tuple[str, int, int]], least: int, scal
     return kept
 
 
+def features(chosen: list[str]) -> list[tuple[int, str]]:
+    return [(level, p) for level in (1, SEVERAL) for p in chosen]
+
+
+def levels(counts: Counter[str]) -> Iterator[tuple[int, str]]:
+    """The features of a text whose distinct words have the pieces so often."""
+    for p, n in counts.items():
+        yield 1, p
+        if n >= SEVERAL:
+            yield SEVERAL, p
+
+
 def vectors(rows: DataFrame, chosen: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of the sample, positives and unlabelled: as many rows as the sample's bounds, as many columns as pieces."""
-    place = {p: i for i, p in enumerate(chosen)}
+    """Feature rows of the sample, positives and unlabelled: as many rows as the sample's bounds, two columns a piece."""
+    place = {key: i for i, key in enumerate(features(chosen))}
+    chosen_set = set(chosen)
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [sorted({place[p] for w in words(text) for p in pieces(w) if p in place}) for text in frame["text"]]
+            out = [sorted(place[level, p] for level, p in levels(Counter(p for w in words(text) for p in pieces(w) if p in chosen_set))) for text in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "positive": frame["positive"], "unlabelled": frame["unlabelled"], "at": out})
 
     got = rows.mapInPandas(each, "doc_id long, positive int, unlabelled int, at array<int>").orderBy("doc_id").toPandas()
-    x = np.zeros((len(got), len(chosen)), np.float64)
+    x = np.zeros((len(got), len(place)), np.float64)
     for i, at in enumerate(got["at"]):
         x[i, np.asarray(at, np.int64)] = 1
     return x[got["positive"].to_numpy() == 1], x[got["unlabelled"].to_numpy() == 1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, work: Workspace) -> tuple[dict[str, float], float]:
-    """Weights of pieces and the bias."""
+def fit(docs: DataFrame, labels: DataFrame, work: Workspace) -> tuple[dict[tuple[int, str], float], float]:
+    """Weights of features and the bias."""
     rows, prior = pu.sample(docs, labels, "toxic", work)
     sizes = rows.agg(F.sum("positive").alias("p"), F.sum("unlabelled").alias("u")).first()
     if not prior or not sizes["p"] or not sizes["u"]:
@@ -137,26 +152,27 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace) -> tuple[dict[str,
         return {}, float(np.log(prior / (1 - prior)))
     x, u = vectors(rows, chosen)
     model = pu.train(x, u, prior, l2=1e-4, thinned=True)
-    return dict(zip(chosen, model.weights.tolist(), strict=True)), model.bias
+    return dict(zip(features(chosen), model.weights.tolist(), strict=True)), model.bias
 
 
-def scorer(weights: dict[str, float], bias: float) -> Callable[[list[str]], np.ndarray]:
-    known: dict[str, frozenset[str]] = {}
-    nothing: frozenset[str] = frozenset()
+def scorer(weights: dict[tuple[int, str], float], bias: float) -> Callable[[list[str]], np.ndarray]:
+    chosen = {p for _, p in weights}
+    known: dict[str, tuple[str, ...]] = {}
+    nothing: tuple[str, ...] = ()
 
     def score(texts: list[str]) -> np.ndarray:
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
-            met: set[str] = set()
+            met: Counter[str] = Counter()
             for w in words(text):
                 found = known.get(w)
                 if found is None:
                     if len(known) >= CACHED_WORDS:
                         known.clear()
-                    found = known[w] = frozenset(pieces(w) & weights.keys()) or nothing
+                    found = known[w] = tuple(pieces(w) & chosen) or nothing
                 if found:
-                    met |= found
-            out[i] = bias + sum(weights[p] for p in sorted(met))  # in one order, so that equal texts give equal sums
+                    met.update(found)
+            out[i] = bias + sum(weights[f] for f in sorted(levels(met)))  # in one order, so that equal texts give equal sums
         return np.round(pu.sigmoid(out), 9)
 
     return score

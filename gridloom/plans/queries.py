@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -16,6 +17,10 @@ from gridloom.plans.oracle import BAND, BIN_SIZE, MOST_MISSING, MOST_ZERO, N_BIN
 from gridloom.sources.contacts import ContactMap, chrom_offsets, cooccurrence, self_pairs, swap_anchors
 from gridloom.sources.kernels import KernelConfig, bump, factorise, kernel_frame, stripe
 
+#: q-value over the columns that _LAST adds: number of p-values, and rank of the last of equal ones.
+_BH = "least(1.0, min(pvalue * m / last) OVER (ORDER BY pvalue DESC RANGE UNBOUNDED PRECEDING))"
+_LAST = "SELECT *, count(*) OVER () AS m, rank() OVER (ORDER BY pvalue) + count(*) OVER (PARTITION BY pvalue) - 1 AS last"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -283,7 +288,15 @@ def distance_law_median(spark, sf_dir):
     return preprocess.distance_law(local(spark, sf_dir), fun=F.median).withColumn("y", six("y"))
 
 
-@query()
+_POOLED = {
+    **{k: BLOCKS[k] for k in ("width", "occ", "pixels", "bins0", "ends", "marg", "bins", "bal", "loc")},
+    "curve": "SELECT sub, j - i AS d, avg(v) AS y FROM loc WHERE v > 0 GROUP BY 1, 2",
+    "ordered": "SELECT *, row_number() OVER w AS k, sum(y) OVER w AS upto FROM curve WINDOW w AS (PARTITION BY sub ORDER BY d)",
+    "spans": "SELECT p.sub, p.d, a.k AS first, max((b.upto - a.upto + a.y) / (b.k - a.k + 1)) AS best FROM ordered p JOIN ordered a ON a.sub = p.sub AND a.k <= p.k JOIN ordered b ON b.sub = p.sub AND b.k >= p.k GROUP BY 1, 2, 3",
+}
+
+
+@query("SELECT sub, d, round(min(best), 6) + 0.0 AS y FROM spans GROUP BY 1, 2", _POOLED)
 def isotonic_trend(spark, sf_dir):
     return preprocess.smoothed(preprocess.distance_law(local(spark, sf_dir))).withColumn("y", six("y"))
 
@@ -406,7 +419,26 @@ def normxcorr_inter(spark, sf_dir):
     return got.select("sub", "i", "j", six("r").alias("r"), "n_obs")
 
 
-@query()
+_ACROSS = ("det", "sums", "cells", "masked", "terms", "moments", "dens", "corr", "cand", "reach", "labels", "foci", "best", "wcells", "wstats", "checked")
+
+
+def _detect_inter_blocks() -> dict[str, str]:
+    """The blocks within chromosomes, those between under other names, and the patterns of both."""
+    inter, out = _inter_blocks(), {}
+    lower = f" OR (p.j + g.b) - (p.i + g.a) BETWEEN -{SIZE} AND -1"
+    inter["wcells"] = inter["wcells"].replace(lower, "").replace("x.sub = p.sub AND", "x.sub = p.sub // 4 AND").replace("y.sub = p.sub AND", "y.sub = p.sub % 4 AND")
+    renamed = lambda text: re.sub(rf"\b({'|'.join(_ACROSS)})\b(?!\.)", r"across_\1", text)
+    for name, text in BLOCKS.items():
+        out[name] = text
+        if name in _ACROSS:
+            out[f"across_{name}"] = renamed(inter[name])
+    p = f"coalesce(pow(10.0::DOUBLE, {log10p('r', 'n_obs')}), 1.0::DOUBLE)"
+    across = f"SELECT sub // 4 * {PER_CHROM} + i, sub % 4 * {PER_CHROM} + j, r, {p} FROM across_checked WHERE valid"
+    out["found"] = f"{out['found']} UNION ALL {across}"
+    return out
+
+
+@query(f"SELECT chrom1, start1, end1, chrom2, start2, end2, bin1, bin2, 0::INTEGER AS kernel_id, 0::INTEGER AS iteration, round(score, 6) + 0.0 AS score, round(pvalue, 6) + 0.0 AS pvalue, round({_BH}, 6) + 0.0 AS qvalue FROM ({_LAST} FROM placed)", _detect_inter_blocks())
 def detect_inter(spark, sf_dir):
     patterns, _ = pipeline.detect(base_map(spark, sf_dir), CONFIG, inter=True)
     return patterns.withColumns({c: six(c) for c in ("score", "pvalue", "qvalue")})
@@ -568,16 +600,21 @@ def topn_windows(spark, sf_dir):
     return correlation(spark, sf_dir).withColumn("place", place).where("place <= 5").select("sub", "i", "j", "place")
 
 
-_BH = "least(1.0, min(pvalue * m / last) OVER (ORDER BY pvalue DESC RANGE UNBOUNDED PRECEDING))"
-
-
-@query(f"SELECT chrom1, start1, end1, chrom2, start2, end2, bin1, bin2, 0::INTEGER AS kernel_id, 0::INTEGER AS iteration, round(score, 6) + 0.0 AS score, round(pvalue, 6) + 0.0 AS pvalue, round({_BH}, 6) + 0.0 AS qvalue FROM (SELECT *, count(*) OVER () AS m, rank() OVER (ORDER BY pvalue) + count(*) OVER (PARTITION BY pvalue) - 1 AS last FROM placed)")
+@query(f"SELECT chrom1, start1, end1, chrom2, start2, end2, bin1, bin2, 0::INTEGER AS kernel_id, 0::INTEGER AS iteration, round(score, 6) + 0.0 AS score, round(pvalue, 6) + 0.0 AS pvalue, round({_BH}, 6) + 0.0 AS qvalue FROM ({_LAST} FROM placed)")
 def detect_full(spark, sf_dir):
     patterns, _ = pipeline.detect(base_map(spark, sf_dir), CONFIG)
     return patterns.withColumns({c: six(c) for c in ("score", "pvalue", "qvalue")})
 
 
-@query()
+_QUANTIFY = {
+    **{k: v for k, v in BLOCKS.items() if k not in ("cand", "reach", "labels", "foci")},
+    "best": f"SELECT DISTINCT o_custkey % 4 AS sub, o_orderkey * 7 % 30 * 100 + o_orderkey % 20 AS label, o_orderkey * 7 % 30 AS i, o_orderkey * 7 % 30 + o_orderkey % 20 AS j FROM orders",
+    "scored": f"SELECT k.sub, k.i, k.j, CASE WHEN k.valid THEN coalesce(c.r, 0.0::DOUBLE) END AS score, CASE WHEN k.valid THEN coalesce(pow(10.0::DOUBLE, {log10p('c.r', 'c.n_obs')}), 1.0::DOUBLE) END AS pvalue FROM checked k LEFT JOIN corr c ON c.sub = k.sub AND c.i = k.i AND c.j = k.j",
+    "tested": f"SELECT *, {_BH} AS qvalue FROM ({_LAST} FROM (SELECT * FROM scored WHERE pvalue IS NOT NULL))",
+}
+
+
+@query(f"SELECT 'chr' || (s.sub + 1) AS chrom1, s.i * {BIN_SIZE} AS start1, (s.i + 1) * {BIN_SIZE} AS end1, 'chr' || (s.sub + 1) AS chrom2, s.j * {BIN_SIZE} AS start2, (s.j + 1) * {BIN_SIZE} AS end2, s.sub * {PER_CHROM} + s.i AS bin1, s.sub * {PER_CHROM} + s.j AS bin2, round(s.score, 6) + 0.0 AS score, round(s.pvalue, 6) + 0.0 AS pvalue, round(t.qvalue, 6) + 0.0 AS qvalue FROM scored s LEFT JOIN tested t USING (sub, i, j)", _QUANTIFY)
 def quantify_full(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.concat(F.lit("chr"), (F.col("o_custkey") % 4 + 1).cast("string"))
     a = k * 7 % 30 * BIN_SIZE

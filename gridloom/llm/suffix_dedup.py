@@ -443,6 +443,7 @@ def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram:
     replies = shared.withColumn("bits", F.lit(None).cast("binary")).unionByName(answers.withColumn("hashes", F.lit(None).cast("binary")))
     marked = work.keep(grouped().cogroup(replies.groupBy("bucket")).applyInPandas(_group_marks(groups, length, gram), MARKED), "marked")
 
+    spark.sql(f"DROP TABLE {table}")  # the catalog's entry; the files stay in the work folder
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     copy = (F.col("n_bytes") >= length) & (F.col("doc") > F.col("first"))
     of_text = marked.select("digest", F.col("doc").alias("first"), F.col("n_removed").alias("r"), F.col("n_spans").alias("s"), F.col("kept_sha256").alias("k"))

@@ -45,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
     quantify = with_map("quantify", "score given positions")
     quantify.add_argument("positions", help="BED2D file")
     quantify.add_argument("prefix")
+    quantify.add_argument("--inter", action="store_true", help="also score pairs between chromosomes")
     with_kernel(quantify)
     config = commands.add_parser("generate-config", help="write a configuration, from a preset or from positions of a map")
     config.add_argument("prefix")
@@ -164,7 +165,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         from gridloom.operators.windows import to_numpy
 
-        rows = pipeline.quantify(cmap, config, read_bed2d(spark, args.positions), raw=args.norm == "raw", plan=args.plan).persist()
+        rows = pipeline.quantify(cmap, config, read_bed2d(spark, args.positions), raw=args.norm == "raw", plan=args.plan, inter=args.inter).persist()
         sinks.write_patterns(rows.drop("window"), args.prefix, order=["bin1", "bin2"])
         size = config.kernels[0].shape[0]
         empty = [[None] * size] * size

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,10 @@ def region(patterns: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
     """Patterns with both anchors inside a region: start >= a and end < b."""
     side = lambda k: (F.col(f"chrom{k}") == chrom) & (F.col(f"start{k}") >= start) & (F.col(f"end{k}") < end)
     return patterns.where(side(1) & side(2))
+
+
+def confirmed(clicks: DataFrame) -> DataFrame:
+    """clicks (session, n, x, y): places that were chosen twice in a row, once each."""
+    order = Window.partitionBy("session").orderBy("n")
+    again = (F.lag("x").over(order) == F.col("x")) & (F.lag("y").over(order) == F.col("y"))
+    return clicks.withColumn("_again", again).where("_again").select("session", "x", "y").distinct()

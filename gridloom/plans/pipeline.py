@@ -150,37 +150,54 @@ def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bo
     return benjamini_hochberg(placed).select(*DETECT), piles
 
 
-def quantify(cmap: ContactMap, config: KernelConfig, positions: DataFrame, raw: bool = False, plan: str = "scatter") -> DataFrame:
+def _scored(config: KernelConfig, part: tuple, wanted: DataFrame, kernels: list, reach: int, plan: str) -> DataFrame:
+    """wanted (qid, sub, i, j) to (qid, kernel_id, score, pvalue, window); rejected ones have nulls. ``part`` as in _search."""
+    spark, size = wanted.sparkSession, kernels[0].shape[0]
+    ids = spark.range(len(kernels)).select(F.col("id").cast("int").alias("kernel_id"))
+    picked = wanted.join(F.broadcast(ids)).withColumn("pid", F.struct("qid", "kernel_id"))
+    # Sub-matrices without positions are never correlated; their number is bounded by that of chromosome pairs.
+    signal = part[0].join(F.broadcast(wanted.select("sub").distinct()), "sub", "left_semi")
+    kernel, tolerance = kernel_frame(spark, kernels), config.max_perc_undetected / 100
+    if len(part) == 4:
+        corr = correlate.normxcorr2_inter(signal, kernel, *part[1:], tolerance)
+    else:
+        corr = correlate.normxcorr2(signal, kernel, reach, size, part[1], part[2], tolerance, plan=plan)
+    cells = windows.cells(picked, signal, part[1], part[2], size, part[3] if len(part) == 4 else None)
+    checked = windows.validity(picked, cells, part[1], config.max_perc_zero, config.max_perc_undetected)
+    scored = _with_scores(checked, corr).join(windows.as_arrays(cells, size), "pid")
+    kept = {c: F.when(F.col("valid"), F.col(c)) for c in ("score", "pvalue", "window")}
+    return scored.withColumns(kept).select("qid", "kernel_id", "score", "pvalue", "window")
+
+
+def quantify(cmap: ContactMap, config: KernelConfig, positions: DataFrame, raw: bool = False, plan: str = "scatter", inter: bool = False) -> DataFrame:
     """Scores of given pairs of positions (six columns), with each pair's window; rejected or unknown ones have nulls.
 
-    Bins come from the middles of the anchors for scoring. Repeated pairs are one row.
+    Bins come from the middles of the anchors for scoring. Repeated pairs are one row. Pairs between chromosomes are
+    scored with ``inter``, in whichever order their chromosomes are given.
     """
-    spark = cmap.bins.sparkSession
     kernels = list(config.kernels)
     size = kernels[0].shape[0]
     anchors = swap_anchors(positions).dropDuplicates(["chrom1", "start1", "chrom2", "start2"])
-    cis = anchors.where("chrom1 = chrom2")
-    known = cis.join(F.broadcast(cmap.chroms.select(F.col("chrom").alias("chrom1"), "length")), "chrom1").where("start2 < length")
+    known = anchors.where("chrom1 = chrom2").join(F.broadcast(cmap.chroms.select(F.col("chrom").alias("chrom1"), "length")), "chrom1").where("start2 < length")
     reach = known.agg(F.max(F.col("start2") - F.col("start1"))).first()[0] or 0
     reach_bins = max_dist_bins(replace(config, max_dist=reach), cmap.bin_size) + 1
-    signal, sizes, gone = prepared(cmap, reach_bins, size, raw)
-    signal = signal.persist()
     rows = anchors.withColumn("qid", F.xxhash64("chrom1", "start1", "chrom2", "start2"))
     for k in (1, 2):
         pos = rows.withColumn("chrom", F.col(f"chrom{k}")).withColumn("pos", F.floor((F.col(f"start{k}") + F.col(f"end{k}")) / 2))
         rows = genome.coords_to_bins(pos, cmap.bins, cmap.bin_size).withColumnRenamed("bin_id", f"m{k}").drop("chrom", "pos")
-    start = cmap.chroms.select(F.col("chrom").alias("chrom1"), F.col("chrom_idx").alias("sub"), "start_bin")
-    wanted = rows.where("chrom1 = chrom2 AND m1 IS NOT NULL AND m2 IS NOT NULL").join(F.broadcast(start), "chrom1")
-    wanted = wanted.select("qid", "sub", (F.col("m1") - F.col("start_bin")).alias("i"), (F.col("m2") - F.col("start_bin")).alias("j"))
-    ids = spark.range(len(kernels)).select(F.col("id").cast("int").alias("kernel_id"))
-    picked = wanted.join(F.broadcast(ids)).withColumn("pid", F.struct("qid", "kernel_id"))
-    corr = correlate.normxcorr2(signal, kernel_frame(spark, kernels), reach_bins, size, sizes, gone, config.max_perc_undetected / 100, plan=plan)
-    cells = windows.cells(picked, signal, sizes, gone, size)
-    checked = windows.validity(picked, cells, sizes, config.max_perc_zero, config.max_perc_undetected)
-    scored = _with_scores(checked, corr)
-    scored = scored.withColumn("score", F.when(F.col("valid"), F.col("score"))).withColumn("pvalue", F.when(F.col("valid"), F.col("pvalue")))
-    scored = scored.join(windows.as_arrays(cells, size), "pid").withColumn("window", F.when(F.col("valid"), F.col("window")))
-    best = nms.best_kernel(scored.select("qid", "kernel_id", "score", "pvalue", "window"), ["qid"])
+    at = rows.where("m1 IS NOT NULL AND m2 IS NOT NULL")
+    for k in (1, 2):
+        side = cmap.chroms.select(F.col("chrom").alias(f"chrom{k}"), F.col("chrom_idx").alias(f"x{k}"), F.col("start_bin").alias(f"s{k}"))
+        at = at.join(F.broadcast(side), f"chrom{k}")
+    place = lambda k: F.col(f"m{k}") - F.col(f"s{k}")
+    cis = at.where("x1 = x2").select("qid", F.col("x1").alias("sub"), place(1).alias("i"), place(2).alias("j"))
+    scored = _scored(config, prepared(cmap, reach_bins, size, raw), cis, kernels, reach_bins, plan)
+    if inter:
+        n, first = cmap.chroms.count(), F.col("x1") < F.col("x2")
+        pair = F.when(first, F.col("x1") * n + F.col("x2")).otherwise(F.col("x2") * n + F.col("x1"))
+        across = at.where("x1 <> x2").select("qid", pair.alias("sub"), F.when(first, place(1)).otherwise(place(2)).alias("i"), F.when(first, place(2)).otherwise(place(1)).alias("j"))
+        scored = scored.unionByName(_scored(config, prepared_inter(cmap, raw), across, kernels, reach_bins, plan))
+    best = nms.best_kernel(scored, ["qid"])
     out = rows.join(best, "qid", "left")
     for k in (1, 2):
         pos = out.withColumn("chrom", F.col(f"chrom{k}")).withColumn("pos", F.col(f"start{k}"))

@@ -481,6 +481,16 @@ def time_map(spark, sf_dir):
     return cooccurrence(table(spark, sf_dir, "events").select("user_id", slot.alias("b")), "user_id", "b")
 
 
+_CLICKS = {"clicks": "SELECT user_id AS session, event_id AS n, event_id // 3 % 4 AS x, event_id // 2 % 3 AS y FROM events"}
+
+
+@query("SELECT DISTINCT session, x, y FROM (SELECT *, lag(x) OVER (PARTITION BY session ORDER BY n) AS px, lag(y) OVER (PARTITION BY session ORDER BY n) AS py FROM clicks) WHERE px = x AND py = y", _CLICKS)
+def confirmed_clicks(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    clicks = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("n"), F.expr("event_id div 3 % 4").alias("x"), F.expr("event_id div 2 % 3").alias("y"))
+    return genome.confirmed(clicks)
+
+
 # -- foci and windows ----------------------------------------------------------------------------------------------
 @query("SELECT sub, i, j, i AS i2, j + 1 AS j2 FROM cand c WHERE EXISTS (SELECT 1 FROM cand d WHERE d.sub = c.sub AND d.i = c.i AND d.j = c.j + 1) UNION ALL SELECT sub, i, j, i + 1, j FROM cand c WHERE EXISTS (SELECT 1 FROM cand d WHERE d.sub = c.sub AND d.i = c.i + 1 AND d.j = c.j)")
 def adjacency_edges(spark, sf_dir):

@@ -171,3 +171,24 @@ def test_window_files(tmp_path):
         sinks.save_windows(w, str(tmp_path / "w"), "txt")
     with pytest.raises(OSError):
         sinks.check_prefix(str(tmp_path / "none" / "x"))
+
+
+def test_pairs_between_chromosomes(spark):
+    """A bump planted between two chromosomes is found, and scored in either order of its anchors."""
+    from gridloom.sources.contacts import BINS, PIXELS, ContactMap, chrom_offsets
+
+    rng = np.random.default_rng(11)
+    n = 40
+    bins = spark.createDataFrame([(b, f"chr{b // n + 1}", b % n * 1000, b % n * 1000 + 1000, None if b == 3 else 1.0) for b in range(2 * n)], BINS)
+    i, j = np.triu_indices(2 * n)
+    mean = np.where((i < n) & (j >= n), 20 * (1 + 4 * np.exp(-((i - 15) ** 2 + (j - n - 22) ** 2) / 4.5)), 60.0)
+    pixels = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(i, j, rng.poisson(mean), strict=True) if c], PIXELS)
+    cmap = ContactMap(chrom_offsets(bins), bins, pixels, 1000)
+    config = kernels.KernelConfig("t", [kernels.bump(7, 1.5)], 10_000, 0, 1, 5000, 0.6, 1000, 30, 50)
+    rows = [r for r in pipeline.detect(cmap, config, inter=True)[0].collect() if r.chrom1 != r.chrom2]
+    assert any(abs(r.bin1 - 15) <= 1 and abs(r.bin2 - n - 22) <= 1 for r in rows)
+    assert not any(r.chrom1 != r.chrom2 for r in pipeline.detect(cmap, config)[0].collect())
+    pairs = [("chr1", 15_000, 16_000, "chr2", 22_000, 23_000), ("chr2", 22_000, 23_000, "chr1", 15_000, 16_000), ("chr1", 5000, 6000, "chr1", 9000, 10_000)]
+    got = pipeline.quantify(cmap, config, spark.createDataFrame(pairs, "chrom1 string, start1 long, end1 long, chrom2 string, start2 long, end2 long"), inter=True).collect()
+    across = [r for r in got if r.chrom1 != r.chrom2]
+    assert len(across) == 2 and across[0].score == across[1].score > 0.6 and len(got) == 3

@@ -41,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     detect.add_argument("--subsample", type=float, help="a share below or equal to 1, or a number of contacts")
     detect.add_argument("--dump")
     detect.add_argument("--kernel-factor", type=float)
+    detect.add_argument("--tsvd", type=float, help="share of the kernels' energy to keep, such as 0.999")
     detect.add_argument("--seed", type=int, default=0)
     quantify = with_map("quantify", "score given positions")
     quantify.add_argument("positions", help="BED2D file")
@@ -153,7 +154,7 @@ def main(argv: list[str] | None = None) -> int:
     cmap = normalise(cmap, args.norm)
     if args.command == "detect":
         cmap = _sampled(cmap, args.subsample, args.seed)
-        patterns, pile = pipeline.detect(cmap, config, raw=args.norm == "raw", smooth=args.smooth_trend, plan=args.plan, dump=args.dump, factor=args.kernel_factor, inter=args.inter)
+        patterns, pile = pipeline.detect(cmap, config, raw=args.norm == "raw", smooth=args.smooth_trend, plan=args.plan, dump=args.dump, factor=args.kernel_factor, inter=args.inter, tsvd=args.tsvd)
         patterns = patterns.persist()
         sinks.write_patterns(patterns, args.prefix, order=["kernel_id", "iteration", "bin1", "bin2"])
         size = (pile.agg(F.max("a")).first()[0] or 0) + 1

@@ -45,6 +45,27 @@ def xcorr2(local: DataFrame, kernel: DataFrame, max_dist: int | None = None, eps
     return sums.select("sub", "kernel_id", "i", "j", snapped(F.col("vk"), eps).alias("x")).where("x <> 0")
 
 
+def xcorr2_factored(local: DataFrame, down: np.ndarray, across: np.ndarray, max_dist: int | None = None, eps: float = EPS, intra: bool = True) -> DataFrame:
+    """The cross-correlation with ``down @ across`` (size x factors, factors x size) as two stencils of one dimension.
+
+    A pixel spreads to size * factors rows twice, where the plain stencil gives size * size.
+    """
+    spark, size = local.sparkSession, down.shape[0]
+    h = size // 2
+    frame = lambda m, name: spark.createDataFrame([(f, k - h, float(w)) for (k, f), w in np.ndenumerate(m) if w], f"f int, {name} int, w double")
+    first = local.where("v <> 0").join(F.broadcast(frame(down, "di"))).withColumn("i", F.col("i") - F.col("di")).where("i >= 0")
+    if intra:
+        first = first.where(F.col("j") - F.col("i") >= -h)
+        first = first if max_dist is None else first.where(F.col("j") - F.col("i") <= max_dist + h)
+    column = first.groupBy("sub", "f", "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    second = column.join(F.broadcast(frame(across.T, "dj")), "f").withColumn("j", F.col("j") - F.col("dj")).where("j >= 0")
+    if intra:
+        second = second.where("j >= i")
+        second = second if max_dist is None else second.where(F.col("j") - F.col("i") <= max_dist)
+    sums = second.groupBy("sub", "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("x"))
+    return sums.select("sub", "i", "j", snapped(F.col("x"), eps).alias("x")).where("x <> 0")
+
+
 def missing_cell(x: Column, y: Column, n: Column, max_dist: int, size: int, miss_x: Column, miss_y: Column) -> Column:
     """Whether a cell of the framed matrix of one chromosome counts as missing; ``size`` is that of a square kernel.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.stats import benjamini_hochberg
 from gridloom.operators import correlate, foci, genome, nms, preprocess, windows
 from gridloom.sources.contacts import ContactMap, swap_anchors
-from gridloom.sources.kernels import KernelConfig, blur, kernel_frame
+from gridloom.sources.kernels import KernelConfig, blur, factorise, kernel_frame
 from gridloom.sources.sinks import dump_stage
 
 DETECT = ["chrom1", "start1", "end1", "chrom2", "start2", "end2", "bin1", "bin2", "kernel_id", "iteration", "score", "pvalue", "qvalue"]
@@ -104,15 +104,19 @@ def _search(cmap: ContactMap, config: KernelConfig, part: tuple, kernels: list,
     return rows, pile
 
 
-def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bool = False, plan: str = "scatter", dump: str | None = None, factor: float | None = None, inter: bool = False) -> tuple[DataFrame, DataFrame]:
+def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bool = False, plan: str = "scatter", dump: str | None = None, factor: float | None = None, inter: bool = False, tsvd: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(patterns with the columns DETECT, mean window by kernel: kernel_id, a, b, mean).
 
+    ``tsvd`` keeps only the singular factors of the kernels that hold this share of their energy.
+
     ``inter`` also looks between chromosomes, for configurations whose patterns lie off the diagonal.
     """
     from gridloom.sources.kernels import resize
 
     spark = cmap.bins.sparkSession
     kernels = [resize(k, factor) for k in config.kernels] if factor else list(config.kernels)
+    if tsvd:
+        kernels = [np.matmul(*factorise(k, tsvd)) for k in kernels]
     size = kernels[0].shape[0]
     if any(k.shape != (size, size) for k in kernels):
         raise ValueError("kernels of one configuration must be square and of one size")

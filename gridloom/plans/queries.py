@@ -361,9 +361,7 @@ _RANK1 = pieces(_STRIPE)
 @query("SELECT sub, i, j, round(vk, 6) + 0.0 AS x FROM sums WHERE abs(vk) >= 0.0001", _RANK1)
 def xcorr_tsvd_rank1(spark, sf_dir):
     det, sizes, _ = signal(spark, sf_dir)
-    u, v = factorise(_STRIPE)
-    approx = (u @ v).round(12)
-    rows = correlate.xcorr2(det, kernel_frame(spark, [approx]), BAND).join(F.broadcast(sizes), "sub").where("i < n AND j < n")
+    rows = correlate.xcorr2_factored(det, *factorise(_STRIPE), BAND).join(F.broadcast(sizes), "sub").where("i < n AND j < n")
     return rows.select("sub", "i", "j", six("x").alias("x"))
 
 

@@ -25,37 +25,68 @@ def adjacency(pixels: DataFrame) -> DataFrame:
     return out
 
 
-def label(pixels: DataFrame) -> DataFrame:
+#: Rows and columns of a tile that is labelled in one step.
+TILE = 1024
+_WIDTH = 1 << 31
+
+
+def _roots(flat: np.ndarray) -> np.ndarray:
+    """For sorted row-major pixel numbers: the number of the first pixel of each one's 4-connected group."""
+    low = np.arange(len(flat))
+    links = []
+    for step in (1, _WIDTH):
+        at = np.minimum(np.searchsorted(flat, flat + step), len(flat) - 1)
+        hit = np.flatnonzero(flat[at] == flat + step)
+        links.append((hit, at[hit]))
+    a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+    return flat[_least(low, a, b)]
+
+
+def _least(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least label of each component of links (a, b): take the least of neighbours, then the label's own label."""
+    while True:
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        for end in (a, b, low[a], low[b]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def label(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     """Adds ``label``: foci of a sub-matrix and kernel numbered from 1 by their first pixel in row-major order.
 
-    Candidates of one sub-matrix are few (a sparse band over a threshold), so each is labelled in one vectorised step.
+    Tiles are labelled apart, with a margin of one pixel from the tiles before; pixels of the margin, which two tiles
+    have, link the groups of both. Only those links of a sub-matrix, a thousandth of its candidates, meet in one place.
     """
+    base = ["sub", "kernel_id"]
+    placed = pixels.withColumn("flat", F.col("i") * _WIDTH + F.col("j")).withColumn("ti", F.floor(F.col("i") / tile)).withColumn("tj", F.floor(F.col("j") / tile))
+    last = lambda c: F.col(c) % tile == tile - 1
+    at = lambda i, j, ghost: F.struct((F.col("ti") + i).alias("ti"), (F.col("tj") + j).alias("tj"), F.lit(ghost).alias("ghost"))
+    homes = F.filter(F.array(at(0, 0, False), F.when(last("i"), at(1, 0, True)), F.when(last("j"), at(0, 1, True))), lambda x: x.isNotNull())
+    spread = placed.select(*base, "flat", F.explode(homes).alias("h")).select(*base, "flat", "h.*")
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["i", "j"], ignore_index=True)
-        i, j = frame["i"].to_numpy(), frame["j"].to_numpy()
-        width = int(j.max() - j.min()) + 2
-        flat = (i - i.min()) * width + (j - j.min())
-        low = np.arange(len(flat))
-        links = []
-        for step in (1, width):
-            at = np.minimum(np.searchsorted(flat, flat + step), len(flat) - 1)
-            hit = np.flatnonzero(flat[at] == flat + step)
-            links.append((hit, at[hit]))
-        a, b = (np.concatenate(x) for x in zip(*links, strict=True))
-        while True:  # least label of neighbours, then of labels: logarithmic in the size of a focus
-            new = low.copy()
-            np.minimum.at(new, a, low[b])
-            np.minimum.at(new, b, low[a])
-            np.minimum.at(new, low, new.copy())
-            new = new[new]
-            if (new == low).all():
-                break
-            low = new
-        return frame.assign(label=np.unique(low, return_inverse=True)[1] + 1)
-
-    schema = ", ".join(f"{c} {t}" for c, t in pixels.dtypes) + ", label long"
-    return pixels.groupBy("sub", "kernel_id").applyInPandas(each, schema)
+        frame = frame.sort_values("flat", ignore_index=True)
+        return frame.assign(root=_roots(frame["flat"].to_numpy()))[[*base, "flat", "ghost", "root"]]
+
+    local = spread.groupBy(*base, "ti", "tj").applyInPandas(each, "sub int, kernel_id int, flat long, ghost boolean, root long")
+    own = local.where("NOT ghost").drop("ghost")
+    links = local.where("ghost").select(*base, "flat", F.col("root").alias("other")).join(own, [*base, "flat"]).where("root <> other").select(*base, "root", "other").distinct()
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        roots, ends = np.unique(frame[["root", "other"]].to_numpy(), return_inverse=True)
+        ends = ends.reshape(-1, 2)
+        low = _least(np.arange(len(roots)), ends[:, 0], ends[:, 1])
+        return pd.DataFrame({"sub": frame["sub"].iloc[0], "kernel_id": frame["kernel_id"].iloc[0], "root": roots, "first": roots[low]})
+
+    merged = links.groupBy(*base).applyInPandas(merge, "sub int, kernel_id int, root long, first long")
+    rooted = own.join(merged, [*base, "root"], "left").select(*base, "flat", F.coalesce("first", "root").alias("first"))
+    number = F.dense_rank().over(Window.partitionBy(*base).orderBy("first")).cast("long")
+    labels = rooted.withColumn("label", number).drop("first")
+    return placed.drop("ti", "tj").join(labels, [*base, "flat"]).drop("flat")
 
 
 def sized(labelled: DataFrame, least: int = 2) -> DataFrame:

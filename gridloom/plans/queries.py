@@ -604,7 +604,7 @@ def region_subset(spark, sf_dir):
 
 @query("SELECT sub, i, j, place FROM (SELECT *, row_number() OVER (PARTITION BY sub ORDER BY r DESC, i, j) AS place FROM corr) WHERE place <= 5")
 def topn_windows(spark, sf_dir):
-    place = F.row_number().over(Window.partitionBy("sub").orderBy(F.desc("r"), "i", "j"))
+    place = F.row_number().over(Window.partitionBy("sub").orderBy(F.desc("r"), "i", "j")).cast("long")
     return correlation(spark, sf_dir).withColumn("place", place).where("place <= 5").select("sub", "i", "j", "place")
 
 

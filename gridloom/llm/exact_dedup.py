@@ -130,5 +130,7 @@ def drop_copies(docs: DataFrame, work: Workspace) -> DataFrame:
     rows = docs.withColumn("_own", sha256_digest(normalised())).join(
         stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
     )
+    if stay.where("_m > 1").isEmpty():
+        return rows.select(*docs.columns)
     once, again = rows.where("_m = 1"), rows.where("_m > 1").dropDuplicates(["_id", "_digest"])
     return once.unionByName(again).select(*docs.columns)

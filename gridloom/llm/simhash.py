@@ -173,6 +173,8 @@ def drop_near(docs: DataFrame, work: Workspace) -> DataFrame:
     stay = first.join(rows_of, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_id", F.col("fp").alias("_fp"), "_m")
     stay = work.keep(stay, "stay")
     rows = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    if stay.where("_m > 1").isEmpty():
+        return rows.select(*docs.columns)
     # An identifier alone says which row only where one row has it.
     unsure = rows.where("_m > 1")
 

@@ -96,6 +96,18 @@ def held_out(id_column: str = "doc_id") -> Column:
     return (F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 4) == 2
 
 
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers live on between stages."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 def tokenizer_file(name: str, folder: str | None = None) -> str:
     """Place of a public tokenizer file: below ``folder`` if given, else where the library of files is installed."""
     if folder:

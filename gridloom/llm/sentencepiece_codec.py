@@ -30,11 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import tokenizer_file
+from gridloom.llm.common import tokenizer_file, trim
 
 MARK = "▁"
 #: Words whose ids a process remembers between batches.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 280_000
 #: Characters of a word that share one stack; merge results can't be cut, so longer words are encoded by merging alone.
 LONGEST = 64
 
@@ -125,7 +125,7 @@ class Codec:
 
     def fits(self, one: int, two: int) -> bool:
         """Merging the characters of both pieces gives the two."""
-        if len(self._fits) > 2_000_000:
+        if len(self._fits) > 400_000:
             self._fits.clear()
         a, b = self.pieces[one], self.pieces[two]
         fit = self._fits[one << 32 | two] = self.merged(a + b) == [a, b]
@@ -197,11 +197,11 @@ class Codec:
             else:
                 yield word, self._to_ids([word[n - sizes[n] : n] for n in reversed(ends)])
 
-    def encode_arrays(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_arrays(self, texts: list[str], cached: int = CACHED_WORDS) -> list[np.ndarray]:
         split = [_MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         distinct = set(chain.from_iterable(split))
         fresh = distinct - self.known.keys()
-        if len(self.known) + len(fresh) > CACHED_WORDS:
+        if len(self.known) + len(fresh) > cached:
             self.known = {}
             fresh = distinct
         known = self.known
@@ -232,20 +232,22 @@ def codec(name: str = "piece_bpe_32k.model", folder: str | None = None) -> Codec
     return _codecs[key]
 
 
-def _groups(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
+def _groups(texts: list[str], most: int = 3 << 20) -> Iterator[list[str]]:
     """The texts in order, in lists of about ``most`` characters, so that the ids held at once stay bounded."""
     from gridloom.llm.token_counts import batches
 
     return batches(texts, most)
 
 
-def encode_column(docs: DataFrame, name: str = "piece_bpe_32k.model", folder: str | None = None) -> DataFrame:
-    """``docs`` and a column ``piece_ids`` (array of int); a column of that name is replaced."""
+def encode_column(docs: DataFrame, name: str = "piece_bpe_32k.model", folder: str | None = None, cached: int = CACHED_WORDS) -> DataFrame:
+    """``docs`` and a column ``piece_ids`` (array of int); a column of that name is replaced. ``cached`` bounds the words remembered."""
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         c = codec(name, folder)
-        return pd.Series([x for group in _groups(texts.fillna("").tolist()) for x in c.encode_arrays(group)], dtype=object)
+        out = pd.Series([x for group in _groups(texts.fillna("").tolist()) for x in c.encode_arrays(group, cached)], dtype=object)
+        trim()
+        return out
 
     return docs.withColumn("piece_ids", ids(F.col("text").cast("string")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,17 +26,16 @@ def remove_neighbours(patterns: DataFrame, separation: int, order: list | None =
     under a strict order, in few rounds.
     """
     ties = [F.col(c) for c in ("bin1", "bin2", "kernel_id", "iteration") if c in patterns.columns]
-    # Patterns are few, one a focus: their ranking is one partition.
-    placed = patterns.withColumn("place", F.row_number().over(Window.orderBy(*(order or [F.desc("score"), *ties])))).withColumn("pid", F.col("place"))
+    # Numbers that grow along the order, without gathering the patterns in one partition: the sort deals them out by range.
+    placed = patterns.orderBy(*(order or [F.desc("score"), *ties])).withColumn("place", F.monotonically_increasing_id()).withColumn("pid", F.col("place"))
     placed = placed.persist()
     links = better_neighbours(placed, separation).persist()
     spark = patterns.sparkSession
-    kept = spark.createDataFrame([], "pid int")
+    kept = spark.createDataFrame([], "pid long")
     left = placed.select("pid")
     try:
         while True:
-            blocked = links.join(left, "pid", "left_semi").join(left.select(F.col("pid").alias("by")), "by", "left_semi").select("pid").distinct()
-            stay = left.join(blocked, "pid", "left_anti")
+            stay = left.join(links.select("pid").distinct(), "pid", "left_anti")
             ids = stay.toArrow()  # identifiers of patterns only
             if not ids.num_rows:
                 break
@@ -46,6 +45,11 @@ def remove_neighbours(patterns: DataFrame, separation: int, order: list | None =
             kept = kept.unionByName(stay)
             if left.isEmpty():
                 break
+            # Links of decided patterns are done with: each round works on what is left.
+            fewer = links.join(left, "pid", "left_semi").join(left.select(F.col("pid").alias("by")), "by", "left_semi").persist()
+            fewer.count()
+            links.unpersist()
+            links = fewer
         return spark.createDataFrame(placed.join(kept, "pid", "left_semi").drop("place", "pid").toArrow())
     finally:
         links.unpersist()

@@ -45,6 +45,21 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60
 
 
+@needs_data
+def test_suppression_over_all_points_equals_a_walk(spark):
+    """Patterns outside the top 300 by score must take part: nms_greedy stops there, as its SQL does."""
+    from gridloom.plans.queries import _points
+
+    points = [tuple(r) for r in _points(spark, FOLDER).select("bin1", "bin2", "score").collect()]
+    assert len(points) > 300
+    kept = []
+    for p in sorted(points, key=lambda p: (-p[2], p[0], p[1])):
+        if not any(abs(p[0] - q[0]) < 5 and abs(p[1] - q[1]) < 5 for q in kept):
+            kept.append(p)
+    got = [tuple(r) for r in entry.queries()["nms_greedy_all"](spark, FOLDER).select("bin1", "bin2", "score").collect()]
+    assert sorted(got) == sorted(kept)
+
+
 @needs_data
 def test_flagship(spark):
     assert entry.entry(spark).columns == ["sub", "i", "j", "r", "n_obs"]

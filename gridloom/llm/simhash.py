@@ -17,7 +17,7 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -167,7 +167,12 @@ def near_groups(docs: DataFrame, work: Workspace, radius: int = RADIUS, tile: in
 
 def drop_near(docs: DataFrame, work: Workspace) -> DataFrame:
     """``docs`` with one row of each group: of its smallest doc_id (null last), then of its smallest fingerprint."""
-    groups = work.keep(near_groups(docs, work), "groups")
+    return one_of_each(docs, near_groups(docs, work), work, fingerprint)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, work: Workspace, mark: Callable[[str], int]) -> DataFrame:
+    """``docs`` with one row of each label of ``groups`` (doc_id, fp, label); ``mark`` gives a text's fp."""
+    groups = work.keep(groups.select("doc_id", "fp", "label"), "groups")
     first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("r")).select("r.doc_id", "r.fp")
     rows_of = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_m"))
     stay = first.join(rows_of, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_id", F.col("fp").alias("_fp"), "_m")
@@ -180,7 +185,7 @@ def drop_near(docs: DataFrame, work: Workspace) -> DataFrame:
 
     @F.pandas_udf("long")
     def own(text: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter(map(fingerprint, text.fillna("")), np.uint64, len(text)).view(np.int64))
+        return pd.Series(np.fromiter(map(mark, text.fillna("")), np.uint64, len(text)).view(np.int64))
 
     sure = unsure.where(own(F.col("text").cast("string")) == F.col("_fp")).dropDuplicates(["_id", "_fp"])
     return rows.where("_m = 1").unionByName(sure).select(*docs.columns)

@@ -153,6 +153,34 @@ def test_near_groups_equal_brute_force(spark):
     assert simhash.near_groups(docs(spark, []), Workspace(spark, "t")).count() == 0
 
 
+def test_near_stage_drops_all_pairs_from_four_fifths_up(spark):
+    """Word shingles of five, Jaccard similarity of 0.8: most such pairs differ in more than four fingerprint bits."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 150, 400]))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(3)):
+            copy = list(words)
+            for k in rng.sample(range(len(words)), max(1, round(len(words) * rng.choice([0.01, 0.02, 0.03])))):
+                copy[k] = "other"
+            texts.append(" ".join(copy).upper())
+    texts += ["", " \n", "one two", "One  Two", None]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").lower().split()) else set() for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                label = [label[j] if x == label[i] else x for x in label]
+    kept = corpus_pipeline.near(spark, docs(spark, list(enumerate(texts))), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(min(i for i, x in enumerate(label) if x == y) for y in set(label))
+    repeated = [(1, texts[0]), (1, texts[0]), (1, "quite another text of more words"), (None, "a b c")]
+    assert corpus_pipeline.near(spark, docs(spark, repeated), "").count() == 3
+    assert corpus_pipeline.near(spark, docs(spark, []), "").count() == 0
+
+
 def test_suffix_order_equals_sorting():
     rng = random.Random(1)
     for _ in range(120):

@@ -7,7 +7,8 @@ the largest cosine of at least ``threshold``; a text's license is that of its be
 if they hold one of the heaviest terms of a template without which no cosine can reach the threshold, which drops no
 match.
 
-A text whose best segment has at least half of its terms is a license file and speaks for its directory. Files without
+A text whose best segment has at least half of its terms is a license file and speaks for its directory; so is a text
+that as a whole has a cosine of at least ``WHOLE`` (logarithmic term counts) to one of the whole license texts. Files without
 a license of their own take that of the nearest directory above them (their own first) that has one.
 
 Defined results: null and empty texts have no license; ties between templates go to the first, between segments to the
@@ -28,8 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import Workspace
+from gridloom.llm.license_texts import WHOLE_TEXTS
 
 THRESHOLD = 0.6
+WHOLE = 0.8
 
 #: License identifiers and the wording of headers and opening clauses.
 TEMPLATES: list[tuple[str, str]] = [
@@ -81,6 +84,28 @@ class Matcher:
                 needed.add(t)
                 rest -= x * x
         self.needed = frozenset(needed)
+        self.idf = {t: math.log((1 + n_docs) / (1 + frequency.get(t, 0))) + 1 for _, text in WHOLE_TEXTS for t in terms(text)}
+        self.wholes = [self._logarithmic(terms(text)) for _, text in WHOLE_TEXTS]
+
+    def _logarithmic(self, every: list[str]) -> dict[str, float]:
+        """Unit vector of a whole text."""
+        v = {t: (1 + math.log(n)) * self.idf.get(t, self.rare) for t, n in Counter(every).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    def whole(self, text: str) -> tuple[str | None, float]:
+        """The license whose whole text this is, and the cosine."""
+        every = terms(text)
+        if self.needed.isdisjoint(every):
+            return None, 0.0
+        own = self._logarithmic(every)
+        best, which = max((sum(x * own[t] for t, x in v.items() if t in own), -k) for k, v in enumerate(self.wholes))
+        return (WHOLE_TEXTS[-which][0], round(best, 6)) if best >= WHOLE else (None, 0.0)
+
+    def find(self, text: str) -> tuple[str | None, float, bool]:
+        """As ``scan``; a whole license text is a license file."""
+        license, cosine = self.whole(text)
+        return (license, cosine, True) if license else self.scan(text)
 
     def score(self, segment: list[str]) -> tuple[float, int]:
         """The largest cosine and its template."""
@@ -120,8 +145,8 @@ class Matcher:
 
 
 def frequencies(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> tuple[int, dict[str, int]]:
-    """Number of documents, and of those with each term of the templates: as many rows as the templates have terms."""
-    vocabulary = {t for _, text in (TEMPLATES if templates is None else templates) for t in terms(text)}
+    """Number of documents, and of those with each term of the templates: as many rows as the templates and whole texts have terms."""
+    vocabulary = {t for _, text in [*(TEMPLATES if templates is None else templates), *WHOLE_TEXTS] for t in terms(text)}
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter[str] = Counter()
@@ -143,7 +168,7 @@ def own_licenses(files: DataFrame, matcher: Matcher) -> DataFrame:
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [matcher.scan(t or "") for t in frame["text"]]
+            found = [matcher.find(t or "") for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "path": frame["path"], "own_license": [x[0] for x in found], "cosine": [x[1] for x in found], "is_license_file": [x[2] for x in found]})
 
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))

@@ -289,6 +289,14 @@ def test_nearest_ancestor(spark):
     assert license_scan.scan_licenses(empty, Workspace(spark, "t")).count() == 0
 
 
+def test_whole_license_texts_are_license_files():
+    m = license_scan.Matcher(1000, {"the": 900, "of": 900, "and": 900})
+    for name, text in license_scan.WHOLE_TEXTS:
+        assert m.find("Copyright (c) 2020 Some Body\n\n" + text)[::2] == (name, True)
+    mit = license_scan.WHOLE_TEXTS[0][1]
+    assert not m.find(mit + " foo bar baz" * 300)[2]
+
+
 def test_clean_text_has_no_license():
     m = license_scan.Matcher(1000, {"the": 900})
     for text in ("the version of the work under 3 conditions", "all of it is reserved for us", re.sub("License", "Lizenz", "Released under the MIT License") + " by others and many more words here"):

@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Segments of a text are its lines and its runs of neighbouring lines that hold license terms, so a header is found
-wherever it stands in the text. Terms are weighed by their document frequency over the whole corpus; terms outside the
+Segments of a text are its lines, its runs of neighbouring lines that hold license terms, and windows of each template's
+number of terms, inside lines and over line breaks, so a header is found wherever it stands in the text. Terms are weighed by their document frequency over the whole corpus; terms outside the
 templates weigh as much as a term of no document and only lengthen a segment. A segment's license is the template with
 the largest cosine of at least ``threshold``; a text's license is that of its best segment. Segments are looked at only
 if they hold one of the heaviest terms of a template without which no cosine can reach the threshold, which drops no
@@ -70,20 +70,22 @@ class Matcher:
         self.weight = {t: math.log((1 + n_docs) / (1 + frequency.get(t, 0))) + 1 for _, text in self.templates for t in terms(text)}
         self.rare = math.log(1 + n_docs) + 1
         self.vectors: list[dict[str, float]] = []
-        needed: set[str] = set()
+        self.heavy: list[frozenset[str]] = []
+        self.lengths = [len(terms(text)) for _, text in self.templates]
         for _, text in self.templates:
             v = {t: n * self.weight[t] for t, n in Counter(terms(text)).items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             v = {t: x / norm for t, x in v.items()}
             self.vectors.append(v)
             # By Cauchy and Schwarz, a segment without the heaviest terms has at most the norm of the rest as cosine.
-            rest = 1.0
+            rest, needed = 1.0, set()
             for t, x in sorted(v.items(), key=lambda y: (-y[1], y[0])):
                 if math.sqrt(max(rest, 0.0)) < threshold:
                     break
                 needed.add(t)
                 rest -= x * x
-        self.needed = frozenset(needed)
+            self.heavy.append(frozenset(needed))
+        self.needed = frozenset().union(*self.heavy)
         self.idf = {t: math.log((1 + n_docs) / (1 + frequency.get(t, 0))) + 1 for _, text in WHOLE_TEXTS for t in terms(text)}
         self.wholes = [self._logarithmic(terms(text)) for _, text in WHOLE_TEXTS]
 
@@ -102,10 +104,45 @@ class Matcher:
         best, which = max((sum(x * own[t] for t, x in v.items() if t in own), -k) for k, v in enumerate(self.wholes))
         return (WHOLE_TEXTS[-which][0], round(best, 6)) if best >= WHOLE else (None, 0.0)
 
+    def window(self, every: list[str], above: float) -> tuple[float, int]:
+        """The largest cosine over ``above`` of a window of a template's length around its heaviest terms, and the template."""
+        best, which = above, -1
+        for k, v in enumerate(self.vectors):
+            length = min(self.lengths[k], len(every))
+            starts = {a for i in self._places(every, k) for a in range(max(0, i - length + 1), min(i, len(every) - length) + 1)}
+            last, counts, dot, square = -2, Counter(), 0.0, 0.0
+            for a in sorted(starts):
+                if a != last + 1:  # else the window moves on by one term
+                    counts = Counter(every[a : a + length])
+                    own = {t: n * self.weight.get(t, self.rare) for t, n in counts.items()}
+                    dot, square = sum(v.get(t, 0.0) * x for t, x in own.items()), sum(x * x for x in own.values())
+                else:
+                    for t, step in ((every[a - 1], -1), (every[a + length - 1], 1)):
+                        w, n = self.weight.get(t, self.rare), counts[t]
+                        dot, square = dot + step * w * v.get(t, 0.0), square + w * w * ((n + step) ** 2 - n * n)
+                        counts[t] = n + step
+                last = a
+                if dot / math.sqrt(square) > best + 1e-9:
+                    best, which = dot / math.sqrt(square), k
+        return best, which
+
+    def _places(self, every: list[str], k: int) -> list[int]:
+        heavy = self.heavy[k]
+        return [i for i, t in enumerate(every) if t in heavy]
+
     def find(self, text: str) -> tuple[str | None, float, bool]:
-        """As ``scan``; a whole license text is a license file."""
+        """As ``scan``, with headers inside lines and over line breaks; a whole license text is a license file."""
         license, cosine = self.whole(text)
-        return (license, cosine, True) if license else self.scan(text)
+        if license:
+            return license, cosine, True
+        license, cosine, speaks = self.scan(text)
+        every = terms(text)
+        if cosine > 1 - 1e-6 or self.needed.isdisjoint(every):
+            return license, cosine, speaks
+        best, which = self.window(every, max(cosine, self.threshold - 2e-9))
+        if which < 0:
+            return license, cosine, speaks
+        return self.templates[which][0], round(best, 6), speaks or 2 * self.lengths[which] >= len(every)
 
     def score(self, segment: list[str]) -> tuple[float, int]:
         """The largest cosine and its template."""

@@ -297,6 +297,18 @@ def test_whole_license_texts_are_license_files():
     assert not m.find(mit + " foo bar baz" * 300)[2]
 
 
+def test_headers_inside_lines_and_over_line_breaks():
+    m = license_scan.Matcher(1000, {"the": 900, "of": 900, "and": 900})
+    prose = "foo bar baz qux quux corge grault".split()
+    for name, header in license_scan.TEMPLATES:
+        assert m.find(" ".join([*prose * 5, header, *prose * 5]))[0] == name
+        wrapped = "\n".join(header.split())
+        assert m.find("\n".join([*prose * 5, wrapped, *prose * 5]))[0] == name
+        c = m.find(" ".join([*prose, header, *prose]))[1]
+        assert abs(c - 1) < 1e-5
+    assert m.find(" ".join(prose * 50)) == (None, 0.0, False)
+
+
 def test_clean_text_has_no_license():
     m = license_scan.Matcher(1000, {"the": 900})
     for text in ("the version of the work under 3 conditions", "all of it is reserved for us", re.sub("License", "Lizenz", "Released under the MIT License") + " by others and many more words here"):

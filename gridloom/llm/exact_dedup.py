@@ -85,7 +85,7 @@ def exact_dedup(
     spark: SparkSession = work.spark
     body = normalised()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(body).alias("digest"), F.struct(F.input_file_name().alias("file")).alias("locator"))
-    # Keys only: the text stays where it is and is fetched by its locator.
+    # Keys only: the text stays where it is and is found again by doc_id and digest; the locator is carried only.
     path = work.sub("keys")
     own.write.parquet(path)
     keys = spark.read.schema(own.schema).parquet(path)

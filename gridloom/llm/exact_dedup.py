@@ -2,22 +2,29 @@
 
 Keys (digest of the normalised text, identifier, content locator) flow through Structured Streaming. The state is
 a keyed aggregation without watermark, so it never expires, held on disk by RocksDB and checkpointed in the shared
-folder: for each digest the smallest identifier with its locator, and the number of rows. Each micro-batch combines
-its rows before the shuffle, so a digest that a third of all rows share costs each task one row. Every row that hits
-a digest of another row is then compared with the kept row byte by byte; rows that differ are grouped by their bytes.
+folder: for each digest the smallest identifier with its locator (file and row of the text), and the number of rows.
+Each micro-batch combines its rows before the shuffle, so a digest that a third of all rows share costs each task one
+row. Full bytes are checked on hits: the texts of every row whose digest another row has, and of the row that the state
+keeps, are fetched by their locators and compared; rows that differ are grouped by their bytes. Where rows meet the
+state's row of a hot digest, that row is repeated and they are dealt out.
+
+With a ``state`` folder the state outlives the run: later documents meet what earlier runs kept, whose texts are read
+from the files that the locators name. Each call adds its rows to the state once.
 
 Defined results: null text is empty text; null identifiers sort last; a repeated identifier counts as another row;
-an empty table gives an empty result; other columns are not read.
+of rows with one identifier and text, the first by place stays; an empty table gives an empty result; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACE, Workspace, text_or_empty
+from gridloom.llm.common import SPACE, Workspace, hot_keys, located, spread_join, text_or_empty, unpacked
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -42,12 +49,17 @@ def sha256_digest(content: Column) -> Column:
     return F.unhex(F.sha2(content.cast("binary"), 256))
 
 
-def stream_state(keys: DataFrame, work: Workspace, files_per_batch: int = 64) -> DataFrame:
-    """Drain the streaming frame ``keys`` (digest, doc_id, locator) through the keyed state; return the state at its end."""
+def _rank() -> Column:
+    """The order in which rows of one text are kept."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
+
+
+def stream_state(keys: DataFrame, work: Workspace, folder: str) -> DataFrame:
+    """Drain the streaming frame ``keys`` through the keyed state below ``folder``; return the state at its end:
+    digest, keep_id, keep_at, group_size."""
     spark = work.spark
-    sink = work.sub("updates")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator"))
-    state = keys.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    sink = f"{folder}/updates"
+    state = keys.groupBy("digest").agg(F.min(_rank()).alias("first"), F.count(F.lit(1)).alias("n"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
         # A batch that is run again after a failure overwrites its own folder.
@@ -58,7 +70,7 @@ def stream_state(keys: DataFrame, work: Workspace, files_per_batch: int = 64) ->
         for k, v in _STATE.items():
             spark.conf.set(k, v)
         query = (
-            state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", work.sub("state"))
+            state.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{folder}/checkpoint")
             .trigger(availableNow=True).start()
         )
         query.awaitTermination()
@@ -67,70 +79,81 @@ def stream_state(keys: DataFrame, work: Workspace, files_per_batch: int = 64) ->
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     updates = spark.read.schema(f"{_ddl(state)}, batch int").parquet(sink)
     last = F.max_by(F.struct("first", "n"), "batch")
-    return updates.groupBy("digest").agg(last.alias("s")).select("digest", F.col("s.first.doc_id").alias("keep_id"), F.col("s.first.locator").alias("locator"), F.col("s.n").alias("group_size"))
+    return updates.groupBy("digest").agg(last.alias("s")).select("digest", F.col("s.first.doc_id").alias("keep_id"), F.col("s.first.at").alias("keep_at"), F.col("s.n").alias("group_size"))
 
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def exact_dedup(
-    docs: DataFrame, work: Workspace, digest: Callable[[Column], Column] = sha256_digest, batches: int = 2
-) -> DataFrame:
+def decide(rows: DataFrame, work: Workspace, digest: Callable[[Column], Column], batches: int, state: str | None) -> DataFrame:
+    """rows of ``located`` to a written table: digest, doc_id, at, keep_id, keep_at, group_size."""
+    spark = work.spark
+    folder = state or work.sub("state")
+    body = normalised("row.text")
+    # Keys only: texts stay where they are and are found again by their locators.
+    run = f"{folder}/keys/run={uuid.uuid4().hex}"
+    own = rows.select(digest(body).alias("digest"), F.col("row.doc_id").cast("long").alias("doc_id"), "at")
+    own.write.parquet(run)
+    keys = spark.read.schema(own.schema).parquet(run)
+    files = max(1, -(-len(keys.inputFiles()) // batches))
+    stream = spark.readStream.schema(f"{_ddl(own)}, run string").option("maxFilesPerTrigger", files).parquet(f"{folder}/keys").drop("run")
+    groups = work.keep(stream_state(stream, work, folder), "groups")
+    total = keys.count()
+
+    # A row's group: hot digests are dealt out by place.
+    by_digest = hot_keys(groups, "digest", "group_size", total)
+    matched = work.keep(spread_join(keys, groups, "digest", by_digest, F.col("at")), "matched")
+
+    # Full bytes on hits. A row alone in its group is no hit, nor is one that the state keeps.
+    hits = matched.where("group_size > 1").select("at", "digest", "keep_at")
+    wanted = hits.select("at", "digest").unionByName(hits.select(F.col("keep_at").alias("at"), "digest")).distinct()
+    texts = rows.select("at", body.alias("body"))
+    if state:
+        # Files of earlier runs: as many names as files.
+        old = wanted.select("at.file").distinct().join(keys.select("at.file").distinct(), "file", "left_anti").collect()
+        if old:
+            texts = texts.unionByName(_read_places(spark, [r.file for r in old]))
+    fetched = work.keep(wanted.join(texts, "at"), "content")
+    kept = groups.where("group_size > 1").select("digest", F.col("keep_at").alias("at")).join(fetched, ["digest", "at"]).select("digest", F.col("body").alias("keep_body"), F.col("at").alias("first_at"))
+    compared = spread_join(fetched, kept, "digest", by_digest, F.col("at")).where("at <> first_at AND body <> keep_body")
+    others = work.keep(compared.select("at", "digest", "body"), "others")
+    work.forget(fetched)
+    if others.isEmpty():
+        return matched
+    # Different texts under one digest: rows that equal the kept row stay with it, the rest group by their bytes.
+    others = others.join(matched.select("at", "doc_id"), "at")
+    first = others.groupBy("digest", "body").agg(F.min(_rank()).alias("first"), F.count(F.lit(1)).alias("own_n"))
+    moved = others.select("at", "digest", "body").join(first, ["digest", "body"]).select("at", F.col("first.doc_id").alias("own_id"), F.col("first.at").alias("own_at"), "own_n")
+    fewer = others.groupBy("digest").agg(F.count(F.lit(1)).alias("gone"))
+    alone = F.col("own_n").isNull()
+    settled = matched.join(moved, "at", "left").join(fewer, "digest", "left").withColumns({
+        "keep_id": F.when(alone, F.col("keep_id")).otherwise(F.col("own_id")),
+        "keep_at": F.when(alone, F.col("keep_at")).otherwise(F.col("own_at")),
+        "group_size": F.when(alone, F.col("group_size") - F.coalesce("gone", F.lit(0))).otherwise(F.col("own_n")),
+    })
+    return work.keep(settled.drop("own_id", "own_at", "own_n", "gone"), "settled")
+
+
+def _read_places(spark, files: list[str]) -> DataFrame:
+    """Texts of earlier documents by place; a table of packed rows keeps them below ``row``."""
+    old = spark.read.parquet(*files)
+    text = "row.text" if old.columns == ["row"] else "text"
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("n")).alias("at")
+    return old.select(place, normalised(text).alias("body"))
+
+
+def exact_dedup(docs: DataFrame, work: Workspace, digest: Callable[[Column], Column] = sha256_digest, batches: int = 2, state: str | None = None) -> DataFrame:
     """Decision on each row of ``docs`` (doc_id, text): doc_id, digest, keep_id, group_size, kept.
 
-    Rows that repeat an identifier with the same digest count one by one in group_size; one of them can be kept.
-    ``digest`` may be weak: equality of rows with different identifiers is settled on bytes.
+    ``digest`` may be weak: equality is settled on bytes. ``state`` is a folder that outlives the run.
     """
-    spark: SparkSession = work.spark
-    body = normalised()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(body).alias("digest"), F.struct(F.input_file_name().alias("file")).alias("locator"))
-    # Keys only: the text stays where it is and is found again by doc_id and digest; the locator is carried only.
-    path = work.sub("keys")
-    own.write.parquet(path)
-    keys = spark.read.schema(own.schema).parquet(path)
-    files = max(1, -(-len(keys.inputFiles()) // batches))
-    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", files).parquet(path)
-    state = stream_state(stream, work).withColumnRenamed("locator", "keep_locator")
-
-    rows = keys.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("m"))
-    matched = work.keep(rows.join(state, "digest"), "matched")
-    shared = matched.where("group_size > m")
-    # Full bytes on hits: fetch the content of every row whose digest another identifier has, then compare.
-    content = docs.select(F.col("doc_id").cast("long").alias("at"), "text")
-    fetched = shared.join(content, F.col("at").eqNullSafe(F.col("doc_id"))).withColumn("body", body).where(digest(F.col("body")) == F.col("digest"))
-    fetched = work.keep(fetched.select("doc_id", "digest", "keep_id", "body"), "content")
-    kept = fetched.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("keep_body"))
-    others = work.keep(
-        fetched.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).join(kept, "digest").where("body <> keep_body").select("doc_id", "digest", "body"), "others"
-    )
-    kept_row = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    if not others.isEmpty():
-        # Different texts under one digest: rows that equal the kept row stay with it, the rest group by their bytes.
-        first = others.groupBy("digest", "body").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first"), F.count(F.lit(1)).alias("own_n"))
-        moved = others.distinct().join(first, ["digest", "body"]).select(F.col("doc_id").alias("moved_id"), "digest", F.col("first.doc_id").alias("own_keep"), "own_n")
-        fewer = others.groupBy("digest").agg(F.count(F.lit(1)).alias("gone"))
-        same = matched["digest"].eqNullSafe(moved["digest"]) & F.col("doc_id").eqNullSafe(F.col("moved_id"))
-        matched = (
-            matched.join(moved, same, "left").drop(moved["digest"]).join(fewer, "digest", "left")
-            .withColumn("keep_id", F.when(F.col("own_n").isNull(), F.col("keep_id")).otherwise(F.col("own_keep")))
-            .withColumn("group_size", F.coalesce("own_n", F.col("group_size") - F.coalesce("gone", F.lit(0))))
-        )
-    copies = F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("copy")
-    return matched.select("doc_id", "digest", "keep_id", "group_size", kept_row.alias("keeps"), copies).select(
-        "doc_id", "digest", "keep_id", "group_size", (F.col("keeps") & (F.col("copy") == 1)).alias("kept")
-    )
+    decided = decide(located(docs, work), work, digest, batches, state)
+    return decided.select("doc_id", "digest", "keep_id", "group_size", (F.col("at") == F.col("keep_at")).alias("kept"))
 
 
-def drop_copies(docs: DataFrame, work: Workspace) -> DataFrame:
+def drop_copies(docs: DataFrame, work: Workspace, state: str | None = None) -> DataFrame:
     """``docs`` without the rows that repeat an earlier text; all columns stay as they are."""
-    decided = exact_dedup(docs, work)
-    stay = work.keep(decided.groupBy("doc_id", "digest").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_m")).where("_kept"), "stay")
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_m")
-    rows = docs.withColumn("_own", sha256_digest(normalised())).join(
-        stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
-    )
-    if stay.where("_m > 1").isEmpty():
-        return rows.select(*docs.columns)
-    once, again = rows.where("_m = 1"), rows.where("_m > 1").dropDuplicates(["_id", "_digest"])
-    return once.unionByName(again).select(*docs.columns)
+    rows = located(docs, work)
+    stay = decide(rows, work, sha256_digest, 2, state).where("at = keep_at").select("at")
+    return unpacked(rows.join(stay, "at", "left_semi"))

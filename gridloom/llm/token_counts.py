@@ -5,7 +5,8 @@ digests of its texts to the stored counts, encodes one text for each digest that
 
 Content is normalised without changing what the tokenizer sees: null becomes the empty text, nothing else, since any
 other change could change the count. Encoding has no special tokens added, truncation or padding; special strings
-inside a text are handled as the library does by default.
+inside a text are handled as the library does by default. Texts are found again by their place (file and row), so
+null and repeated identifiers cost no more than others; rows of a digest that many rows share are dealt out.
 
 Defined results: repeated texts and rows are encoded once; rows that repeat an identifier stay rows; an empty table
 gives no rows and leaves the cache as it is; other columns are not read; a cache with repeated keys (two runs at the
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Workspace, text_or_empty, tokenizer_file
+from gridloom.llm.common import Workspace, hot_keys, located, spread_join, text_or_empty, tokenizer_file
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 #: Bytes of text that the tokenizer gets at once, and so bounds what its encodings hold.
@@ -93,15 +94,14 @@ def count_tokens(docs: DataFrame, work: Workspace, name: str = "byte_bpe_50k.jso
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
     stored = lambda: spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
-    content = text_or_empty()
-    digest = lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
-    sized = docs.select("doc_id", digest(content).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"))
-    sized = work.keep(sized, "digests")
-    # One identifier for each digest that has no count; the texts are then fetched by identifier.
-    fresh = sized.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(stored(), "digest", "left_anti")
-    fresh = work.keep(fresh.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), "misses")
-    texts = docs.select("doc_id", content.alias("content")).join(fresh, F.col("doc_id").eqNullSafe(F.col("_id")))
-    # An identifier may have several texts: only the one with the missing digest counts.
-    texts = texts.where(digest(F.col("content")) == F.col("_digest")).select(F.col("_digest").alias("digest"), "content")
+    content = text_or_empty("row.text")
+    digest = F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest")
+    rows = located(docs, work)
+    sized = work.keep(rows.select(F.col("row.doc_id").alias("doc_id"), digest, F.octet_length(content).cast("long").alias("n_bytes"), "at"), "digests")
+    # One place for each digest that has no count; its text is then fetched from there.
+    groups = work.keep(sized.groupBy("digest").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n")), "groups")
+    fresh = groups.select("digest", "at").join(stored(), "digest", "left_anti")
+    texts = rows.select("at", content.alias("content")).join(fresh, "at").select("digest", "content")
     encode_misses(texts, name, version, folder).write.mode("append").parquet(cache)
-    return sized.join(stored(), "digest").select("doc_id", "n_bytes", "n_tokens")
+    hot = hot_keys(groups, "digest", "n", sized.count())
+    return spread_join(sized, stored(), "digest", hot, F.col("at")).select("doc_id", "n_bytes", "n_tokens")

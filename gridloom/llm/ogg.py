@@ -15,14 +15,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import map_batches, texts_of
+
 RATE = 8000
 PACKET = 4096
 UNIT = 64
@@ -123,7 +123,9 @@ def read(data: bytes) -> dict[int, Logical]:
         for size in lacing:
             part = data[start : start + size]
             start += size
-            s.open = bytearray(part) if s.open is None else s.open + part
+            if s.open is None:
+                s.open = bytearray()
+            s.open += part  # in place: a packet of any length costs its length
             if size < 255:
                 s.packets.append(bytes(s.open))
                 s.granules.append(None)
@@ -185,30 +187,29 @@ def features(sound: Sound) -> str:
     return f"ms={round(sound.seconds * 1000)};mean={1000 * total // len(x)};power={1000 * square // len(x)};crossings={crossings};packets={sound.n_packets}"
 
 
-COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def encode_column(docs: DataFrame) -> DataFrame:
     """doc_id, media (the Ogg file): the media column itself."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "media": [write(pad(x), len(x)) for x in raw]})
+    def media(batch) -> list:
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts_of(batch)]
+        return [[write(pad(x), len(x)) for x in raw]]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(each, "doc_id long, media binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, ["doc_id"], "media binary", media)
 
 
 def describe_column(media: DataFrame) -> DataFrame:
     """doc_id, media to what reading the stored bytes gives."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, stored in zip(frame["doc_id"], frame["media"], strict=True):
-                sound = decode(bytes(stored))
-                p = sound.payload
-                rows.append((doc_id, int(sound.note["n_bytes"]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), features(sound)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")]).astype({"doc_id": "Int64"})
+    def described(batch) -> list:
+        rows = []
+        for stored in texts_of(batch, "media"):
+            sound = decode(stored)
+            p = sound.payload
+            rows.append((int(sound.note["n_bytes"]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), features(sound)))
+        return list(zip(*rows, strict=True)) or [[] for _ in COLUMNS.split(", ")]
 
-    return media.mapInPandas(each, COLUMNS)
+    return map_batches(media, ["doc_id"], COLUMNS, described)

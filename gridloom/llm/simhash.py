@@ -12,23 +12,20 @@ counts. A tile pair gives a spanning forest of its links, never all pairs. The s
 
 Defined results: null text is empty text; texts without words have fingerprint zero and are linked like any other;
 a null identifier is ignored in the minimum unless a whole component has none; repeated rows stay rows; an empty
-table gives no rows; other columns are not read.
+table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window
 
-from gridloom.llm.common import Workspace
+from gridloom.llm.common import Workspace, hot_keys, located, map_batches, spread_join, texts_of, unpacked
 from gridloom.llm.components import connected_components
 
 SHINGLE = 4
@@ -54,29 +51,27 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
     return [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint as an unsigned integer."""
-    hashes = shingle_hashes(text, shingle, seed)
-    if not hashes:
-        return 0
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes (unsigned 64-bit) as an unsigned integer; 0 without hashes."""
     ones = np.zeros(64, np.int64)
-    every = np.array(hashes, "<u8")
-    for i in range(0, len(every), CHUNK):
-        bits = np.unpackbits(every[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for i in range(0, len(hashes), CHUNK):
+        bits = np.unpackbits(hashes[i : i + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(every), bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(np.array(shingle_hashes(text, shingle, seed), np.uint64))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.fromiter((fingerprint(t) for t in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(each, "doc_id long, fp long")
+def fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """rows of ``located`` to at, doc_id, fp (the 64 bits as a signed long)."""
+
+    def marked(batch: pa.RecordBatch) -> list:
+        return [np.fromiter((fingerprint(t, shingle) for t in texts_of(batch)), np.uint64, batch.num_rows).view(np.int64)]
+
+    texts = rows.select("at", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+    return map_batches(texts, ["at", "doc_id"], "fp long", marked)
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -121,71 +116,103 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> list[tu
     return out
 
 
+def tiled(rows: DataFrame, tile: int) -> DataFrame:
+    """rows (bucket, item, pc) in buckets of at least two, cut into tiles of about ``tile`` items: bucket, tile, items
+    (ascending), low, high (population counts), tiles (of the bucket).
+
+    Tiles follow the population count; a count that fills more than a tile is dealt out by a hash. What a bucket's
+    counts say is at most 65 rows a bucket, however many items it has.
+    """
+    cells = rows.groupBy("bucket", "pc").agg(F.count(F.lit(1)).alias("n"))
+    bucket = Window.partitionBy("bucket")
+    before = F.sum("n").over(bucket.orderBy("pc").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select("*", F.sum("n").over(bucket).alias("all"), before.alias("before")).where("all > 1")
+    large = F.col("n") > tile
+    part, own = F.floor(F.coalesce("before", F.lit(0)) / tile), F.when(large, F.col("pc")).otherwise(-1)
+    cells = cells.select("bucket", "pc", part.alias("part"), own.alias("own"), F.ceil(F.col("n") / tile).alias("split"), (F.col("all") > tile).alias("many"), "n")
+    salt = F.when(F.col("split") > 1, F.pmod(F.xxhash64("item"), F.col("split"))).otherwise(0)
+    # Few cells make a hot bucket: where the rows of one meet its cells, they are dealt out.
+    cells = cells.withColumn("key", F.xxhash64("bucket", "pc"))
+    hot = hot_keys(cells.groupBy("key").agg(F.sum("n").alias("n")), "key", "n", rows.count())
+    keyed = rows.select("item", F.col("pc").alias("own_pc"), F.col("bucket").alias("own_bucket"), F.xxhash64("bucket", "pc").alias("key"))
+    placed = spread_join(keyed, cells.drop("n"), "key", hot, F.col("item")).where("bucket = own_bucket AND pc = own_pc")
+    placed = placed.select("bucket", "item", "pc", "many", F.struct("part", "own", salt.cast("long").alias("salt")).alias("tile"))
+    items = F.array_sort(F.collect_list("item")).alias("items")
+    return placed.groupBy("bucket", "tile").agg(items, F.min("pc").alias("low"), F.max("pc").alias("high"), F.max("many").alias("many"))
+
+
+def tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
+    """Written tiles to the pairs to be compared: items, items2 (null for a tile with itself).
+
+    Pairs whose population counts lie further apart than the radius are skipped. Pairs are found by their tiles' names
+    and fetch their items by tile, so the pairs of one bucket don't meet in one task.
+    """
+    alone = tiles.select("items", F.lit(None).cast("array<long>").alias("items2"))
+    names = tiles.where("many").select("bucket", "tile", "low", "high")
+    second = names.select("bucket", F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    near = (F.col("tile") < F.col("tile2")) & (F.col("low2") - F.col("high") <= radius) & (F.col("low") - F.col("high2") <= radius)
+    pairs = names.join(second, "bucket").where(near).select("bucket", "tile", "tile2")
+    named = tiles.where("many").select("bucket", "tile", "items")
+    pairs = pairs.join(named, ["bucket", "tile"]).select("bucket", F.col("tile2").alias("tile"), F.col("items").alias("one"))
+    return alone.unionByName(pairs.join(named, ["bucket", "tile"]).select(F.col("one").alias("items"), F.col("items").alias("items2")))
+
+
 def near_links(fps: DataFrame, work: Workspace, radius: int = RADIUS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """fps (fp long, distinct) to links (u, v) that connect exactly what links within the radius connect."""
     choice = masks(blocks or blocks_for(fps.count(), radius), radius)
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for k, m in enumerate(choice)]))
-    rows = fps.select("fp", F.bit_count("fp").alias("pc"), keys.alias("key")).select("fp", "pc", "key.k", "key.value")
-    # Tiles: by population count within a bucket; a count that fills more than a tile is dealt out by a hash.
-    bucket = Window.partitionBy("k", "value")
-    cells = rows.groupBy("k", "value", "pc").agg(F.count(F.lit(1)).alias("n"))
-    cells = cells.select("*", F.sum("n").over(bucket).alias("all"), F.sum("n").over(bucket.orderBy("pc").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    cells = cells.where("all > 1").select("k", "value", "pc", F.floor(F.coalesce("before", F.lit(0)) / tile).alias("part"), F.ceil(F.col("n") / tile).alias("split"))
-    large = F.col("split") > 1
-    placed = rows.join(cells, ["k", "value", "pc"]).select(
-        "k", "value", "fp", "pc", "part", F.when(large, F.col("pc")).otherwise(-1).alias("own"), F.when(large, F.pmod(F.xxhash64("fp"), F.col("split"))).otherwise(0).alias("salt")
-    )
-    tiles = placed.groupBy("k", "value", "part", "own", "salt").agg(F.collect_list("fp").alias("fps"), F.min("pc").alias("low"), F.max("pc").alias("high"))
-    tiles = work.keep(tiles.withColumn("tile", F.struct("part", "own", "salt")).drop("part", "own", "salt"), "tiles")
-    second = tiles.select("k", "value", F.col("fps").alias("fps2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("tile").alias("tile2"))
-    pairs = tiles.join(second, ["k", "value"]).where(
-        (F.col("tile") <= F.col("tile2")) & (F.col("low2") - F.col("high") <= radius) & (F.col("low") - F.col("high2") <= radius)
-    )
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = fps.select(keys.alias("bucket"), F.col("fp").alias("item"), F.bit_count("fp").alias("pc"))
+    tiles = work.keep(tiled(rows, tile), "tiles")
+
+    def compare(batch: pa.RecordBatch) -> list:
+        links: list[tuple[int, int]] = []
+        for one, two in zip(batch.column("items"), batch.column("items2"), strict=True):
+            a, b = (None if x.values is None else x.values.to_numpy().view(np.uint64) for x in (one, two))
+            links += forest(a, b, radius)
+        return links
+
+    return links_of(tile_pairs(tiles, radius), compare)
+
+
+def links_of(pairs: DataFrame, compare) -> DataFrame:
+    """What ``compare`` makes of batches of ``pairs``: links (u, v)."""
+
+    def each(batches):
         for batch in batches:
-            links: list[tuple[int, int]] = []
-            for one, two in zip(batch["fps"], batch["fps2"], strict=True):
-                links += forest(np.asarray(one, np.int64).view(np.uint64), None if two is None else np.asarray(two, np.int64).view(np.uint64), radius)
-            array = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({"u": array[:, 0], "v": array[:, 1]})
+            array = np.array(compare(batch), np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(array[:, 0]), pa.array(array[:, 1])], ["u", "v"])
+
+    return pairs.mapInArrow(each, "u long, v long")
 
-    compared = pairs.select("fps", F.when(F.col("tile") != F.col("tile2"), F.col("fps2")).alias("fps2"))
-    return compared.mapInPandas(compare, T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
 
+def near_groups(docs: DataFrame, work: Workspace, radius: int = RADIUS, tile: int = TILE, blocks: int | None = None, shingle: int = SHINGLE) -> DataFrame:
+    """One row a document: at, doc_id, fp, component_id (the smallest doc_id of its component), label (a fingerprint of it)."""
+    return groups_of(located(docs, work), work, radius, tile, blocks, shingle)
 
-def near_groups(docs: DataFrame, work: Workspace, radius: int = RADIUS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
-    """One row a document: doc_id, fp, component_id (the smallest doc_id of its component), label (a fingerprint of it)."""
-    marked = work.keep(fingerprints(docs), "fingerprints")
-    distinct = work.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+
+def groups_of(rows: DataFrame, work: Workspace, radius: int, tile: int, blocks: int | None, shingle: int) -> DataFrame:
+    marked = work.keep(fingerprints(rows, shingle), "fingerprints")
+    distinct = work.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     labels = connected_components(near_links(distinct.select("fp"), work, radius, tile, blocks), work)
-    labelled = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_fp = labelled.join(least, "label").select("fp", "component_id", "label")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id", "label")
-
-
-def drop_near(docs: DataFrame, work: Workspace) -> DataFrame:
-    """``docs`` with one row of each group: of its smallest doc_id (null last), then of its smallest fingerprint."""
-    return one_of_each(docs, near_groups(docs, work), work, fingerprint)
-
-
-def one_of_each(docs: DataFrame, groups: DataFrame, work: Workspace, mark: Callable[[str], int]) -> DataFrame:
-    """``docs`` with one row of each label of ``groups`` (doc_id, fp, label); ``mark`` gives a text's fp."""
-    groups = work.keep(groups.select("doc_id", "fp", "label"), "groups")
-    first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("r")).select("r.doc_id", "r.fp")
-    rows_of = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_m"))
-    stay = first.join(rows_of, F.col("doc_id").eqNullSafe(F.col("_id"))).select("_id", F.col("fp").alias("_fp"), "_m")
-    stay = work.keep(stay, "stay")
-    rows = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    if stay.where("_m > 1").isEmpty():
-        return rows.select(*docs.columns)
-    # An identifier alone says which row only where one row has it.
-    unsure = rows.where("_m > 1")
-
-    @F.pandas_udf("long")
-    def own(text: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter(map(mark, text.fillna("")), np.uint64, len(text)).view(np.int64))
-
-    sure = unsure.where(own(F.col("text").cast("string")) == F.col("_fp")).dropDuplicates(["_id", "_fp"])
-    return rows.where("_m = 1").unionByName(sure).select(*docs.columns)
+    labelled = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
+    labelled = work.keep(labelled, "labelled")
+    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    by_fp = spread_join(labelled.drop("first", "n"), least.drop("fps"), "label", hot_keys(least, "label", "fps", distinct.count()), F.col("fp"))
+    return spread_join(marked, by_fp, "fp", hot_keys(labelled, "fp", "n", marked.count()), F.col("at")).select("at", "doc_id", "fp", "component_id", "label")
+
+
+def drop_near(docs: DataFrame, work: Workspace, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each group: of its smallest doc_id (null last), the first of equals by place."""
+    rows = located(docs, work)
+    return one_of_each(rows, groups_of(rows, work, radius, TILE, None, shingle))
+
+
+def first_row() -> Column:
+    """The row of a group that stays."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at"))
+
+
+def one_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows of ``located`` with one of each label of ``groups`` (at, doc_id, label), as the documents they were."""
+    stay = groups.groupBy("label").agg(first_row().alias("r")).select("r.at")
+    return unpacked(rows.join(stay, "at", "left_semi"))

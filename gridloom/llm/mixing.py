@@ -3,11 +3,14 @@
 Sizes are words. Each source gets a share of the budget by weight, never more than ``most`` times its size; what a
 full source can't take goes to the others by weight. The limit of that resharing has a closed form: with sources in
 order of ``cap / weight``, those before the first whose level fits are full, the rest get ``level * weight``. A source's
-repetition rate is target / size; each document is emitted floor(rate) times, plus once more if a hash of its
-identifier and its source's seed, as a number in [0, 1), is below the fraction.
+repetition rate is target / size; each document is emitted floor(rate) times, plus once more if a hash of the seed and
+its identifier, as a number in [0, 1), is below the fraction: one draw a document, with the fraction as its probability.
+The draws need no shuffle of documents. The words taken scatter about the target with a standard deviation of
+``sqrt(f * (1 - f) * sum(size^2))``, so a source whose words lie in a few long documents may miss it by one of those.
 
 Defined results: null text has size 0; a null source is a source of its own and sorts last; sources of size 0 have
-target 0; rows that repeat an identifier share its draw (null identifiers draw as 0); an empty table gives no rows.
+target 0; rows that repeat an identifier share its draw (null identifiers draw as the empty text); an empty table gives no rows;
+other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,23 +20,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, Workspace, text_or_empty
+from gridloom.llm.common import WORD, Workspace, packed, text_or_empty, unpacked
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2.0
-#: Seeds that are tried for each source.
-SEEDS = 32
+SEED = 42
 
 
 def n_words(text: str = "text") -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
 
 
-def draw(identifier: Column, seed: Column | int = 0) -> Column:
-    """A number in [0, 1) that depends on the identifier and the seed only."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("int"), F.coalesce(identifier.cast("string"), F.lit("0"))), 11)
-    return bits.cast("double") / F.lit(float(1 << 53))
+def draw(identifier: Column, seed: int = SEED) -> Column:
+    """A number in [0, 1) that depends on the identifier and the seed only: 52 bits of an MD5 digest, as any engine has it."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(identifier.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
@@ -53,48 +55,30 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: f
     return levelled.select("source", "source_size", F.least(F.col("cap"), F.coalesce(-fits["less"] * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def copies(rate: Column, identifier: Column, seed: Column | int = 0) -> Column:
+def copies(rate: Column, identifier: Column, seed: int = SEED) -> Column:
     whole = F.floor(rate)
     return (whole + F.when(draw(identifier, seed) < rate - whole, 1).otherwise(0)).cast("long")
 
 
-def _rate(most: float) -> Column:
-    return F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+def source_plan(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
+    """sizes (source, size) to one row a source: source, source_size, target, rate."""
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    return source_targets(sizes, weights, budget, most).withColumn("rate", rate)
 
 
-def source_plan(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seeds: int = SEEDS) -> DataFrame:
-    """sizes (doc_id, source, size) to one row a source: source, source_size, target, rate, seed.
-
-    Of ``seeds`` seeds, a source gets the one whose draws take a number of words closest to its target (the smallest of
-    equals): the words of a few long documents then scatter far less, and each draw still has the fraction as its
-    probability. All seeds are summed in one pass.
-    """
-    targets = source_targets(sizes, weights, budget, most).withColumn("rate", _rate(most))
-    by_source = targets.withColumnRenamed("source", "_source")
-    joined = sizes.join(by_source, F.col("source").eqNullSafe(F.col("_source")))
-    taken = [F.sum(F.col("size") * copies(F.col("rate"), F.col("doc_id"), k)).alias(f"t{k}") for k in range(seeds)]
-    tried = joined.groupBy("source", "source_size", "target", "rate").agg(*taken)
-    off = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("seed")) for k in range(seeds)])
-    return tried.select("source", "source_size", "target", "rate", F.array_min(off)["seed"].alias("seed"))
-
-
-def _sizes(docs: DataFrame, work: Workspace) -> DataFrame:
-    return work.keep(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size")), "sizes")
-
-
-def mix_plan(docs: DataFrame, work: Workspace, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seeds: int = SEEDS) -> DataFrame:
+def mix_plan(docs: DataFrame, work: Workspace, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies."""
-    sizes = _sizes(docs, work)
-    plan = work.keep(source_plan(sizes, weights, budget, most, seeds), "plan").withColumnRenamed("source", "_source")
-    planned = sizes.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-    return planned.select("doc_id", "source", "size", "source_size", "target", copies(F.col("rate"), F.col("doc_id"), F.col("seed")).alias("copies"))
+    sizes = work.keep(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size")), "sizes")
+    plan = work.keep(source_plan(sizes, weights, budget, most), "plan").withColumnRenamed("source", "of_source")
+    planned = sizes.join(plan, F.col("source").eqNullSafe(F.col("of_source")))
+    return planned.select("doc_id", "source", "size", "source_size", "target", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
 
 
-def mix(docs: DataFrame, work: Workspace, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seeds: int = SEEDS) -> DataFrame:
+def mix(docs: DataFrame, work: Workspace, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as its copies say, with its columns as they are."""
-    plan = work.keep(source_plan(_sizes(docs, work), weights, budget, most, seeds), "plan")
-    plan = plan.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), F.col("seed").alias("_seed"))
-    rated = docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    times = copies(F.col("_rate"), F.col("doc_id"), F.col("_seed")).cast("int")
-    repeated = rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times)))
-    return repeated.select(*docs.columns)
+    rows = packed(docs)
+    sizes = rows.select(F.col("row.source").cast("string").alias("source"), n_words("row.text").alias("size"))
+    plan = work.keep(source_plan(sizes, weights, budget, most), "plan").select(F.col("source").alias("of_source"), "rate")
+    rated = rows.join(plan, F.col("row.source").cast("string").eqNullSafe(F.col("of_source")))
+    times = copies(F.col("rate"), F.col("row.doc_id"), seed).cast("int")
+    return unpacked(rated.select("row", F.explode(F.array_repeat(F.lit(1), times))))

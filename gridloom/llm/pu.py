@@ -10,11 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Workspace, held_out
+from gridloom.llm.common import Workspace, held_out, map_batches, texts_of
 
 #: Bounds of the training sample: rows with the smallest hashed identifiers. Rows beyond them only make it sharper.
 MOST_POSITIVE = 3000
@@ -65,11 +64,21 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, l2: float
     return Linear(theta[:n], float(theta[n]))
 
 
-def _sketched(frames):
-    for frame in frames:
-        split = [t.split() for t in frame["text"]]
-        sketch = [min(xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))) >> 1 for w in split]
-        yield frame.assign(sketch=sketch)
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, **training) -> float:
+    """The share of positives among unlabelled rows, from features of positives and unlabelled rows alone.
+
+    A first model tells positives from unlabelled rows on one half of both. On the other half, the share of unlabelled
+    rows over a cut by the share of positives over it bounds the prior from above; the cut with the least upper
+    confidence bound gives the estimate.
+    """
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    first = train(positive[::2], unlabelled[::2], 0.5, **training)
+    p, u = np.sort(first.logits(positive[1::2])), np.sort(first.logits(unlabelled[1::2]))
+    over = lambda x: 1 - np.searchsorted(x, p, "left") / len(x)
+    spread = sum(np.sqrt(np.log(4 / delta) / (2 * len(x))) for x in (p, u))
+    at = np.argmin((over(u) + spread) / over(p))
+    return float(min(max((over(u) / over(p))[at], 0.001), 0.999))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, work: Workspace, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[DataFrame, float | None]:
@@ -89,20 +98,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, work: Workspace, most
     chosen = positive.unionByName(unlabelled).groupBy("doc_id").agg(F.max("positive").alias("positive"), F.max("unlabelled").alias("unlabelled"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("positive").alias("positive"), F.first("unlabelled").alias("unlabelled"))
-    # Near copies count once: of rows with the same smallest hash of three words, the smallest identifier stays.
-    marked = found.mapInPandas(_sketched, "doc_id long, text string, positive int, unlabelled int, sketch long")
-    alone = marked.groupBy("sketch", "positive", "unlabelled").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("r"))
-    return work.keep(alone.select("r.doc_id", "r.text", "positive", "unlabelled"), f"{label}-sample"), prior
+    return work.keep(found, f"{label}-sample"), prior
 
 
 def scored(docs: DataFrame, score, threshold: float) -> DataFrame:
     """doc_id, held_out, score, predicted for each row; ``score`` maps a list of texts to scores."""
-    import pandas as pd
-
-    def each(frames):
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "score": score(frame["text"].tolist())})
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = rows.mapInPandas(each, "doc_id long, held_out boolean, score double")
+    out = map_batches(rows, ["doc_id", "held_out"], "score double", lambda batch: [score(texts_of(batch))])
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,9 +1,10 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Features are boundary-marked pieces of words: the whole word, its runs of five characters and its beginnings. Pieces that confirmed
-toxic documents have far more often than unlabelled ones are chosen on a bounded sample, general ones first; a linear
-model over which of them a text has, in one distinct word or in several, is trained in numpy. Whole texts of any length are scored in one pass, with a
-bounded memory of words seen.
+Features are boundary-marked pieces of words: the whole word, its runs of five characters and its beginnings. The
+``PIECES`` pieces (a parameter of the model) whose share in confirmed toxic documents lies most standard errors above
+that in unlabelled ones are its vocabulary; a linear model over which of them a text has, in one distinct word or in
+several, is trained in numpy. The vocabulary and the weights come from a bounded sample of rows (``pu``); every text
+is scored as a whole, in one pass, with a bounded memory of words seen.
 
 Defined results: null and empty texts get the score of a text without toxic pieces; without labels or positives every
 score is 0; repeated rows get equal scores; an empty table gives no rows; other columns are not read.
@@ -24,13 +25,13 @@ from gridloom.llm import pu
 from gridloom.llm.common import Workspace
 
 THRESHOLD = 0.3
-PIECES = 1024
+PIECES = 512
 RUN = 5
-BEGINNINGS = (4, 6, 7, 8)
+BEGINNINGS = range(4, 10)
 #: A piece is chosen if its share in positives lies so many standard errors above its share in unlabelled rows.
 LEAST_Z = 6.0
-#: Pieces in fewer of the positives may come from copies of a few documents.
-LEAST_SHARE = 0.015
+#: Pieces in fewer positives say nothing.
+LEAST_ROWS = 5
 #: A piece in so many distinct words of a text counts once more: ordinary words have rare pieces by chance, one at a time.
 SEVERAL = 2
 CACHED_WORDS = 1 << 18
@@ -47,7 +48,7 @@ def pieces(word: str) -> set[str]:
     return {marked, *(marked[i : i + RUN] for i in range(len(marked) - RUN + 1)), *(marked[:n] for n in BEGINNINGS if n < len(marked))}
 
 
-def choose(rows: DataFrame, n_positive: int, n_unlabelled: int, prior: float, most: int = PIECES) -> list[str]:
+def choose(rows: DataFrame, n_positive: int, n_unlabelled: int, most: int = PIECES) -> list[str]:
     """The pieces with the largest excess in positive rows; counts are combined on the executors."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,49 +67,8 @@ def choose(rows: DataFrame, n_positive: int, n_unlabelled: int, prior: float, mo
     counted = rows.select("text", "positive", "unlabelled").mapInPandas(count, "piece string, p long, u long")
     p, u = F.col("p") / n_positive, (F.col("u") + 1) / (n_unlabelled + 1)
     z = (p - u) / F.sqrt(u / n_positive)
-    least = max(4, int(LEAST_SHARE * n_positive))
-    best = counted.groupBy("piece").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= least).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    found = [r["piece"] for r in best.orderBy(F.desc("z"), "piece").limit(most).select("piece").collect()]
-    return general(found, holders(rows, found), least, n_positive / (prior * n_unlabelled))
-
-
-def holders(rows: DataFrame, found: list[str]) -> list[tuple[str, int, int]]:
-    """Words of the sample that hold a found piece, with the numbers of positive and of unlabelled rows that have them."""
-    chosen = set(found)
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(w, p, u) for text, p, u in zip(frame["text"], frame["positive"], frame["unlabelled"], strict=True) for w in words(text) if not chosen.isdisjoint(pieces(w))]
-            yield pd.DataFrame(out, columns=["word", "p", "u"])
-
-    counted = rows.select("text", "positive", "unlabelled").mapInPandas(each, "word string, p long, u long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    return [tuple(r) for r in counted.orderBy("word").collect()]
-
-
-def general(found: list[str], held: list[tuple[str, int, int]], least: int, scale: float) -> list[str]:
-    """A cover of the words by few pieces, so that a piece also meets words not seen before.
-
-    Time after time the piece with the most positive rows over its words not covered yet is kept, discounted by a part of
-    the unlabelled rows (``scale`` brings those of a piece that only positives have to the number of its positives);
-    a piece left with fewer than ``least`` positives, or more of them among the unlabelled, says nothing of its own.
-    """
-    of = {piece: set() for piece in found}
-    for word, p, u in held:
-        for piece in pieces(word) & of.keys():
-            of[piece].add((word, p, u))
-    kept: list[str] = []
-    while of:
-        gain = lambda x: sum(p for _, p, _ in of[x]) - 0.4 * scale * sum(u for _, _, u in of[x])
-        best = max(sorted(of), key=lambda x: (gain(x), -len(x)))
-        if gain(best) <= 0:
-            break
-        if sum(p for _, p, _ in of[best]) < least:
-            of.pop(best)
-            continue
-        kept.append(best)
-        covered = of.pop(best)
-        of = {piece: left for piece, rest in of.items() if (left := rest - covered)}
-    return kept
+    best = counted.groupBy("piece").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST_ROWS).withColumn("z", z).where(F.col("z") >= LEAST_Z)
+    return [r["piece"] for r in best.orderBy(F.desc("z"), "piece").limit(most).select("piece").collect()]
 
 
 def features(chosen: list[str]) -> list[tuple[int, str]]:
@@ -147,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, work: Workspace) -> tuple[dict[tuple
     if not prior or not sizes["p"] or not sizes["u"]:
         return {}, -40.0
     prior = min(max(prior, 0.001), 0.999)
-    chosen = choose(rows, sizes["p"], sizes["u"], prior)
+    chosen = choose(rows, sizes["p"], sizes["u"])
     if not chosen:
         return {}, float(np.log(prior / (1 - prior)))
     x, u = vectors(rows, chosen)

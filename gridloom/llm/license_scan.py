@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Workspace
+from gridloom.llm.common import Workspace, map_batches, texts_of
 from gridloom.llm.license_texts import WHOLE_TEXTS
 
 THRESHOLD = 0.6
@@ -203,13 +203,11 @@ def frequencies(docs: DataFrame, templates: list[tuple[str, str]] | None = None)
 def own_licenses(files: DataFrame, matcher: Matcher) -> DataFrame:
     """files (doc_id, path, text) to doc_id, path, own_license, cosine, is_license_file."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [matcher.find(t or "") for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "path": frame["path"], "own_license": [x[0] for x in found], "cosine": [x[1] for x in found], "is_license_file": [x[2] for x in found]})
+    def scanned(batch) -> list:
+        return list(zip(*[matcher.find(t or "") for t in texts_of(batch)], strict=True)) or [[]] * 3
 
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(each, "doc_id long, path string, own_license string, cosine double, is_license_file boolean")
+    return map_batches(rows, ["doc_id", "path"], "own_license string, cosine double, is_license_file boolean", scanned)
 
 
 def directory(path: Column) -> Column:

@@ -13,6 +13,9 @@ Characters outside the vocabulary become byte pieces, or the unknown piece witho
 
 Only models with identity normalisation, a dummy prefix and kept white space are taken; others raise ``ValueError``.
 
+Words of any length go through the trie: a text without spaces is one word. The words that a process remembers are bounded
+by number and by characters.
+
 Defined results: null text is empty text, without pieces; texts of any length are taken as a whole; lone surrogates
 can't occur in Spark strings; repeated rows stay rows; an empty table gives no rows; unknown ids in decoding raise.
 """
@@ -27,16 +30,16 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import tokenizer_file, trim
+from gridloom.llm.common import map_batches, texts_of, tokenizer_file, trim
 
 MARK = "▁"
 #: Words whose ids a process remembers between batches.
 CACHED_WORDS = 280_000
-#: Characters of a word that share one stack; merge results can't be cut, so longer words are encoded by merging alone.
-LONGEST = 64
+#: Characters of the words that a process remembers.
+CACHED_CHARACTERS = 16 * CACHED_WORDS
 
 _MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -67,6 +70,7 @@ class Codec:
             raise ValueError("a piece goes over the border of words")
         self.unknown_score = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
+        self._characters = 0  # of the words in known
         plain = {_BYTE: lambda p: bytes([int(p[3:5], 16)]), _UNKNOWN: lambda p: " ⁇ ".encode(), _NORMAL: lambda p: p.replace(MARK, " ").encode()}
         self.raw = [plain[t](p) if t in plain else b"" for p, t in zip(self.pieces, self.types, strict=True)]
         self._fits: dict[int, bool] = {}
@@ -87,34 +91,6 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def merged_long(self, word: str) -> list[str]:
-        """The same by a heap, for words of any length."""
-        import heapq
-
-        part: list[str | None] = list(word)
-        left, right = list(range(-1, len(part) - 1)), [*range(1, len(part)), -1]
-        heap: list[tuple[float, int, str, int]] = []
-
-        def offer(i: int) -> None:
-            j = right[i]
-            if j >= 0 and (union := self.ids.get(part[i] + part[j])) is not None:
-                heapq.heappush(heap, (-self.scores[union], i, part[i] + part[j], j))
-
-        for i in range(len(part) - 1):
-            offer(i)
-        while heap:
-            _, i, union, j = heapq.heappop(heap)
-            if part[i] is None or part[j] is None or right[i] != j or part[i] + part[j] != union:
-                continue
-            part[i], part[j] = union, None
-            right[i] = right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            offer(i)
-            if left[i] >= 0:
-                offer(left[i])
-        return [p for p in part if p is not None]
-
     def _prepare(self) -> None:
         """Candidates of the forward pass: pieces that merging their own characters gives, and how long they get by their last three characters."""
         self.candidates = {p: i for p, i in self.ids.items() if not self.merges or len(p) == 1 or self.merged(p) == [p]}
@@ -177,9 +153,6 @@ class Codec:
         """Ids of sorted distinct marked words: depth first through their trie."""
         sizes, states, before = [0], [-1 if self.merges else 0.0], ""
         for word in words:
-            if self.merges and len(word) > LONGEST:
-                yield word, self._to_ids(self.merged_long(word))
-                continue
             shared = 0
             for a, b in zip(before, word):  # noqa: B905
                 if a != b:
@@ -201,9 +174,12 @@ class Codec:
         split = [_MARKED.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         distinct = set(chain.from_iterable(split))
         fresh = distinct - self.known.keys()
-        if len(self.known) + len(fresh) > cached:
+        size = sum(map(len, fresh))
+        if len(self.known) + len(fresh) > cached or self._characters + size > CACHED_CHARACTERS:
             self.known = {}
             fresh = distinct
+            self._characters, size = 0, sum(map(len, distinct))
+        self._characters += size
         known = self.known
         for word, ids in self.encode_words(sorted(fresh)):
             known[word] = array("i", ids).tobytes()
@@ -252,31 +228,33 @@ def encode_column(docs: DataFrame, name: str = "piece_bpe_32k.model", folder: st
     return docs.withColumn("piece_ids", ids(F.col("text").cast("string")))
 
 
-def decode_column(encoded: DataFrame, name: str = "piece_bpe_32k.model", folder: str | None = None) -> DataFrame:
-    """``encoded`` and a column ``decoded`` from ``piece_ids``; null ids give the empty text."""
+def decoded(ids: Column | str, name: str = "piece_bpe_32k.model", folder: str | None = None) -> Column:
+    """The texts of a column of ids; null ids give the empty text."""
 
     @F.pandas_udf("string")
     def text(column: pd.Series) -> pd.Series:
         c = codec(name, folder)
         return pd.Series([c.decode([] if x is None else x.tolist()) for x in column], dtype=object)
 
-    return encoded.withColumn("decoded", text("piece_ids"))
+    return text(ids)
+
+
+def decode_column(encoded: DataFrame, name: str = "piece_bpe_32k.model", folder: str | None = None) -> DataFrame:
+    """``encoded`` and a column ``decoded`` from ``piece_ids``; a column of that name is replaced."""
+    return encoded.withColumn("decoded", decoded("piece_ids", name, folder))
 
 
 def digests(docs: DataFrame, name: str = "piece_bpe_32k.model", folder: str | None = None) -> DataFrame:
     """One row a document: doc_id, n_pieces, ids_sha256 (ids as little-endian 32-bit numbers), decoded_sha256, round_trip."""
 
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digested(batch) -> list:
         c = codec(name, folder)
-        for frame in frames:
-            rows = []
-            for group in _groups(frame["text"].tolist()):
-                for text, ids in zip(group, c.encode_arrays(group), strict=True):
-                    back = c.decode(ids.tolist())
-                    rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
-            out = pd.DataFrame(rows, columns=["n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out
+        rows = []
+        for group in _groups(texts_of(batch)):
+            for text, ids in zip(group, c.encode_arrays(group), strict=True):
+                back = c.decode(ids.tolist())
+                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
+        return list(zip(*rows, strict=True)) or [[]] * 4
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(each, "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return map_batches(rows, ["doc_id"], "n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean", digested)

@@ -111,12 +111,17 @@ def test_pieces_equal_the_library():
         assert codec.decode(ids) == model.decode(ids)
 
 
-def test_heap_merging_equals_plain_merging():
-    codec = sentencepiece_codec.codec()
+def test_long_words_equal_the_library():
+    """Texts without spaces: words of thousands of characters through the trie, whatever their neighbours in the order."""
+    import sentencepiece
+
+    codec = sentencepiece_codec.Codec(tokenizer_file("piece_bpe_32k.model"))
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
     rng = random.Random(4)
-    for _ in range(300):
-        word = "▁" + "".join(rng.choice("aeinstthré") for _ in range(rng.randrange(1, 40)))
-        assert codec.merged_long(word) == codec.merged(word)
+    texts = ["".join(rng.choice("aeinstthré") for _ in range(rng.randrange(60, 3000))) for _ in range(60)]
+    texts += ["".join(rng.choice(["日本", "語", "の", "ab", "e", "\n", "0", "==", "A"]) for _ in range(4000)), "a" * 5000, "the" * 3000, "=" * 700, texts[0] + "x", texts[0] + "xy"]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids == model.encode(text)
 
 
 def test_viterbi_of_a_unigram_model(tmp_path):

@@ -117,25 +117,25 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> list[tu
 
 
 def tiled(rows: DataFrame, tile: int) -> DataFrame:
-    """rows (bucket, item, pc) in buckets of at least two, cut into tiles of about ``tile`` items: bucket, tile, items
-    (ascending), low, high (population counts), tiles (of the bucket).
+    """rows (bucket, item, pc, weight) in buckets of at least two, cut into tiles of about ``tile`` in weight: bucket, tile,
+    items (ascending), low, high (population counts), many (whether the bucket has other tiles).
 
     Tiles follow the population count; a count that fills more than a tile is dealt out by a hash. What a bucket's
     counts say is at most 65 rows a bucket, however many items it has.
     """
-    cells = rows.groupBy("bucket", "pc").agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.groupBy("bucket", "pc").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("k"))
     bucket = Window.partitionBy("bucket")
     before = F.sum("n").over(bucket.orderBy("pc").rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.select("*", F.sum("n").over(bucket).alias("all"), before.alias("before")).where("all > 1")
+    cells = cells.select("*", F.sum("n").over(bucket).alias("all"), F.sum("k").over(bucket).alias("items"), before.alias("before")).where("items > 1")
     large = F.col("n") > tile
     part, own = F.floor(F.coalesce("before", F.lit(0)) / tile), F.when(large, F.col("pc")).otherwise(-1)
-    cells = cells.select("bucket", "pc", part.alias("part"), own.alias("own"), F.ceil(F.col("n") / tile).alias("split"), (F.col("all") > tile).alias("many"), "n")
+    cells = cells.select("bucket", "pc", part.alias("part"), own.alias("own"), F.ceil(F.col("n") / tile).alias("split"), (F.col("all") > tile).alias("many"), "k")
     salt = F.when(F.col("split") > 1, F.pmod(F.xxhash64("item"), F.col("split"))).otherwise(0)
     # Few cells make a hot bucket: where the rows of one meet its cells, they are dealt out.
     cells = cells.withColumn("key", F.xxhash64("bucket", "pc"))
-    hot = hot_keys(cells.groupBy("key").agg(F.sum("n").alias("n")), "key", "n", rows.count())
+    hot = hot_keys(cells.groupBy("key").agg(F.sum("k").alias("k")), "key", "k", rows.count())
     keyed = rows.select("item", F.col("pc").alias("own_pc"), F.col("bucket").alias("own_bucket"), F.xxhash64("bucket", "pc").alias("key"))
-    placed = spread_join(keyed, cells.drop("n"), "key", hot, F.col("item")).where("bucket = own_bucket AND pc = own_pc")
+    placed = spread_join(keyed, cells.drop("k"), "key", hot, F.col("item")).where("bucket = own_bucket AND pc = own_pc")
     placed = placed.select("bucket", "item", "pc", "many", F.struct("part", "own", salt.cast("long").alias("salt")).alias("tile"))
     items = F.array_sort(F.collect_list("item")).alias("items")
     return placed.groupBy("bucket", "tile").agg(items, F.min("pc").alias("low"), F.max("pc").alias("high"), F.max("many").alias("many"))
@@ -161,7 +161,7 @@ def near_links(fps: DataFrame, work: Workspace, radius: int = RADIUS, tile: int
     """fps (fp long, distinct) to links (u, v) that connect exactly what links within the radius connect."""
     choice = masks(blocks or blocks_for(fps.count(), radius), radius)
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for k, m in enumerate(choice)]))
-    rows = fps.select(keys.alias("bucket"), F.col("fp").alias("item"), F.bit_count("fp").alias("pc"))
+    rows = fps.select(keys.alias("bucket"), F.col("fp").alias("item"), F.bit_count("fp").alias("pc"), F.lit(1).alias("weight"))
     tiles = work.keep(tiled(rows, tile), "tiles")
 
     def compare(batch: pa.RecordBatch) -> list:

@@ -8,6 +8,8 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts in a document wi
    equal smallest hashes. Runs of windows with one smallest hash make a string of at most ``2 * LENGTH - GRAM`` bytes.
    Document groups exchange only hashes, as packed arrays, to learn which of them two documents have. That drops most
    of the text and never a repeat.
+   A hash of more than ``HOT`` strings (the edge of a passage that very many documents have) would bring them all to
+   one task: its strings are cut into single windows, each under a hash of all its bytes.
 3. The strings of hashes that two documents have are exchanged, each distinct one once for a document group, and meet
    by hash. Where a hash has several strings, their suffixes are ordered by the column-wise construction: one symbol of
    every string a round, from the last to the first, placed by counting in the Burrows-Wheeler transform, which is
@@ -33,15 +35,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Workspace, text_or_empty
+from gridloom.llm.common import Workspace, hot_keys, located, spread_join, text_or_empty
 
 LENGTH = 50
 GRAM = 24
 #: Bytes of text in a document group, and about what is exchanged by one part.
 GROUP_BYTES = 4 << 20
+#: Strings of one hash from which on they are exchanged as single windows: about a tenth of what a part gets.
+HOT = 4096
 #: Bytes of one text that are hashed at once.
 PIECE = 1 << 16
 LAST = np.iinfo(np.int64).max
@@ -232,7 +237,8 @@ def least_owner(strings: list[bytes], documents: np.ndarray, length: int = LENGT
 class _Strings:
     """The strings of a document group whose hashes two documents have, in an order that depends on the group only."""
 
-    def __init__(self, frame: pd.DataFrame, shared: np.ndarray, length: int, gram: int):
+    def __init__(self, frame: pd.DataFrame, shared: np.ndarray, hot: np.ndarray, length: int, gram: int):
+        """``shared``: hashes, ascending; ``hot``: which of them are hot."""
         self.index: dict[bytes, int] = {}
         self.hashes: list[int] = []
         self.least: list[int] = []
@@ -240,18 +246,26 @@ class _Strings:
         self.found: list[list[tuple[int, int, int]]] = [[] for _ in self.texts]
         docs = frame["doc"].tolist()
         numbers, hashes, starts, sizes = runs(self.texts, length, gram)
-        at = np.searchsorted(shared, hashes)
-        k = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == hashes) if len(shared) else np.empty(0, np.int64)
-        index, least, extra = self.index, self.least, length - 1
-        for t, h, s, n in zip(numbers[k].tolist(), hashes[k].tolist(), starts[k].tolist(), sizes[k].tolist(), strict=True):
-            content = self.texts[t][s : s + n + extra]
-            i = index.setdefault(content, len(least))
-            if i == len(least):
-                self.hashes.append(h)
-                least.append(docs[t])
-            elif docs[t] < least[i]:
-                least[i] = docs[t]
-            self.found[t].append((i, s, n))
+        at = np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)
+        k = np.flatnonzero(shared[at] == hashes) if len(shared) else np.empty(0, np.int64)
+        extra = length - 1
+        for t, h, s, n, single in zip(numbers[k].tolist(), hashes[k].tolist(), starts[k].tolist(), sizes[k].tolist(), hot[at[k]].tolist(), strict=True):
+            if single:
+                for w in range(s, s + n):
+                    content = self.texts[t][w : w + length]
+                    self._add(t, content, None, docs[t], w, 1)
+            else:
+                self._add(t, self.texts[t][s : s + n + extra], h, docs[t], s, n)
+
+    def _add(self, text: int, content: bytes, hashed: int | None, doc: int, start: int, n: int) -> None:
+        index, least = self.index, self.least
+        i = index.setdefault(content, len(least))
+        if i == len(least):
+            self.hashes.append(xxhash.xxh64_intdigest(content) if hashed is None else hashed)
+            least.append(doc)
+        elif doc < least[i]:
+            least[i] = doc
+        self.found[text].append((i, start, n))
 
     def by_part(self, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         """Parts and the numbers of their strings."""
@@ -267,8 +281,8 @@ def _empty(columns: str) -> pd.DataFrame:
     return pd.DataFrame({c.split()[0]: pd.Series(dtype=kinds[c.split()[1]]) for c in columns.split(", ")})
 
 
-HASHES = "bucket long, part long, hashes binary, several binary"
-SHARED = "bucket long, part long, hashes binary"
+HASHES = "bucket long, part long, hashes binary, several binary, counts binary"
+SHARED = "bucket long, part long, hashes binary, hot binary"
 STRINGS = "bucket long, part long, hashes binary, docs binary, sizes binary, bytes binary"
 ANSWERS = "bucket long, part long, bits binary"
 MARKED = "doc long, digest binary, n_removed long, n_spans long, kept_sha256 string"
@@ -282,33 +296,53 @@ def _group_hashes(parts: int, length: int, gram: int):
         order = np.argsort(every, kind="stable")  # within a hash by text
         numbers, every = numbers[order], every[order]
         starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        hashes, several = every[starts], numbers[starts] != numbers[np.append(starts[1:], len(every)) - 1]
+        ends = np.append(starts[1:], len(every))
+        hashes, several = every[starts], numbers[starts] != numbers[ends - 1]
+        counts = np.minimum(ends - starts, 65_535).astype(np.uint16)
         part = (hashes % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         pieces = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
-        return pd.DataFrame({"bucket": frame["bucket"].iloc[0], "part": [int(part[k[0]]) for k in pieces], "hashes": [hashes[k].tobytes() for k in pieces], "several": [np.packbits(several[k]).tobytes() for k in pieces]})
+        return pd.DataFrame({"bucket": frame["bucket"].iloc[0], "part": [int(part[k[0]]) for k in pieces], "hashes": [hashes[k].tobytes() for k in pieces], "several": [np.packbits(several[k]).tobytes() for k in pieces], "counts": [counts[k].tobytes() for k in pieces]})
 
     return each
 
 
-def _shared_hashes(frame: pd.DataFrame) -> pd.DataFrame:
+def _shared_hashes(most: int):
+    def each(frame: pd.DataFrame) -> pd.DataFrame:
+        return _shared(frame, most)
+
+    return each
+
+
+def _shared(frame: pd.DataFrame, most: int) -> pd.DataFrame:
     own = [np.frombuffer(x, np.uint64) for x in frame["hashes"]]
     several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(frame["several"], own, strict=True)]
-    every = np.sort(np.concatenate(own + [h[s] for h, s in zip(own, several, strict=True)]))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    kept = [np.intersect1d(h, twice, assume_unique=True) for h in own]
-    return pd.DataFrame({"bucket": frame["bucket"], "part": frame["part"], "hashes": [x.tobytes() for x in kept]})[[len(x) > 0 for x in kept]]
+    every, of = np.unique(np.concatenate(own), return_inverse=True)
+    strings = np.bincount(of, weights=np.concatenate([np.frombuffer(x, np.uint16) for x in frame["counts"]]), minlength=len(every))
+    twice = np.bincount(of, weights=1 + np.concatenate(several), minlength=len(every)) > 1
+    hot = strings > most
+    cuts = np.cumsum([len(h) for h in own])[:-1]
+    kept = [k[twice[k]] for k in np.split(of, cuts)]
+    out = pd.DataFrame({"bucket": frame["bucket"], "part": frame["part"], "hashes": [every[k].tobytes() for k in kept], "hot": [hot[k].astype(np.uint8).tobytes() for k in kept]})
+    return out[[len(k) > 0 for k in kept]]
 
 
 def _joined(column: pd.Series, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, dtype) for x in column] or [np.empty(0, dtype)])
 
 
+def _known(shared: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shared hashes in ascending order, and which are hot."""
+    hashes, hot = _joined(shared["hashes"], np.uint64), _joined(shared["hot"], np.uint8).astype(bool)
+    order = np.argsort(hashes)
+    return hashes[order], hot[order]
+
+
 def _group_strings(parts: int, length: int, gram: int):
     def each(frame: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         if not len(frame) or not len(shared):
             return _empty(STRINGS)
-        own = _Strings(frame, np.sort(_joined(shared["hashes"], np.uint64)), length, gram)
+        own = _Strings(frame, *_known(shared), length, gram)
         contents = list(own.index)
         hashes, least = np.array(own.hashes, np.uint64), np.array(own.least, np.int64)
         rows = []
@@ -367,8 +401,7 @@ def _group_marks(parts: int, length: int, gram: int):
         if not len(frame):
             return _empty(MARKED)
         answered = replies[replies["bits"].notna()]
-        shared = np.sort(_joined(replies[replies["hashes"].notna()]["hashes"], np.uint64))
-        own = _Strings(frame, shared, length, gram)
+        own = _Strings(frame, *_known(replies[replies["hashes"].notna()]), length, gram)
         bits = np.zeros(len(own.hashes), np.uint64)
         by_part = dict(zip(answered["part"].tolist(), answered["bits"], strict=True))
         for part, k in own.by_part(parts):
@@ -400,57 +433,67 @@ def _group_marks(parts: int, length: int, gram: int):
     return each
 
 
-def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, hot: int = HOT) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     if not 0 < length - gram < 64 or gram < 1 or 2 * length - gram > 255:
         raise ValueError("length and gram don't fit")
     spark = work.spark
-    content = text_or_empty()
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST)))
+    rows = located(docs, work)
+    content = text_or_empty("row.text")
+    doc_id = F.col("row.doc_id").cast("long")
+    doc = F.coalesce(doc_id, F.lit(int(LAST)))
     digest = F.unhex(F.sha2(content.cast("binary"), 256))
-    sized = work.keep(docs.select("doc_id", doc.alias("doc"), digest.alias("digest"), F.octet_length(content).cast("long").alias("n_bytes")), "digests")
-    total = sized.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
-    groups = max(8, -(-total // group_bytes))
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).alias("bucket")
+    sized = work.keep(rows.select(F.col("row.doc_id").alias("doc_id"), doc.alias("doc"), "at", digest.alias("digest"), F.octet_length(content).cast("long").alias("n_bytes")), "digests")
+    size = sized.agg(F.sum("n_bytes").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    groups = max(8, -(-(size["n"] or 0) // group_bytes))
+    bucket = F.pmod(F.xxhash64("at"), F.lit(groups)).alias("bucket")
 
     # 1. One document of each group of equal texts, of those that are long enough, in a table bucketed by document groups.
-    first = sized.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.min("doc").alias("doc"))
-    first = first.select(bucket("doc"), "doc", "digest")
+    long = sized.where(F.col("n_bytes") >= length)
+    copies = work.keep(long.groupBy("digest").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).select("digest", "first.doc", "first.at", "n"), "copies")
+    names = copies.select(bucket, "doc", "digest", F.col("at.file").alias("file"), F.col("at.n").alias("n"))
+
+    def chosen(frame: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        keys = dict(zip(zip(wanted["file"], wanted["n"].tolist(), strict=True), zip(wanted["doc"].tolist(), wanted["digest"], strict=True), strict=True))
+        found = []
+        for b, file, n, t in zip(frame["bucket"], frame["file"], frame["n"].tolist(), frame["text"], strict=True):
+            if (key := keys.get((file, n))) is not None:
+                found.append((b, *key, t))
+        return pd.DataFrame(found, columns=["bucket", "doc", "digest", "text"]) if found else _empty("bucket long, doc long, digest binary, text string")
+
+    texts = rows.select(bucket, F.col("at.file").alias("file"), F.col("at.n").alias("n"), content.alias("text")).where(F.octet_length("text") >= length)
+    picked = texts.groupBy("bucket").cogroup(names.groupBy("bucket")).applyInPandas(chosen, "bucket long, doc long, digest binary, text string")
+    table, folder = f"gridloom_texts_{uuid.uuid4().hex}", work.sub("texts")
+    # The table's buckets are files; a session bounds their number. Groups beyond it share files, which changes no result.
+    files = min(groups, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+    try:
+        picked.write.option("path", folder).bucketBy(files, "bucket").sortBy("bucket", "doc").saveAsTable(table)
+        grouped = lambda: spark.table(table).groupBy("bucket")
+
+        # 2. Hashes that two documents have.
+        hashes = grouped().applyInPandas(_group_hashes(groups, length, gram), HASHES)
+        shared = work.keep(hashes.groupBy("part").applyInPandas(_shared_hashes(hot), SHARED), "shared")
+        # 3. Their strings, to the smallest document of each window.
+        strings = grouped().cogroup(shared.groupBy("bucket")).applyInPandas(_group_strings(groups, length, gram), STRINGS)
+        answers = work.keep(strings.groupBy("part").applyInPandas(_answers(length), ANSWERS), "answers")
+        # 4. Marks.
+        nothing = F.lit(None).cast("binary")
+        replies = shared.withColumn("bits", nothing).unionByName(answers.withColumns({"hashes": nothing, "hot": nothing}))
+        marked = work.keep(grouped().cogroup(replies.groupBy("bucket")).applyInPandas(_group_marks(groups, length, gram), MARKED), "marked")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")  # the catalog's entry
+    work.drop(folder)
+    work.forget(shared, answers)
 
-    def chosen(frame: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-        wanted = set(zip(names["doc"].tolist(), map(bytes, names["digest"]), strict=True))
-        rows = []
-        for b, d, t in zip(frame["bucket"], frame["doc"], frame["text"], strict=True):
-            key = (d, hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest())
-            if key in wanted:
-                wanted.remove(key)  # rows that repeat it come once
-                rows.append((b, d, key[1], t))
-        return pd.DataFrame(rows, columns=["bucket", "doc", "digest", "text"]) if rows else _empty("bucket long, doc long, digest binary, text string")
-
-    texts = docs.select(bucket(doc), doc.alias("doc"), content.alias("text"))
-    picked = texts.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInPandas(chosen, "bucket long, doc long, digest binary, text string")
-    table = f"gridloom_texts_{uuid.uuid4().hex}"
-    picked.write.option("path", work.sub("texts")).bucketBy(min(groups, 20_000), "bucket").sortBy("bucket", "doc").saveAsTable(table)
-    grouped = lambda: spark.table(table).groupBy("bucket")
-
-    # 2. Hashes that two documents have.
-    hashes = grouped().applyInPandas(_group_hashes(groups, length, gram), HASHES)
-    shared = work.keep(hashes.groupBy("part").applyInPandas(_shared_hashes, SHARED), "shared")
-    # 3. Their strings, to the smallest document of each window.
-    strings = grouped().cogroup(shared.groupBy("bucket")).applyInPandas(_group_strings(groups, length, gram), STRINGS)
-    answers = work.keep(strings.groupBy("part").applyInPandas(_answers(length), ANSWERS), "answers")
-    # 4. Marks.
-    replies = shared.withColumn("bits", F.lit(None).cast("binary")).unionByName(answers.withColumn("hashes", F.lit(None).cast("binary")))
-    marked = work.keep(grouped().cogroup(replies.groupBy("bucket")).applyInPandas(_group_marks(groups, length, gram), MARKED), "marked")
-
-    spark.sql(f"DROP TABLE {table}")  # the catalog's entry; the files stay in the work folder
-    nothing = F.sha2(F.lit("").cast("binary"), 256)
-    copy = (F.col("n_bytes") >= length) & (F.col("doc") > F.col("first"))
+    copy = F.col("doc") > F.col("first")
     of_text = marked.select("digest", F.col("doc").alias("first"), F.col("n_removed").alias("r"), F.col("n_spans").alias("s"), F.col("kept_sha256").alias("k"))
-    return sized.join(of_text, "digest", "left").select(
+    met = spread_join(long, of_text, "digest", hot_keys(copies, "digest", "n", size["rows"]), F.col("at")).select(
         "doc_id",
         "n_bytes",
-        F.when(F.col("first").isNull(), 0).when(copy, F.col("n_bytes")).otherwise(F.col("r")).cast("long").alias("n_removed"),
-        F.when(F.col("first").isNull(), 0).when(copy, 1).otherwise(F.col("s")).cast("long").alias("n_spans"),
-        F.when(F.col("first").isNull(), F.lower(F.hex("digest"))).when(copy, nothing).otherwise(F.col("k")).alias("kept_sha256"),
+        F.when(copy, F.col("n_bytes")).otherwise(F.col("r")).cast("long").alias("n_removed"),
+        F.when(copy, 1).otherwise(F.col("s")).cast("long").alias("n_spans"),
+        F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("k")).alias("kept_sha256"),
     )
+    short = sized.where(F.col("n_bytes") < length)
+    zero = F.lit(0).cast("long")
+    return met.unionByName(short.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.lower(F.hex("digest")).alias("kept_sha256")))

@@ -225,10 +225,11 @@ def test_removed_bytes_equal_brute_force(spark):
     assert suffix_dedup.remove_repeats(docs(spark, []), Workspace(spark, "t")).count() == 0
 
 
-def test_repeats_across_groups_and_pieces(spark):
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_repeats_across_groups_and_pieces(spark, hot):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
     passage = " ".join(rng.choice(words) for _ in range(60))
     rows = [(k, " ".join(rng.choice(words) for _ in range(300)) + (passage if k % 3 == 0 else "") + " ".join(rng.choice(words) for _ in range(200))) for k in range(30)]
-    got = suffix_dedup.remove_repeats(docs(spark, rows), Workspace(spark, "t"), group_bytes=4000)
+    got = suffix_dedup.remove_repeats(docs(spark, rows), Workspace(spark, "t"), group_bytes=4000, hot=hot)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_removed(rows)

@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("map")
         p.add_argument("--norm", choices=("auto", "raw", "force"), default="auto")
         p.add_argument("--threads", default="*")
+        p.add_argument("--n-mads", type=float, default=5.0, help="bins whose log marginal lies further below the median aren't balanced")
         return p
 
     def with_kernel(p: argparse.ArgumentParser) -> None:
@@ -31,18 +32,23 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--win-fmt", choices=("json", "npy"), default="json")
         p.add_argument("--plan", choices=("scatter", "tile"), default="tile")
         for option in _AUTO:
-            p.add_argument("--" + option.replace("_", "-"), default="auto")
+            names = ["--" + option.replace("_", "-")]
+            if option.startswith("max_") and option != "max_dist":
+                names.append(names[0].replace("max-", ""))  # --iterations, --perc-zero, --perc-undetected
+            p.add_argument(*names, dest=option, default="auto")
+        p.add_argument("--win-size", default="auto", help="resize the kernels to this width")
+        p.add_argument("--no-plotting", action="store_true", help="no drawing of the mean window")
+        p.add_argument("--subsample", type=float, help="a share below or equal to 1, or a number of contacts")
+        p.add_argument("--tsvd", type=float, nargs="?", const=0.999, help="share of the kernels' energy to keep (0.999)")
+        p.add_argument("--seed", type=int, default=0)
 
     detect = with_map("detect", "find patterns")
     detect.add_argument("prefix")
     with_kernel(detect)
     detect.add_argument("--inter", action="store_true", help="also between chromosomes")
     detect.add_argument("--smooth-trend", action="store_true")
-    detect.add_argument("--subsample", type=float, help="a share below or equal to 1, or a number of contacts")
     detect.add_argument("--dump")
     detect.add_argument("--kernel-factor", type=float)
-    detect.add_argument("--tsvd", type=float, help="share of the kernels' energy to keep, such as 0.999")
-    detect.add_argument("--seed", type=int, default=0)
     quantify = with_map("quantify", "score given positions")
     quantify.add_argument("positions", help="BED2D file")
     quantify.add_argument("prefix")
@@ -52,14 +58,21 @@ def parser() -> argparse.ArgumentParser:
     config.add_argument("prefix")
     config.add_argument("--preset", default="loops")
     config.add_argument("--map")
-    config.add_argument("--positions")
+    config.add_argument("--positions", help="BED2D file: positions whose mean window is the kernel")
     config.add_argument("--win-size", type=int)
+    config.add_argument("--chroms", help="comma-separated: only positions of these chromosomes")
+    config.add_argument("--inter", action="store_true", help="also positions between chromosomes")
+    config.add_argument("--norm", choices=("auto", "raw", "force"), default="auto")
+    config.add_argument("--n-mads", type=float, default=5.0)
+    config.add_argument("--threads", default="*")
     listing = commands.add_parser("list-kernels", help="presets")
     listing.add_argument("--long", action="store_true")
     listing.add_argument("--mat", action="store_true")
     listing.add_argument("--name")
     view = with_map("view", "a region as text")
-    view.add_argument("--region", required=True, help="chrom:start-end")
+    view.add_argument("--region", required=True, help="chrom:start-end, the rows")
+    view.add_argument("--region2", help="chrom:start-end, the columns; the rows' region without it")
+    view.add_argument("--patterns", help="table of detected patterns, shown as X")
     view.add_argument("--log", action="store_true")
     commands.add_parser("test", help="detect planted loops in a synthetic map")
     return top
@@ -73,10 +86,13 @@ def ascii_matrix(matrix: np.ndarray, glyphs: str = " .:-=+*#%@") -> str:
 
 
 def _config(args: argparse.Namespace):
-    from gridloom.sources.kernels import load_config, overridden
+    from gridloom.sources.kernels import load_config, overridden, resize
 
     config = load_config(args.kernel_config, custom=True) if args.kernel_config else load_config(args.pattern)
-    return overridden(config, **{k: getattr(args, k) for k in _AUTO})
+    config = overridden(config, **{k: getattr(args, k) for k in _AUTO})
+    if args.win_size in (None, "auto"):
+        return config
+    return replace(config, kernels=[resize(k, int(args.win_size) / k.shape[0]) for k in config.kernels])
 
 
 def _sampled(cmap, amount: float | None, seed: int):
@@ -116,7 +132,7 @@ def main(argv: list[str] | None = None) -> int:
     from gridloom.operators.balance import normalise
     from gridloom.plans import pipeline
     from gridloom.session import build_session
-    from gridloom.sources.contacts import read_bed2d, read_map
+    from gridloom.sources.contacts import read_bed2d, read_map, write_weights
 
     spark = build_session("gridloom", getattr(args, "threads", "*"))
     spark.sparkContext.setLogLevel("ERROR")
@@ -134,47 +150,88 @@ def main(argv: list[str] | None = None) -> int:
             raise ValueError("a map needs --positions")
         base = kernels.load_config(args.preset)
         size = (args.win_size or base.kernels[0].shape[0]) | 1
-        config = pipeline.make_config(normalise(read_map(spark, args.map)), base, read_bed2d(spark, args.positions), size)
+        cmap = normalise(read_map(spark, args.map), args.norm, n_mads=args.n_mads, inter=args.inter)
+        places = read_bed2d(spark, args.positions)
+        if args.chroms:
+            places = places.where(F.col("chrom1").isin(args.chroms.split(",")) & F.col("chrom2").isin(args.chroms.split(",")))
+        config = pipeline.make_config(cmap, base, places, size, raw=args.norm == "raw", inter=args.inter)
         print(sinks.write_config(_plain(config), config.kernels, args.prefix))
         return 0
     cmap = read_map(spark, args.map)
     if args.command == "view":
-        chrom, start, end = args.region.replace("-", ":").split(":")
-        inside = cmap.bins.where((F.col("chrom") == chrom) & (F.col("start") >= int(start)) & (F.col("end") <= int(end)))
-        ends = inside.agg(F.min("bin_id"), F.max("bin_id")).first()
-        if ends[0] is None or ends[1] - ends[0] > 500:
-            raise ValueError("the region has no bins, or over 500")
-        matrix = np.zeros((ends[1] - ends[0] + 1,) * 2)
-        for r in cmap.pixels.where(F.col("bin1_id").between(*ends) & F.col("bin2_id").between(*ends)).toLocalIterator():
-            matrix[r[0] - ends[0], r[1] - ends[0]] = matrix[r[1] - ends[0], r[0] - ends[0]] = np.log1p(r[2]) if args.log else r[2]
-        print(ascii_matrix(matrix))
+        print(_view(cmap, args))
         return 0
     sinks.check_prefix(args.prefix)
     config = _config(args)
-    cmap = normalise(cmap, args.norm)
+    cmap = normalise(cmap, args.norm, n_mads=args.n_mads, inter=args.inter)
+    if args.norm == "force":
+        write_weights(cmap, args.map)
+        cmap = read_map(spark, args.map)
+    cmap = _sampled(cmap, args.subsample, args.seed)
+    raw = args.norm == "raw"
     if args.command == "detect":
-        cmap = _sampled(cmap, args.subsample, args.seed)
-        patterns, pile = pipeline.detect(cmap, config, raw=args.norm == "raw", smooth=args.smooth_trend, plan=args.plan, dump=args.dump, factor=args.kernel_factor, inter=args.inter, tsvd=args.tsvd)
-        patterns = patterns.persist()
-        sinks.write_patterns(patterns, args.prefix, order=["kernel_id", "iteration", "bin1", "bin2"])
-        size = (pile.agg(F.max("a")).first()[0] or 0) + 1
-        means = np.full((len(config.kernels), size, size), np.nan)
-        for r in pile.collect():  # one small window a kernel
-            means[r.kernel_id, r.a, r.b] = np.nan if r["mean"] is None else r["mean"]
-        sinks.save_windows(means, args.prefix, args.win_fmt)
-        print(f"{patterns.count()} patterns detected", file=sys.stderr)
+        if args.dump and args.subsample:
+            cmap = replace(cmap, pixels=sinks.dump_stage(cmap.pixels, args.dump, "00_subsampled"))
+        patterns, _ = pipeline.detect(cmap, config, raw=raw, smooth=args.smooth_trend, plan=args.plan, dump=args.dump, factor=args.kernel_factor, inter=args.inter, tsvd=args.tsvd, with_windows=True)
+        rows, order = patterns.persist(), ["order"]
+        sinks.write_patterns(rows.drop("window"), args.prefix, order=order)
     else:
-        from gridloom.operators.windows import to_numpy
-
-        rows = pipeline.quantify(cmap, config, read_bed2d(spark, args.positions), raw=args.norm == "raw", plan=args.plan, inter=args.inter).persist()
-        sinks.write_patterns(rows.drop("window"), args.prefix, order=["bin1", "bin2"])
-        size = config.kernels[0].shape[0]
-        empty = [[None] * size] * size
-        kept = rows.orderBy("bin1", "bin2").select("window").toLocalIterator()
-        sinks.save_windows(to_numpy([{"window": r.window or empty} for r in kept], size), args.prefix, args.win_fmt)
+        rows, order = pipeline.quantify(cmap, config, read_bed2d(spark, args.positions), raw=raw, inter=args.inter, tsvd=args.tsvd).persist(), ["bin1", "bin2"]
+        sinks.write_patterns(rows.drop("window"), args.prefix, order=order)
+    _write_windows(rows, order, config, args)
+    print(f"{rows.count()} patterns {'detected' if args.command == 'detect' else 'scored'}", file=sys.stderr)
     return 0
 
 
+def _write_windows(rows, order: list[str], config, args: argparse.Namespace) -> None:
+    """One window a pattern, in the order of the table, and a drawing of their mean."""
+    from gridloom.operators.windows import to_numpy
+    from gridloom.sources import sinks
+
+    kept = list(rows.orderBy(*order).select("window").toLocalIterator())
+    size = next((len(r.window) for r in kept if r.window), config.kernels[0].shape[0])
+    windows = to_numpy([{"window": r.window or [[None] * size] * size} for r in kept], size)
+    sinks.save_windows(windows, args.prefix, args.win_fmt)
+    if args.no_plotting or not np.isfinite(windows).any():
+        return
+    seen = np.isfinite(windows).sum(axis=0)
+    pile = np.where(seen > 0, np.nansum(windows, axis=0) / np.maximum(seen, 1), np.nan)
+    if not config.max_dist:  # cells below the diagonal are missing
+        full = np.nan_to_num(pile)
+        pile = full + full.T - np.diag(np.diag(full))
+    sinks.save_pileup(pile, args.prefix, f"Pileup of {len(kept)} {config.name}")
+
+
+def _view(cmap, args: argparse.Namespace) -> str:
+    from pyspark.sql import functions as F
+
+    ends = []
+    for region in (args.region, args.region2 or args.region):
+        chrom, start, end = region.replace("-", ":").split(":")
+        inside = cmap.bins.where((F.col("chrom") == chrom) & (F.col("start") >= int(start)) & (F.col("end") <= int(end)))
+        low, high = inside.agg(F.min("bin_id"), F.max("bin_id")).first()
+        if low is None or high - low > 500:
+            raise ValueError("the region has no bins, or over 500")
+        ends.append((low, high))
+    (a, b), (c, d) = ends
+    matrix = np.zeros((b - a + 1, d - c + 1))
+    turned = cmap.pixels.select(F.col("bin2_id").alias("bin1_id"), F.col("bin1_id").alias("bin2_id"), "count")
+    both = cmap.pixels.select("bin1_id", "bin2_id", "count").unionByName(turned.where("bin1_id <> bin2_id"))
+    for r in both.where(F.col("bin1_id").between(a, b) & F.col("bin2_id").between(c, d)).toLocalIterator():
+        matrix[r[0] - a, r[1] - c] = np.log1p(r[2]) if args.log else r[2]
+    lines = [list(x) for x in ascii_matrix(matrix).split("\n")]
+    if args.patterns:
+        with open(args.patterns) as f:
+            head = f.readline().rstrip("\n").split("\t")
+            at = [head.index("bin1"), head.index("bin2")]
+            for line in f:
+                x, y = (line.rstrip("\n").split("\t")[k] for k in at)
+                for i, j in ((x, y), (y, x)):
+                    if i and j and a <= int(i) <= b and c <= int(j) <= d:
+                        lines[int(i) - a][int(j) - c] = "X"
+    return "\n".join("".join(x) for x in lines)
+
+
 def _plain(config) -> dict:
     from dataclasses import asdict
 

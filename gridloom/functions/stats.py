@@ -27,17 +27,31 @@ def corr_to_log10p(r: Column, n: Column, rho0: float = 0.0) -> Column:
 
 
 def benjamini_hochberg(rows: DataFrame, p: str = "pvalue", q: str = "qvalue", partition: list[str] | None = None) -> DataFrame:
-    """Adds q-values; null p-values take no part and get null.
+    """Adds q-values; null p-values take no part and get null. ``partition`` ranks groups apart.
 
-    Patterns are few (one a focus), so one ranking is one partition; ``partition`` ranks groups apart.
+    Equal p-values are counted first. The order of the distinct ones is cut into cells by 256ths and by sixteenths of a
+    decade, both of which grow with p; sums before and least values behind a cell come from the cells, some thousand rows
+    at most, so no task sees all p-values.
     """
-    group = [*(partition or []), F.col(p).isNull()]
-    down, up = Window.partitionBy(*group).orderBy(F.desc(p)), Window.partitionBy(*group).orderBy(p)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    rank = F.rank().over(up) + F.count(F.lit(1)).over(Window.partitionBy(*group, p)) - 1  # the last of equal p-values
-    rows = rows.withColumn("_raw", F.when(F.col(p).isNotNull(), F.col(p) * m / rank))
-    least = F.least(F.lit(1.0), F.min("_raw").over(down.rangeBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn(q, F.when(F.col(p).isNotNull(), least)).drop("_raw")
+    group = list(partition or [])
+    cell = [*group, "_a", "_b"]
+    counts = rows.where(F.col(p).isNotNull()).groupBy(*group, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    decade = F.when(F.col("_p") > 0, F.least(F.floor(F.log10("_p") * -16), F.lit(6000).cast("long"))).otherwise(6000)
+    counts = counts.withColumn("_a", F.floor(F.col("_p") * 256)).withColumn("_b", -decade)
+    every, rise = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("_a", "_b")
+    before = F.coalesce(F.sum("_t").over(rise.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = counts.groupBy(*cell).agg(F.sum("_n").alias("_t")).select(*cell, before.alias("_before"), F.sum("_t").over(every).alias("_m"))
+    up, down = Window.partitionBy(*cell).orderBy("_p"), Window.partitionBy(*cell).orderBy(F.desc("_p"))
+    rank = F.col("_before") + F.sum("_n").over(up)  # the last of equal p-values
+    raw = counts.join(cells, cell).withColumn("_raw", F.col("_p") * F.col("_m") / rank)
+    fall = Window.partitionBy(*group).orderBy(F.desc("_a"), F.desc("_b"))
+    least = raw.groupBy(*cell).agg(F.min("_raw").alias("_low")).select(*cell, F.min("_low").over(fall.rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    known = raw.join(least, cell).select(*group, "_p", F.least(F.lit(1.0), F.min("_raw").over(down), F.coalesce("_later", F.lit(1.0))).alias(q))
+    known = known.select(*[F.col(c).alias(f"_of_{c}") for c in group], "_p", q)
+    met = F.col(p) == F.col("_p")
+    for c in group:
+        met = met & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.join(known, met, "left").drop("_p", *[f"_of_{c}" for c in group])
 
 
 def rank_glyphs(cells: DataFrame, value: str, glyphs: str = " .:-=+*#%@") -> DataFrame:

@@ -22,7 +22,7 @@ def usable_pixels(pixels: DataFrame, bins: DataFrame, inter: bool = False) -> Da
     return kept.where("_chrom1 = _chrom2").select("bin1_id", "bin2_id", "count")
 
 
-def usable_bins(pixels: DataFrame, bins: DataFrame, n_mads: float = 3.0, least: int = LEAST_FILLED) -> DataFrame:
+def usable_bins(pixels: DataFrame, bins: DataFrame, n_mads: float = 5.0, least: int = LEAST_FILLED) -> DataFrame:
     """Bins with enough filled pixels and a log marginal not far below the median."""
     filled = degrees(pixels, bins).where(F.col("degree") >= least).select("bin_id")
     logs = marginals(pixels).join(filled, "bin_id").where("marginal > 0").select("bin_id", F.log("marginal").alias("log"))
@@ -41,7 +41,7 @@ def correction_round(pixels: DataFrame, bias: DataFrame) -> DataFrame:
     return joined.select("bin_id", (F.col("b") / m).alias("b"), m.alias("m"))
 
 
-def ice(pixels: DataFrame, bins: DataFrame, iterations: int = 200, n_mads: float = 3.0, inter: bool = False, least: int = LEAST_FILLED, tolerance: float = TOLERANCE) -> DataFrame:
+def ice(pixels: DataFrame, bins: DataFrame, iterations: int = 200, n_mads: float = 5.0, inter: bool = False, least: int = LEAST_FILLED, tolerance: float = TOLERANCE) -> DataFrame:
     """bins with new weights (null where masked). Each round ends in a table of one row a bin, so plans don't grow."""
     spark = pixels.sparkSession
     kept = usable_pixels(pixels, bins, inter)
@@ -58,12 +58,10 @@ def ice(pixels: DataFrame, bins: DataFrame, iterations: int = 200, n_mads: float
             bias = spark.createDataFrame(rows.select(["bin_id", "b"]))
             if not len(m) or m.var() < tolerance:
                 break
-        last = correction_round(kept, bias)
         own = kept
         for k in (1, 2):
             own = own.join(bias.select(F.col("bin_id").alias(f"bin{k}_id"), F.col("b").alias(f"b{k}")), f"bin{k}_id")
         mean = marginals(own.withColumn("v", F.col("b1") * F.col("b2") * F.col("count")), "v").where("marginal <> 0").agg(F.avg("marginal").alias("a")).first()["a"]
-        del last
         weights = bias.select("bin_id", (F.col("b") / F.lit((mean or 1.0) ** 0.5)).alias("weight"))
         return bins.drop("weight").join(weights, "bin_id", "left")
     finally:

@@ -66,6 +66,34 @@ def xcorr2_factored(local: DataFrame, down: np.ndarray, across: np.ndarray, max_
     return sums.select("sub", "i", "j", snapped(F.col("x"), eps).alias("x")).where("x <> 0")
 
 
+def factored_sums(local: DataFrame, factors: list[tuple[np.ndarray, np.ndarray]], max_dist: int | None, intra: bool = True) -> DataFrame:
+    """``scatter_sums`` for kernels given by factors (size x k, k x size), as two stencils of one dimension.
+
+    A pixel spreads to size * (all factors + 2) rows twice, where the plain stencil gives size * size: the two are the box
+    sums of values and squares, whose kernel of ones has one factor.
+    """
+    spark, size = local.sparkSession, factors[0][0].shape[0]
+    h, ones = size // 2, np.ones((size, 1))
+    owner = [-1, -1] + [k for k, (down, _) in enumerate(factors) for _ in range(down.shape[1])]
+    lines = [np.hstack([ones, ones, *(d for d, _ in factors)]), np.hstack([ones, ones, *(a.T for _, a in factors)])]
+    frame = lambda m, name: spark.createDataFrame([(f, k - h, float(w), owner[f]) for (k, f), w in np.ndenumerate(m) if w], f"f int, {name} int, w double, kernel int")
+    value = F.when(F.col("f") == 1, F.col("v") * F.col("v")).otherwise(F.col("v")) * F.col("w")
+    first = local.where("v <> 0").join(F.broadcast(frame(lines[0], "di"))).select("sub", "f", (F.col("i") - F.col("di")).alias("i"), "j", value.alias("v")).where("i >= 0")
+    if intra:
+        first = first.where(F.col("j") - F.col("i") >= -h)
+        first = first if max_dist is None else first.where(F.col("j") - F.col("i") <= max_dist + h)
+    column = first.groupBy("sub", "f", "i", "j").agg(F.sum("v").alias("v"))
+    second = column.join(F.broadcast(frame(lines[1], "dj")), "f").select("sub", "f", "kernel", "i", (F.col("j") - F.col("dj")).alias("j"), (F.col("v") * F.col("w")).alias("v")).where("j >= 0")
+    if intra:
+        second = second.where("j >= i")
+        second = second if max_dist is None else second.where(F.col("j") - F.col("i") <= max_dist)
+    part = lambda on: F.sum(F.when(on, F.col("v")).otherwise(0.0))
+    each = [part(F.col("kernel") == k).alias(f"k{k}") for k in range(len(factors))]
+    sums = second.groupBy("sub", "i", "j").agg(part(F.col("f") == 0).alias("v1"), part(F.col("f") == 1).alias("v2"), *each)
+    kernels = F.explode(F.array(*[F.struct(F.lit(k).alias("kernel_id"), F.col(f"k{k}").alias("vk")) for k in range(len(factors))])).alias("k")
+    return sums.select("sub", "i", "j", "v1", "v2", kernels).select("sub", "k.kernel_id", "i", "j", "k.vk", "v1", "v2")
+
+
 def missing_cell(x: Column, y: Column, n: Column, max_dist: int, size: int, miss_x: Column, miss_y: Column) -> Column:
     """Whether a cell of the framed matrix of one chromosome counts as missing; ``size`` is that of a square kernel.
 
@@ -81,19 +109,58 @@ def missing_cell(x: Column, y: Column, n: Column, max_dist: int, size: int, miss
     )
 
 
+def nearby(missing: DataFrame, size: int, axis: str, name: str) -> DataFrame:
+    """Rows (or columns) of a window's centre with missing bins in reach: (sub, axis, name), bit k for the k-th row of the window.
+
+    At most ``size`` rows a missing bin; kernels have at most 63 rows.
+    """
+    h = size // 2
+    at = missing.select("sub", "bin", F.explode(F.sequence(F.lit(-h), F.lit(h))).alias("d"))
+    bit = F.expr("shiftleft(1L, d)")
+    return at.select("sub", (F.col("bin") - F.col("d")).alias(axis), (F.col("d") + h).alias("d")).select("sub", axis, bit.alias(name)).groupBy("sub", axis).agg(F.bit_or(name).alias(name))
+
+
+def with_mask_sums(outputs: DataFrame, kernel: DataFrame, missing: DataFrame, size: int, gone, columns: DataFrame | None = None, touches: Column | None = None) -> DataFrame:
+    """Adds m0, mk, mkk: number of missing cells under the kernel, and their sums of w and w squared.
+
+    Output pixels near a missing bin find its bits by row and by column; only they, and those that ``touches`` a border,
+    walk over the kernel's cells, in place: nothing is spread out or shuffled. ``gone(x, y, miss_x, miss_y)`` says whether
+    a cell is missing.
+    """
+    rows, cols = nearby(missing, size, "i", "_rows"), nearby(missing if columns is None else columns, size, "j", "_cols")
+    met = outputs.join(rows, ["sub", "i"], "left").join(cols, ["sub", "j"], "left")
+    zero = F.lit(0).cast("long")
+    h = size // 2
+    cells = kernel.groupBy("kernel_id").agg(F.collect_list(F.struct("di", "dj", "w")).alias("_cells"))  # a row a kernel
+    met = met.join(F.broadcast(cells), "kernel_id").withColumns({"_rows": F.coalesce("_rows", zero), "_cols": F.coalesce("_cols", zero)})
+    bit = lambda mask, d: F.col(mask).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (d + h).cast("int"))) != 0
+    lost = lambda c: gone(F.col("i") + c["di"], F.col("j") + c["dj"], bit("_rows", c["di"]), bit("_cols", c["dj"]))
+    start = F.struct(F.lit(0).cast("long").alias("m0"), F.lit(0.0).alias("mk"), F.lit(0.0).alias("mkk"))
+    add = lambda acc, c: F.struct((acc["m0"] + 1).alias("m0"), (acc["mk"] + c["w"]).alias("mk"), (acc["mkk"] + c["w"] * c["w"]).alias("mkk"))
+    sums = F.aggregate(F.filter("_cells", lost), start, add)
+    near = (F.col("_rows") != 0) | (F.col("_cols") != 0)
+    if touches is not None:
+        near = near | touches
+    summed = met.withColumn("_mask", F.when(near, sums).otherwise(start))
+    return summed.select(*outputs.columns, "_mask.m0", "_mask.mk", "_mask.mkk")
+
+
+def band_mask(outputs: DataFrame, kernel: DataFrame, sizes: DataFrame, missing: DataFrame, max_dist: int, size: int) -> DataFrame:
+    """``with_mask_sums`` for windows within one chromosome."""
+    h = size // 2
+    gone = lambda x, y, mx, my: missing_cell(x, y, F.col("_n"), max_dist, size, mx, my)
+    touches = (F.col("i") < h) | (F.col("j") >= F.col("_n") - h) | (F.col("j") - F.col("i") < 2 * h)
+    sized = outputs.join(F.broadcast(sizes.select("sub", F.col("n").alias("_n"))), "sub")
+    return with_mask_sums(sized, kernel, missing, size, gone, touches=touches).drop("_n")
+
+
 def mask_sums(outputs: DataFrame, kernel: DataFrame, sizes: DataFrame, missing: DataFrame, max_dist: int, size: int) -> DataFrame:
-    """For each output pixel: number of missing cells and their sums of w and w squared (m0, mk, mkk); few if any missing."""
-    cells = outputs.select("sub", "kernel_id", "i", "j").join(F.broadcast(kernel), "kernel_id").join(F.broadcast(sizes), "sub")
-    cells = cells.withColumn("x", F.col("i") + F.col("di")).withColumn("y", F.col("j") + F.col("dj"))
-    for axis in ("x", "y"):
-        side = missing.select("sub", F.col("bin").alias(axis), F.lit(True).alias(f"miss_{axis}"))
-        cells = cells.join(side, ["sub", axis], "left").withColumn(f"miss_{axis}", F.coalesce(f"miss_{axis}", F.lit(False)))
-    gone = cells.where(missing_cell(F.col("x"), F.col("y"), F.col("n"), max_dist, size, F.col("miss_x"), F.col("miss_y")))
-    sums = (F.count(F.lit(1)).alias("m0"), F.sum("w").alias("mk"), F.sum(F.col("w") * F.col("w")).alias("mkk"))
-    return gone.groupBy("sub", "kernel_id", "i", "j").agg(*sums)
-
-
-def pearson(sums: DataFrame, kernel: DataFrame, missing_tol: float = 0.75, eps: float = EPS) -> DataFrame:
+    """For each output pixel with missing cells: their number and their sums of w and w squared (m0, mk, mkk)."""
+    masked = band_mask(outputs.select("sub", "kernel_id", "i", "j"), kernel, sizes, missing, max_dist, size)
+    return masked.where("m0 > 0")
+
+
+def pearson(sums: DataFrame, kernel: DataFrame, missing_tol: float = 0.75, eps: float = EPS, keep: list[str] | None = None) -> DataFrame:
     """(sub, kernel_id, i, j, vk, v1, v2 [, m0, mk, mkk]) to r, n_obs and log10_p; zeros and undefined values go."""
     total = kernel.groupBy("kernel_id").agg(F.count(F.lit(1)).alias("K"), F.sum("w").alias("k1"), F.sum(F.col("w") * F.col("w")).alias("k2"))
     rows = sums.join(F.broadcast(total), "kernel_id")
@@ -113,37 +180,69 @@ def pearson(sums: DataFrame, kernel: DataFrame, missing_tol: float = 0.75, eps:
     num = (snapped(F.col("vk") / size, eps) - F.col("sm") * F.col("km") * n / size) * size / n
     r = F.when(den >= LEAST_DENOMINATOR, num / F.when(den >= LEAST_DENOMINATOR, den).otherwise(F.lit(1.0))).otherwise(zero)
     out = rows.withColumn("r", F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).where("r <> 0")
-    return out.select("sub", "kernel_id", "i", "j", "r", "n_obs", corr_to_log10p(F.col("r"), n).alias("log10_p"))
+    return out.select(*(keep or []), "sub", "kernel_id", "i", "j", "r", "n_obs", corr_to_log10p(F.col("r"), n).alias("log10_p"))
 
 
-def normxcorr2(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes: DataFrame | None = None, missing: DataFrame | None = None, missing_tol: float = 0.75, eps: float = EPS, plan: str = "scatter") -> DataFrame:
+def normxcorr2(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes: DataFrame | None = None, missing: DataFrame | None = None, missing_tol: float = 0.75, eps: float = EPS, plan: str = "scatter", factors: list | None = None) -> DataFrame:
     """Correlation of each window of the band with each kernel. With ``sizes`` (sub, n) and ``missing`` (sub, bin), missing
     cells are left out and windows run over the borders; without, every cell counts and only whole windows are put out.
+    ``factors`` of the kernels make two stencils of one dimension of each.
     """
     if plan == "tile":
-        return _tiled(local, kernel, max_dist, size, sizes, missing, missing_tol, eps)
-    sums = scatter_sums(local, kernel, max_dist)
+        return _tiled(local, kernel, max_dist, size, sizes, missing, missing_tol, eps, factors)
+    sums = factored_sums(local, factors, max_dist) if factors else scatter_sums(local, kernel, max_dist)
     if sizes is None or missing is None:
         return pearson(sums, kernel, missing_tol, eps)
-    inside = sums.join(F.broadcast(sizes), "sub").where("i < n AND j < n").drop("n")
-    gone = mask_sums(inside, kernel, sizes, missing, max_dist, size)
-    return pearson(inside.join(gone, ["sub", "kernel_id", "i", "j"], "left"), kernel, missing_tol, eps)
+    inside = sums.join(F.broadcast(sizes.select("sub", "n")), "sub").where("i < n AND j < n").drop("n")
+    return pearson(band_mask(inside, kernel, sizes, missing, max_dist, size), kernel, missing_tol, eps)
 
 
-def normxcorr2_inter(local: DataFrame, kernel: DataFrame, sizes: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, missing_tol: float = 0.75, eps: float = EPS) -> DataFrame:
+def normxcorr2_inter(local: DataFrame, kernel: DataFrame, sizes: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, size: int, missing_tol: float = 0.75, eps: float = EPS) -> DataFrame:
     """Between chromosomes: sizes (sub, n, m); cells outside, and those of missing rows or columns, are left out; no band."""
     sums = scatter_sums(local, kernel, None, intra=False).join(F.broadcast(sizes), "sub").where("i < n AND j < m")
-    cells = sums.select("sub", "kernel_id", "i", "j", "n", "m").join(F.broadcast(kernel), "kernel_id").withColumn("x", F.col("i") + F.col("di")).withColumn("y", F.col("j") + F.col("dj"))
-    gone = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") >= F.col("n")) | (F.col("y") >= F.col("m"))
-    for axis, side in (("x", missing_rows), ("y", missing_columns)):
-        cells = cells.join(side.select("sub", F.col("bin").alias(axis), F.lit(True).alias(f"miss_{axis}")), ["sub", axis], "left")
-        gone = gone | F.coalesce(f"miss_{axis}", F.lit(False))
-    lost = (F.count(F.lit(1)).alias("m0"), F.sum("w").alias("mk"), F.sum(F.col("w") * F.col("w")).alias("mkk"))
-    masked = cells.where(gone).groupBy("sub", "kernel_id", "i", "j").agg(*lost)
-    return pearson(sums.drop("n", "m").join(masked, ["sub", "kernel_id", "i", "j"], "left"), kernel, missing_tol, eps)
+    return pearson(area_mask(sums, kernel, missing_rows, missing_columns, size).drop("n", "m"), kernel, missing_tol, eps)
+
+
+def area_mask(outputs: DataFrame, kernel: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, size: int) -> DataFrame:
+    """``with_mask_sums`` for windows between two chromosomes; outputs carry the sizes n and m of their sub-matrix."""
+    h = size // 2
+    gone = lambda x, y, mx, my: (x < 0) | (y < 0) | (x >= F.col("n")) | (y >= F.col("m")) | mx | my
+    touches = (F.col("i") < h) | (F.col("j") < h) | (F.col("i") >= F.col("n") - h) | (F.col("j") >= F.col("m") - h)
+    return with_mask_sums(outputs, kernel, missing_rows, size, gone, missing_columns, touches)
+
 
+def normxcorr2_at(points: DataFrame, cells: DataFrame, kernel: DataFrame, sizes: DataFrame, missing: DataFrame, max_dist: int, size: int, missing_columns: DataFrame | None = None, missing_tol: float = 0.75, eps: float = EPS) -> DataFrame:
+    """Correlations at given points only, for each kernel: points (pid, sub, i, j), cells (pid, a, b, raw) of their windows.
 
-def _tiled(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes: DataFrame, missing: DataFrame, missing_tol: float, eps: float) -> DataFrame:
+    Costs the windows of the points, not the band that they lie in. Same result as looking the points up in a whole map.
+    """
+    h = size // 2
+    weights = kernel.select("kernel_id", (F.col("di") + h).alias("a"), (F.col("dj") + h).alias("b"), "w")
+    v = F.col("raw")
+    sums = (F.sum(v * F.col("w")).alias("vk"), F.sum("raw").alias("v1"), F.sum(v * v).alias("v2"))
+    of_kernel = cells.where("raw <> 0").join(F.broadcast(weights), ["a", "b"]).groupBy("pid", "kernel_id").agg(*sums)
+    met = points.select("pid", "sub", "i", "j").join(of_kernel, "pid")
+    if missing_columns is None:
+        met = met.where((F.col("i") >= 0) & (F.col("j") >= F.col("i")) & (F.col("j") - F.col("i") <= max_dist))
+        masked = band_mask(met, kernel, sizes, missing, max_dist, size)
+    else:
+        masked = area_mask(met.join(F.broadcast(sizes), "sub"), kernel, missing, missing_columns, size).drop("n", "m")
+    return pearson(masked, kernel, missing_tol, eps, ["pid"])
+
+
+def check_kernels(kernels: list[np.ndarray], shape: tuple[int, int] | None = None) -> None:
+    """What a correlation needs: square kernels of one odd size that aren't flat, smaller than the signal's ``shape``."""
+    size = kernels[0].shape[0]
+    for k in kernels:
+        if k.ndim != 2 or k.shape != (size, size) or size % 2 == 0:
+            raise ValueError("kernels of one configuration must be square and of one odd size")
+        if not k.std() > 0:
+            raise ValueError("a flat kernel has no correlation")
+    if shape is not None and size >= max(shape):
+        raise ValueError("the kernel is larger than the signal")
+
+
+def _tiled(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes: DataFrame, missing: DataFrame, missing_tol: float, eps: float, factors: list | None = None) -> DataFrame:
     """Dense blocks along the band; pixels are copied only into halos."""
     h = size // 2
     grids: dict[int, np.ndarray] = {}
@@ -153,10 +252,19 @@ def _tiled(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes:
     for axis, name in (("i", "ti"), ("j", "tj")):
         local = local.withColumn(name, F.explode(F.sequence(F.greatest(cell(axis, -h), F.lit(0)), cell(axis, h))))
     local = local.where(F.col("tj") >= F.col("ti")).where((F.col("tj") - F.col("ti") - 1) * TILE <= max_dist)
-    gone = missing.groupBy("sub").agg(F.collect_set("bin").alias("gone"))  # bins of one chromosome
-    rows = local.join(F.broadcast(sizes), "sub").join(gone, "sub", "left").groupBy("sub", "ti", "tj")
-
-    def each(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    rows = local.join(F.broadcast(sizes.select("sub", "n")), "sub").select("sub", "n", "ti", "tj", "i", "j", "v")
+    # Missing bins go to the tiles whose rows or columns hold them.
+    reach = -(-(max_dist + h) // TILE) + 1
+    far = F.floor((F.col("bin") + h) / TILE)
+    near = F.greatest(F.floor((F.col("bin") - h) / TILE), F.lit(0).cast("long"))
+    spread = lambda low, high, name: F.explode(F.sequence(low, high)).alias(name)
+    as_row = missing.select("sub", "bin", spread(near, far, "ti")).select("sub", "bin", "ti", spread(F.col("ti"), F.col("ti") + reach, "tj"))
+    as_column = missing.select("sub", "bin", spread(near, far, "tj")).select("sub", "bin", spread(F.greatest(F.col("tj") - reach, F.lit(0).cast("long")), F.col("tj"), "ti"), "tj")
+    gone = as_row.unionByName(as_column).distinct()
+
+    def each(key: tuple, frame: pd.DataFrame, lost_bins: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame({c: [] for c in ("sub", "kernel_id", "i", "j", "r", "n_obs")})
         sub, ti, tj = (int(x) for x in key)
         n = int(frame["n"].iloc[0])
         edge = TILE + 2 * h
@@ -164,12 +272,8 @@ def _tiled(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes:
         v = np.zeros((edge, edge))
         v[frame["i"].to_numpy() - x0, frame["j"].to_numpy() - y0] = frame["v"].to_numpy()
         x, y = np.arange(edge)[:, None] + x0, np.arange(edge)[None, :] + y0
-        lost = np.zeros(edge * 2 + n + TILE * 2, bool)  # by bin, shifted so that every index is valid
-        shift = edge
-        own = frame["gone"].iloc[0]
-        if own is not None:
-            lost[np.asarray(own, int) + shift] = True
-        miss = lost[np.clip(x, -shift, n + TILE) + shift] | lost[np.clip(y, -shift, n + TILE) + shift]
+        own = lost_bins["bin"].to_numpy()
+        miss = np.isin(x, own) | np.isin(y, own)
         d = y - x
         m = ((x >= 0) & (d >= 0) & (y < n) & (d <= max_dist) & miss) | ((x < 0) & (y < max_dist + size)) | ((y >= n) & (x >= n - max_dist - 2)) | ((d >= -size) & (d <= -1))
         m = m.astype(float)
@@ -180,9 +284,16 @@ def _tiled(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes:
                 out += k[a0, b0] * a[a0 : a0 + TILE, b0 : b0 + TILE]
             return out
 
+        def by_factors(a: np.ndarray, down: np.ndarray, across: np.ndarray) -> np.ndarray:
+            out = np.zeros((TILE, TILE))
+            for f in range(down.shape[1]):
+                column = sum(w * a[x0 : x0 + TILE] for x0, w in enumerate(down[:, f].tolist()) if w)
+                out += sum(w * column[:, y0 : y0 + TILE] for y0, w in enumerate(across[f].tolist()) if w)
+            return out
+
         cut = lambda z: np.where(np.abs(z) < eps, 0.0, z)
-        ones, K = np.ones((size, size)), float(size * size)
-        v1, v2, m0 = windows(v, ones), windows(v * v, ones), cut(windows(m, ones))
+        box, K = (np.ones((size, 1)), np.ones((1, size))), float(size * size)
+        v1, v2, m0 = by_factors(v, *box), by_factors(v * v, *box), cut(by_factors(m, *box))
         xi, yj = np.arange(TILE)[:, None] + ti * TILE, np.arange(TILE)[None, :] + tj * TILE
         band = (xi < n) & (yj < n) & (yj >= xi) & (yj - xi <= max_dist) & (v2 != 0) & (K - m0 > 0)
         frames = []
@@ -193,11 +304,13 @@ def _tiled(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes:
                 sm, s2 = cut(v1 / K) * K / N, cut(v2 / K) * K / N
                 den = np.sqrt(np.maximum((s2 - sm * sm) * (k2m - km * km), 0))
                 den[N < int((1 - missing_tol) * K)] = 0
-                r = (cut(windows(v, k) / K) - sm * km * N / K) * K / N / den
+                vk = by_factors(v, *factors[kernel_id]) if factors else windows(v, k)
+                r = (cut(vk / K) - sm * km * N / K) * K / N / den
                 r = np.clip(np.where((den >= LEAST_DENOMINATOR) & np.isfinite(r), r, 0), -1, 1)
             a, b = np.nonzero(band & (r != 0))
             frames.append(pd.DataFrame({"sub": sub, "kernel_id": kernel_id, "i": a + ti * TILE, "j": b + tj * TILE, "r": r[a, b], "n_obs": N[a, b]}))
         return pd.concat(frames)
 
-    got = rows.applyInPandas(each, "sub int, kernel_id int, i long, j long, r double, n_obs double")
+    at = ["sub", "ti", "tj"]
+    got = rows.groupBy(*at).cogroup(gone.groupBy(*at)).applyInPandas(each, "sub int, kernel_id int, i long, j long, r double, n_obs double")
     return got.withColumn("log10_p", corr_to_log10p(F.col("r"), F.col("n_obs")))

@@ -29,13 +29,28 @@ def bins_to_coords(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     return pairs
 
 
+def chrom_cells(chroms: DataFrame) -> tuple[DataFrame, int]:
+    """Chromosomes by cells of a grid on the bins: cell, chrom_idx, first, last; and the bins of a cell.
+
+    A cell is as long as a chromosome on average, so there are at most twice as many rows as chromosomes, and a bin finds
+    its chromosome by an equi-join, in a genome of 10^5 scaffolds too.
+    """
+    ends = chroms.agg(F.max("end_bin").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    cell = max(1, -(-(ends["n"] or 1) // max(ends["k"], 1)))
+    spans = chroms.where("end_bin > start_bin").select("chrom_idx", F.col("start_bin").alias("first"), (F.col("end_bin") - 1).alias("last"))
+    at = F.explode(F.sequence(F.floor(F.col("first") / cell), F.floor(F.col("last") / cell))).alias("cell")
+    return spans.select(at, "chrom_idx", "first", "last"), cell
+
+
 def to_local(pixels: DataFrame, chroms: DataFrame, inter: bool = False) -> DataFrame:
     """Pixels by sub-matrix with local bins: sub1, sub2, i, j, and all other columns."""
+    cells, width = chrom_cells(chroms)
     for k, local in ((1, "i"), (2, "j")):
-        side = chroms.select(F.col("chrom_idx").alias(f"sub{k}"), F.col("start_bin").alias(f"_s{k}"), F.col("end_bin").alias(f"_e{k}"))
-        inside = (F.col(f"bin{k}_id") >= F.col(f"_s{k}")) & (F.col(f"bin{k}_id") < F.col(f"_e{k}"))
-        # Chromosomes are few: a bounded side.
-        pixels = pixels.join(F.broadcast(side), inside).withColumn(local, F.col(f"bin{k}_id") - F.col(f"_s{k}")).drop(f"_s{k}", f"_e{k}")
+        own = F.col(f"bin{k}_id")
+        side = cells.select(F.col("cell").alias("_cell"), F.col("chrom_idx").alias(f"sub{k}"), F.col("first").alias("_first"), F.col("last").alias("_last"))
+        # At most two rows a chromosome: a bounded side.
+        met = pixels.withColumn("_cell", F.floor(own / width)).join(F.broadcast(side), "_cell").where((own >= F.col("_first")) & (own <= F.col("_last")))
+        pixels = met.withColumn(local, own - F.col("_first")).drop("_cell", "_first", "_last")
     return pixels if inter else pixels.where("sub1 = sub2")
 
 

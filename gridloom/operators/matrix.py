@@ -11,12 +11,13 @@ def zero_pad(local: DataFrame, rows: int, columns: int) -> DataFrame:
     return local.withColumn("i", F.col("i") + rows).withColumn("j", F.col("j") + columns)
 
 
-def set_diagonal(local: DataFrame, n: int, diagonal: int, value: float) -> DataFrame:
-    """One diagonal of an n x n matrix gets a value, stored or not."""
+def set_diagonal(local: DataFrame, n: int | DataFrame, diagonal: int, value: float) -> DataFrame:
+    """One diagonal gets a value, stored or not; ``n`` is the size of all sub-matrices, or a frame (sub, n)."""
+    sizes = n if isinstance(n, DataFrame) else local.select("sub").distinct().withColumn("n", F.lit(n))
     first = max(0, -diagonal)
-    cells = local.sparkSession.range(first, max(first, n - max(diagonal, 0))).select(F.col("id").alias("i"), (F.col("id") + diagonal).alias("j"), F.lit(float(value)).alias("v"))
-    subs = local.select("sub").distinct()
-    line = subs.join(F.broadcast(cells))  # n rows for each of the few sub-matrices
+    last = F.col("n") - max(diagonal, 0) - 1
+    line = sizes.where(last >= first).select("sub", F.explode(F.sequence(F.lit(first).cast("long"), last.cast("long"))).alias("i"))
+    line = line.select("sub", "i", (F.col("i") + diagonal).alias("j"), F.lit(float(value)).alias("v"))
     return local.where(F.col("j") - F.col("i") != diagonal).select("sub", "i", "j", "v").unionByName(line)
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.scratch import Scratch
+
 
 def better_neighbours(patterns: DataFrame, separation: int) -> DataFrame:
     """Links (pid, by): ``by`` ranks before ``pid`` and lies closer than ``separation`` on both axes.
@@ -23,37 +27,31 @@ def remove_neighbours(patterns: DataFrame, separation: int, order: list | None =
     """patterns (bin1, bin2, score, …) without close worse ones; ties by bin1, bin2, kernel_id, iteration as far as there.
 
     Rounds: those without an undecided better neighbour stay, their neighbours go. Equal to the one-by-one greedy walk
-    under a strict order, in few rounds.
+    under a strict order, in few rounds. Patterns, links and decisions stay in tables; only emptiness is asked for.
     """
+    scratch = Scratch(patterns.sparkSession, "suppression")
     ties = [F.col(c) for c in ("bin1", "bin2", "kernel_id", "iteration") if c in patterns.columns]
     # Numbers that grow along the order, without gathering the patterns in one partition: the sort deals them out by range.
-    placed = patterns.orderBy(*(order or [F.desc("score"), *ties])).withColumn("place", F.monotonically_increasing_id()).withColumn("pid", F.col("place"))
-    placed = placed.persist()
-    links = better_neighbours(placed, separation).persist()
-    spark = patterns.sparkSession
-    kept = spark.createDataFrame([], "pid long")
+    whole = patterns.orderBy(*(order or [F.desc("score"), *ties])).withColumn("_place", F.monotonically_increasing_id())
+    whole = scratch.keep(whole, "placed")
+    placed = whole.select(F.col("_place").alias("pid"), F.col("_place").alias("place"), "bin1", "bin2")
+    links = scratch.keep(better_neighbours(placed, separation), "links")
     left = placed.select("pid")
-    try:
-        while True:
-            stay = left.join(links.select("pid").distinct(), "pid", "left_anti")
-            ids = stay.toArrow()  # identifiers of patterns only
-            if not ids.num_rows:
-                break
-            stay = spark.createDataFrame(ids)
-            gone = links.join(stay.select(F.col("pid").alias("by")), "by", "left_semi").select("pid").distinct()
-            left = spark.createDataFrame(left.join(stay, "pid", "left_anti").join(gone, "pid", "left_anti").toArrow())
-            kept = kept.unionByName(stay)
-            if left.isEmpty():
-                break
-            # Links of decided patterns are done with: each round works on what is left.
-            fewer = links.join(left, "pid", "left_semi").join(left.select(F.col("pid").alias("by")), "by", "left_semi").persist()
-            fewer.count()
-            links.unpersist()
-            links = fewer
-        return spark.createDataFrame(placed.join(kept, "pid", "left_semi").drop("place", "pid").toArrow())
-    finally:
-        links.unpersist()
-        placed.unpersist()
+    kept = []
+    while True:
+        stay = scratch.keep(left.join(links.select("pid").distinct(), "pid", "left_anti"), "stay")
+        kept.append(stay)
+        gone = links.join(stay.select(F.col("pid").alias("by")), "by", "left_semi").select("pid").distinct()
+        undecided = left.join(stay, "pid", "left_anti").join(gone, "pid", "left_anti")
+        left = scratch.keep(undecided, "left")
+        if left.isEmpty():
+            break
+        # Links of decided patterns are done with: each round works on what is left.
+        fewer = links.join(left, "pid", "left_semi").join(left.select(F.col("pid").alias("by")), "by", "left_semi")
+        before, links = links, scratch.keep(fewer, "links")
+        scratch.forget(before)
+    ids = reduce(DataFrame.unionByName, kept).withColumnRenamed("pid", "_place")
+    return whole.join(ids, "_place", "left_semi").drop("_place")
 
 
 def farther_than(patterns: DataFrame, least: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -128,41 +128,43 @@ def z_transform(local: DataFrame) -> DataFrame:
     return local.join(stats, "sub").withColumn("v", F.try_divide(F.col("v") - F.col("mean"), "sd")).drop("mean", "sd")
 
 
-def sample_by_hash(pixels: DataFrame, share: float, seed: int = 0) -> DataFrame:
-    """Each contact is kept if a hash of its pixel, number and seed falls below ``share``; the same in any engine."""
+def _draws(pixels: DataFrame, seed: int) -> DataFrame:
+    """One row a contact (bin1_id, bin2_id, n) with a draw of 32 bits: a hash of its pixel, number and seed, the same in any engine."""
     one = F.explode(F.sequence(F.lit(1).cast("long"), F.col("count").cast("long"))).alias("n")
     key = F.concat_ws(":", F.lit(seed), "bin1_id", "bin2_id", "n")
     draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
-    kept = pixels.where("count >= 1").select("bin1_id", "bin2_id", one).where(draw < int(share * (1 << 32)))
-    return kept.groupBy("bin1_id", "bin2_id").agg(F.count(F.lit(1)).cast("double").alias("count"))
+    return pixels.where("count >= 1").select("bin1_id", "bin2_id", one).withColumn("draw", draw)
 
 
-def subsample(pixels: DataFrame, n_contacts: int, seed: int = 0, parts: int = 64) -> DataFrame:
-    """Exactly ``n_contacts`` contacts without replacement, in two steps of the multivariate hypergeometric law.
+def _counted(contacts: DataFrame) -> DataFrame:
+    return contacts.groupBy("bin1_id", "bin2_id").agg(F.count(F.lit(1)).cast("double").alias("count"))
 
-    The number for each part is drawn from the parts' totals (a bounded list), then each part draws its pixels.
-    """
-    placed = pixels.withColumn("part", F.pmod(F.xxhash64("bin1_id", "bin2_id"), F.lit(parts)).cast("int"))
-    totals = {r["part"]: int(r["n"]) for r in placed.groupBy("part").agg(F.sum("count").alias("n")).collect()}
-    keys = sorted(totals)
-    if n_contacts > sum(totals.values()):
-        raise ValueError("more contacts asked for than there are")
-    shares = dict(zip(keys, _draw(np.random.default_rng(seed), [totals[k] for k in keys], n_contacts), strict=True))
 
-    def each(frame: pd.DataFrame) -> pd.DataFrame:
-        part = int(frame["part"].iloc[0])
-        frame = frame.sort_values(["bin1_id", "bin2_id"])
-        frame["count"] = _draw(np.random.default_rng([seed, part]), frame["count"].astype(int).tolist(), int(shares[part]))
-        return frame.loc[frame["count"] > 0, ["bin1_id", "bin2_id", "count"]].astype({"count": float})
+def sample_by_hash(pixels: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """Each contact is kept if its draw falls below ``share``."""
+    return _counted(_draws(pixels, seed).where(F.col("draw") < int(share * (1 << 32))))
 
-    return placed.select("bin1_id", "bin2_id", "count", "part").groupBy("part").applyInPandas(each, "bin1_id long, bin2_id long, count double")
 
+#: Draws are counted in so many cells to find where the sample ends.
+CELLS = 1 << 16
 
-def _draw(rng: np.random.Generator, colours: list[int], n: int) -> list[int]:
-    """Multivariate hypergeometric by its margins, for any totals."""
-    left, out = sum(colours), []
-    for c in colours:
-        k = int(rng.hypergeometric(c, left - c, n)) if n and c and left - c else min(c, n)
-        out.append(k)
-        left, n = left - c, n - k
-    return out
+
+def subsample(pixels: DataFrame, n_contacts: int, seed: int = 0) -> DataFrame:
+    """Exactly ``n_contacts`` contacts without replacement: those with the smallest draws, ties by bins and number.
+
+    One pass counts the draws by cell (a bounded list); all contacts of the cells before the last one are kept, and only
+    those of the last cell, a 65,536th of all, are put in order.
+    """
+    draws = _draws(pixels, seed)
+    cell = F.floor(F.col("draw") / ((1 << 32) // CELLS))
+    counts = {r["cell"]: r["n"] for r in draws.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if n_contacts > sum(counts.values()):
+        raise ValueError("more contacts asked for than there are")
+    left, last = n_contacts, -1
+    for last in sorted(counts):
+        if counts[last] >= left:
+            break
+        left -= counts[last]
+    whole = draws.where(cell < last).select("bin1_id", "bin2_id")
+    part = draws.where(cell == last).orderBy("draw", "bin1_id", "bin2_id", "n").limit(left).select("bin1_id", "bin2_id")
+    return _counted(whole.unionByName(part))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 
 def cells(patterns: DataFrame, local: DataFrame, sizes: DataFrame, missing: DataFrame, size: int, missing_columns: DataFrame | None = None) -> DataFrame:
-    """patterns (pid, sub, i, j) to (pid, sub, a, b, v): v is null where missing, 0 where empty; a, b count from 0.
+    """patterns (pid, sub, i, j) to (pid, sub, a, b, v, raw): v is null where missing, 0 where empty; a, b count from 0;
+    raw is the stored value, 0 where there is none.
 
     With ``missing_columns`` the map is one between chromosomes: ``sizes`` has n rows and m columns, nothing below the
     diagonal is missing.
@@ -25,7 +26,8 @@ def cells(patterns: DataFrame, local: DataFrame, sizes: DataFrame, missing: Data
     if missing_columns is None:
         gone = gone | (F.col("y") - F.col("x")).between(-size, -1)
     filled = local.select("sub", F.col("i").alias("x"), F.col("j").alias("y"), "v")
-    return at.join(filled, ["sub", "x", "y"], "left").select("pid", "sub", "a", "b", F.when(~gone, F.coalesce("v", F.lit(0.0))).alias("v"))
+    value = F.coalesce("v", F.lit(0.0))
+    return at.join(filled, ["sub", "x", "y"], "left").select("pid", "sub", "a", "b", F.when(~gone, value).alias("v"), value.alias("raw"))
 
 
 def validity(patterns: DataFrame, window_cells: DataFrame, sizes: DataFrame, most_zero: float, most_missing: float) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import benjamini_hochberg
 from gridloom.operators import correlate, foci, genome, nms, preprocess, windows
+from gridloom.scratch import Scratch
 from gridloom.sources.contacts import ContactMap, swap_anchors
 from gridloom.sources.kernels import KernelConfig, blur, factorise, kernel_frame
 from gridloom.sources.sinks import dump_stage
@@ -23,20 +25,25 @@ def max_dist_bins(config: KernelConfig, bin_size: int) -> int:
     return max(int(config.max_dist // bin_size), 1)
 
 
-def prepared(cmap: ContactMap, max_dist: int, largest: int, raw: bool = False, smooth: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def prepared(cmap: ContactMap, max_dist: int, largest: int, raw: bool = False, smooth: bool = False, diagonals: DataFrame | None = None, stages: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(local pixels of chromosomes: detrended band, sizes, missing bins).
 
-    The band is cut before the distance law: the law of a diagonal needs no other diagonal.
+    The band is cut before the distance law: the law of a diagonal needs no other diagonal. With ``diagonals`` (sub, d)
+    only those are read. ``stages`` collects the frames in between, by name.
     """
     values = preprocess.raw_values(cmap.pixels, cmap.bins) if raw else preprocess.balanced(cmap.pixels, cmap.bins)
     local = genome.to_local(values, cmap.chroms).select(F.col("sub1").alias("sub"), "i", "j", "v")
     band = preprocess.diag_trim(local, max_dist + largest)
+    if diagonals is not None:
+        band = band.withColumn("d", F.col("j") - F.col("i")).join(diagonals, ["sub", "d"], "left_semi").select("sub", "i", "j", "v")
     law = preprocess.distance_law(band)
     if smooth:
         law = preprocess.smoothed(law)
     signal = preprocess.detrend(band, law, None if raw else preprocess.OUTLIER)
     sizes = cmap.chroms.select(F.col("chrom_idx").alias("sub"), (F.col("end_bin") - F.col("start_bin")).alias("n"))
     gone = cmap.bins.where("weight IS NULL").join(F.broadcast(cmap.chroms), "chrom").select(F.col("chrom_idx").alias("sub"), (F.col("bin_id") - F.col("start_bin")).alias("bin"))
+    if stages is not None:
+        stages |= {"00_balanced": local, "02_diag_trim": band, "02_distance_law": law}
     return signal, sizes, gone
 
 
@@ -57,17 +64,15 @@ def prepared_inter(cmap: ContactMap, raw: bool = False) -> tuple[DataFrame, Data
     return signal, pairs.select(pair, "n", "m"), rows, columns
 
 
-def _with_scores(patterns: DataFrame, corr: DataFrame) -> DataFrame:
-    """r and p at the patterns' pixels; pixels without a stored correlation have r 0 and p 1."""
-    at = corr.select("sub", "kernel_id", "i", "j", F.col("r").alias("score"), "log10_p")
-    joined = patterns.join(at, ["sub", "kernel_id", "i", "j"], "left")
-    return joined.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("pvalue", F.coalesce(F.pow(F.lit(10.0), F.col("log10_p")), F.lit(1.0))).drop("log10_p")
+def _p_value() -> Column:
+    return F.coalesce(F.pow(F.lit(10.0), F.col("log10_p")), F.lit(1.0))
 
 
-def _search(cmap: ContactMap, config: KernelConfig, part: tuple, kernels: list, turn: int, plan: str, dump: str | None) -> tuple[DataFrame, DataFrame]:
-    """One pass over one kind of sub-matrices: (patterns in whole-map bins, sums of windows by kernel and cell).
+def _search(scratch: Scratch, cmap: ContactMap, config: KernelConfig, part: tuple, kernels: list, turn: int, plan: str, dump: str | None, factors: list | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass over one kind of sub-matrices: (patterns in whole-map bins, their windows, sums of windows by kernel and cell).
 
     ``part`` is (signal, sizes, missing) within chromosomes, (signal, sizes, missing rows, missing columns) between.
+    The map is correlated once: what is needed of it, the candidates, goes to a table.
     """
     spark, size = cmap.bins.sparkSession, kernels[0].shape[0]
     inter = len(part) == 4
@@ -75,111 +80,123 @@ def _search(cmap: ContactMap, config: KernelConfig, part: tuple, kernels: list,
     kernel, reach = kernel_frame(spark, kernels), max_dist_bins(config, cmap.bin_size)
     tolerance = config.max_perc_undetected / 100
     if inter:
-        corr = correlate.normxcorr2_inter(part[0], kernel, *part[1:], tolerance)
+        corr = correlate.normxcorr2_inter(part[0], kernel, *part[1:], size, tolerance)
     else:
-        corr = correlate.normxcorr2(part[0], kernel, reach, size, part[1], part[2], tolerance, plan=plan)
-    corr = dump_stage(corr, dump, f"03_normxcorr2_{name}_{turn}").persist()
+        corr = correlate.normxcorr2(part[0], kernel, reach, size, part[1], part[2], tolerance, plan=plan, factors=factors)
+    corr = dump_stage(corr, dump, f"03_normxcorr2_{name}_{turn}")
+    snaps = config.max_dist == 0 and not inter
+    enough = (F.col("r") >= config.pearson) & (F.col("r") != 0)
+    corr = scratch.keep(corr.where(enough | (F.col("i") == F.col("j"))) if snaps else corr.where(enough), "candidates")
     labelled = foci.sized(foci.label(foci.candidates(corr, config.pearson)))
     picked = foci.best_pixel(dump_stage(labelled, dump, f"05_foci_{name}_{turn}"))
-    picked = picked if inter else foci.snap_to_diagonal(picked, config.max_dist)
-    picked = picked.select("sub", "kernel_id", "label", "i", "j").withColumn("pid", F.struct("kernel_id", "sub", "label"))
-    cells = windows.cells(picked, part[0], part[1], part[2], size, part[3] if inter else None)
-    checked = windows.validity(picked, cells, part[1], config.max_perc_zero, config.max_perc_undetected).where("valid")
-    scored = _with_scores(checked, corr).withColumn("iteration", F.lit(turn))
+    if snaps:
+        at = corr.select("sub", "kernel_id", "i", "j", "r", "log10_p")
+        picked = foci.snap_to_diagonal(picked, 0).drop("r", "log10_p").join(at, ["sub", "kernel_id", "i", "j"], "left")
+    score = F.coalesce("r", F.lit(0.0)).alias("score")  # off the stored pixels of the diagonal there is no correlation
+    pid = F.struct(F.lit(turn).alias("turn"), F.lit(inter).alias("inter"), "kernel_id", "sub", "label").alias("pid")
+    picked = scratch.keep(picked.select(pid, "sub", "kernel_id", "i", "j", score, _p_value().alias("pvalue")), "picked")
+    cells = scratch.keep(windows.cells(picked, part[0], part[1], part[2], size, part[3] if inter else None), "cells")
+    checked = windows.validity(picked, cells, part[1], config.max_perc_zero, config.max_perc_undetected).where("valid").withColumn("iteration", F.lit(turn))
     if inter:
         n = cmap.chroms.count()
-        split = scored.withColumn("sub1", F.expr(f"sub div {n}")).withColumn("sub2", F.col("sub") % n)
+        placed = checked.withColumn("sub1", F.expr(f"cast(sub div {n} as int)")).withColumn("sub2", (F.col("sub") % n).cast("int"))
         for k, axis in ((1, "i"), (2, "j")):
             start = cmap.chroms.select(F.col("chrom_idx").alias(f"sub{k}"), F.col("start_bin").alias(f"_s{k}"))
-            split = split.join(F.broadcast(start), f"sub{k}").withColumn(f"bin{k}", F.col(axis) + F.col(f"_s{k}"))
-        placed = split
+            placed = placed.join(F.broadcast(start), f"sub{k}").withColumn(f"bin{k}", F.col(axis) + F.col(f"_s{k}"))
     else:
-        placed = genome.to_global(scored, cmap.chroms)
-    # Patterns are few, one a focus: they leave the loop as rows.
-    rows = spark.createDataFrame(placed.select("bin1", "bin2", "kernel_id", "iteration", "score", "pvalue").toArrow())
-    sums = (F.sum("v").alias("total"), F.count("v").alias("n"))
-    pile = cells.join(checked.select("pid"), "pid", "left_semi").groupBy("pid.kernel_id", "a", "b").agg(*sums)
-    pile = spark.createDataFrame(pile.toArrow())
-    corr.unpersist()
-    return rows, pile
+        placed = genome.to_global(checked, cmap.chroms).withColumn("sub1", F.col("sub")).withColumn("sub2", F.col("sub"))
+    order = F.struct("kernel_id", "iteration", "sub1", "sub2", "pid.label").alias("order")
+    rows = scratch.keep(placed.select("pid", "bin1", "bin2", "kernel_id", "iteration", "score", "pvalue", order), "patterns")
+    valid = cells.join(rows.select("pid"), "pid", "left_semi")
+    pile = scratch.keep(valid.groupBy("pid.kernel_id", "a", "b").agg(F.sum("v").alias("total"), F.count("v").alias("n")), "pile")
+    shown = scratch.keep(windows.as_arrays(valid, size), "windows")
+    scratch.forget(corr, picked, cells)
+    return rows, shown, pile
 
 
-def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bool = False, plan: str = "scatter", dump: str | None = None, factor: float | None = None, inter: bool = False, tsvd: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(patterns with the columns DETECT, mean window by kernel: kernel_id, a, b, mean).
+def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bool = False, plan: str = "scatter", dump: str | None = None, factor: float | None = None, inter: bool = False, tsvd: float | None = None, with_windows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(patterns with the columns DETECT, mean window by kernel: kernel_id, a, b, mean); ``with_windows`` adds the columns
+    ``window`` and ``order`` (by kernel, iteration, sub-matrix and focus) to the patterns.
 
-    ``tsvd`` keeps only the singular factors of the kernels that hold this share of their energy.
+    ``tsvd`` keeps only the singular factors of the kernels that hold this share of their energy, and correlates by them.
 
     ``inter`` also looks between chromosomes, for configurations whose patterns lie off the diagonal.
     """
     from gridloom.sources.kernels import resize
 
     spark = cmap.bins.sparkSession
+    scratch = Scratch(spark, "detect")
     kernels = [resize(k, factor) for k in config.kernels] if factor else list(config.kernels)
-    if tsvd:
-        kernels = [np.matmul(*factorise(k, tsvd)) for k in kernels]
     size = kernels[0].shape[0]
-    if any(k.shape != (size, size) for k in kernels):
-        raise ValueError("kernels of one configuration must be square and of one size")
-    signal, sizes, gone = prepared(cmap, max_dist_bins(config, cmap.bin_size), size, raw, smooth)
+    stages: dict[str, DataFrame] = {}
+    signal, sizes, gone = prepared(cmap, max_dist_bins(config, cmap.bin_size), size, raw, smooth, stages=stages)
+    for stage, frame in stages.items() if dump else ():
+        dump_stage(frame, dump, stage)
     sizes = sizes.where(F.col("n") > size)
     parts = [(signal, sizes, gone)]
     if inter:
         across, areas, rows, columns = prepared_inter(cmap, raw)
         parts.append((across, areas.where((F.col("n") > size) & (F.col("m") > size)), rows, columns))
-    parts = [(dump_stage(p[0].join(F.broadcast(p[1].select("sub")), "sub", "left_semi"), dump, f"01_signal_{k}").persist(), *p[1:]) for k, p in enumerate(parts)]
-    found, piles = None, None
-    try:
-        for turn in range(config.max_iterations):
-            results = [_search(cmap, config, p, kernels, turn, plan, dump) for p in parts]
-            for rows, _ in results:
-                found = rows if found is None else found.unionByName(rows)
-            total = results[0][1] if len(results) == 1 else results[0][1].unionByName(results[1][1])
-            mean = total.groupBy("kernel_id", "a", "b").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
-            pile = mean.toPandas()  # one window a kernel
-            piles = spark.createDataFrame(mean.toArrow()) if len(pile) or piles is None else piles
-            if not len(pile) or turn + 1 == config.max_iterations:
-                break
-            if config.max_dist == 0:
-                raise ValueError("patterns on the diagonal have no lower triangle to learn a kernel from: use one iteration")
-            for k, cells_of in pile.groupby("kernel_id"):
-                window = np.zeros((size, size))
-                window[cells_of["a"], cells_of["b"]] = cells_of["mean"].fillna(0.0)
-                kernels[k] = window
-    finally:
-        for p in parts:
-            p[0].unpersist()
-    separation = max(int(config.min_separation // cmap.bin_size), 1)
-    kept = nms.remove_neighbours(found, separation)
+    parts = [(scratch.keep(dump_stage(p[0].join(F.broadcast(p[1].select("sub")), "sub", "left_semi"), dump, f"01_signal_{k}"), "signal"), *p[1:]) for k, p in enumerate(parts)]
+    found, shown, piles = [], [], None
+    for turn in range(config.max_iterations):
+        correlate.check_kernels(kernels)
+        factors = [factorise(k, tsvd) for k in kernels] if tsvd else None
+        used = [np.matmul(*f) for f in factors] if factors else kernels
+        results = [_search(scratch, cmap, config, p, used, turn, plan, dump, factors) for p in parts]
+        found += [r[0] for r in results]
+        shown += [r[1] for r in results]
+        total = reduce(DataFrame.unionByName, [r[2] for r in results])
+        mean = total.groupBy("kernel_id", "a", "b").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
+        pile = mean.toPandas()  # one window a kernel
+        if len(pile) or piles is None:
+            piles = mean
+        if not len(pile) or turn + 1 == config.max_iterations:
+            break
+        for k, cells_of in pile.groupby("kernel_id"):
+            kernels[k] = _learned(cells_of, size, config.max_dist == 0)
+    found, shown = reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, shown)
+    kept = nms.remove_neighbours(found, max(int(config.min_separation // cmap.bin_size), 1))
     placed = nms.farther_than(genome.bins_to_coords(kept, cmap.bins), config.min_dist).where("pvalue IS NOT NULL")
-    return benjamini_hochberg(placed).select(*DETECT), piles
+    patterns = benjamini_hochberg(placed)
+    if with_windows:
+        return patterns.join(shown, "pid").select(*DETECT, "window", "order"), piles
+    return patterns.select(*DETECT), piles
 
 
-def _scored(config: KernelConfig, part: tuple, wanted: DataFrame, kernels: list, reach: int, plan: str) -> DataFrame:
-    """wanted (qid, sub, i, j) to (qid, kernel_id, score, pvalue, window); rejected ones have nulls. ``part`` as in _search."""
-    spark, size = wanted.sparkSession, kernels[0].shape[0]
-    ids = spark.range(len(kernels)).select(F.col("id").cast("int").alias("kernel_id"))
-    picked = wanted.join(F.broadcast(ids)).withColumn("pid", F.struct("qid", "kernel_id"))
-    # Sub-matrices without positions are never correlated; their number is bounded by that of chromosome pairs.
-    signal = part[0].join(F.broadcast(wanted.select("sub").distinct()), "sub", "left_semi")
-    kernel, tolerance = kernel_frame(spark, kernels), config.max_perc_undetected / 100
-    if len(part) == 4:
-        corr = correlate.normxcorr2_inter(signal, kernel, *part[1:], tolerance)
-    else:
-        corr = correlate.normxcorr2(signal, kernel, reach, size, part[1], part[2], tolerance, plan=plan)
-    cells = windows.cells(picked, signal, part[1], part[2], size, part[3] if len(part) == 4 else None)
-    checked = windows.validity(picked, cells, part[1], config.max_perc_zero, config.max_perc_undetected)
-    scored = _with_scores(checked, corr).join(windows.as_arrays(cells, size), "pid")
-    kept = {c: F.when(F.col("valid"), F.col(c)) for c in ("score", "pvalue", "window")}
-    return scored.withColumns(kept).select("qid", "kernel_id", "score", "pvalue", "window")
+def _learned(cells_of, size: int, on_diagonal: bool) -> np.ndarray:
+    """The mean window as the next kernel; that of patterns on the diagonal is symmetrised, as its lower cells are missing."""
+    window = np.zeros((size, size))
+    window[cells_of["a"], cells_of["b"]] = cells_of["mean"].fillna(0.0)
+    return window + window.T - np.diag(np.diag(window)) if on_diagonal else window
 
 
-def quantify(cmap: ContactMap, config: KernelConfig, positions: DataFrame, raw: bool = False, plan: str = "scatter", inter: bool = False) -> DataFrame:
+def _scored(config: KernelConfig, part: tuple, wanted: DataFrame, kernels: list, reach: int) -> DataFrame:
+    """wanted (qid, sub, i, j) to (qid, kernel_id, score, pvalue, window); rejected ones have nulls. ``part`` as in _search.
+
+    Only the windows of the positions are read and correlated.
+    """
+    spark, size = wanted.sparkSession, kernels[0].shape[0]
+    ids = spark.range(len(kernels)).select(F.col("id").cast("int").alias("kernel_id"))
+    points = wanted.withColumnRenamed("qid", "pid")
+    columns = part[3] if len(part) == 4 else None
+    cells = Scratch(spark, "quantify").keep(windows.cells(points, part[0], part[1], part[2], size, columns), "cells")
+    corr = correlate.normxcorr2_at(points, cells, kernel_frame(spark, kernels), part[1], part[2], reach, size, columns, config.max_perc_undetected / 100)
+    checked = windows.validity(points, cells, part[1], config.max_perc_zero, config.max_perc_undetected).select("pid", "valid")
+    each = checked.join(windows.as_arrays(cells, size), "pid").join(F.broadcast(ids))
+    scored = each.join(corr.select("pid", "kernel_id", "r", "log10_p"), ["pid", "kernel_id"], "left")
+    kept = {"score": F.coalesce("r", F.lit(0.0)), "pvalue": _p_value(), "window": F.col("window")}
+    return scored.select(F.col("pid").alias("qid"), "kernel_id", *[F.when(F.col("valid"), v).alias(c) for c, v in kept.items()])
+
+
+def quantify(cmap: ContactMap, config: KernelConfig, positions: DataFrame, raw: bool = False, inter: bool = False, tsvd: float | None = None) -> DataFrame:
     """Scores of given pairs of positions (six columns), with each pair's window; rejected or unknown ones have nulls.
 
     Bins come from the middles of the anchors for scoring. Repeated pairs are one row. Pairs between chromosomes are
-    scored with ``inter``, in whichever order their chromosomes are given.
+    scored with ``inter``, in whichever order their chromosomes are given. ``tsvd`` as for detection.
     """
-    kernels = list(config.kernels)
+    kernels = [np.matmul(*factorise(k, tsvd)) for k in config.kernels] if tsvd else list(config.kernels)
+    correlate.check_kernels(kernels)
     size = kernels[0].shape[0]
     anchors = swap_anchors(positions).dropDuplicates(["chrom1", "start1", "chrom2", "start2"])
     known = anchors.where("chrom1 = chrom2").join(F.broadcast(cmap.chroms.select(F.col("chrom").alias("chrom1"), "length")), "chrom1").where("start2 < length")
@@ -194,13 +211,17 @@ def quantify(cmap: ContactMap, config: KernelConfig, positions: DataFrame, raw:
         side = cmap.chroms.select(F.col("chrom").alias(f"chrom{k}"), F.col("chrom_idx").alias(f"x{k}"), F.col("start_bin").alias(f"s{k}"))
         at = at.join(F.broadcast(side), f"chrom{k}")
     place = lambda k: F.col(f"m{k}") - F.col(f"s{k}")
-    cis = at.where("x1 = x2").select("qid", F.col("x1").alias("sub"), place(1).alias("i"), place(2).alias("j"))
-    scored = _scored(config, prepared(cmap, reach_bins, size, raw), cis, kernels, reach_bins, plan)
+    scratch = Scratch(cmap.bins.sparkSession, "positions")
+    cis = scratch.keep(at.where("x1 = x2").select("qid", F.col("x1").alias("sub"), place(1).alias("i"), place(2).alias("j")), "cis")
+    # A far pair widens the band to its distance, but only the diagonals that windows reach are read.
+    d = F.col("j") - F.col("i")
+    diagonals = cis.select("sub", F.explode(F.sequence(d - size + 1, d + size - 1)).alias("d")).where("d >= 0").distinct()
+    scored = _scored(config, prepared(cmap, reach_bins, size, raw, diagonals=diagonals), cis, kernels, reach_bins)
     if inter:
         n, first = cmap.chroms.count(), F.col("x1") < F.col("x2")
         pair = F.when(first, F.col("x1") * n + F.col("x2")).otherwise(F.col("x2") * n + F.col("x1"))
         across = at.where("x1 <> x2").select("qid", pair.alias("sub"), F.when(first, place(1)).otherwise(place(2)).alias("i"), F.when(first, place(2)).otherwise(place(1)).alias("j"))
-        scored = scored.unionByName(_scored(config, prepared_inter(cmap, raw), across, kernels, reach_bins, plan))
+        scored = scored.unionByName(_scored(config, prepared_inter(cmap, raw), across, kernels, reach_bins))
     best = nms.best_kernel(scored, ["qid"])
     out = rows.join(best, "qid", "left")
     for k in (1, 2):
@@ -209,10 +230,15 @@ def quantify(cmap: ContactMap, config: KernelConfig, positions: DataFrame, raw:
     return benjamini_hochberg(out).select(*QUANTIFY, "window").orderBy("bin1", "bin2")
 
 
-def make_config(cmap: ContactMap, config: KernelConfig, positions: DataFrame, size: int) -> KernelConfig:
+def _any_kernel(size: int) -> np.ndarray:
+    """A kernel that isn't flat, where only windows are wanted."""
+    return np.eye(size)
+
+
+def make_config(cmap: ContactMap, config: KernelConfig, positions: DataFrame, size: int, raw: bool = False, inter: bool = False) -> KernelConfig:
     """A configuration whose kernel is the blurred mean window of given positions."""
-    base = replace(config, kernels=[np.ones((size, size))], max_perc_zero=101.0, max_perc_undetected=101.0)
-    rows = quantify(cmap, base, positions).where("window IS NOT NULL").select("window").toLocalIterator()
+    base = replace(config, kernels=[_any_kernel(size)], max_perc_zero=101.0, max_perc_undetected=101.0)
+    rows = quantify(cmap, base, positions, raw=raw, inter=inter).where("window IS NOT NULL").select("window").toLocalIterator()
     total, n = np.zeros((size, size)), np.zeros((size, size))
     for w in windows.to_numpy(list(rows), size):
         total += np.nan_to_num(w)

@@ -7,15 +7,17 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import benjamini_hochberg, rank_glyphs
 from gridloom.operators import balance, correlate, foci, genome, matrix, nms, preprocess, windows
 from gridloom.plans import pipeline
-from gridloom.plans.oracle import BAND, BIN_SIZE, MOST_MISSING, MOST_ZERO, N_BINS, PER_CHROM, SIZE, THRESHOLD, assemble, log10p, pieces
+from gridloom.plans.oracle import ALONE, BAND, BIN_PARTS, BIN_SIZE, EDGES, LEAST_BINS, MOST_MISSING, MOST_ZERO, SIZE, THRESHOLD, assemble, log10p, pieces
+from gridloom.scratch import Scratch
 from gridloom.sources.contacts import ContactMap, chrom_offsets, cooccurrence, self_pairs, swap_anchors
-from gridloom.sources.kernels import KernelConfig, bump, factorise, kernel_frame, stripe
+from gridloom.sources.kernels import KernelConfig, blocks, bump, factorise, kernel_frame, stripe
 
 #: q-value over the columns that _LAST adds: number of p-values, and rank of the last of equal ones.
 _BH = "least(1.0, min(pvalue * m / last) OVER (ORDER BY pvalue DESC RANGE UNBOUNDED PRECEDING))"
@@ -26,6 +28,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 KERNEL = bump(SIZE, 1.3)
 BLOCKS = pieces(KERNEL)
+#: Detection leaves sub-matrices out that aren't larger than a kernel.
+DETECT_BLOCKS = {**BLOCKS, "det": f"SELECT d.* FROM ({BLOCKS['det']}) d JOIN chroms c ON c.chrom_idx = d.sub WHERE c.n > {SIZE}"}
 CONFIG = KernelConfig("query", [KERNEL], BAND * BIN_SIZE, 2000, 1, 5000, THRESHOLD, BIN_SIZE, MOST_ZERO, MOST_MISSING)
 
 
@@ -48,22 +52,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def base_bins(spark: SparkSession) -> DataFrame:
+def layout(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Parts of a bin, and number of bins: no part falls off the map."""
+    n = table(spark, sf_dir, "part").count()
+    width = max(1, min(BIN_PARTS, n // LEAST_BINS))
+    return width, -(-n // width)
+
+
+def base_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = layout(spark, sf_dir)[1]
     b = F.col("id")
-    local = b % PER_CHROM
-    return spark.range(N_BINS).select(b.alias("bin_id"), F.concat(F.lit("chr"), (F.expr(f"id div {PER_CHROM}") + 1).cast("string")).alias("chrom"), (local * BIN_SIZE).alias("start"), ((local + 1) * BIN_SIZE).alias("end"))
+    name, start = F.lit(None).cast("string"), F.lit(None).cast("long")
+    for k, (low, high) in enumerate(zip(EDGES, EDGES[1:], strict=False)):
+        inside = (b >= n * low // 100) & (b < n * high // 100)
+        name, start = F.when(inside, f"chr{k + 1}").otherwise(name), F.when(inside, n * low // 100).otherwise(start)
+    rows = spark.range(n).select(b.alias("bin_id"), name.alias("chrom"), (b - start).alias("local"))
+    return rows.select("bin_id", "chrom", (F.col("local") * BIN_SIZE).alias("start"), ((F.col("local") + 1) * BIN_SIZE).alias("end"))
 
 
-def base_map(spark: SparkSession, sf_dir: str) -> ContactMap:
-    """Parts that are bought together: 200 bins of parts in four chromosomes; weights from marginals, some missing."""
-    width = max(table(spark, sf_dir, "part").count() // N_BINS, 1)
+def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that are bought together, as pixels of bins of up to ten parts."""
+    width = layout(spark, sf_dir)[0]
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(f"l_partkey div {width}").alias("bin"))
-    pixels = cooccurrence(rows, "l_orderkey", "bin")
-    bins = base_bins(spark)
+    return cooccurrence(rows, "l_orderkey", "bin")
+
+
+def base_map(spark: SparkSession, sf_dir: str) -> ContactMap:
+    """The map of ``contacts`` in four chromosomes; weights from marginals, some missing. Pixels and bins are tables, as
+    those of a map that is read."""
+    scratch = Scratch(spark, "map")
+    pixels = scratch.keep(contacts(spark, sf_dir), "pixels")
+    bins = base_bins(spark, sf_dir)
     marg = preprocess.marginals(pixels)
     weight = F.when(F.col("bin_id") % 17 != 5, F.lit(10.0) / F.sqrt("marginal"))
     weighed = bins.join(marg, "bin_id", "left").select("bin_id", "chrom", "start", "end", weight.alias("weight"))
-    return ContactMap(chrom_offsets(bins), weighed, pixels, BIN_SIZE)
+    return ContactMap(chrom_offsets(bins), scratch.keep(weighed, "bins"), pixels, BIN_SIZE)
 
 
 def signal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -75,23 +98,30 @@ def local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genome.to_local(preprocess.balanced(m.pixels, m.bins), m.chroms).select(F.col("sub1").alias("sub"), "i", "j", "v")
 
 
-def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    det, sizes, gone = signal(spark, sf_dir)
+def correlation(spark: SparkSession, sf_dir: str, parts: tuple | None = None) -> DataFrame:
+    det, sizes, gone = parts or signal(spark, sf_dir)
     return correlate.normxcorr2(det, kernel_frame(spark, [KERNEL]), BAND, SIZE, sizes, gone, MOST_MISSING / 100)
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return foci.label(foci.candidates(correlation(spark, sf_dir), THRESHOLD))
+def candidates(spark: SparkSession, sf_dir: str, parts: tuple | None = None) -> DataFrame:
+    """The map is correlated once: its candidates are a table."""
+    return Scratch(spark, "candidates").keep(foci.candidates(correlation(spark, sf_dir, parts), THRESHOLD), "candidates")
+
+
+def labelled(spark: SparkSession, sf_dir: str, parts: tuple | None = None) -> DataFrame:
+    return foci.label(candidates(spark, sf_dir, parts))
 
 
-def picked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return foci.best_pixel(foci.sized(labelled(spark, sf_dir))).withColumn("pid", F.struct("sub", "label"))
+def picked(spark: SparkSession, sf_dir: str, parts: tuple | None = None) -> DataFrame:
+    return foci.best_pixel(foci.sized(labelled(spark, sf_dir, parts))).withColumn("pid", F.struct("sub", "label"))
 
 
 def window_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    scratch = Scratch(spark, "windows")
     det, sizes, gone = signal(spark, sf_dir)
-    found = picked(spark, sf_dir)
-    cells = windows.cells(found.select("pid", "sub", "i", "j"), det, sizes, gone, SIZE)
+    parts = scratch.keep(det, "signal"), sizes, gone
+    found = scratch.keep(picked(spark, sf_dir, parts), "picked")
+    cells = windows.cells(found.select("pid", "sub", "i", "j"), *parts, SIZE)
     return found, cells, windows.validity(found, cells, sizes, MOST_ZERO, MOST_MISSING)
 
 
@@ -103,12 +133,12 @@ def top_correlations(spark, sf_dir):
 
 @query("SELECT bin1_id, bin2_id, count FROM pixels")
 def contact_pixels(spark, sf_dir):
-    return base_map(spark, sf_dir).pixels
+    return contacts(spark, sf_dir)
 
 
 @query("SELECT chrom, chrom_idx, length, start_bin, end_bin FROM chroms")
 def chrom_ranges(spark, sf_dir):
-    return base_map(spark, sf_dir).chroms
+    return chrom_offsets(base_bins(spark, sf_dir))
 
 
 @query('SELECT bin_id, chrom, start, "end", round(weight, 6) + 0.0 AS weight FROM bins')
@@ -122,18 +152,18 @@ def _submats(inter: bool) -> str:
 
 @query(_submats(False))
 def submats_cis(spark, sf_dir):
-    return genome.sub_matrices(chrom_offsets(base_bins(spark)))
+    return genome.sub_matrices(chrom_offsets(base_bins(spark, sf_dir)))
 
 
 @query(_submats(True))
 def submats_all(spark, sf_dir):
-    return genome.sub_matrices(chrom_offsets(base_bins(spark)), True)
+    return genome.sub_matrices(chrom_offsets(base_bins(spark, sf_dir)), True)
 
 
 @query(f"SELECT o.o_orderkey AS k, o.chrom, o.pos, b.bin_id FROM (SELECT o_orderkey, 'chr' || (o_custkey % 5 + 1) AS chrom, (o_orderkey * 37) % 55000 AS pos FROM orders) o LEFT JOIN bins0 b ON b.chrom = o.chrom AND b.start = o.pos // {BIN_SIZE} * {BIN_SIZE}")
 def coords_to_bins(spark, sf_dir):
     coords = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("chr"), (F.col("o_custkey") % 5 + 1).cast("string")).alias("chrom"), (F.col("o_orderkey") * 37 % 55000).alias("pos"))
-    return genome.coords_to_bins(coords, base_bins(spark), BIN_SIZE)
+    return genome.coords_to_bins(coords, base_bins(spark, sf_dir), BIN_SIZE)
 
 
 @query('SELECT p.bin1_id AS bin1, p.bin2_id AS bin2, p.count, x.chrom AS chrom1, x.start AS start1, x."end" AS end1, y.chrom AS chrom2, y.start AS start2, y."end" AS end2 FROM pixels p JOIN bins0 x ON x.bin_id = p.bin1_id JOIN bins0 y ON y.bin_id = p.bin2_id')
@@ -142,15 +172,15 @@ def bins_to_coords(spark, sf_dir):
     return genome.bins_to_coords(m.pixels.toDF("bin1", "bin2", "count"), m.bins.drop("weight"))
 
 
-@query(f"SELECT x.chrom_idx AS sub1, y.chrom_idx AS sub2, p.bin1_id % {PER_CHROM} AS i, p.bin2_id % {PER_CHROM} AS j, p.count FROM pixels p JOIN bins0 x ON x.bin_id = p.bin1_id JOIN bins0 y ON y.bin_id = p.bin2_id")
+@query("SELECT x.chrom_idx AS sub1, y.chrom_idx AS sub2, x.local AS i, y.local AS j, p.count FROM pixels p JOIN bins0 x ON x.bin_id = p.bin1_id JOIN bins0 y ON y.bin_id = p.bin2_id")
 def global_to_local(spark, sf_dir):
     m = base_map(spark, sf_dir)
     return genome.to_local(m.pixels, m.chroms, inter=True).select("sub1", "sub2", "i", "j", "count")
 
 
-@query(f"SELECT sub, i, j, sub * {PER_CHROM} + i AS bin1, sub * {PER_CHROM} + j AS bin2 FROM loc")
+@query("SELECT sub, i, j, c.start_bin + i AS bin1, c.start_bin + j AS bin2 FROM loc JOIN chroms c ON c.chrom_idx = sub")
 def local_to_global(spark, sf_dir):
-    return genome.to_global(local(spark, sf_dir).drop("v"), base_map(spark, sf_dir).chroms)
+    return genome.to_global(local(spark, sf_dir).drop("v"), chrom_offsets(base_bins(spark, sf_dir)))
 
 
 _BED2 = "SELECT o_orderkey AS k, 'chr' || (o_custkey % 4 + 1) AS chrom1, (o_orderkey * 31) % 50000 AS start1, (o_orderkey * 31) % 50000 + 1000 AS end1, 'chr' || (o_custkey % 4 + CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END) AS chrom2, (o_orderkey * 17) % 50000 AS start2, (o_orderkey * 17) % 50000 + 1500 AS end2 FROM orders"
@@ -190,12 +220,12 @@ def band_trim(spark, sf_dir):
 
 @query("SELECT bin_id, marginal FROM marg")
 def bin_marginals(spark, sf_dir):
-    return preprocess.marginals(base_map(spark, sf_dir).pixels)
+    return preprocess.marginals(contacts(spark, sf_dir))
 
 
 @query("SELECT bin_id, degree FROM degree")
 def bin_degree(spark, sf_dir):
-    return preprocess.degrees(base_map(spark, sf_dir).pixels, base_bins(spark))
+    return preprocess.degrees(contacts(spark, sf_dir), base_bins(spark, sf_dir))
 
 
 @query("SELECT median(degree) AS median, (SELECT median(abs(degree - (SELECT median(degree) FROM degree))) FROM degree) AS mad FROM degree")
@@ -208,12 +238,12 @@ _DETECTABLE = "SELECT bin_id FROM degree WHERE degree >= greatest(1.0, (SELECT m
 
 @query(_DETECTABLE)
 def detectable_intra(spark, sf_dir):
-    return preprocess.detectable_intra(base_map(spark, sf_dir).pixels, base_bins(spark), 1.5)
+    return preprocess.detectable_intra(contacts(spark, sf_dir), base_bins(spark, sf_dir), 1.5)
 
 
 @query(f"SELECT bin_id FROM bins0 WHERE bin_id NOT IN ({_DETECTABLE})")
 def missing_bins(spark, sf_dir):
-    return preprocess.missing_bins(base_bins(spark), detectable_intra(spark, sf_dir))
+    return preprocess.missing_bins(base_bins(spark, sf_dir), detectable_intra(spark, sf_dir))
 
 
 @query(f"SELECT bin1_id, bin2_id, count FROM pixels WHERE bin1_id IN ({_DETECTABLE}) AND bin2_id IN ({_DETECTABLE})")
@@ -225,7 +255,7 @@ _RECT = "SELECT (l_partkey // (SELECT w FROM width))::BIGINT AS row_id, l_suppke
 
 
 def _rect(spark, sf_dir):
-    width = max(table(spark, sf_dir, "part").count() // N_BINS, 1)
+    width = layout(spark, sf_dir)[0]
     return table(spark, sf_dir, "lineitem").groupBy(F.expr(f"l_partkey div {width}").alias("row_id"), (F.col("l_suppkey") % 40).alias("col_id")).agg(F.count(F.lit(1)).cast("double").alias("count"))
 
 
@@ -251,7 +281,7 @@ def balanced_pixels(spark, sf_dir):
 
 
 def _ice(rounds: int) -> tuple[str, dict[str, str]]:
-    blocks = {k: BLOCKS[k] for k in ("width", "occ", "pixels", "bins0")}
+    blocks = {k: BLOCKS[k] for k in ("width", "occ", "pixels", "chroms", "bins0")}
     blocks["cis"] = "SELECT p.bin1_id, p.bin2_id, p.count FROM pixels p JOIN bins0 x ON x.bin_id = p.bin1_id JOIN bins0 y ON y.bin_id = p.bin2_id WHERE x.chrom = y.chrom AND p.bin2_id - p.bin1_id >= 2"
     blocks["bias0"] = "SELECT bin_id, 1.0::DOUBLE AS b FROM bins0"
     for k in range(1, rounds + 1):
@@ -264,7 +294,7 @@ def _ice(rounds: int) -> tuple[str, dict[str, str]]:
 def _ice_rounds(spark, sf_dir, rounds):
     m = base_map(spark, sf_dir)
     kept = balance.usable_pixels(m.pixels, m.bins)
-    bias = reduce(lambda b, _: balance.correction_round(kept, b).select("bin_id", "b"), range(rounds), base_bins(spark).select("bin_id", F.lit(1.0).alias("b")))
+    bias = reduce(lambda b, _: balance.correction_round(kept, b).select("bin_id", "b"), range(rounds), base_bins(spark, sf_dir).select("bin_id", F.lit(1.0).alias("b")))
     return bias.withColumn("b", six("b"))
 
 
@@ -289,7 +319,7 @@ def distance_law_median(spark, sf_dir):
 
 
 _POOLED = {
-    **{k: BLOCKS[k] for k in ("width", "occ", "pixels", "bins0", "ends", "marg", "bins", "bal", "loc")},
+    **{k: BLOCKS[k] for k in ("width", "occ", "pixels", "chroms", "bins0", "ends", "marg", "bins", "bal", "loc")},
     "curve": "SELECT sub, j - i AS d, avg(v) AS y FROM loc WHERE v > 0 GROUP BY 1, 2",
     "ordered": "SELECT *, row_number() OVER w AS k, sum(y) OVER w AS upto FROM curve WINDOW w AS (PARTITION BY sub ORDER BY d)",
     "spans": "SELECT p.sub, p.d, a.k AS first, max((b.upto - a.upto + a.y) / (b.k - a.k + 1)) AS best FROM ordered p JOIN ordered a ON a.sub = p.sub AND a.k <= p.k JOIN ordered b ON b.sub = p.sub AND b.k >= p.k GROUP BY 1, 2, 3",
@@ -312,6 +342,27 @@ def detrended_uncut(spark, sf_dir):
     return preprocess.detrend(band, preprocess.distance_law(band), None).withColumn("v", six("v"))
 
 
+_RAW = {**BLOCKS, "bal": BLOCKS["bal"].replace("x.weight * y.weight * p.count AS v", "p.count AS v")}
+
+
+@query("SELECT b.sub, b.i, b.j, round(b.v / l.y, 6) + 0.0 AS v FROM banded b JOIN law l ON l.sub = b.sub AND l.d = b.j - b.i WHERE b.v <> 0", _RAW)
+def detrended_raw(spark, sf_dir):
+    return pipeline.prepared(base_map(spark, sf_dir), BAND, SIZE, raw=True)[0].withColumn("v", six("v"))
+
+
+_SMOOTH = {
+    **BLOCKS,
+    "steps": "SELECT *, row_number() OVER w AS k, sum(y) OVER w AS upto FROM law WINDOW w AS (PARTITION BY sub ORDER BY d)",
+    "runs": "SELECT p.sub, p.d, a.k AS first, max((b.upto - a.upto + a.y) / (b.k - a.k + 1)) AS best FROM steps p JOIN steps a ON a.sub = p.sub AND a.k <= p.k JOIN steps b ON b.sub = p.sub AND b.k >= p.k GROUP BY 1, 2, 3",
+    "fallen": "SELECT sub, d, min(best) AS y FROM runs GROUP BY 1, 2",
+}
+
+
+@query("SELECT b.sub, b.i, b.j, round(CASE WHEN coalesce(b.v / nullif(l.y, 0), 1e300) >= 10 THEN 1.0::DOUBLE ELSE b.v / l.y END, 6) + 0.0 AS v FROM banded b JOIN fallen l ON l.sub = b.sub AND l.d = b.j - b.i WHERE b.v <> 0", _SMOOTH)
+def detrended_smooth(spark, sf_dir):
+    return pipeline.prepared(base_map(spark, sf_dir), BAND, SIZE, smooth=True)[0].withColumn("v", six("v"))
+
+
 @query("SELECT sub1, sub2, bin1_id, bin2_id, round(v / median(v) OVER (PARTITION BY sub1, sub2), 6) + 0.0 AS v FROM bal WHERE sub1 <> sub2")
 def inter_median_scale(spark, sf_dir):
     m = base_map(spark, sf_dir)
@@ -326,17 +377,17 @@ def ztransform(spark, sf_dir):
 
 @query("SELECT bin1_id, bin2_id, count(*)::DOUBLE AS count FROM (SELECT bin1_id, bin2_id, unnest(range(1, count::BIGINT + 1)) AS n FROM pixels) WHERE ('0x' || substr(md5('0:' || bin1_id || ':' || bin2_id || ':' || n), 1, 8))::BIGINT < (0.25 * 4294967296)::BIGINT GROUP BY 1, 2")
 def sampled_contacts_hash(spark, sf_dir):
-    return preprocess.sample_by_hash(base_map(spark, sf_dir).pixels, 0.25)
+    return preprocess.sample_by_hash(contacts(spark, sf_dir), 0.25)
 
 
-@query()
+@query("SELECT bin1_id, bin2_id, count(*)::DOUBLE AS count FROM (SELECT bin1_id, bin2_id FROM (SELECT bin1_id, bin2_id, unnest(range(1, count::BIGINT + 1)) AS n FROM pixels) ORDER BY ('0x' || substr(md5('0:' || bin1_id || ':' || bin2_id || ':' || n), 1, 8))::BIGINT, bin1_id, bin2_id, n LIMIT 1000) GROUP BY 1, 2")
 def sampled_contacts_exact(spark, sf_dir):
     return preprocess.subsample(base_map(spark, sf_dir).pixels, 1000)
 
 
 @query("SELECT count(*) AS nnz, sum(count) AS total, max(bin2_id - bin1_id) AS widest, max(count) AS largest FROM pixels")
 def map_reductions(spark, sf_dir):
-    return base_map(spark, sf_dir).pixels.agg(F.count(F.lit(1)).alias("nnz"), F.sum("count").alias("total"), F.max(F.col("bin2_id") - F.col("bin1_id")).alias("widest"), F.max("count").alias("largest"))
+    return contacts(spark, sf_dir).agg(F.count(F.lit(1)).alias("nnz"), F.sum("count").alias("total"), F.max(F.col("bin2_id") - F.col("bin1_id")).alias("widest"), F.max("count").alias("largest"))
 
 
 # -- correlation ---------------------------------------------------------------------------------------------------
@@ -396,6 +447,18 @@ def normxcorr_tiled(spark, sf_dir):
     return rows.select("sub", "i", "j", six("r").alias("r"), "n_obs")
 
 
+_FACTORS = [factorise(KERNEL, 0.999)]
+_TRUNCATED = pieces(np.matmul(*_FACTORS[0]))
+
+
+@query("SELECT sub, i, j, round(r, 6) + 0.0 AS r, n_obs FROM corr", _TRUNCATED)
+def normxcorr_tsvd(spark, sf_dir):
+    det, sizes, gone = signal(spark, sf_dir)
+    kernel = kernel_frame(spark, [np.matmul(*_FACTORS[0])])
+    rows = correlate.normxcorr2(det, kernel, BAND, SIZE, sizes, gone, MOST_MISSING / 100, factors=_FACTORS)
+    return rows.select("sub", "i", "j", six("r").alias("r"), "n_obs")
+
+
 @query(f"SELECT sub, i, j, round({log10p('r', 'n_obs')}, 5) + 0.0 AS log10_p FROM corr")
 def corr_pvalues(spark, sf_dir):
     return correlation(spark, sf_dir).select("sub", "i", "j", (F.round("log10_p", 5) + 0.0).alias("log10_p"))
@@ -403,17 +466,17 @@ def corr_pvalues(spark, sf_dir):
 
 def _inter_blocks() -> dict[str, str]:
     blocks = dict(BLOCKS)
-    blocks["det"] = f"SELECT sub1 * 4 + sub2 AS sub, bin1_id % {PER_CHROM} AS i, bin2_id % {PER_CHROM} AS j, v / median(v) OVER (PARTITION BY sub1, sub2) AS v FROM bal WHERE sub1 <> sub2"
-    blocks["sums"] = f"SELECT sub, i - di AS i, j - dj AS j, sum(v * w) AS vk, sum(v) AS v1, sum(v * v) AS v2 FROM det CROSS JOIN kern WHERE i - di >= 0 AND j - dj >= 0 AND i - di < {PER_CHROM} AND j - dj < {PER_CHROM} GROUP BY 1, 2, 3"
-    blocks["cells"] = "SELECT s.sub, s.i, s.j, k.w, s.i + k.di AS x, s.j + k.dj AS y, a.bin IS NOT NULL AS mx, b.bin IS NOT NULL AS my FROM sums s CROSS JOIN kern k LEFT JOIN lost a ON a.sub = s.sub // 4 AND a.bin = s.i + k.di LEFT JOIN lost b ON b.sub = s.sub % 4 AND b.bin = s.j + k.dj"
-    blocks["masked"] = f"SELECT sub, i, j, count(*) AS m0, sum(w) AS mk, sum(w * w) AS mkk FROM cells WHERE x < 0 OR y < 0 OR x >= {PER_CHROM} OR y >= {PER_CHROM} OR mx OR my GROUP BY 1, 2, 3"
+    blocks["det"] = "SELECT sub1 * 4 + sub2 AS sub, i, j, v / median(v) OVER (PARTITION BY sub1, sub2) AS v FROM bal WHERE sub1 <> sub2"
+    blocks["sums"] = "SELECT sub, i - di AS i, j - dj AS j, a.n AS n, b.n AS m, sum(v * w) AS vk, sum(v) AS v1, sum(v * v) AS v2 FROM det e JOIN chroms a ON a.chrom_idx = e.sub // 4 JOIN chroms b ON b.chrom_idx = e.sub % 4 CROSS JOIN kern WHERE i - di >= 0 AND j - dj >= 0 AND i - di < a.n AND j - dj < b.n GROUP BY 1, 2, 3, 4, 5"
+    blocks["cells"] = "SELECT s.sub, s.i, s.j, s.n, s.m, k.w, s.i + k.di AS x, s.j + k.dj AS y, a.bin IS NOT NULL AS mx, b.bin IS NOT NULL AS my FROM sums s CROSS JOIN kern k LEFT JOIN lost a ON a.sub = s.sub // 4 AND a.bin = s.i + k.di LEFT JOIN lost b ON b.sub = s.sub % 4 AND b.bin = s.j + k.dj"
+    blocks["masked"] = "SELECT sub, i, j, count(*) AS m0, sum(w) AS mk, sum(w * w) AS mkk FROM cells WHERE x < 0 OR y < 0 OR x >= n OR y >= m OR mx OR my GROUP BY 1, 2, 3"
     return blocks
 
 
 @query("SELECT sub, i, j, round(r, 6) + 0.0 AS r, n_obs FROM corr", _inter_blocks())
 def normxcorr_inter(spark, sf_dir):
     across, sizes, rows, columns = pipeline.prepared_inter(base_map(spark, sf_dir))
-    got = correlate.normxcorr2_inter(across, kernel_frame(spark, [KERNEL]), sizes, rows, columns, MOST_MISSING / 100)
+    got = correlate.normxcorr2_inter(across, kernel_frame(spark, [KERNEL]), sizes, rows, columns, SIZE, MOST_MISSING / 100)
     return got.select("sub", "i", "j", six("r").alias("r"), "n_obs")
 
 
@@ -424,14 +487,18 @@ def _detect_inter_blocks() -> dict[str, str]:
     """The blocks within chromosomes, those between under other names, and the patterns of both."""
     inter, out = _inter_blocks(), {}
     lower = f" OR (p.j + g.b) - (p.i + g.a) BETWEEN -{SIZE} AND -1"
-    inter["wcells"] = inter["wcells"].replace(lower, "").replace("x.sub = p.sub AND", "x.sub = p.sub // 4 AND").replace("y.sub = p.sub AND", "y.sub = p.sub % 4 AND")
+    inter["det"] = f"SELECT d.* FROM ({inter['det']}) d JOIN chroms a ON a.chrom_idx = d.sub // 4 JOIN chroms b ON b.chrom_idx = d.sub % 4 WHERE a.n > {SIZE} AND b.n > {SIZE}"
+    wcells = inter["wcells"].replace(lower, "").replace("x.sub = p.sub AND", "x.sub = p.sub // 4 AND").replace("y.sub = p.sub AND", "y.sub = p.sub % 4 AND")
+    sides = "JOIN chroms c ON c.chrom_idx = p.sub // 4 JOIN chroms d2 ON d2.chrom_idx = p.sub % 4"
+    inter["wcells"] = wcells.replace(f"p.j + g.b - {SIZE // 2} >= c.n", f"p.j + g.b - {SIZE // 2} >= d2.n").replace("JOIN chroms c ON c.chrom_idx = p.sub", sides)
+    inter["checked"] = inter["checked"].replace("p.j < c.n - 1", "p.j < d2.n - 1").replace("JOIN chroms c ON c.chrom_idx = p.sub", sides)
     renamed = lambda text: re.sub(rf"\b({'|'.join(_ACROSS)})\b(?!\.)", r"across_\1", text)
-    for name, text in BLOCKS.items():
+    for name, text in DETECT_BLOCKS.items():
         out[name] = text
         if name in _ACROSS:
             out[f"across_{name}"] = renamed(inter[name])
     p = f"coalesce(pow(10.0::DOUBLE, {log10p('r', 'n_obs')}), 1.0::DOUBLE)"
-    across = f"SELECT sub // 4 * {PER_CHROM} + i, sub % 4 * {PER_CHROM} + j, r, {p} FROM across_checked WHERE valid"
+    across = f"SELECT c.start_bin + i, d.start_bin + j, r, {p} FROM across_checked JOIN chroms c ON c.chrom_idx = sub // 4 JOIN chroms d ON d.chrom_idx = sub % 4 WHERE valid"
     out["found"] = f"{out['found']} UNION ALL {across}"
     return out
 
@@ -448,9 +515,11 @@ def zero_pad(spark, sf_dir):
     return matrix.zero_pad(local(spark, sf_dir), 3, 5).withColumn("v", six("v"))
 
 
-@query(f"SELECT sub, i, j, round(v, 6) + 0.0 AS v FROM loc WHERE j - i <> 2 UNION ALL SELECT s.sub, r.range, r.range + 2, 7.5::DOUBLE FROM (SELECT DISTINCT sub FROM loc) s CROSS JOIN range({PER_CHROM - 2}) r")
+@query("SELECT sub, i, j, round(v, 6) + 0.0 AS v FROM loc WHERE j - i <> 2 UNION ALL SELECT sub, k, k + 2, 7.5::DOUBLE FROM (SELECT chrom_idx AS sub, unnest(range(n - 2)) AS k FROM chroms)")
 def set_diagonal(spark, sf_dir):
-    return matrix.set_diagonal(local(spark, sf_dir), PER_CHROM, 2, 7.5).withColumn("v", six("v"))
+    chroms = chrom_offsets(base_bins(spark, sf_dir))
+    sizes = chroms.select(F.col("chrom_idx").alias("sub"), (F.col("end_bin") - F.col("start_bin")).alias("n"))
+    return matrix.set_diagonal(local(spark, sf_dir), sizes, 2, 7.5).withColumn("v", six("v"))
 
 
 @query("SELECT bin1_id, bin2_id, round(v, 6) + 0.0 AS v FROM bal")
@@ -467,7 +536,7 @@ def symmetric_map(spark, sf_dir):
 
 @query("SELECT bin1_id, bin2_id, round(ln(count), 6) + 0.0 AS count FROM pixels WHERE bin1_id > 20 AND bin1_id < 60 AND bin2_id > 20 AND bin2_id < 60")
 def region_view(spark, sf_dir):
-    return matrix.inside_region(base_map(spark, sf_dir).pixels, 20, 60, "count", log=True).withColumn("count", six("count"))
+    return matrix.inside_region(contacts(spark, sf_dir), 20, 60, "count", log=True).withColumn("count", six("count"))
 
 
 _TIME = {"slot": "SELECT user_id AS u, (epoch_us(ts) // 1000000 // 3600 % 200)::BIGINT AS b, count(*) AS c FROM events GROUP BY 1, 2"}
@@ -492,7 +561,7 @@ def confirmed_clicks(spark, sf_dir):
 # -- foci and windows ----------------------------------------------------------------------------------------------
 @query("SELECT sub, i, j, i AS i2, j + 1 AS j2 FROM cand c WHERE EXISTS (SELECT 1 FROM cand d WHERE d.sub = c.sub AND d.i = c.i AND d.j = c.j + 1) UNION ALL SELECT sub, i, j, i + 1, j FROM cand c WHERE EXISTS (SELECT 1 FROM cand d WHERE d.sub = c.sub AND d.i = c.i + 1 AND d.j = c.j)")
 def adjacency_edges(spark, sf_dir):
-    return foci.adjacency(foci.candidates(correlation(spark, sf_dir), THRESHOLD)).select("sub", "i", "j", "i2", "j2")
+    return foci.adjacency(candidates(spark, sf_dir)).select("sub", "i", "j", "i2", "j2")
 
 
 @query("SELECT sub, i, j, label FROM labels")
@@ -556,31 +625,25 @@ def ascii_glyphs(spark, sf_dir):
 
 
 # -- patterns ------------------------------------------------------------------------------------------------------
-_POINTS = {"width": BLOCKS["width"], "found": "SELECT (l_partkey // (SELECT w FROM width))::BIGINT AS bin1, l_suppkey::BIGINT AS bin2, round(sum(l_extendedprice)) AS score FROM lineitem GROUP BY 1, 2 ORDER BY score DESC, bin1, bin2 LIMIT 300", **{k: BLOCKS[k] for k in ("ranked", "walk", "alone")}}
+_POINTS = {"width": BLOCKS["width"], "found": "SELECT (l_partkey // (SELECT w FROM width))::BIGINT AS bin1, l_suppkey::BIGINT AS bin2, round(sum(l_extendedprice)) AS score FROM lineitem GROUP BY 1, 2", **ALONE}
 
 
 def _points(spark, sf_dir):
-    width = max(table(spark, sf_dir, "part").count() // N_BINS, 1)
+    width = layout(spark, sf_dir)[0]
     return table(spark, sf_dir, "lineitem").groupBy(F.expr(f"l_partkey div {width}").alias("bin1"), F.col("l_suppkey").cast("long").alias("bin2")).agg(F.round(F.sum("l_extendedprice")).alias("score"))
 
 
 @query("SELECT bin1, bin2, score FROM alone", _POINTS)
 def nms_greedy(spark, sf_dir):
-    return nms.remove_neighbours(_points(spark, sf_dir).orderBy(F.desc("score"), "bin1", "bin2").limit(300), 5)  # as its SQL: the top 300 only
-
-
-@query()  # the recursive SQL is too slow for all points; tested against a one-by-one walk
-def nms_greedy_all(spark, sf_dir):
     return nms.remove_neighbours(_points(spark, sf_dir), 5)
 
 
 @query("SELECT * FROM placed WHERE false OR true", {**BLOCKS, "placed": BLOCKS["placed"].replace("p.score, p.pvalue", "round(p.score, 6) + 0.0 AS score")})
 def min_dist_filter(spark, sf_dir):
     found, _, checked = window_parts(spark, sf_dir)
-    m = base_map(spark, sf_dir)
-    rows = genome.to_global(checked.where("valid").withColumnRenamed("r", "score").select("sub", "i", "j", "score"), m.chroms)
+    rows = genome.to_global(checked.where("valid").withColumnRenamed("r", "score").select("sub", "i", "j", "score"), chrom_offsets(base_bins(spark, sf_dir)))
     kept = nms.remove_neighbours(rows.select("bin1", "bin2", "score"), 5)
-    out = nms.farther_than(genome.bins_to_coords(kept, base_bins(spark)), 2000)
+    out = nms.farther_than(genome.bins_to_coords(kept, base_bins(spark, sf_dir)), 2000)
     return out.select("chrom1", "start1", "end1", "chrom2", "start2", "end2", "bin1", "bin2", six("score").alias("score"))
 
 
@@ -616,25 +679,68 @@ def topn_windows(spark, sf_dir):
     return correlation(spark, sf_dir).withColumn("place", place).where("place <= 5").select("sub", "i", "j", "place")
 
 
-@query(f"SELECT chrom1, start1, end1, chrom2, start2, end2, bin1, bin2, 0::INTEGER AS kernel_id, 0::INTEGER AS iteration, round(score, 6) + 0.0 AS score, round(pvalue, 6) + 0.0 AS pvalue, round({_BH}, 6) + 0.0 AS qvalue FROM ({_LAST} FROM placed)")
+@query(f"SELECT chrom1, start1, end1, chrom2, start2, end2, bin1, bin2, 0::INTEGER AS kernel_id, 0::INTEGER AS iteration, round(score, 6) + 0.0 AS score, round(pvalue, 6) + 0.0 AS pvalue, round({_BH}, 6) + 0.0 AS qvalue FROM ({_LAST} FROM placed)", DETECT_BLOCKS)
 def detect_full(spark, sf_dir):
     patterns, _ = pipeline.detect(base_map(spark, sf_dir), CONFIG)
     return patterns.withColumns({c: six(c) for c in ("score", "pvalue", "qvalue")})
 
 
+@query("SELECT p.bin1, p.bin2, w.a, w.b, round(w.v, 6) + 0.0 AS v FROM placed p JOIN (SELECT k.sub, k.label, c.start_bin + k.i AS bin1, c.start_bin + k.j AS bin2 FROM checked k JOIN chroms c ON c.chrom_idx = k.sub WHERE k.valid) b USING (bin1, bin2) JOIN wcells w ON w.sub = b.sub AND w.label = b.label", DETECT_BLOCKS)
+def detect_windows(spark, sf_dir):
+    patterns, _ = pipeline.detect(base_map(spark, sf_dir), CONFIG, with_windows=True)
+    rows = patterns.select("bin1", "bin2", F.posexplode("window").alias("a", "row"))
+    cells = rows.select("bin1", "bin2", F.col("a").cast("long").alias("a"), F.posexplode("row").alias("b", "v"))
+    return cells.withColumn("b", F.col("b").cast("long")).withColumn("v", six("v"))
+
+
+#: Blocks that depend on the kernel: each kernel and iteration has its own.
+_OWN = ("kern", "sums", "cells", "masked", "terms", "moments", "dens", "corr", "cand", "reach", "labels", "foci", "best", "wcells", "wstats", "checked", "pile")
+_KERNELS = [KERNEL, blocks(SIZE)]
+
+
+def _kernels_blocks(turns: int) -> dict[str, str]:
+    """Blocks of ``_KERNELS`` over several iterations; from the second on, a kernel is the mean window of the one before."""
+    owned = lambda text, own: re.sub(rf"\b({'|'.join(_OWN)})\b(?!\.)", rf"\1_{own}", text)
+    out = {k: v for k, v in DETECT_BLOCKS.items() if k not in _OWN and k not in ALONE and k not in ("found", "placed")}
+    found = []
+    for turn in range(turns):
+        for k, kernel in enumerate(_KERNELS):
+            own = pieces(kernel, learned=turn > 0)
+            if turn:
+                own["kern"] = f"SELECT a - {SIZE // 2} AS di, b - {SIZE // 2} AS dj, coalesce(mean, 0.0::DOUBLE) AS w FROM pile_{k}{turn - 1}"
+            for name in _OWN:
+                out[f"{name}_{k}{turn}"] = own[name] if name == "kern" else owned(own[name], f"{k}{turn}")
+            found.append(owned(own["found"], f"{k}{turn}").replace("SELECT", f"SELECT {k}::INTEGER AS kernel_id, {turn}::INTEGER AS iteration,", 1))
+    out["found"] = " UNION ALL ".join(found)
+    out |= ALONE
+    out["ranked"] = "SELECT *, row_number() OVER (ORDER BY score DESC, bin1, bin2, kernel_id, iteration) AS place FROM found"
+    out["placed"] = BLOCKS["placed"].replace("p.score, p.pvalue", "p.kernel_id, p.iteration, p.score, p.pvalue")
+    return out
+
+
+@query(f"SELECT chrom1, start1, end1, chrom2, start2, end2, bin1, bin2, kernel_id, iteration, round(score, 6) + 0.0 AS score, round(pvalue, 6) + 0.0 AS pvalue, round({_BH}, 6) + 0.0 AS qvalue FROM ({_LAST} FROM placed)", _kernels_blocks(2))
+def detect_kernels(spark, sf_dir):
+    """Two kernels, two iterations."""
+    patterns, _ = pipeline.detect(base_map(spark, sf_dir), replace(CONFIG, kernels=_KERNELS, max_iterations=2))
+    return patterns.withColumns({c: six(c) for c in ("score", "pvalue", "qvalue")})
+
+
 _QUANTIFY = {
     **{k: v for k, v in BLOCKS.items() if k not in ("cand", "reach", "labels", "foci")},
-    "best": f"SELECT DISTINCT o_custkey % 4 AS sub, o_orderkey * 7 % 30 * 100 + o_orderkey % 20 AS label, o_orderkey * 7 % 30 AS i, o_orderkey * 7 % 30 + o_orderkey % 20 AS j FROM orders",
+    "best": "SELECT DISTINCT sub, i * 1000 + j - i AS label, i, j FROM (SELECT c.chrom_idx AS sub, c.n, o_orderkey * 7 % c.n AS i, o_orderkey * 7 % c.n + o_orderkey % 20 AS j FROM orders JOIN chroms c ON c.chrom_idx = o_custkey % 4) WHERE j < n",
     "scored": f"SELECT k.sub, k.i, k.j, CASE WHEN k.valid THEN coalesce(c.r, 0.0::DOUBLE) END AS score, CASE WHEN k.valid THEN coalesce(pow(10.0::DOUBLE, {log10p('c.r', 'c.n_obs')}), 1.0::DOUBLE) END AS pvalue FROM checked k LEFT JOIN corr c ON c.sub = k.sub AND c.i = k.i AND c.j = k.j",
     "tested": f"SELECT *, {_BH} AS qvalue FROM ({_LAST} FROM (SELECT * FROM scored WHERE pvalue IS NOT NULL))",
 }
 
 
-@query(f"SELECT 'chr' || (s.sub + 1) AS chrom1, s.i * {BIN_SIZE} AS start1, (s.i + 1) * {BIN_SIZE} AS end1, 'chr' || (s.sub + 1) AS chrom2, s.j * {BIN_SIZE} AS start2, (s.j + 1) * {BIN_SIZE} AS end2, s.sub * {PER_CHROM} + s.i AS bin1, s.sub * {PER_CHROM} + s.j AS bin2, round(s.score, 6) + 0.0 AS score, round(s.pvalue, 6) + 0.0 AS pvalue, round(t.qvalue, 6) + 0.0 AS qvalue FROM scored s LEFT JOIN tested t USING (sub, i, j)", _QUANTIFY)
+@query(f"SELECT 'chr' || (s.sub + 1) AS chrom1, s.i * {BIN_SIZE} AS start1, (s.i + 1) * {BIN_SIZE} AS end1, 'chr' || (s.sub + 1) AS chrom2, s.j * {BIN_SIZE} AS start2, (s.j + 1) * {BIN_SIZE} AS end2, c.start_bin + s.i AS bin1, c.start_bin + s.j AS bin2, round(s.score, 6) + 0.0 AS score, round(s.pvalue, 6) + 0.0 AS pvalue, round(t.qvalue, 6) + 0.0 AS qvalue FROM scored s JOIN chroms c ON c.chrom_idx = s.sub LEFT JOIN tested t USING (sub, i, j)", _QUANTIFY)
 def quantify_full(spark, sf_dir):
-    k, c = F.col("o_orderkey"), F.concat(F.lit("chr"), (F.col("o_custkey") % 4 + 1).cast("string"))
-    a = k * 7 % 30 * BIN_SIZE
-    b = a + k % 20 * BIN_SIZE
-    positions = table(spark, sf_dir, "orders").select(c.alias("chrom1"), a.alias("start1"), (a + BIN_SIZE).alias("end1"), c.alias("chrom2"), b.alias("start2"), (b + BIN_SIZE).alias("end2"))
-    rows = pipeline.quantify(base_map(spark, sf_dir), replace(CONFIG, pearson=0.0), positions)
+    m = base_map(spark, sf_dir)
+    side = m.chroms.select("chrom", F.col("chrom_idx").alias("sub"), (F.col("end_bin") - F.col("start_bin")).alias("n"))
+    k = F.col("o_orderkey")
+    at = table(spark, sf_dir, "orders").select(k, (F.col("o_custkey") % 4).alias("sub")).join(F.broadcast(side), "sub")
+    at = at.select("chrom", (k * 7 % F.col("n")).alias("i"), (k % 20).alias("d"), "n").where("i + d < n")
+    a, b = F.col("i") * BIN_SIZE, (F.col("i") + F.col("d")) * BIN_SIZE
+    positions = at.select(F.col("chrom").alias("chrom1"), a.alias("start1"), (a + BIN_SIZE).alias("end1"), F.col("chrom").alias("chrom2"), b.alias("start2"), (b + BIN_SIZE).alias("end2"))
+    rows = pipeline.quantify(m, replace(CONFIG, pearson=0.0), positions)
     return rows.drop("window").withColumns({x: six(x) for x in ("score", "pvalue", "qvalue")})

@@ -50,7 +50,14 @@ def read_map(spark: SparkSession, folder: str) -> ContactMap:
     last = F.max("end").over(Window.partitionBy("chrom"))
     if bins.withColumn("last", last).where((F.col("end") - F.col("start") != size) & (F.col("end") != F.col("last"))).limit(1).count():
         raise ValueError("bins of different sizes")
-    return ContactMap(chrom_offsets(bins), bins, pixels.where("bin1_id <= bin2_id"), int(size))
+    # A map with both triangles has each pixel twice; one with pixels in either order is folded.
+    lower = pixels.where("bin1_id > bin2_id")
+    if lower.limit(1).count():
+        turned = lower.select(F.col("bin2_id").alias("bin1_id"), F.col("bin1_id").alias("bin2_id"), "count")
+        above = pixels.where("bin1_id <= bin2_id").select("bin1_id", "bin2_id", "count")
+        missing = turned.join(above.select("bin1_id", "bin2_id"), ["bin1_id", "bin2_id"], "left_anti")
+        pixels = above.unionByName(missing)
+    return ContactMap(chrom_offsets(bins), bins, pixels, int(size))
 
 
 def write_map(cmap: ContactMap, folder: str) -> None:
@@ -59,6 +66,17 @@ def write_map(cmap: ContactMap, folder: str) -> None:
     cmap.pixels.write.parquet(f"{folder}/pixels")
 
 
+def write_weights(cmap: ContactMap, folder: str) -> None:
+    """The bins of a map folder with new weights; the old ones are replaced once the new ones are complete."""
+    spark = cmap.bins.sparkSession
+    cmap.bins.write.mode("overwrite").parquet(f"{folder}/bins_new")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.rename(path(f"{folder}/bins"), path(f"{folder}/bins_old"))
+    fs.rename(path(f"{folder}/bins_new"), path(f"{folder}/bins"))
+    fs.delete(path(f"{folder}/bins_old"), True)
+
+
 def cooccurrence(rows: DataFrame, key: str, bin_id: str) -> DataFrame:
     """Upper-triangle pixels: pairs of rows with one key, by their bins.
 
@@ -73,8 +91,11 @@ def cooccurrence(rows: DataFrame, key: str, bin_id: str) -> DataFrame:
 
 
 def read_bedgraph2(spark: SparkSession, path: str, bins: DataFrame) -> DataFrame:
-    """Seven columns (two intervals and a count) to pixels, by the starts of the bins."""
+    """Seven columns (two intervals and a count) to pixels, by the bins that hold their starts; contacts outside the bins go."""
     raw = spark.read.csv(path, sep="\t", schema=f"{BED2D}, count double")
+    size = bins.agg(F.max(F.col("end") - F.col("start"))).first()[0]
+    for k in (1, 2):
+        raw = raw.withColumn(f"start{k}", (F.floor(F.col(f"start{k}") / size) * size).cast("long"))
     keys = lambda k: bins.select(F.col("chrom").alias(f"chrom{k}"), F.col("start").alias(f"start{k}"), F.col("bin_id").alias(f"bin{k}_id"))
     return upper(raw.join(keys(1), ["chrom1", "start1"]).join(keys(2), ["chrom2", "start2"]))
 

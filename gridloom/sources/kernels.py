@@ -31,24 +31,25 @@ def bump(size: int, spread: float, height: float = 1.0, base: float = 1.0) -> np
     return base + height * np.exp(-(x[:, None] ** 2 + x[None, :] ** 2) / (2 * spread**2))
 
 
-def corner(size: int, inside: float = 1.5, outside: float = 0.5, shift: int = 0) -> np.ndarray:
-    """Two dense blocks that meet on the diagonal: a border between domains."""
-    h = size // 2 + shift
-    x = np.arange(size)
-    same = (x[:, None] < h) == (x[None, :] < h)
-    return np.where(same, inside, outside).astype(float)
+def blocks(size: int, before: bool = True, after: bool = True, inside: float = 1.5, outside: float = 0.5) -> np.ndarray:
+    """Dense blocks up-left (``before``) and down-right (``after``) of a corner on the diagonal: a border between
+    domains, or the end or the beginning of one. The centre belongs to the block after it."""
+    late = np.arange(size) >= size // 2
+    dense = (before & ~late[:, None] & ~late[None, :]) | (after & late[:, None] & late[None, :])
+    return np.where(dense, inside, outside).astype(float)
 
 
-def anti_diagonal(size: int, height: float = 1.0, base: float = 0.8) -> np.ndarray:
-    """A ridge across the diagonal: a hairpin."""
+def anti_diagonal(size: int, height: float = 1.25, base: float = 0.5) -> np.ndarray:
+    """A ridge of five cells across the diagonal, one before the centre's anti-diagonal and three behind it: a hairpin."""
     x = np.arange(size) - size // 2
-    return base + height * np.exp(-((x[:, None] + x[None, :]) ** 2) / 4.0)
+    along = x[:, None] + x[None, :]
+    return base + height * ((along >= -1) & (along <= 3))
 
 
 def stripe(size: int, left: bool) -> np.ndarray:
-    """A line of one pixel from the centre: a stripe along the columns (left) or rows."""
+    """A line of one pixel through the centre: along the row (left: the bin of the row contacts all) or the column."""
     k = np.zeros((size, size))
-    k[:, size // 2] = 1.0
+    k[size // 2] = 1.0
     return k if left else k.T
 
 
@@ -66,7 +67,7 @@ def _preset(name, kernels, max_dist, min_dist, pearson, zero, undetected, separa
 PRESETS = {
     "loops": lambda: _preset("loops", [bump(17, 2.5)], 2_000_000, 20_000, 0.3, 10, 50, 5000, 2000),
     "loops_small": lambda: _preset("loops_small", [bump(7, 1.3)], 2_000_000, 20_000, 0.5, 10, 50, 5000, 2000),
-    "borders": lambda: _preset("borders", [corner(17), corner(17, shift=1), corner(17, 1.8, 0.4)], 0, 0, 0.15, 10, 75, 5000, 5000),
+    "borders": lambda: _preset("borders", [blocks(17), blocks(17, after=False), blocks(17, before=False)], 0, 0, 0.15, 10, 75, 5000, 5000),
     "hairpins": lambda: _preset("hairpins", [anti_diagonal(15)], 0, 0, 0.1, 10, 75, 5000, 10_000),
     "centromeres": lambda: _preset("centromeres", [cross(17)], 0, 0, 0.5, 30, 50, 100_000, 2000),
     "stripes_left": lambda: _preset("stripes_left", [stripe(31, True)], 2_000_000, 60_000, 0.17, 80, 50, 40_000, 10_000),

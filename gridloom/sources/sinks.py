@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from pathlib import Path
+from xml.sax.saxutils import escape
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,10 +20,13 @@ def check_prefix(prefix: str) -> None:
 
 
 def write_patterns(patterns: DataFrame, prefix: str, decimals: int = 10, order: list[str] | None = None) -> str:
-    """One tab-separated file with a header, fractions with ``decimals`` digits; patterns are few (one per focus)."""
+    """One tab-separated file with a header, fractions with ``decimals`` digits; patterns are few (one per focus).
+
+    A struct column only serves to order."""
     check_prefix(prefix)
     path = f"{prefix}.tsv"
     rows = patterns.orderBy(*order) if order else patterns
+    patterns = patterns.drop(*[c for c, kind in patterns.dtypes if kind.startswith("struct")])
     shown = [F.format_string(f"%.{decimals}f", F.col(c)).alias(c) if kind == "double" else F.col(c).cast("string").alias(c) for c, kind in patterns.dtypes]
     with open(path, "w") as out:
         out.write("\t".join(patterns.columns) + "\n")
@@ -43,6 +47,18 @@ def save_windows(windows: np.ndarray, prefix: str, kind: str = "json") -> str:
     return f"{prefix}.{kind}"
 
 
+def save_pileup(pile: np.ndarray, prefix: str, title: str) -> str:
+    """The mean window as a drawing: blue below 1, red above, from 0 to 2; missing cells are grey."""
+    check_prefix(prefix)
+    cell, (height, width) = 16, pile.shape
+    fade = lambda x: round(255 * (1 - abs(min(max(x, 0.0), 2.0) - 1)))
+    colour = lambda x: "#999999" if np.isnan(x) else f"rgb(255,{fade(x)},{fade(x)})" if x > 1 else f"rgb({fade(x)},{fade(x)},255)"
+    body = [f'<rect x="{b * cell}" y="{(a + 2) * cell}" width="{cell}" height="{cell}" fill="{colour(x)}"><title>{x:.4f}</title></rect>' for (a, b), x in np.ndenumerate(pile)]
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{max(width * cell, 260)}" height="{(height + 2) * cell}"><text x="2" y="{cell}" font-size="13">{escape(title)}</text>'
+    Path(f"{prefix}.svg").write_text("\n".join([head, *body, "</svg>"]))
+    return f"{prefix}.svg"
+
+
 def dump_stage(df: DataFrame, folder: str | None, name: str) -> DataFrame:
     """Write a stage below ``folder`` and go on from what was written; without a folder nothing happens."""
     if not folder:

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from gridloom.cli import main
-from gridloom.sources.contacts import write_map
+from gridloom.sources.contacts import read_map, write_map
 from gridloom.streaming.contacts import start
 from gridloom.synth import synthetic_map
 
@@ -22,7 +22,11 @@ def test_detect_quantify_and_view(spark, tmp_path, capsys):
     common = ["--pattern", "loops_small", "--max-dist", "45000", "--min-dist", "2000", "--max-perc-zero", "30"]
     assert main(["detect", str(tmp_path / "map"), str(tmp_path / "out"), *common, "--subsample", "0.9", "--dump", str(tmp_path / "dump")]) == 0
     rows = (tmp_path / "out.tsv").read_text().splitlines()
-    assert len(rows) > 3 and (tmp_path / "out.json").exists()
+    # One window a pattern, in the order of the table, and a drawing of their mean.
+    shown = json.loads((tmp_path / "out.json").read_text())
+    assert len(rows) > 3 and list(shown) == [str(k) for k in range(len(rows) - 1)] and len(shown["0"]) == 7
+    assert (tmp_path / "out.svg").read_text().count("<rect") == 49
+    assert {x.name for x in (tmp_path / "dump").iterdir()} >= {"00_subsampled", "00_balanced", "01_signal_0", "02_diag_trim", "02_distance_law", "03_normxcorr2_intra_0", "05_foci_intra_0"}
     bed = tmp_path / "p.bed2d"
     bed.write_text("".join("\t".join(("chr1", str(a * 1000), str(a * 1000 + 1000), "chr1", str(b * 1000), str(b * 1000 + 1000))) + "\n" for a, b in places))
     assert main(["quantify", str(tmp_path / "map"), str(bed), str(tmp_path / "q"), *common, "--win-fmt", "npy"]) == 0
@@ -30,7 +34,20 @@ def test_detect_quantify_and_view(spark, tmp_path, capsys):
     assert len(scores) == 4 and min(scores) > 0.4
     assert main(["generate-config", str(tmp_path / "own"), "--preset", "loops_small", "--map", str(tmp_path / "map"), "--positions", str(bed)]) == 0
     assert main(["detect", str(tmp_path / "map"), str(tmp_path / "out2"), "--kernel-config", str(tmp_path / "own.json"), "--max-dist", "45000", "--max-perc-zero", "30"]) == 0
+    more = ["--tsvd", "--win-size", "9", "--iterations", "2", "--no-plotting", "--norm", "force", "--n-mads", "4", "--plan", "scatter"]
+    assert main(["detect", str(tmp_path / "map"), str(tmp_path / "out3"), *common, *more]) == 0
+    assert not (tmp_path / "out3.svg").exists() and len(json.loads((tmp_path / "out3.json").read_text())["0"]) == 9
+    weights = [r.weight for r in read_map(spark, str(tmp_path / "map")).bins.collect()]
+    assert None in weights and len({w for w in weights if w}) > 50  # written back
+    assert main(["quantify", str(tmp_path / "map"), str(bed), str(tmp_path / "q2"), *common, "--tsvd", "--subsample", "0.5", "--win-size", "9"]) == 0
+    assert len(json.loads((tmp_path / "q2.json").read_text())) == 4
+    assert main(["generate-config", str(tmp_path / "own2"), "--preset", "loops_small", "--map", str(tmp_path / "map"), "--positions", str(bed), "--chroms", "chr1", "--norm", "raw"]) == 0
+    with pytest.raises(OSError):
+        main(["detect", str(tmp_path / "map"), str(tmp_path / "none" / "x"), *common])
     capsys.readouterr()
+    assert main(["view", str(tmp_path / "map"), "--region", "chr1:0-30000", "--region2", "chr1:20000-60000", "--patterns", str(tmp_path / "out.tsv")]) == 0
+    drawn = capsys.readouterr().out.splitlines()
+    assert len(drawn) == 30 and len(drawn[0]) == 40 and any("X" in x for x in drawn)
     assert main(["view", str(tmp_path / "map"), "--region", "chr1:0-30000", "--log"]) == 0
     assert len(capsys.readouterr().out.splitlines()) == 30
 
@@ -44,3 +61,10 @@ def test_stream_of_contacts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert pixels in ({(1, 2): 3.0, (3, 3): 1.0}, {(1, 2): 2.0, (3, 3): 2.0})
+
+
+def test_the_synthetic_map(capsys, spark):
+    assert main(["test"]) == 0 and "detected" in capsys.readouterr().out
+    with pytest.raises(SystemExit) as end:
+        main(["--version"])
+    assert end.value.code == 0 and capsys.readouterr().out.strip()

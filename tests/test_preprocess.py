@@ -1,9 +1,11 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import balance, genome, preprocess
-from gridloom.sources.contacts import BINS, chrom_offsets, cooccurrence, read_bed2d, read_map, upper, write_map
+from gridloom.sources.contacts import BINS, chrom_offsets, cooccurrence, read_bed2d, read_bedgraph2, read_map, upper, write_map, write_weights
 from gridloom.synth import synthetic_map
 
 
@@ -56,6 +58,9 @@ def test_subsample_is_exact_and_refuses_too_many(spark):
     pix = spark.createDataFrame([(i, i + 1, float(i + 1)) for i in range(30)], "bin1_id long, bin2_id long, count double")
     got = {(r.bin1_id, r.bin2_id): r["count"] for r in preprocess.subsample(pix, 100, 5).collect()}
     assert sum(got.values()) == 100 and all(v <= k[0] + 1 for k, v in got.items())
+    assert {(r.bin1_id, r.bin2_id): r["count"] for r in preprocess.subsample(pix.repartition(7), 100, 5).collect()} == got
+    assert {(r.bin1_id, r.bin2_id): r["count"] for r in preprocess.subsample(pix, 100, 6).collect()} != got
+    assert sum(r["count"] for r in preprocess.subsample(pix, 465).collect()) == 465 and preprocess.subsample(pix, 0).count() == 0
     with pytest.raises(ValueError):
         preprocess.subsample(pix, 10**6)
 
@@ -111,3 +116,38 @@ def test_bed2d_header_and_swap(spark, tmp_path):
         path.write_text(head + body)
         got = {tuple(r) for r in read_bed2d(spark, str(path)).collect()}
         assert got == {("chr1", 100, 150, "chr1", 500, 600), ("chr1", 5, 6, "chr2", 1, 2)}
+
+
+def test_bedgraph2(spark, tmp_path):
+    path = tmp_path / "x.bg2"
+    path.write_text("chr1\t0\t1000\tchr1\t2000\t3000\t3\nchr1\t2500\t2600\tchr1\t10\t20\t2\nchr1\t0\t9\tchr2\t1100\t1200\t1\nchr1\t90000\t90001\tchr1\t0\t1\t5\n")
+    bins = spark.createDataFrame([(b, f"chr{b // 3 + 1}", b % 3 * 1000, b % 3 * 1000 + 1000, None) for b in range(6)], BINS)
+    assert {tuple(r) for r in read_bedgraph2(spark, str(path), bins).collect()} == {(0, 2, 5.0), (0, 4, 1.0)}
+
+
+def test_lower_pixels_are_folded_and_bins_checked(spark, tmp_path):
+    bins = spark.createDataFrame([(b, "c", b * 10, b * 10 + 10, 1.0) for b in range(4)], BINS)
+    bins.write.parquet(str(tmp_path / "m" / "bins"))
+    spark.createDataFrame([(0, 1, 2.0), (1, 0, 2.0), (3, 2, 4.0), (2, 2, 1.0)], "bin1_id long, bin2_id long, count double").write.parquet(str(tmp_path / "m" / "pixels"))
+    cmap = read_map(spark, str(tmp_path / "m"))
+    assert {tuple(r) for r in cmap.pixels.collect()} == {(0, 1, 2.0), (2, 3, 4.0), (2, 2, 1.0)}
+    write_weights(replace(cmap, bins=bins.withColumn("weight", F.lit(0.5))), str(tmp_path / "m"))
+    assert {r.weight for r in read_map(spark, str(tmp_path / "m")).bins.collect()} == {0.5}
+    uneven = spark.createDataFrame([(0, "c", 0, 10, 1.0), (1, "c", 10, 15, 1.0), (2, "c", 15, 25, 1.0)], BINS)
+    uneven.write.parquet(str(tmp_path / "u" / "bins"))
+    cmap.pixels.limit(0).write.parquet(str(tmp_path / "u" / "pixels"))
+    with pytest.raises(ValueError):
+        read_map(spark, str(tmp_path / "u"))
+
+
+def test_local_bins_in_a_genome_of_many_scaffolds(spark):
+    rng = np.random.default_rng(3)
+    sizes = [int(x) for x in rng.choice([1, 1, 2, 3, 400], 300)]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    chroms = spark.createDataFrame([(f"s{k}", k, n, int(starts[k]), int(starts[k + 1])) for k, n in enumerate(sizes)], "chrom string, chrom_idx int, length long, start_bin long, end_bin long")
+    pixels = [(int(min(a, b)), int(max(a, b)), 1.0) for a, b in rng.integers(0, starts[-1], (500, 2))]
+    of = lambda b: int(np.searchsorted(starts, b, "right")) - 1
+    want = sorted((of(a), of(b), a - int(starts[of(a)]), b - int(starts[of(b)])) for a, b, _ in pixels)
+    got = genome.to_local(spark.createDataFrame(pixels, "bin1_id long, bin2_id long, count double"), chroms, inter=True)
+    assert sorted((r.sub1, r.sub2, r.i, r.j) for r in got.collect()) == want
+    assert genome.chrom_cells(chroms)[0].count() <= 2 * len(sizes)

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 #: One of each kind; the driver compares all of them.
-CHOSEN = ["contact_pixels", "coords_to_bins", "bed2d_normalise", "bed_pairs_range_join", "bin_marginals", "detectable_intra", "detectable_inter", "ice_2iter", "detrended", "inter_median_scale", "ztransform", "sampled_contacts_hash", "normxcorr_masked", "normxcorr_tiled", "normxcorr_inter", "foci_labels", "window_validity", "footprint_bands", "nms_greedy", "fdr_bh", "best_kernel", "symmetric_map", "detect_full"]
+CHOSEN = ["contact_pixels", "coords_to_bins", "bed2d_normalise", "bed_pairs_range_join", "bin_marginals", "detectable_intra", "detectable_inter", "ice_2iter", "detrended", "inter_median_scale", "ztransform", "sampled_contacts_hash", "normxcorr_masked", "normxcorr_tiled", "normxcorr_inter", "foci_labels", "window_validity", "footprint_bands", "nms_greedy", "fdr_bh", "best_kernel", "symmetric_map", "detect_full", "detect_kernels", "detect_windows", "normxcorr_tsvd", "detrended_smooth", "detrended_raw", "sampled_contacts_exact", "quantify_full"]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables are absent")
 
@@ -47,7 +47,6 @@ def test_every_oracle_has_a_query():
 
 @needs_data
 def test_suppression_over_all_points_equals_a_walk(spark):
-    """Patterns outside the top 300 by score must take part: nms_greedy stops there, as its SQL does."""
     from gridloom.plans.queries import _points
 
     points = [tuple(r) for r in _points(spark, FOLDER).select("bin1", "bin2", "score").collect()]
@@ -56,7 +55,7 @@ def test_suppression_over_all_points_equals_a_walk(spark):
     for p in sorted(points, key=lambda p: (-p[2], p[0], p[1])):
         if not any(abs(p[0] - q[0]) < 5 and abs(p[1] - q[1]) < 5 for q in kept):
             kept.append(p)
-    got = [tuple(r) for r in entry.queries()["nms_greedy_all"](spark, FOLDER).select("bin1", "bin2", "score").collect()]
+    got = [tuple(r) for r in entry.queries()["nms_greedy"](spark, FOLDER).select("bin1", "bin2", "score").collect()]
     assert sorted(got) == sorted(kept)
 
 

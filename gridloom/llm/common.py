@@ -2,62 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.scratch import delete, remove_at_exit, shared_root, ship
+
 #: Java regular expressions of ASCII white space and of a word.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_local_root: str | None = None
-_shipped: set[str] = set()
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` if it is set. Where it isn't: a temporary folder in plain local mode
-    (driver and executors are one process), the warehouse folder elsewhere.
-    """
-    global _local_root
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        if _local_root is None:
-            _local_root = tempfile.mkdtemp(prefix="gridloom-")
-            atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
-        return f"file://{_local_root}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_gridloom"
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their Python can import it."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="gridloom-ship-")) / "gridloom_package.zip"
-    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
-    with zipfile.ZipFile(target, "w") as archive:
-        for file in sorted(package.rglob("*.py")):
-            archive.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(target))
-    _shipped.add(context.applicationId)
-
-
 #: Bytes of an Arrow batch on its way to Python: texts can be long, and pandas holds a batch several times over.
 ARROW_BYTES = 8 << 20
 
@@ -74,6 +33,7 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        remove_at_exit(spark, self.path)
 
     def sub(self, name: str) -> str:
         self._n += 1
@@ -87,9 +47,7 @@ class Workspace:
 
     def drop(self, *paths: str) -> None:
         """Delete files that nothing reads any more."""
-        for path in paths:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(self.spark, *paths)
 
     def forget(self, *tables: DataFrame | None) -> None:
         """Delete tables of ``keep`` that nothing reads any more: what came of them is written."""

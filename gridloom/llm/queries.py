@@ -88,6 +88,53 @@ def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_column(work.keep(encode_column(read_table(spark, sf_dir, "documents")), "media"))
 
 
+#: Words, targets by levels (sources below the level are full), and one draw a document.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1
+), c AS (
+  SELECT *, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w, source_size * 2::DOUBLE AS cap FROM s
+), l AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
+  FROM c WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT level FROM l WHERE cap / w >= level ORDER BY cap / w, level DESC LIMIT 1) * w, cap)) AS target FROM l
+), r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2::DOUBLE) ELSE 0::DOUBLE END AS rate FROM t
+), n AS (
+  SELECT d.doc_id, d.size, r.source_size, r.target, r.rate, ('0x' || substr(md5('42:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS draw
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM n
+"""
+
+#: All windows of 50 bytes (as hexadecimal digits, cut from pieces), those that a smaller doc_id has, and runs of them.
+OP4_SQL = """
+WITH b AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS d, hex(encode(coalesce(text, ''))) AS h FROM documents
+), p AS (
+  SELECT r, d, k * 1024 AS base, substr(h, k * 2048 + 1, 2048 + 98) AS piece FROM (SELECT r, d, h, unnest(range((len(h) + 2047) // 2048)) AS k FROM b)
+), w AS (
+  SELECT r, d, base + o AS start, substr(piece, 2 * o + 1, 100) AS bytes FROM (SELECT *, unnest(range(least(1024, len(piece) // 2 - 49))) AS o FROM p WHERE len(piece) >= 100)
+), m AS (
+  SELECT bytes, min(d) AS first FROM w GROUP BY 1
+), g AS (
+  SELECT w.r, w.start, w.start > coalesce(lag(w.start) OVER (PARTITION BY w.r ORDER BY w.start) + 50, -1) AS opens FROM w JOIN m USING (bytes) WHERE m.first < w.d
+), i AS (
+  SELECT r, k, min(start) AS a, max(start) + 50 AS z FROM (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY r ORDER BY start) AS k FROM g) GROUP BY 1, 2
+), e AS (
+  SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM i
+), q AS (
+  SELECT e.r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(b.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM e JOIN b USING (r) GROUP BY 1
+)
+SELECT b.doc_id, (len(b.h) // 2)::BIGINT AS n_bytes, coalesce(q.n_removed, 0)::BIGINT AS n_removed, coalesce(q.n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN q.r IS NULL THEN b.h ELSE q.head || substr(b.h, 2 * q.last + 1) END)) AS kept_sha256
+FROM b LEFT JOIN q USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -102,5 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": OP3_SQL,
+    "op4_suffix_dedup": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
 }

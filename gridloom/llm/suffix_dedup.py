@@ -139,82 +139,172 @@ def _range_least(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return out
 
 
-class _File:
-    """One array of the construction in two external files: each round reads one in order and writes the other."""
-
-    def __init__(self, folder: str, name: str, start: np.ndarray, most: int):
-        self.files = [np.memmap(f"{folder}/{name}{k}", start.dtype, "w+", shape=(most,)) for k in (0, 1)]
-        self.now = self.files[0][: len(start)]
-        self.now[:] = start
+#: Elements of the external files that are held at once.
+CHUNK = 1 << 18
 
-    def merge(self, at: np.ndarray, values: np.ndarray, rest: np.ndarray) -> None:
-        self.files.reverse()
-        new = self.files[0][: len(rest)]
-        new[rest], new[at] = self.now, values
-        self.now = new
 
-
-def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class _File:
+    """One array of the construction in two external files: each round reads one from its beginning to its end and writes
+    the other likewise."""
+
+    def __init__(self, folder: str, name: str, start: np.ndarray):
+        self.paths = [f"{folder}/{name}{k}" for k in (0, 1)]
+        self.kind = start.dtype
+        start.tofile(self.paths[0])
+        self.reader = self.writer = None
+
+    def open(self, write: bool = False) -> None:
+        self.reader = open(self.paths[0], "rb")  # noqa: SIM115
+        self.writer = open(self.paths[1], "wb") if write else None  # noqa: SIM115
+
+    def read(self, n: int) -> np.ndarray:
+        return np.fromfile(self.reader, self.kind, n)
+
+    def close(self) -> None:
+        self.reader.close()
+        if self.writer:
+            self.writer.close()
+            self.paths.reverse()
+
+    def all(self) -> np.ndarray:
+        return np.fromfile(self.paths[0], self.kind)
+
+
+class _Round:
+    """The scan of a round: ranks of the active positions among equal symbols, and what they share with their neighbours."""
+
+    def __init__(self, place: np.ndarray, n_symbols: int):
+        self.place = place  # ascending
+        self.symbol = np.zeros(len(place), np.int64)
+        self.rank = np.zeros(len(place), np.int64)
+        self.with_before = np.zeros(len(place), np.uint8)
+        self.with_next = np.zeros(len(place), np.uint8)
+        self.counts = np.zeros(n_symbols, np.int64)
+        self.low = np.full(n_symbols, 255, np.uint8)  # least common prefix since the last of each symbol
+        self.waiting = np.full(n_symbols, -1, np.int64)  # active position whose next equal symbol lies ahead
+        self.done = 0
+
+    def chunk(self, start: int, b: np.ndarray, lcp: np.ndarray) -> None:
+        order = np.argsort(b, kind="stable")
+        counts = np.bincount(b, minlength=len(self.counts))
+        first = np.cumsum(counts) - counts
+        turn = np.empty(len(b), np.int64)
+        turn[order] = np.arange(len(b))
+        end = int(np.searchsorted(self.place, start + len(b)))
+        mine = np.arange(self.done, end)
+        self.done = end
+        p = self.place[mine] - start
+        c = b[p].astype(np.int64)
+        j = turn[p]
+        inside = j - first[c]
+        self.symbol[mine] = c
+        self.rank[mine] = self.counts[c] + inside
+        lowest = np.minimum.accumulate(lcp)
+        k = np.flatnonzero(inside > 0)
+        if len(k):
+            self.with_before[mine[k]] = 1 + _range_least(lcp, order[j[k] - 1] + 1, p[k] + 1)
+        k = np.flatnonzero((inside == 0) & (self.counts[c] > 0))
+        if len(k):
+            self.with_before[mine[k]] = 1 + np.minimum(self.low[c[k]], lowest[p[k]])
+        k = np.flatnonzero(inside < counts[c] - 1)
+        if len(k):
+            self.with_next[mine[k]] = 1 + _range_least(lcp, p[k] + 1, order[j[k] + 1] + 1)
+        # Symbols with an active position before: its next equal one is the first of this chunk.
+        here = np.flatnonzero(counts > 0)
+        ready = here[self.waiting[here] >= 0]
+        if len(ready):
+            self.with_next[self.waiting[ready]] = 1 + np.minimum(self.low[ready], lowest[order[first[ready]]])
+            self.waiting[ready] = -1
+        k = np.flatnonzero(inside == counts[c] - 1)
+        self.waiting[c[k]] = mine[k]
+        # What follows the last of each symbol, up to the end of the chunk.
+        self.low = np.minimum(self.low, lowest[-1])
+        after = np.minimum.accumulate(lcp[::-1])[::-1]
+        last = order[first[here] + counts[here] - 1]
+        self.low[here] = np.where(last + 1 < len(b), after[np.minimum(last + 1, len(b) - 1)], 255)
+        self.counts += counts
+
+
+def _merge(files: list[_File], at: np.ndarray, values: list[np.ndarray], with_next: np.ndarray, total: int, chunk: int) -> None:
+    """New elements into the files (the common prefixes come second), read and written in order; ``at`` ascends."""
+    for file in files:
+        file.open(write=True)
+    done = 0
+    for start in range(0, total, chunk):
+        n = min(chunk, total - start)
+        end = int(np.searchsorted(at, start + n))
+        here = at[done:end] - start
+        rest = np.ones(n, bool)
+        rest[here] = False
+        for which, (file, own) in enumerate(zip(files, values, strict=True)):
+            new = np.empty(n, file.kind)
+            new[rest], new[here] = file.read(n - len(here)), own[done:end]
+            if which == 1:
+                behind = at + 1 - start
+                k = np.flatnonzero((behind >= 0) & (behind < n)) if len(at) <= n else np.arange(*np.searchsorted(at, (start - 1, start + n - 1)))
+                new[behind[k]] = with_next[k]
+                if start == 0:
+                    new[0] = 0
+            new.tofile(file.writer)
+        done = end
+    for file in files:
+        file.close()
+
+
+def suffix_order(strings: list[bytes], chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All suffixes of all strings in order: string, length, and length of the common prefix with the one before.
 
-    An end sorts before any byte; equal suffixes sort by their strings' ends, and so by string number.
+    An end sorts before any byte; equal suffixes sort by their strings' ends, and so by string number. Round r inserts the
+    suffix of length r + 1 of every string that has one: a scan of the transform and the common prefixes in order, then a
+    merge that reads the files in order and writes new ones. What is held is a number a string and a chunk of each file.
     """
     sizes = np.array([len(s) for s in strings])
-    most, total = int(sizes.max()), int(sizes.sum())
+    most, total = int(sizes.max()), len(strings)
     data = np.frombuffer(b"".join(strings), np.uint8)
     # Symbols: the bytes that occur, numbered in their order from 1; 0 is an end.
     occurs = np.zeros(256, bool)
     occurs[data] = True
     n_symbols = int(occurs.sum()) + 1
     code = np.cumsum(occurs).astype(np.uint8 if n_symbols <= 256 else np.uint16)
-    symbols = np.zeros((len(strings), most + 1), code.dtype)  # right-aligned
-    symbols[np.arange(most + 1) > most - sizes[:, None]] = code[data]
-    symbols = np.ascontiguousarray(symbols.T)
-    column = lambda r: symbols[most + 1 - r] if r <= most + 1 else symbols[0]  # noqa: E731  the r-th symbol from the right
     folder = tempfile.mkdtemp(prefix="columns-")
     try:
+        symbols = np.zeros((len(strings), most + 1), code.dtype)  # right-aligned
+        symbols[np.arange(most + 1) > most - sizes[:, None]] = code[data]
+        np.ascontiguousarray(symbols.T[::-1]).tofile(f"{folder}/symbols")
+        del symbols
+        column = lambda r: np.fromfile(f"{folder}/symbols", code.dtype, len(strings), offset=(r - 1) * len(strings) * code.dtype.itemsize) if r <= most + 1 else np.zeros(len(strings), code.dtype)  # noqa: E731  the r-th symbol from the right
         last = column(1)
         order = np.argsort(last, kind="stable")
         sorted_last = last[order]
-        before = _File(folder, "transform", column(2)[order], total)
-        common = _File(folder, "common", np.concatenate([[0], sorted_last[1:] == sorted_last[:-1]]).astype(np.uint8), total)
-        which = _File(folder, "suffix", order << 8 | 1, total)  # string and length
+        before = _File(folder, "transform", column(2)[order])
+        common = _File(folder, "common", np.concatenate([[0], sorted_last[1:] == sorted_last[:-1]]).astype(np.uint8))
+        which = _File(folder, "suffix", order << 8 | 1)  # string and length
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         ends = np.bincount(last, minlength=n_symbols)
         for r in range(1, most):
             active = np.flatnonzero(sizes > r)
-            b, lcp = np.asarray(before.now), np.asarray(common.now)
-            p = place[active]
-            c = b[p]
-            by_symbol = np.argsort(b, kind="stable")
-            counts = np.bincount(b, minlength=n_symbols)
-            first = np.cumsum(counts) - counts
-            turn = np.empty(len(b), np.int32)
-            turn[by_symbol] = np.arange(len(b), dtype=np.int32)
-            j = turn[p]
-            rank = j - first[c]
-            starting = ends + counts
+            active = active[np.argsort(place[active])]
+            scan = _Round(place[active], n_symbols)
+            before.open()
+            common.open()
+            for start in range(0, total, chunk):
+                n = min(chunk, total - start)
+                scan.chunk(start, before.read(n), common.read(n))
+            before.close()
+            common.close()
+            c = scan.symbol
+            starting = ends + scan.counts
             starting[0] = 0
-            at = (np.cumsum(starting) - starting)[c] + ends[c] + rank
-            with_before = (ends[c] > 0).astype(np.uint8)
-            k = np.flatnonzero(rank > 0)
-            if len(k):
-                with_before[k] = 1 + _range_least(lcp, by_symbol[j[k] - 1] + 1, p[k] + 1)
-            with_next = np.zeros(len(p), np.uint8)
-            k = np.flatnonzero(rank < counts[c] - 1)
-            if len(k):
-                with_next[k] = 1 + _range_least(lcp, p[k] + 1, by_symbol[j[k] + 1] + 1)
-            rest = np.ones(len(b) + len(at), bool)
-            rest[at] = False
-            before.merge(at, column(r + 2)[active], rest)
-            common.merge(at, with_before, rest)
-            which.merge(at, active << 8 | (r + 1), rest)
-            inner = at + 1 < len(rest)
-            common.now[at[inner] + 1] = with_next[inner]
-            common.now[0] = 0
+            at = (np.cumsum(starting) - starting)[c] + ends[c] + scan.rank
+            with_before = np.where(scan.with_before > 0, scan.with_before, ends[c] > 0).astype(np.uint8)
             place[active] = at
-        return (which.now >> 8).astype(np.int64), np.array(which.now & 255), np.array(common.now)
+            total += len(active)
+            turn = np.argsort(at)
+            values = [column(r + 2)[active][turn], with_before[turn], (active << 8 | (r + 1))[turn]]
+            _merge([before, common, which], at[turn], values, scan.with_next[turn], total, chunk)
+        suffix = which.all()
+        return (suffix >> 8).astype(np.int64), suffix & 255, common.all()
     finally:
         shutil.rmtree(folder, ignore_errors=True)
 

@@ -181,17 +181,18 @@ def test_near_stage_drops_all_pairs_from_four_fifths_up(spark):
     assert corpus_pipeline.near(spark, docs(spark, []), "").count() == 0
 
 
-def test_suffix_order_equals_sorting():
+@pytest.mark.parametrize("chunk", [1 << 18, 7, 1])
+def test_suffix_order_equals_sorting(chunk):
     rng = random.Random(1)
     for _ in range(120):
         strings = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(1, 9))]
-        owner, size, common = suffix_dedup.suffix_order(strings)
+        owner, size, common = suffix_dedup.suffix_order(strings, chunk)
         got = [strings[o][len(strings[o]) - n :] for o, n in zip(owner.tolist(), size.tolist(), strict=True)]
         assert list(zip(got, owner.tolist(), strict=True)) == sorted((s[i:], k) for k, s in enumerate(strings) for i in range(len(s)))
         for a, b, n in zip(got, got[1:], common[1:].tolist(), strict=False):
             assert a[:n] == b[:n] and (len(a) == n or len(b) == n or a[n] != b[n])
     every = [bytes(range(256)), bytes(range(255, -1, -1))[:60]]
-    owner, size, _ = suffix_dedup.suffix_order([s[:200] for s in every])
+    owner, size, _ = suffix_dedup.suffix_order([s[:200] for s in every], max(chunk, 50))
     assert len(owner) == 260
 
 

@@ -1,4 +1,4 @@
-"""Command line: detect, quantify, generate-config, list-kernels, view, test. Maps are folders of bins and pixels as Parquet."""
+"""Command line: detect, quantify, generate-config, list-kernels, view, convert, test. Maps are folders of bins and pixels as Parquet."""
 
 from __future__ import annotations
 
@@ -74,6 +74,10 @@ def parser() -> argparse.ArgumentParser:
     view.add_argument("--region2", help="chrom:start-end, the columns; the rows' region without it")
     view.add_argument("--patterns", help="table of detected patterns, shown as X")
     view.add_argument("--log", action="store_true")
+    convert = commands.add_parser("convert", help="a map folder from dumped tables of bins and pixels")
+    convert.add_argument("bins")
+    convert.add_argument("pixels")
+    convert.add_argument("map")
     commands.add_parser("test", help="detect planted loops in a synthetic map")
     return top
 
@@ -132,7 +136,7 @@ def main(argv: list[str] | None = None) -> int:
     from gridloom.operators.balance import normalise
     from gridloom.plans import pipeline
     from gridloom.session import build_session
-    from gridloom.sources.contacts import read_bed2d, read_map, write_weights
+    from gridloom.sources.contacts import read_bed2d, read_dump, read_map, write_map, write_weights
 
     spark = build_session("gridloom", getattr(args, "threads", "*"))
     spark.sparkContext.setLogLevel("ERROR")
@@ -145,6 +149,9 @@ def main(argv: list[str] | None = None) -> int:
         found = sum(any(abs(r.bin1 - a) <= 1 and abs(r.bin2 - b) <= 1 for r in rows) for a, b in places)
         print(f"{found} of {len(places)} planted loops detected, {len(rows)} patterns in all")
         return int(found < len(places) * 0.8)
+    if args.command == "convert":
+        write_map(read_dump(spark, args.bins, args.pixels), args.map)
+        return 0
     if args.command == "generate-config":
         if not args.positions:
             raise ValueError("a map needs --positions")

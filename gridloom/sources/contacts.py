@@ -60,6 +60,19 @@ def read_map(spark: SparkSession, folder: str) -> ContactMap:
     return ContactMap(chrom_offsets(bins), bins, pixels, int(size))
 
 
+def read_dump(spark: SparkSession, bins_path: str, pixels_path: str) -> ContactMap:
+    """A map from two tab-separated tables, as dumping an HDF5 map gives them: bins (chrom, start, end and perhaps weight,
+    in order) and pixels (bin1_id, bin2_id, count), with or without header lines. Bins are numbered in the order of lines."""
+    lines = spark.read.text(bins_path).rdd.map(lambda r: r[0].split("\t"))
+    # The number of a line is its bin: a dimension table, numbered partition by partition.
+    numbered = lines.filter(lambda f: len(f) > 2 and f[1].lstrip("-").isdigit()).zipWithIndex()
+    rows = numbered.map(lambda x: (x[1], x[0][0], int(x[0][1]), int(x[0][2]), float(x[0][3]) if len(x[0]) > 3 and x[0][3] not in ("", "nan", "NaN") else None))
+    bins = spark.createDataFrame(rows, BINS)
+    raw = spark.read.csv(pixels_path, sep="\t").select(*[F.expr(f"try_cast(_c{k} AS {kind})").alias(c) for k, (c, kind) in enumerate((("bin1_id", "bigint"), ("bin2_id", "bigint"), ("count", "double")))])
+    size = bins.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
+    return ContactMap(chrom_offsets(bins), bins, raw.where("bin1_id IS NOT NULL AND bin2_id IS NOT NULL"), int(size))
+
+
 def write_map(cmap: ContactMap, folder: str) -> None:
     """Bins (with weights) and pixels as Parquet; a source is never changed in place."""
     cmap.bins.write.parquet(f"{folder}/bins")

@@ -68,3 +68,16 @@ def test_the_synthetic_map(capsys, spark):
     with pytest.raises(SystemExit) as end:
         main(["--version"])
     assert end.value.code == 0 and capsys.readouterr().out.strip()
+
+
+@pytest.mark.parametrize("header", [True, False])
+def test_dumped_tables_become_a_map(spark, tmp_path, header):
+    bins, pixels = tmp_path / "bins.tsv", tmp_path / "pixels.tsv"
+    names = ("chrom\tstart\tend\tweight\n", "bin1_id\tbin2_id\tcount\n") if header else ("", "")
+    bins.write_text(names[0] + "".join(f"chr{b // 5 + 1}\t{b % 5 * 1000}\t{b % 5 * 1000 + 1000}\t{'nan' if b == 3 else 0.5}\n" for b in range(10)))
+    pixels.write_text(names[1] + "0\t0\t4\n0\t7\t2\n")
+    assert main(["convert", str(bins), str(pixels), str(tmp_path / "map")]) == 0
+    cmap = read_map(spark, str(tmp_path / "map"))
+    rows = {r.bin_id: (r.chrom, r.start, r.weight) for r in cmap.bins.collect()}
+    assert len(rows) == 10 and rows[3] == ("chr1", 3000, None) and rows[7] == ("chr2", 2000, 0.5) and cmap.bin_size == 1000
+    assert {tuple(r) for r in cmap.pixels.collect()} == {(0, 0, 4.0), (0, 7, 2.0)}

@@ -251,6 +251,27 @@ def _merge(files: list[_File], at: np.ndarray, values: list[np.ndarray], with_ne
         file.close()
 
 
+def _names(b: np.ndarray, order: np.ndarray, sorted_last: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """String and length of each suffix, by walking the finished transform from the last symbols of all strings at once."""
+    counts = np.bincount(b, minlength=len(ends))
+    by_symbol = np.argsort(b, kind="stable")
+    follow = np.empty(len(b), np.int64)  # where the suffix with the symbol before it stands
+    starting = ends + counts
+    starting[0] = 0
+    base = np.cumsum(starting) - starting
+    follow[by_symbol] = np.arange(len(b)) + np.repeat(base + ends - (np.cumsum(counts) - counts), counts)
+    owner, size = np.empty(len(b), np.int64), np.empty(len(b), np.int64)
+    place = np.empty(len(order), np.int64)
+    first = np.cumsum(ends) - ends
+    place[order] = base[sorted_last] + np.arange(len(order)) - first[sorted_last]
+    active = np.arange(len(order))
+    for r in range(1, int(sizes.max()) + 1):
+        owner[place], size[place] = active, r
+        longer = sizes[active] > r
+        active, place = active[longer], follow[place[longer]]
+    return owner, size
+
+
 def suffix_order(strings: list[bytes], chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All suffixes of all strings in order: string, length, and length of the common prefix with the one before.
 
@@ -278,7 +299,6 @@ def suffix_order(strings: list[bytes], chunk: int = CHUNK) -> tuple[np.ndarray,
         sorted_last = last[order]
         before = _File(folder, "transform", column(2)[order])
         common = _File(folder, "common", np.concatenate([[0], sorted_last[1:] == sorted_last[:-1]]).astype(np.uint8))
-        which = _File(folder, "suffix", order << 8 | 1)  # string and length
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         ends = np.bincount(last, minlength=n_symbols)
@@ -301,10 +321,9 @@ def suffix_order(strings: list[bytes], chunk: int = CHUNK) -> tuple[np.ndarray,
             place[active] = at
             total += len(active)
             turn = np.argsort(at)
-            values = [column(r + 2)[active][turn], with_before[turn], (active << 8 | (r + 1))[turn]]
-            _merge([before, common, which], at[turn], values, scan.with_next[turn], total, chunk)
-        suffix = which.all()
-        return (suffix >> 8).astype(np.int64), suffix & 255, common.all()
+            values = [column(r + 2)[active][turn], with_before[turn]]
+            _merge([before, common], at[turn], values, scan.with_next[turn], total, chunk)
+        return *_names(before.all(), order, sorted_last, ends, sizes), common.all()
     finally:
         shutil.rmtree(folder, ignore_errors=True)
 

@@ -100,17 +100,20 @@ def _config(args: argparse.Namespace):
 
 
 def _sampled(cmap, amount: float | None, seed: int):
+    """A share of the contacts of each sub-matrix; a number of contacts is taken as a share of all."""
     from pyspark.sql import functions as F
 
-    from gridloom.operators.preprocess import subsample
+    from gridloom.operators.preprocess import subsample_share
 
     if amount is None:
         return cmap
     if amount <= 0:
         raise ValueError("--subsample must be above 0")
-    if amount <= 1:
-        amount *= cmap.pixels.agg(F.sum("count")).first()[0] or 0
-    return replace(cmap, pixels=subsample(cmap.pixels, int(amount), seed))
+    if amount > 1:
+        amount /= cmap.pixels.agg(F.sum("count")).first()[0] or 1.0
+        if amount > 1:
+            raise ValueError("more contacts asked for than there are")
+    return replace(cmap, pixels=subsample_share(cmap.pixels, cmap.chroms, amount, seed))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Detrended values from here on become 1.
@@ -168,3 +168,28 @@ def subsample(pixels: DataFrame, n_contacts: int, seed: int = 0) -> DataFrame:
     whole = draws.where(cell < last).select("bin1_id", "bin2_id")
     part = draws.where(cell == last).orderBy("draw", "bin1_id", "bin2_id", "n").limit(left).select("bin1_id", "bin2_id")
     return _counted(whole.unionByName(part))
+
+
+def subsample_share(pixels: DataFrame, chroms: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """Of each sub-matrix, the whole number of contacts below ``share`` of its sum, without replacement: those with the
+    smallest draws.
+
+    Counts by sub-matrix and cell of draws say where each sample ends; only contacts of that cell are put in order.
+    """
+    from gridloom.operators.genome import to_local
+
+    if not 0 < share <= 1:
+        raise ValueError("a share of contacts lies above 0 and is at most 1")
+    places = to_local(pixels, chroms, inter=True).select("sub1", "sub2", "bin1_id", "bin2_id")
+    sub = ["sub1", "sub2"]
+    draws = _draws(pixels, seed).join(places, ["bin1_id", "bin2_id"]).withColumn("cell", F.floor(F.col("draw") / (1 << 20)))  # 4,096 cells
+    rising = Window.partitionBy(*sub).orderBy("cell")
+    counts = draws.groupBy(*sub, "cell").agg(F.count(F.lit(1)).alias("k"))
+    upto = F.sum("k").over(rising.rowsBetween(Window.unboundedPreceding, 0))
+    wanted = F.floor(F.sum("k").over(Window.partitionBy(*sub)) * F.lit(share))
+    ends = counts.select(*sub, "cell", (upto - F.col("k")).alias("before"), upto.alias("upto"), wanted.alias("wanted")).where("before < wanted")
+    kept = draws.join(ends, [*sub, "cell"])
+    whole = kept.where("upto <= wanted").select("bin1_id", "bin2_id")
+    place = F.row_number().over(Window.partitionBy(*sub).orderBy("draw", "bin1_id", "bin2_id", "n"))
+    part = kept.where("upto > wanted").withColumn("place", place).where(F.col("place") <= F.col("wanted") - F.col("before")).select("bin1_id", "bin2_id")
+    return _counted(whole.unionByName(part))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import replace
 from functools import reduce
 
@@ -206,6 +207,9 @@ def quantify(cmap: ContactMap, config: KernelConfig, positions: DataFrame, raw:
     for k in (1, 2):
         pos = rows.withColumn("chrom", F.col(f"chrom{k}")).withColumn("pos", F.floor((F.col(f"start{k}") + F.col(f"end{k}")) / 2))
         rows = genome.coords_to_bins(pos, cmap.bins, cmap.bin_size).withColumnRenamed("bin_id", f"m{k}").drop("chrom", "pos")
+    lost = rows.where("m1 IS NULL OR m2 IS NULL").count()
+    if lost:
+        warnings.warn(f"{lost} positions lie outside the genome: they get no score", stacklevel=2)
     at = rows.where("m1 IS NOT NULL AND m2 IS NOT NULL")
     for k in (1, 2):
         side = cmap.chroms.select(F.col("chrom").alias(f"chrom{k}"), F.col("chrom_idx").alias(f"x{k}"), F.col("start_bin").alias(f"s{k}"))

@@ -308,6 +308,29 @@ def ice_2iter(spark, sf_dir):
     return _ice_rounds(spark, sf_dir, 2)
 
 
+def _balanced_blocks(rounds: int) -> dict[str, str]:
+    """All of balancing: bins with ten filled pixels and a log marginal not far below the median, rounds, final scale."""
+    plain = _ice(rounds)[1]
+    blocks = {k: plain[k] for k in ("width", "occ", "pixels", "chroms", "bins0", "cis")}
+    both = lambda table, value: f"SELECT bin1_id AS bin_id, {value} AS v FROM {table} UNION ALL SELECT bin2_id, {value} FROM {table} WHERE bin1_id <> bin2_id"
+    blocks["logs"] = f"SELECT bin_id, ln(sum(v)) AS log FROM ({both('cis', 'count')}) GROUP BY 1 HAVING count(*) >= 10 AND sum(v) > 0"
+    blocks["good"] = "SELECT bin_id FROM logs WHERE log >= (SELECT median(log) FROM logs) - 5 * (SELECT median(abs(log - (SELECT median(log) FROM logs))) FROM logs)"
+    blocks["usable"] = "SELECT * FROM cis WHERE bin1_id IN (SELECT bin_id FROM good) AND bin2_id IN (SELECT bin_id FROM good)"
+    blocks["bias0"] = "SELECT bin_id, 1.0::DOUBLE AS b FROM good"
+    for k in range(1, rounds + 1):
+        blocks |= {f"w{k}": plain[f"w{k}"].replace("FROM cis c", "FROM usable c"), f"m{k}": plain[f"m{k}"], f"bias{k}": plain[f"bias{k}"]}
+    blocks["scaled"] = f"SELECT c.bin1_id, c.bin2_id, x.b * y.b * c.count AS v FROM usable c JOIN bias{rounds} x ON x.bin_id = c.bin1_id JOIN bias{rounds} y ON y.bin_id = c.bin2_id"
+    blocks["level"] = f"SELECT avg(m) AS a FROM (SELECT bin_id, sum(v) AS m FROM ({both('scaled', 'v')}) GROUP BY 1) WHERE m <> 0"
+    return blocks
+
+
+@query("SELECT z.bin_id, round(b.b / sqrt((SELECT a FROM level)), 6) + 0.0 AS weight FROM bins0 z LEFT JOIN bias3 b USING (bin_id)", _balanced_blocks(3))
+def ice_weights(spark, sf_dir):
+    bins = base_bins(spark, sf_dir).withColumn("weight", F.lit(None).cast("double"))
+    pixels = Scratch(spark, "map").keep(contacts(spark, sf_dir), "pixels")
+    return balance.ice(pixels, bins, 3, tolerance=0.0).select("bin_id", six("weight").alias("weight"))
+
+
 @query("SELECT sub, d, round(y, 6) + 0.0 AS y FROM law")
 def distance_law(spark, sf_dir):
     return preprocess.distance_law(preprocess.diag_trim(local(spark, sf_dir), BAND + SIZE)).withColumn("y", six("y"))
@@ -385,6 +408,12 @@ def sampled_contacts_exact(spark, sf_dir):
     return preprocess.subsample(base_map(spark, sf_dir).pixels, 1000)
 
 
+@query("SELECT bin1_id, bin2_id, count(*)::DOUBLE AS count FROM (SELECT *, row_number() OVER (PARTITION BY s1, s2 ORDER BY ('0x' || substr(md5('0:' || bin1_id || ':' || bin2_id || ':' || n), 1, 8))::BIGINT, bin1_id, bin2_id, n) AS place, count(*) OVER (PARTITION BY s1, s2) AS total FROM (SELECT p.bin1_id, p.bin2_id, x.chrom_idx AS s1, y.chrom_idx AS s2, unnest(range(1, p.count::BIGINT + 1)) AS n FROM pixels p JOIN bins0 x ON x.bin_id = p.bin1_id JOIN bins0 y ON y.bin_id = p.bin2_id)) WHERE place <= floor(total * 0.3::DOUBLE) GROUP BY 1, 2")
+def sampled_share(spark, sf_dir):
+    m = base_map(spark, sf_dir)
+    return preprocess.subsample_share(m.pixels, m.chroms, 0.3)
+
+
 @query("SELECT count(*) AS nnz, sum(count) AS total, max(bin2_id - bin1_id) AS widest, max(count) AS largest FROM pixels")
 def map_reductions(spark, sf_dir):
     return contacts(spark, sf_dir).agg(F.count(F.lit(1)).alias("nnz"), F.sum("count").alias("total"), F.max(F.col("bin2_id") - F.col("bin1_id")).alias("widest"), F.max("count").alias("largest"))
@@ -405,6 +434,13 @@ def xcorr_box(spark, sf_dir):
     return rows.select("sub", "i", "j", six("v1").alias("v1"), six("v2").alias("v2"))
 
 
+@query("SELECT sub, i, j, round(vk, 6) + 0.0 AS vk, round(v1, 6) + 0.0 AS v1, round(v2, 6) + 0.0 AS v2 FROM sums")
+def xcorr_box_separable(spark, sf_dir):
+    det, sizes, _ = signal(spark, sf_dir)
+    rows = correlate.factored_sums(det, [factorise(KERNEL, 1 - 1e-13)], BAND).join(F.broadcast(sizes), "sub").where("i < n AND j < n")
+    return rows.select("sub", "i", "j", six("vk").alias("vk"), six("v1").alias("v1"), six("v2").alias("v2"))
+
+
 _STRIPE = stripe(SIZE, True)
 _RANK1 = pieces(_STRIPE)
 

@@ -7,7 +7,7 @@ numpy block; for wide kernels and large maps.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import corr_to_log10p
+from gridloom.sources.kernels import small_frame
 
 #: Sums closer to zero than this become zero.
 EPS = 1e-4
@@ -52,7 +53,7 @@ def xcorr2_factored(local: DataFrame, down: np.ndarray, across: np.ndarray, max_
     """
     spark, size = local.sparkSession, down.shape[0]
     h = size // 2
-    frame = lambda m, name: spark.createDataFrame([(f, k - h, float(w)) for (k, f), w in np.ndenumerate(m) if w], f"f int, {name} int, w double")
+    frame = lambda m, name: small_frame(spark, [(f, k - h, float(w)) for (k, f), w in np.ndenumerate(m) if w], f"f int, {name} int, w double")
     first = local.where("v <> 0").join(F.broadcast(frame(down, "di"))).withColumn("i", F.col("i") - F.col("di")).where("i >= 0")
     if intra:
         first = first.where(F.col("j") - F.col("i") >= -h)
@@ -76,7 +77,7 @@ def factored_sums(local: DataFrame, factors: list[tuple[np.ndarray, np.ndarray]]
     h, ones = size // 2, np.ones((size, 1))
     owner = [-1, -1] + [k for k, (down, _) in enumerate(factors) for _ in range(down.shape[1])]
     lines = [np.hstack([ones, ones, *(d for d, _ in factors)]), np.hstack([ones, ones, *(a.T for _, a in factors)])]
-    frame = lambda m, name: spark.createDataFrame([(f, k - h, float(w), owner[f]) for (k, f), w in np.ndenumerate(m) if w], f"f int, {name} int, w double, kernel int")
+    frame = lambda m, name: small_frame(spark, [(f, k - h, float(w), owner[f]) for (k, f), w in np.ndenumerate(m) if w], f"f int, {name} int, w double, kernel int")
     value = F.when(F.col("f") == 1, F.col("v") * F.col("v")).otherwise(F.col("v")) * F.col("w")
     first = local.where("v <> 0").join(F.broadcast(frame(lines[0], "di"))).select("sub", "f", (F.col("i") - F.col("di")).alias("i"), "j", value.alias("v")).where("i >= 0")
     if intra:
@@ -94,18 +95,18 @@ def factored_sums(local: DataFrame, factors: list[tuple[np.ndarray, np.ndarray]]
     return sums.select("sub", "i", "j", "v1", "v2", kernels).select("sub", "k.kernel_id", "i", "j", "k.vk", "v1", "v2")
 
 
-def missing_cell(x: Column, y: Column, n: Column, max_dist: int, size: int, miss_x: Column, miss_y: Column) -> Column:
+def missing_cell(x: np.ndarray, y: np.ndarray, n: np.ndarray, max_dist: int, size: int, miss_x: np.ndarray, miss_y: np.ndarray) -> np.ndarray:
     """Whether a cell of the framed matrix of one chromosome counts as missing; ``size`` is that of a square kernel.
 
     Missing bins inside the band; the top margin up to the band and the kernel; the corner above the start; the right
     margin beside the last rows of the band; and as many diagonals below the main one as the kernel is wide.
     """
+    d = y - x
     return (
-        ((x >= 0) & (x <= y) & (y < n) & (y - x <= max_dist) & (miss_x | miss_y))
-        | ((x < 0) & (y >= 0) & (y < max_dist + size))
-        | ((x < 0) & (y < 0))
+        ((x >= 0) & (d >= 0) & (y < n) & (d <= max_dist) & (miss_x | miss_y))
+        | ((x < 0) & (y < max_dist + size))
         | ((y >= n) & (x >= n - max_dist - 2))
-        | (y - x).between(-size, -1)
+        | ((d >= -size) & (d <= -1))
     )
 
 
@@ -120,38 +121,53 @@ def nearby(missing: DataFrame, size: int, axis: str, name: str) -> DataFrame:
     return at.select("sub", (F.col("bin") - F.col("d")).alias(axis), (F.col("d") + h).alias("d")).select("sub", axis, bit.alias(name)).groupBy("sub", axis).agg(F.bit_or(name).alias(name))
 
 
-def with_mask_sums(outputs: DataFrame, kernel: DataFrame, missing: DataFrame, size: int, gone, columns: DataFrame | None = None, touches: Column | None = None) -> DataFrame:
+def with_mask_sums(outputs: DataFrame, kernel: DataFrame, missing: DataFrame, size: int, gone: Callable, touches: Column, n: str, m: str, columns: DataFrame | None = None) -> DataFrame:
     """Adds m0, mk, mkk: number of missing cells under the kernel, and their sums of w and w squared.
 
     Output pixels near a missing bin find its bits by row and by column; only they, and those that ``touches`` a border,
-    walk over the kernel's cells, in place: nothing is spread out or shuffled. ``gone(x, y, miss_x, miss_y)`` says whether
-    a cell is missing.
+    walk over the kernel's cells, in place: nothing is spread out or shuffled. The walk takes a cell of all pixels of an
+    Arrow batch at a time: expressions over arrays aren't compiled and take a hundred times longer.
+    ``gone(x, y, n, m, miss_x, miss_y)`` says of arrays whether cells are missing; ``n`` and ``m`` name the columns of sizes.
     """
     rows, cols = nearby(missing, size, "i", "_rows"), nearby(missing if columns is None else columns, size, "j", "_cols")
     met = outputs.join(rows, ["sub", "i"], "left").join(cols, ["sub", "j"], "left")
     zero = F.lit(0).cast("long")
+    met = met.withColumns({"_rows": F.coalesce("_rows", zero), "_cols": F.coalesce("_cols", zero)})
     h = size // 2
-    cells = kernel.groupBy("kernel_id").agg(F.collect_list(F.struct("di", "dj", "w")).alias("_cells"))  # a row a kernel
-    met = met.join(F.broadcast(cells), "kernel_id").withColumns({"_rows": F.coalesce("_rows", zero), "_cols": F.coalesce("_cols", zero)})
-    bit = lambda mask, d: F.col(mask).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (d + h).cast("int"))) != 0
-    lost = lambda c: gone(F.col("i") + c["di"], F.col("j") + c["dj"], bit("_rows", c["di"]), bit("_cols", c["dj"]))
-    start = F.struct(F.lit(0).cast("long").alias("m0"), F.lit(0.0).alias("mk"), F.lit(0.0).alias("mkk"))
-    add = lambda acc, c: F.struct((acc["m0"] + 1).alias("m0"), (acc["mk"] + c["w"]).alias("mk"), (acc["mkk"] + c["w"] * c["w"]).alias("mkk"))
-    sums = F.aggregate(F.filter("_cells", lost), start, add)
-    near = (F.col("_rows") != 0) | (F.col("_cols") != 0)
-    if touches is not None:
-        near = near | touches
-    summed = met.withColumn("_mask", F.when(near, sums).otherwise(start))
+    cells: dict[int, list[tuple[int, int, float]]] = {}
+    for row in kernel.collect():  # at most 31 x 31 cells a kernel
+        cells.setdefault(row["kernel_id"], []).append((row["di"], row["dj"], row["w"]))
+
+    @F.pandas_udf("m0 long, mk double, mkk double")
+    def walk(kernel_id: pd.Series, i: pd.Series, j: pd.Series, n: pd.Series, m: pd.Series, rows: pd.Series, cols: pd.Series, near: pd.Series) -> pd.DataFrame:
+        total = len(i)
+        m0, mk, mkk = np.zeros(total, np.int64), np.zeros(total), np.zeros(total)
+        kind, beside = kernel_id.to_numpy(), near.to_numpy(bool)
+        for which, offsets in cells.items():
+            k = np.flatnonzero(beside & (kind == which))
+            if not len(k):
+                continue
+            i_, j_, n_, m_, rows_, cols_ = (s.to_numpy()[k] for s in (i, j, n, m, rows, cols))
+            for di, dj, w in offsets:
+                lost = gone(i_ + di, j_ + dj, n_, m_, rows_ >> (di + h) & 1 != 0, cols_ >> (dj + h) & 1 != 0)
+                m0[k] += lost
+                mk[k] += lost * w
+                mkk[k] += lost * (w * w)
+        return pd.DataFrame({"m0": m0, "mk": mk, "mkk": mkk})
+
+    near = (F.col("_rows") != 0) | (F.col("_cols") != 0) | touches
+    long = [F.col(c).cast("long") for c in ("i", "j", n, m)]
+    summed = met.withColumn("_mask", walk("kernel_id", *long, "_rows", "_cols", near))
     return summed.select(*outputs.columns, "_mask.m0", "_mask.mk", "_mask.mkk")
 
 
 def band_mask(outputs: DataFrame, kernel: DataFrame, sizes: DataFrame, missing: DataFrame, max_dist: int, size: int) -> DataFrame:
     """``with_mask_sums`` for windows within one chromosome."""
     h = size // 2
-    gone = lambda x, y, mx, my: missing_cell(x, y, F.col("_n"), max_dist, size, mx, my)
+    gone = lambda x, y, n, m, mx, my: missing_cell(x, y, n, max_dist, size, mx, my)
     touches = (F.col("i") < h) | (F.col("j") >= F.col("_n") - h) | (F.col("j") - F.col("i") < 2 * h)
     sized = outputs.join(F.broadcast(sizes.select("sub", F.col("n").alias("_n"))), "sub")
-    return with_mask_sums(sized, kernel, missing, size, gone, touches=touches).drop("_n")
+    return with_mask_sums(sized, kernel, missing, size, gone, touches, "_n", "_n").drop("_n")
 
 
 def mask_sums(outputs: DataFrame, kernel: DataFrame, sizes: DataFrame, missing: DataFrame, max_dist: int, size: int) -> DataFrame:
@@ -206,9 +222,9 @@ def normxcorr2_inter(local: DataFrame, kernel: DataFrame, sizes: DataFrame, miss
 def area_mask(outputs: DataFrame, kernel: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, size: int) -> DataFrame:
     """``with_mask_sums`` for windows between two chromosomes; outputs carry the sizes n and m of their sub-matrix."""
     h = size // 2
-    gone = lambda x, y, mx, my: (x < 0) | (y < 0) | (x >= F.col("n")) | (y >= F.col("m")) | mx | my
+    gone = lambda x, y, n, m, mx, my: (x < 0) | (y < 0) | (x >= n) | (y >= m) | mx | my
     touches = (F.col("i") < h) | (F.col("j") < h) | (F.col("i") >= F.col("n") - h) | (F.col("j") >= F.col("m") - h)
-    return with_mask_sums(outputs, kernel, missing_rows, size, gone, missing_columns, touches)
+    return with_mask_sums(outputs, kernel, missing_rows, size, gone, touches, "n", "m", missing_columns)
 
 
 def normxcorr2_at(points: DataFrame, cells: DataFrame, kernel: DataFrame, sizes: DataFrame, missing: DataFrame, max_dist: int, size: int, missing_columns: DataFrame | None = None, missing_tol: float = 0.75, eps: float = EPS) -> DataFrame:

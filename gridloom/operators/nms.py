@@ -13,14 +13,18 @@ from gridloom.scratch import Scratch
 def better_neighbours(patterns: DataFrame, separation: int) -> DataFrame:
     """Links (pid, by): ``by`` ranks before ``pid`` and lies closer than ``separation`` on both axes.
 
-    An equi-join on grid cells of the separation's size: each pattern asks the nine cells around its own.
+    An equi-join on grid cells of the separation's size: each pattern asks its own cell and four around it, so that each
+    pair of neighbouring cells meets once; which of two patterns ranks first decides the direction of their link.
     """
     cell = lambda c: F.floor(F.col(c) / separation)
-    near = F.array(*[F.struct((cell("bin1") + a).alias("c1"), (cell("bin2") + b).alias("c2")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    asks = patterns.select("pid", "bin1", "bin2", "place", F.explode(near).alias("c")).select("pid", "bin1", "bin2", "place", "c.c1", "c.c2")
-    lies = patterns.select(F.col("pid").alias("by"), F.col("bin1").alias("x"), F.col("bin2").alias("y"), F.col("place").alias("first"), cell("bin1").alias("c1"), cell("bin2").alias("c2"))
-    close = (F.abs(F.col("bin1") - F.col("x")) < separation) & (F.abs(F.col("bin2") - F.col("y")) < separation) & (F.col("first") < F.col("place"))
-    return asks.join(lies, ["c1", "c2"]).where(close).select("pid", "by")
+    near = F.array(*[F.struct((cell("bin1") + a).alias("c1"), (cell("bin2") + b).alias("c2"), F.lit(a == b == 0).alias("own")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    asks = patterns.select("pid", "bin1", "bin2", "place", F.explode(near).alias("c")).select("pid", "bin1", "bin2", "place", "c.*")
+    lies = patterns.select(F.col("pid").alias("other"), F.col("bin1").alias("x"), F.col("bin2").alias("y"), F.col("place").alias("at"), cell("bin1").alias("c1"), cell("bin2").alias("c2"))
+    close = (F.abs(F.col("bin1") - F.col("x")) < separation) & (F.abs(F.col("bin2") - F.col("y")) < separation)
+    met = asks.join(lies, ["c1", "c2"]).where(close & (~F.col("own") | (F.col("at") < F.col("place"))))
+    after = F.col("at") < F.col("place")
+    pick = lambda a, b: F.when(after, F.col(a)).otherwise(F.col(b))
+    return met.select(pick("pid", "other").alias("pid"), pick("other", "pid").alias("by"))
 
 
 def remove_neighbours(patterns: DataFrame, separation: int, order: list | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources.kernels import small_frame
+
 
 def cells(patterns: DataFrame, local: DataFrame, sizes: DataFrame, missing: DataFrame, size: int, missing_columns: DataFrame | None = None) -> DataFrame:
     """patterns (pid, sub, i, j) to (pid, sub, a, b, v, raw): v is null where missing, 0 where empty; a, b count from 0;
@@ -17,7 +19,7 @@ def cells(patterns: DataFrame, local: DataFrame, sizes: DataFrame, missing: Data
     h = size // 2
     width = "n" if missing_columns is None else "m"
     spark = patterns.sparkSession
-    footprint = spark.createDataFrame([(a, b) for a in range(size) for b in range(size)], "a int, b int")
+    footprint = small_frame(spark, [(a, b) for a in range(size) for b in range(size)], "a int, b int")
     at = patterns.join(F.broadcast(footprint)).join(F.broadcast(sizes), "sub").withColumn("x", F.col("i") + F.col("a") - h).withColumn("y", F.col("j") + F.col("b") - h)
     gone = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") >= F.col("n")) | (F.col("y") >= F.col(width))
     for axis, side in (("x", missing), ("y", missing if missing_columns is None else missing_columns)):

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -112,10 +113,18 @@ def overridden(config: KernelConfig, **values: str | float | None) -> KernelConf
     return replace(config, **chosen)
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few thousand rows of numbers at most, as a local relation: of known size, and without Python workers."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    fields = [tuple(c.split()) for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)}))
+
+
 def kernel_frame(spark: SparkSession, kernels: list[np.ndarray]) -> DataFrame:
     """Kernels as rows (kernel_id, di, dj, w), offsets from the centre."""
     rows = [(k, i - m.shape[0] // 2, j - m.shape[1] // 2, float(w)) for k, m in enumerate(kernels) for (i, j), w in np.ndenumerate(m)]
-    return spark.createDataFrame(rows, "kernel_id int, di int, dj int, w double")
+    return small_frame(spark, rows, "kernel_id int, di int, dj int, w double")
 
 
 def resize(kernel: np.ndarray, factor: float | None = None, kernel_res: float | None = None, signal_res: float | None = None, min_size: int = 7) -> np.ndarray:

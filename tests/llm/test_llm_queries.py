@@ -94,6 +94,17 @@ def test_scores(spark, rows, name, threshold):
         assert np.mean(held) > 0.9
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's larger tables are absent")
+@pytest.mark.parametrize(("name", "label", "least", "most"), [("op5_toxicity", "toxic", 0.9, 0.03), ("op9_quality_classifier", "quality", 0.97, 0.1)])
+def test_held_out_rows(spark, name, label, least, most):
+    """Enough rows for shares: held-out rows with label 1 are found, few of those with label 0 are marked."""
+    folder = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [r for r in QUERIES[name](spark, folder).collect() if r.held_out and r.doc_id in truth]
+    assert np.mean([r.predicted for r in held if truth[r.doc_id] == 1]) >= least
+    assert np.mean([r.predicted for r in held if truth[r.doc_id] == 0]) <= most
+
+
 def test_op6(spark, rows):
     from tokenizers import Tokenizer
 

@@ -88,6 +88,26 @@ def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_column(work.keep(encode_column(read_table(spark, sf_dir, "documents")), "media"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.warc import archive_pages
+
+    records = archive_pages(read_table(spark, sf_dir, "pages"), Workspace(spark, "op11"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.resampling import resample
+
+    rows = resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), Workspace(spark, "op12"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(read_table(spark, sf_dir, "conversations"), Workspace(spark, "op13"))
+
+
 #: Words, targets by levels (sources below the level are full), and one draw a document.
 OP3_SQL = r"""
 WITH d AS (
@@ -135,6 +155,87 @@ FROM b LEFT JOIN q USING (r)
 """
 
 
+OP11_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY body) AS first FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, sha256(body) AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+def _crc32(text: str) -> str:
+    """The CRC of the UTF-8 bytes of an expression, bit by bit (3988292384 is the polynomial)."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    bits = "list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {bits}), 4294967295)"
+
+
+#: Distinct words get their buckets once; sums by bucket and document are joins.
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), q AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), o AS (
+  SELECT r, unnest(words) AS w FROM d
+), c AS (
+  SELECT w, {_crc32('w')} % 10000 AS bucket FROM (SELECT w FROM o UNION SELECT w FROM q)
+), s AS (
+  SELECT bucket, count(*) AS s FROM o JOIN c USING (w) GROUP BY 1
+), t AS (
+  SELECT bucket, count(*) AS t FROM q JOIN c USING (w) GROUP BY 1
+), g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM o) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM q) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)
+), f AS (
+  SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM o JOIN c USING (w) JOIN g USING (bucket) GROUP BY 1
+), e AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN f USING (r)
+), z AS (
+  SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM e
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place FROM z
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= (SELECT count(*) FROM z WHERE n_features >= 20) * 10 // 100 THEN place END AS rank FROM k
+"""
+
+#: A node is the joined digests of its turns; ancestors are prefixes of that.
+OP13_SQL = f"""
+WITH t AS (
+  SELECT coalesce(conv_id, 9223372036854775807) AS c, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, length(coalesce(text, '')) AS points FROM conversations
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) AS k FROM t
+), i AS (
+  SELECT c, max(k) AS own, CASE WHEN c = 9223372036854775807 THEN '' ELSE c::VARCHAR END AS name FROM o GROUP BY 1
+), f AS (
+  SELECT *, CASE WHEN name <> '' THEN c - c % 100 END AS base, {_crc32('name')} % 6 AS h FROM i
+), e AS (
+  SELECT f.*, least(f.h, coalesce(b.own, 0)) AS there FROM f LEFT JOIN i b ON b.c = f.base
+), r AS (
+  SELECT e.c, o.k AS depth, o.digest, o.points FROM e JOIN o ON o.c = e.base AND o.k <= e.there
+  UNION ALL SELECT e.c, o.k - e.h + e.there, o.digest, o.points FROM e JOIN o ON o.c = e.c AND o.k > e.h
+), p AS (
+  SELECT e.c, e.name, count(r.c) AS n, coalesce(string_agg(r.digest, '' ORDER BY r.depth), '') AS path, list(r.points ORDER BY r.depth) AS lengths FROM e LEFT JOIN r USING (c) GROUP BY 1, 2
+), m AS (
+  SELECT *, unnest(range(n + 1)) AS depth FROM p
+), x AS (
+  SELECT substr(path, 1, 64 * depth) AS node, depth, min(c) AS c, count(*) AS n, max(CASE WHEN depth > 0 THEN lengths[depth] ELSE 0 END) AS points, coalesce(string_agg(CASE WHEN n = depth THEN name END, ',' ORDER BY c), '') AS ends FROM m GROUP BY 1, 2
+), y AS (
+  SELECT substr(node, 1, 64 * (depth - 1)) AS node, count(*) AS kids FROM x WHERE depth > 0 GROUP BY 1
+), z AS (
+  SELECT x.*, coalesce(y.kids, 0) AS kids FROM x LEFT JOIN y USING (node)
+), u AS (
+  SELECT substr(node, 1, 64 * d) AS node, sum((kids = 0)::BIGINT)::BIGINT AS leaves, sum((n - 1) * points)::BIGINT AS saved FROM (SELECT *, unnest(range(depth + 1)) AS d FROM z) GROUP BY 1
+)
+SELECT nullif(z.c, 9223372036854775807) AS conv_id, z.depth::BIGINT AS depth, nullif(a.c, 9223372036854775807) AS parent_conv_id, z.n::BIGINT AS n_convs, z.kids::BIGINT AS n_children, u.leaves AS n_leaves, u.saved AS saved_tokens, sha256(z.ends) AS ends_sha256
+FROM z JOIN u USING (node) LEFT JOIN x a ON z.depth > 0 AND a.node = substr(z.node, 1, 64 * (z.depth - 1))
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -146,10 +247,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ogg_media": op8_ogg_media,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_warc": op11_warc,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mixing": OP3_SQL,
     "op4_suffix_dedup": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_warc": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }

@@ -34,7 +34,7 @@ def run(spark, name):
 
 
 def test_names():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_op1(spark, rows):
@@ -134,12 +134,15 @@ def test_op8(spark, rows):
         assert x.media_bytes > len(p)
 
 
-def test_op10(spark):
+@pytest.mark.parametrize("name", ["op10_exact_dedup", "op11_warc", "op12_importance_resampling", "op13_prefix_trie"])
+def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{FOLDER}/documents.parquet')")
-    want = Counter(con.execute(f"select doc_id, keep_id, group_size, kept, text_sha256 from ({ORACLE_SQL['op10_exact_dedup']})").fetchall())
-    assert Counter(map(tuple, run(spark, "op10_exact_dedup"))) == want
+    for table in ("documents", "benchmark", "pages", "conversations"):
+        con.execute(f"create view {table} as select * from read_parquet('{FOLDER}/{table}.parquet')")
+    df = QUERIES[name](spark, FOLDER)
+    want = Counter(con.execute(f"select {', '.join(df.columns)} from ({ORACLE_SQL[name]})").fetchall())
+    assert Counter(map(tuple, df.collect())) == want
 
 
 def test_pipeline_stage_by_stage(spark, rows):

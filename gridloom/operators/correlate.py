@@ -40,14 +40,21 @@ def scatter_sums(local: DataFrame, kernel: DataFrame, max_dist: int | None, intr
     return spread.groupBy("sub", "kernel_id", "i", "j").agg(*sums)
 
 
-def xcorr2(local: DataFrame, kernel: DataFrame, max_dist: int | None = None, eps: float = EPS, intra: bool = True) -> DataFrame:
-    """The plain cross-correlation: sum of v * w over the window."""
-    sums = scatter_sums(local, kernel, max_dist, intra)
+def whole_windows(outputs: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
+    """Outputs whose window of ``size`` lies inside its matrix: sizes (sub, n [, m]). The margins have no whole window."""
+    h, width = size // 2, "m" if "m" in sizes.columns else "n"
+    inside = (F.col("i") >= h) & (F.col("j") >= h) & (F.col("i") < F.col("_n") - h) & (F.col("j") < F.col("_m") - h)
+    return outputs.join(F.broadcast(sizes.select("sub", F.col("n").alias("_n"), F.col(width).alias("_m"))), "sub").where(inside).drop("_n", "_m")
+
+
+def xcorr2(local: DataFrame, kernel: DataFrame, sizes: DataFrame, size: int, max_dist: int | None = None, eps: float = EPS, intra: bool = True) -> DataFrame:
+    """The plain cross-correlation of whole windows: sum of v * w."""
+    sums = whole_windows(scatter_sums(local, kernel, max_dist, intra), sizes, size)
     return sums.select("sub", "kernel_id", "i", "j", snapped(F.col("vk"), eps).alias("x")).where("x <> 0")
 
 
-def xcorr2_factored(local: DataFrame, down: np.ndarray, across: np.ndarray, max_dist: int | None = None, eps: float = EPS, intra: bool = True) -> DataFrame:
-    """The cross-correlation with ``down @ across`` (size x factors, factors x size) as two stencils of one dimension.
+def xcorr2_factored(local: DataFrame, down: np.ndarray, across: np.ndarray, sizes: DataFrame, max_dist: int | None = None, eps: float = EPS, intra: bool = True) -> DataFrame:
+    """``xcorr2`` with ``down @ across`` (size x factors, factors x size) as two stencils of one dimension.
 
     A pixel spreads to size * factors rows twice, where the plain stencil gives size * size.
     """
@@ -64,7 +71,7 @@ def xcorr2_factored(local: DataFrame, down: np.ndarray, across: np.ndarray, max_
         second = second.where("j >= i")
         second = second if max_dist is None else second.where(F.col("j") - F.col("i") <= max_dist)
     sums = second.groupBy("sub", "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("x"))
-    return sums.select("sub", "i", "j", snapped(F.col("x"), eps).alias("x")).where("x <> 0")
+    return whole_windows(sums, sizes, size).select("sub", "i", "j", snapped(F.col("x"), eps).alias("x")).where("x <> 0")
 
 
 def factored_sums(local: DataFrame, factors: list[tuple[np.ndarray, np.ndarray]], max_dist: int | None, intra: bool = True) -> DataFrame:
@@ -95,6 +102,43 @@ def factored_sums(local: DataFrame, factors: list[tuple[np.ndarray, np.ndarray]]
     return sums.select("sub", "i", "j", "v1", "v2", kernels).select("sub", "k.kernel_id", "i", "j", "k.vk", "v1", "v2")
 
 
+def box_sums(local: DataFrame, sizes: DataFrame, size: int, max_dist: int | None = None, tile: int = TILE) -> DataFrame:
+    """(sub, i, j, v1, v2): sums of values and squares in each window of ``size`` with a stored value, at a cost that
+    doesn't depend on ``size``.
+
+    A pixel goes to its tile, and to neighbours only from their margins (less than 1.3 rows a pixel for windows of 31 and
+    tiles of 256); a tile is a summed-area table, so a window is four of its cells however large it is.
+    """
+    h = size // 2
+    cell = lambda c, off: F.floor((F.col(c) + off) / tile)
+    rows = local.where("v <> 0").join(F.broadcast(sizes.select("sub", "n")), "sub").select("sub", "n", "i", "j", "v")
+    for axis, name in (("i", "ti"), ("j", "tj")):
+        last = F.floor((F.col("n") - 1) / tile)
+        rows = rows.withColumn(name, F.explode(F.sequence(F.greatest(cell(axis, -h), F.lit(0)), F.least(cell(axis, h), last))))
+    rows = rows.where(F.col("tj") >= F.col("ti"))
+    rows = rows if max_dist is None else rows.where((F.col("tj") - F.col("ti") - 1) * tile <= max_dist)
+
+    def each(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        sub, ti, tj = (int(k) for k in key)
+        n = int(frame["n"].iloc[0])
+        at = frame["i"].to_numpy() - ti * tile + h, frame["j"].to_numpy() - tj * tile + h
+        edge = tile + 2 * h
+
+        def windows(values: np.ndarray) -> np.ndarray:
+            area = np.zeros((edge + 1, edge + 1), values.dtype)
+            area[1:, 1:][at] = values
+            area = area.cumsum(0).cumsum(1)
+            return area[size:, size:] - area[:-size, size:] - area[size:, :-size] + area[:-size, :-size]
+
+        v = frame["v"].to_numpy()
+        filled = windows(np.ones(len(v), np.int64))  # whole numbers: empty windows are exactly empty
+        x, y = np.arange(tile)[:, None] + ti * tile, np.arange(tile)[None, :] + tj * tile
+        a, b = np.nonzero((filled > 0) & (x < n) & (y < n) & (y >= x) & (y - x <= (n if max_dist is None else max_dist)))
+        return pd.DataFrame({"sub": sub, "i": a + ti * tile, "j": b + tj * tile, "v1": windows(v)[a, b], "v2": windows(v * v)[a, b]})
+
+    return rows.groupBy("sub", "ti", "tj").applyInPandas(each, "sub int, i long, j long, v1 double, v2 double")
+
+
 def missing_cell(x: np.ndarray, y: np.ndarray, n: np.ndarray, max_dist: int, size: int, miss_x: np.ndarray, miss_y: np.ndarray) -> np.ndarray:
     """Whether a cell of the framed matrix of one chromosome counts as missing; ``size`` is that of a square kernel.
 
@@ -199,16 +243,17 @@ def pearson(sums: DataFrame, kernel: DataFrame, missing_tol: float = 0.75, eps:
     return out.select(*(keep or []), "sub", "kernel_id", "i", "j", "r", "n_obs", corr_to_log10p(F.col("r"), n).alias("log10_p"))
 
 
-def normxcorr2(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes: DataFrame | None = None, missing: DataFrame | None = None, missing_tol: float = 0.75, eps: float = EPS, plan: str = "scatter", factors: list | None = None) -> DataFrame:
-    """Correlation of each window of the band with each kernel. With ``sizes`` (sub, n) and ``missing`` (sub, bin), missing
-    cells are left out and windows run over the borders; without, every cell counts and only whole windows are put out.
+def normxcorr2(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes: DataFrame, missing: DataFrame | None = None, missing_tol: float = 0.75, eps: float = EPS, plan: str = "scatter", factors: list | None = None) -> DataFrame:
+    """Correlation of each window of the band with each kernel; sizes (sub, n). With ``missing`` (sub, bin), missing
+    cells are left out and windows run over the borders; without ``missing``, every cell counts and only whole windows are
+    put out.
     ``factors`` of the kernels make two stencils of one dimension of each.
     """
-    if plan == "tile":
+    if plan == "tile" and missing is not None:
         return _tiled(local, kernel, max_dist, size, sizes, missing, missing_tol, eps, factors)
     sums = factored_sums(local, factors, max_dist) if factors else scatter_sums(local, kernel, max_dist)
-    if sizes is None or missing is None:
-        return pearson(sums, kernel, missing_tol, eps)
+    if missing is None:
+        return pearson(whole_windows(sums, sizes, size), kernel, missing_tol, eps)
     inside = sums.join(F.broadcast(sizes.select("sub", "n")), "sub").where("i < n AND j < n").drop("n")
     return pearson(band_mask(inside, kernel, sizes, missing, max_dist, size), kernel, missing_tol, eps)
 

@@ -420,35 +420,59 @@ def map_reductions(spark, sf_dir):
 
 
 # -- correlation ---------------------------------------------------------------------------------------------------
-@query("SELECT sub, i, j, round(vk, 6) + 0.0 AS x FROM sums WHERE abs(vk) >= 0.0001")
+#: Where every cell counts, only windows that lie whole inside the matrix are put out.
+_WHOLE = f"i >= {SIZE // 2} AND j >= {SIZE // 2} AND i < n - {SIZE // 2} AND j < n - {SIZE // 2}"
+
+
+@query(f"SELECT sub, i, j, round(vk, 6) + 0.0 AS x FROM sums WHERE abs(vk) >= 0.0001 AND {_WHOLE}")
 def xcorr_raw(spark, sf_dir):
     det, sizes, _ = signal(spark, sf_dir)
-    rows = correlate.xcorr2(det, kernel_frame(spark, [KERNEL]), BAND).join(F.broadcast(sizes), "sub").where("i < n AND j < n")
+    rows = correlate.xcorr2(det, kernel_frame(spark, [KERNEL]), sizes, SIZE, BAND)
     return rows.select("sub", "i", "j", six("x").alias("x"))
 
 
-@query("SELECT sub, i, j, round(v1, 6) + 0.0 AS v1, round(v2, 6) + 0.0 AS v2 FROM sums")
+@query(f"SELECT sub, i, j, round(v1, 6) + 0.0 AS v1, round(v2, 6) + 0.0 AS v2 FROM sums WHERE {_WHOLE}")
 def xcorr_box(spark, sf_dir):
     det, sizes, _ = signal(spark, sf_dir)
-    rows = correlate.scatter_sums(det, kernel_frame(spark, [KERNEL]), BAND).join(F.broadcast(sizes), "sub").where("i < n AND j < n")
+    rows = correlate.whole_windows(correlate.scatter_sums(det, kernel_frame(spark, [KERNEL]), BAND), sizes, SIZE)
     return rows.select("sub", "i", "j", six("v1").alias("v1"), six("v2").alias("v2"))
 
 
-@query("SELECT sub, i, j, round(vk, 6) + 0.0 AS vk, round(v1, 6) + 0.0 AS v1, round(v2, 6) + 0.0 AS v2 FROM sums")
+@query(f"SELECT sub, i, j, round(vk, 6) + 0.0 AS vk, round(v1, 6) + 0.0 AS v1, round(v2, 6) + 0.0 AS v2 FROM sums WHERE {_WHOLE}")
 def xcorr_box_separable(spark, sf_dir):
     det, sizes, _ = signal(spark, sf_dir)
-    rows = correlate.factored_sums(det, [factorise(KERNEL, 1 - 1e-13)], BAND).join(F.broadcast(sizes), "sub").where("i < n AND j < n")
+    rows = correlate.whole_windows(correlate.factored_sums(det, [factorise(KERNEL, 1 - 1e-13)], BAND), sizes, SIZE)
     return rows.select("sub", "i", "j", six("vk").alias("vk"), six("v1").alias("v1"), six("v2").alias("v2"))
 
 
+def _sliding(spark, sf_dir, size: int) -> DataFrame:
+    det, sizes, _ = signal(spark, sf_dir)
+    rows = correlate.box_sums(det, sizes, size, BAND)
+    return rows.select("sub", "i", "j", six("v1").alias("v1"), six("v2").alias("v2"))
+
+
+@query("SELECT sub, i, j, round(v1, 6) + 0.0 AS v1, round(v2, 6) + 0.0 AS v2 FROM sums")
+def xcorr_box_sliding(spark, sf_dir):
+    """Windows may hang over the borders here: the masked correlation's sums."""
+    return _sliding(spark, sf_dir, SIZE)
+
+
+_WIDE = 31
+
+
+@query("SELECT sub, i, j, round(v1, 6) + 0.0 AS v1, round(v2, 6) + 0.0 AS v2 FROM sums", {**BLOCKS, "kern": f"SELECT a.range - {_WIDE // 2} AS di, b.range - {_WIDE // 2} AS dj, 1.0::DOUBLE AS w FROM range({_WIDE}) a CROSS JOIN range({_WIDE}) b"})
+def xcorr_box_wide(spark, sf_dir):
+    return _sliding(spark, sf_dir, _WIDE)
+
+
 _STRIPE = stripe(SIZE, True)
 _RANK1 = pieces(_STRIPE)
 
 
-@query("SELECT sub, i, j, round(vk, 6) + 0.0 AS x FROM sums WHERE abs(vk) >= 0.0001", _RANK1)
+@query(f"SELECT sub, i, j, round(vk, 6) + 0.0 AS x FROM sums WHERE abs(vk) >= 0.0001 AND {_WHOLE}", _RANK1)
 def xcorr_tsvd_rank1(spark, sf_dir):
     det, sizes, _ = signal(spark, sf_dir)
-    rows = correlate.xcorr2_factored(det, *factorise(_STRIPE), BAND).join(F.broadcast(sizes), "sub").where("i < n AND j < n")
+    rows = correlate.xcorr2_factored(det, *factorise(_STRIPE), sizes, BAND)
     return rows.select("sub", "i", "j", six("x").alias("x"))
 
 
@@ -461,13 +485,13 @@ def mask_sums(spark, sf_dir):
     return rows.select("sub", "i", "j", "m0", six("mk").alias("mk"), six("mkk").alias("mkk"))
 
 
-_PLAIN = {**BLOCKS, "masked": "SELECT 0 AS sub, 0::BIGINT AS i, 0::BIGINT AS j, 0 AS m0, 0.0::DOUBLE AS mk, 0.0::DOUBLE AS mkk WHERE false"}
+_PLAIN = {**BLOCKS, "terms": BLOCKS["terms"] + f" WHERE {_WHOLE}", "masked": "SELECT 0 AS sub, 0::BIGINT AS i, 0::BIGINT AS j, 0 AS m0, 0.0::DOUBLE AS mk, 0.0::DOUBLE AS mkk WHERE false"}
 
 
 @query("SELECT sub, i, j, round(r, 6) + 0.0 AS r, n_obs FROM corr", _PLAIN)
 def normxcorr_unmasked(spark, sf_dir):
     det, sizes, _ = signal(spark, sf_dir)
-    rows = correlate.normxcorr2(det, kernel_frame(spark, [KERNEL]), BAND, SIZE).join(F.broadcast(sizes), "sub").where("i < n AND j < n")
+    rows = correlate.normxcorr2(det, kernel_frame(spark, [KERNEL]), BAND, SIZE, sizes)
     return rows.select("sub", "i", "j", six("r").alias("r"), "n_obs")
 
 

@@ -39,8 +39,35 @@ def test_correlation_equals_direct_sums(spark, kernel):
     want = np.array([[(padded[i : i + 2 * h + 1, j : j + 2 * h + 1] * kernel).sum() for j in range(n)] for i in range(n)])
     d = np.arange(n)[None, :] - np.arange(n)[:, None]
     want[(d < 0) | (d > D)] = 0
-    rows = frame(spark, m)
-    inside = lambda x: dense(x.where(f"i < {n} AND j < {n}"), n, "x")
-    assert np.allclose(inside(correlate.xcorr2(rows, kernel_frame(spark, [kernel]), D, eps=0)), want)
+    # Windows over the border aren't put out.
+    want[:h], want[-h:], want[:, :h], want[:, -h:] = 0, 0, 0, 0
+    rows, sizes = frame(spark, m), spark.createDataFrame([(0, n)], "sub int, n long")
+    assert np.allclose(dense(correlate.xcorr2(rows, kernel_frame(spark, [kernel]), sizes, 2 * h + 1, D, eps=0), n, "x"), want)
     down, across = factorise(kernel, 1 - 1e-13) if np.linalg.matrix_rank(kernel) > 1 else factorise(kernel)
-    assert np.allclose(inside(correlate.xcorr2_factored(rows, down, across, D, eps=0)), want, atol=1e-5)
+    assert np.allclose(dense(correlate.xcorr2_factored(rows, down, across, sizes, D, eps=0), n, "x"), want, atol=1e-5)
+
+
+def test_correlation_without_a_mask_equals_direct_coefficients(spark):
+    n, D, kernel = 24, 10, bump(5, 1.0)
+    m = np.triu(np.random.default_rng(4).random((n, n)))
+    m[np.triu_indices(n, D + 5)] = 0
+    got = correlate.normxcorr2(frame(spark, m), kernel_frame(spark, [kernel]), D, 5, spark.createDataFrame([(0, n)], "sub int, n long"), eps=0.0).collect()
+    want = {(i, j): np.corrcoef(m[i - 2 : i + 3, j - 2 : j + 3].ravel(), kernel.ravel())[0, 1] for i in range(2, n - 2) for j in range(i, min(n - 2, i + D + 1))}
+    assert {(r.i, r.j) for r in got} == set(want)
+    assert all(abs(r.r - want[r.i, r.j]) < 1e-9 and r.n_obs == 25 for r in got)
+
+
+@pytest.mark.parametrize(("size", "tile"), [(7, 16), (31, 16), (31, 256)])
+def test_sliding_box_sums(spark, size, tile):
+    n, h, D = 90, size // 2, 40
+    m = np.triu(np.random.default_rng(7).random((n, n))) * (np.random.default_rng(8).random((n, n)) < 0.02)
+    rows, sizes = frame(spark, m), spark.createDataFrame([(0, n)], "sub int, n long")
+    got = {(r.i, r.j): (r.v1, r.v2) for r in correlate.box_sums(rows, sizes, size, D, tile).collect()}
+    padded = np.pad(m, h)
+    want = {}
+    for i in range(n):
+        for j in range(i, min(n, i + D + 1)):
+            w = padded[i : i + size, j : j + size]
+            if w.any():
+                want[i, j] = (w.sum(), (w * w).sum())
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)

@@ -142,6 +142,30 @@ def test_nms_equals_the_greedy_walk(spark):
         assert sorted(map(tuple, got.collect())) == sorted(kept)
 
 
+@pytest.mark.parametrize(("side", "most"), [(16, 10**6), (16, 40), (200, 1)])
+def test_tiles_equal_the_greedy_walk(spark, side, most):
+    """Plateaus, a line and repeated places over many small tiles; ``most`` forces rounds of one size."""
+    rng = np.random.default_rng(side + most)
+    pts = [(int(a) - 50, int(b), float(s), int(k)) for a, b, s, k in zip(rng.integers(0, 150, 900), rng.integers(0, 150, 900), rng.integers(0, 4, 900), rng.integers(0, 3, 900), strict=True)]
+    pts += [(k, 300, 1.0, 0) for k in range(0, 160 if most > 1 else 40)]
+    pts = list(set(pts))[: 10**6 if most > 1 else 60]
+    kept = []
+    for p in sorted(pts, key=lambda p: (-p[2], p[0], p[1], p[3])):
+        if not any(abs(p[0] - q[0]) < 5 and abs(p[1] - q[1]) < 5 for q in kept):
+            kept.append(p)
+    rows = spark.createDataFrame(pts, "bin1 long, bin2 long, score double, kernel_id int").repartition(4)
+    assert sorted(map(tuple, nms.remove_neighbours(rows, 5, side=side, most=most).collect())) == sorted(kept)
+
+
+def test_a_plateau_takes_few_rounds(spark, monkeypatch):
+    """100,000 equal scores on the diagonal, each next to the one before."""
+    rounds, walked = [], nms._decided
+    monkeypatch.setattr(nms, "_decided", lambda *a: rounds.append(1) or walked(*a))
+    line = spark.range(100_000).select(F.col("id").alias("bin1"), F.col("id").alias("bin2"), F.lit(1.0).alias("score"))
+    got = nms.remove_neighbours(line, 5)
+    assert sorted(r.bin1 for r in got.select("bin1").collect()) == list(range(0, 100_000, 5)) and len(rounds) < 10
+
+
 def test_detect_finds_planted_loops(spark, tmp_path):
     cmap, places = synthetic_map(spark, 200, chroms=2)
     config = kernels.KernelConfig("t", [kernels.bump(7, 1.5)], 45_000, 2000, 1, 5000, 0.5, 1000, 30, 50)
@@ -272,7 +296,8 @@ def test_a_planted_kernel_peaks_at_its_place(spark, name):
         signal[place[0] - h : place[0] + h + 1, place[1] - h : place[1] + h + 1] = kernel
         signal = np.triu(signal)
         local = spark.createDataFrame([(0, int(i), int(j), float(signal[i, j])) for i, j in zip(*np.nonzero(signal), strict=True)], "sub int, i long, j long, v double")
-        corr = correlate.normxcorr2(local, kernels.kernel_frame(spark, [kernel]), 60, size).where("i < 100 AND j < 100")
+        sizes = spark.createDataFrame([(0, 100)], "sub int, n long")
+        corr = correlate.normxcorr2(local, kernels.kernel_frame(spark, [kernel]), 60, size, sizes)
         best = corr.orderBy(F.desc("r"), "i", "j").first()
         assert (best.i, best.j) == place and best.r > 0.5
 

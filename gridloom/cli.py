@@ -48,6 +48,8 @@ def parser() -> argparse.ArgumentParser:
     detect.add_argument("--inter", action="store_true", help="also between chromosomes")
     detect.add_argument("--smooth-trend", action="store_true")
     detect.add_argument("--dump")
+    detect.add_argument("--resume", help="the --dump folder of an earlier run over the same map: go on from its signal")
+    detect.add_argument("--chroms", help="only these chromosomes, separated by commas; no others are read")
     detect.add_argument("--kernel-factor", type=float)
     quantify = with_map("quantify", "score given positions")
     quantify.add_argument("positions", help="BED2D file")
@@ -74,9 +76,8 @@ def parser() -> argparse.ArgumentParser:
     view.add_argument("--region2", help="chrom:start-end, the columns; the rows' region without it")
     view.add_argument("--patterns", help="table of detected patterns, shown as X")
     view.add_argument("--log", action="store_true")
-    convert = commands.add_parser("convert", help="a map folder from dumped tables of bins and pixels")
-    convert.add_argument("bins")
-    convert.add_argument("pixels")
+    convert = commands.add_parser("convert", help="a map folder from dumped tables of bins and pixels, or from an HDF5 map")
+    convert.add_argument("source", nargs="+", help="the tables of bins and of pixels, or one HDF5 map (file.cool, file.mcool::/resolutions/1000)")
     convert.add_argument("map")
     commands.add_parser("test", help="detect planted loops in a synthetic map")
     return top
@@ -139,7 +140,8 @@ def main(argv: list[str] | None = None) -> int:
     from gridloom.operators.balance import normalise
     from gridloom.plans import pipeline
     from gridloom.session import build_session
-    from gridloom.sources.contacts import read_bed2d, read_dump, read_map, write_map, write_weights
+    from gridloom.sources.contacts import of_chromosomes, read_bed2d, read_dump, read_map, write_map, write_weights
+    from gridloom.sources.datasource import read_cool
 
     spark = build_session("gridloom", getattr(args, "threads", "*"))
     spark.sparkContext.setLogLevel("ERROR")
@@ -153,7 +155,9 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{found} of {len(places)} planted loops detected, {len(rows)} patterns in all")
         return int(found < len(places) * 0.8)
     if args.command == "convert":
-        write_map(read_dump(spark, args.bins, args.pixels), args.map)
+        if len(args.source) > 2:
+            raise ValueError("convert takes two tables or one HDF5 map")
+        write_map(read_dump(spark, *args.source) if len(args.source) == 2 else read_cool(spark, args.source[0]), args.map)
         return 0
     if args.command == "generate-config":
         if not args.positions:
@@ -177,12 +181,14 @@ def main(argv: list[str] | None = None) -> int:
     if args.norm == "force":
         write_weights(cmap, args.map)
         cmap = read_map(spark, args.map)
+    if args.command == "detect" and args.chroms:
+        cmap = of_chromosomes(cmap, args.chroms.split(","))
     cmap = _sampled(cmap, args.subsample, args.seed)
     raw = args.norm == "raw"
     if args.command == "detect":
         if args.dump and args.subsample:
             cmap = replace(cmap, pixels=sinks.dump_stage(cmap.pixels, args.dump, "00_subsampled"))
-        patterns, _ = pipeline.detect(cmap, config, raw=raw, smooth=args.smooth_trend, plan=args.plan, dump=args.dump, factor=args.kernel_factor, inter=args.inter, tsvd=args.tsvd, with_windows=True)
+        patterns, _ = pipeline.detect(cmap, config, raw=raw, smooth=args.smooth_trend, plan=args.plan, dump=args.dump, factor=args.kernel_factor, inter=args.inter, tsvd=args.tsvd, with_windows=True, resume=args.resume)
         rows, order = patterns.persist(), ["order"]
         sinks.write_patterns(rows.drop("window"), args.prefix, order=order)
     else:
@@ -215,6 +221,8 @@ def _write_windows(rows, order: list[str], config, args: argparse.Namespace) ->
 def _view(cmap, args: argparse.Namespace) -> str:
     from pyspark.sql import functions as F
 
+    from gridloom.sources.contacts import of_chromosomes
+
     ends = []
     for region in (args.region, args.region2 or args.region):
         chrom, start, end = region.replace("-", ":").split(":")
@@ -224,6 +232,8 @@ def _view(cmap, args: argparse.Namespace) -> str:
             raise ValueError("the region has no bins, or over 500")
         ends.append((low, high))
     (a, b), (c, d) = ends
+    names = {region.split(":")[0] for region in (args.region, args.region2 or args.region)}
+    cmap = of_chromosomes(cmap, sorted(names))  # reads no others
     matrix = np.zeros((b - a + 1, d - c + 1))
     turned = cmap.pixels.select(F.col("bin2_id").alias("bin1_id"), F.col("bin1_id").alias("bin2_id"), "count")
     both = cmap.pixels.select("bin1_id", "bin2_id", "count").unionByName(turned.where("bin1_id <> bin2_id"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.order_statistics import exact_median
+
 #: Detrended values from here on become 1.
 OUTLIER = 10.0
 
@@ -54,9 +56,10 @@ def degrees(pixels: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def median_mad(values: DataFrame, column: str) -> DataFrame:
-    """One row: median, and the median distance from it."""
-    middle = values.agg(F.median(column).alias("median"))
-    return values.join(F.broadcast(middle)).agg(F.first("median").alias("median"), F.median(F.abs(F.col(column) - F.col("median"))).alias("mad"))
+    """One row: median, and the median distance from it; none without values."""
+    middle = exact_median(values, [], column)
+    apart = values.crossJoin(F.broadcast(middle)).select(F.abs(F.col(column) - F.col("median")).alias("apart"))  # one row
+    return middle.crossJoin(exact_median(apart, [], "apart").withColumnRenamed("median", "mad"))
 
 
 def detectable_intra(pixels: DataFrame, bins: DataFrame, n_mads: float = 3.0) -> DataFrame:
@@ -83,10 +86,13 @@ def diag_trim(local: DataFrame, most: int) -> DataFrame:
 
 
 def distance_law(local: DataFrame, max_dist: int | None = None, fun: Callable[[Column], Column] = F.avg) -> DataFrame:
-    """(sub, d, y): an aggregate of positive values by diagonal; ``fun`` is any aggregate of a column."""
+    """(sub, d, y): an aggregate of positive values by diagonal; ``fun`` is any aggregate of a column. Medians don't gather a
+    diagonal."""
     d = (F.col("j") - F.col("i")).alias("d")
     rows = local.where("v > 0").select("sub", d, "v")
     rows = rows if max_dist is None else rows.where(F.col("d").between(0, max_dist))
+    if fun is F.median:
+        return exact_median(rows, ["sub", "d"], "v").withColumnRenamed("median", "y")
     return rows.groupBy("sub", "d").agg(fun(F.col("v")).alias("y"))
 
 
@@ -118,7 +124,7 @@ def detrend(local: DataFrame, law: DataFrame, max_val: float | None = OUTLIER) -
 
 def inter_scale(local: DataFrame) -> DataFrame:
     """v over the median of stored values of its pair of chromosomes (sub1, sub2)."""
-    middle = local.groupBy("sub1", "sub2").agg(F.median("v").alias("median"))
+    middle = exact_median(local, ["sub1", "sub2"], "v")
     return local.join(middle, ["sub1", "sub2"]).withColumn("v", F.try_divide("v", "median")).drop("median")
 
 

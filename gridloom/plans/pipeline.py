@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.stats import benjamini_hochberg
 from gridloom.operators import correlate, foci, genome, nms, preprocess, windows
 from gridloom.scratch import Scratch
-from gridloom.sources.contacts import ContactMap, swap_anchors
+from gridloom.sources.contacts import ContactMap, near, swap_anchors
 from gridloom.sources.kernels import KernelConfig, blur, factorise, kernel_frame
 from gridloom.sources.sinks import dump_stage
 
@@ -29,10 +29,12 @@ def max_dist_bins(config: KernelConfig, bin_size: int) -> int:
 def prepared(cmap: ContactMap, max_dist: int, largest: int, raw: bool = False, smooth: bool = False, diagonals: DataFrame | None = None, stages: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(local pixels of chromosomes: detrended band, sizes, missing bins).
 
-    The band is cut before the distance law: the law of a diagonal needs no other diagonal. With ``diagonals`` (sub, d)
-    only those are read. ``stages`` collects the frames in between, by name.
+    The band is cut before anything else, in the scan where the map is laid out for that: the law of a diagonal needs no
+    other diagonal. With ``diagonals`` (sub, d) only those are read. ``stages`` collects the frames in between, by name,
+    and takes the first of them from the whole map.
     """
-    values = preprocess.raw_values(cmap.pixels, cmap.bins) if raw else preprocess.balanced(cmap.pixels, cmap.bins)
+    pixels = cmap.pixels if stages is not None else near(cmap.pixels, max_dist + largest)
+    values = preprocess.raw_values(pixels, cmap.bins) if raw else preprocess.balanced(pixels, cmap.bins)
     local = genome.to_local(values, cmap.chroms).select(F.col("sub1").alias("sub"), "i", "j", "v")
     band = preprocess.diag_trim(local, max_dist + largest)
     if diagonals is not None:
@@ -115,13 +117,14 @@ def _search(scratch: Scratch, cmap: ContactMap, config: KernelConfig, part: tupl
     return rows, shown, pile
 
 
-def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bool = False, plan: str = "scatter", dump: str | None = None, factor: float | None = None, inter: bool = False, tsvd: float | None = None, with_windows: bool = False) -> tuple[DataFrame, DataFrame]:
+def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bool = False, plan: str = "scatter", dump: str | None = None, factor: float | None = None, inter: bool = False, tsvd: float | None = None, with_windows: bool = False, resume: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(patterns with the columns DETECT, mean window by kernel: kernel_id, a, b, mean); ``with_windows`` adds the columns
     ``window`` and ``order`` (by kernel, iteration, sub-matrix and focus) to the patterns.
 
     ``tsvd`` keeps only the singular factors of the kernels that hold this share of their energy, and correlates by them.
 
-    ``inter`` also looks between chromosomes, for configurations whose patterns lie off the diagonal.
+    ``inter`` also looks between chromosomes, for configurations whose patterns lie off the diagonal. ``resume`` is the
+    ``dump`` folder of an earlier run over the same map: its signal is taken instead of preparing the map again.
     """
     from gridloom.sources.kernels import resize
 
@@ -129,16 +132,19 @@ def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bo
     scratch = Scratch(spark, "detect")
     kernels = [resize(k, factor) for k in config.kernels] if factor else list(config.kernels)
     size = kernels[0].shape[0]
-    stages: dict[str, DataFrame] = {}
+    stages: dict[str, DataFrame] | None = {} if dump else None
     signal, sizes, gone = prepared(cmap, max_dist_bins(config, cmap.bin_size), size, raw, smooth, stages=stages)
-    for stage, frame in stages.items() if dump else ():
+    for stage, frame in (stages or {}).items():
         dump_stage(frame, dump, stage)
     sizes = sizes.where(F.col("n") > size)
     parts = [(signal, sizes, gone)]
     if inter:
         across, areas, rows, columns = prepared_inter(cmap, raw)
         parts.append((across, areas.where((F.col("n") > size) & (F.col("m") > size)), rows, columns))
-    parts = [(scratch.keep(dump_stage(p[0].join(F.broadcast(p[1].select("sub")), "sub", "left_semi"), dump, f"01_signal_{k}"), "signal"), *p[1:]) for k, p in enumerate(parts)]
+    if resume:
+        parts = [(spark.read.parquet(f"{resume}/01_signal_{k}"), *p[1:]) for k, p in enumerate(parts)]
+    else:
+        parts = [(scratch.keep(dump_stage(p[0].join(F.broadcast(p[1].select("sub")), "sub", "left_semi"), dump, f"01_signal_{k}"), "signal"), *p[1:]) for k, p in enumerate(parts)]
     found, shown, piles = [], [], None
     for turn in range(config.max_iterations):
         correlate.check_kernels(kernels)

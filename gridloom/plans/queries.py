@@ -16,7 +16,7 @@ from gridloom.operators import balance, correlate, foci, genome, matrix, nms, pr
 from gridloom.plans import pipeline
 from gridloom.plans.oracle import ALONE, BAND, BIN_PARTS, BIN_SIZE, EDGES, LEAST_BINS, MOST_MISSING, MOST_ZERO, SIZE, THRESHOLD, assemble, log10p, pieces
 from gridloom.scratch import Scratch
-from gridloom.sources.contacts import ContactMap, chrom_offsets, cooccurrence, self_pairs, swap_anchors
+from gridloom.sources.contacts import ContactMap, chrom_offsets, cooccurrence, of_chromosomes, read_map, self_pairs, swap_anchors, write_map
 from gridloom.sources.kernels import KernelConfig, blocks, bump, factorise, kernel_frame, stripe
 
 #: q-value over the columns that _LAST adds: number of p-values, and rank of the last of equal ones.
@@ -89,6 +89,12 @@ def base_map(spark: SparkSession, sf_dir: str) -> ContactMap:
     return ContactMap(chrom_offsets(bins), scratch.keep(weighed, "bins"), pixels, BIN_SIZE)
 
 
+def stored_map(spark: SparkSession, sf_dir: str) -> ContactMap:
+    folder = Scratch(spark, "stored").path
+    write_map(base_map(spark, sf_dir), folder)
+    return read_map(spark, folder)
+
+
 def signal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return pipeline.prepared(base_map(spark, sf_dir), BAND, SIZE)
 
@@ -359,6 +365,19 @@ def detrended(spark, sf_dir):
     return signal(spark, sf_dir)[0].withColumn("v", six("v"))
 
 
+@query("SELECT bin1_id, bin2_id, count, CASE WHEN x.chrom_idx = y.chrom_idx THEN 0 ELSE 1 END::INTEGER AS trans FROM pixels p JOIN bins0 x ON x.bin_id = p.bin1_id JOIN bins0 y ON y.bin_id = p.bin2_id")
+def stored_pixels(spark, sf_dir):
+    """A map written by chromosome and distance, read back whole."""
+    return stored_map(spark, sf_dir).pixels.select("bin1_id", "bin2_id", "count", "trans")
+
+
+@query("SELECT i, j, round(v, 6) + 0.0 AS v FROM det WHERE sub = 1")
+def stored_chromosome(spark, sf_dir):
+    """One chromosome of a stored map: other folders and far pixels aren't read."""
+    one = of_chromosomes(stored_map(spark, sf_dir), ["chr2"])
+    return pipeline.prepared(one, BAND, SIZE)[0].select("i", "j", six("v").alias("v"))
+
+
 @query("SELECT b.sub, b.i, b.j, round(b.v / l.y, 6) + 0.0 AS v FROM banded b JOIN law l ON l.sub = b.sub AND l.d = b.j - b.i WHERE b.v <> 0")
 def detrended_uncut(spark, sf_dir):
     band = preprocess.diag_trim(local(spark, sf_dir), BAND + SIZE)

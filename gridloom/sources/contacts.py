@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,23 +43,66 @@ def upper(pixels: DataFrame) -> DataFrame:
     )
 
 
+#: A stored map lies in so many parts by chromosome of the first anchor, each split in pixels of one chromosome and of two.
+PARTS = 1024
+#: Bins of a run of first anchors that one task writes, bins of a step of distance that files are sorted by, and bytes of a
+#: row group, the least that a search by distance reads.
+RUN, STEP, ROW_GROUP = 1 << 16, 64, 4 << 20
+#: What a stored map knows of its pixels besides: part and kind (its folders), chromosomes of the anchors, distance in bins.
+LAYOUT = ["part", "trans", "of1", "of2", "apart"]
+
+
+def folded(pixels: DataFrame) -> DataFrame:
+    """A map with both triangles has each pixel twice; one with pixels in either order is folded."""
+    lower = pixels.where("bin1_id > bin2_id")
+    if lower.isEmpty():
+        return pixels
+    turned = lower.select(F.col("bin2_id").alias("bin1_id"), F.col("bin1_id").alias("bin2_id"), "count")
+    above = pixels.where("bin1_id <= bin2_id").select("bin1_id", "bin2_id", "count")
+    return above.unionByName(turned.join(above.select("bin1_id", "bin2_id"), ["bin1_id", "bin2_id"], "left_anti"))
+
+
 def read_map(spark: SparkSession, folder: str) -> ContactMap:
-    """``bins`` and ``pixels`` Parquet below a folder; bins of a chromosome must have one size, the last may be shorter."""
+    """``bins`` and ``pixels`` Parquet below a folder; bins of a chromosome must have one size, the last may be shorter.
+
+    Pixels that ``write_map`` laid out keep the columns LAYOUT, by which ``near`` and ``of_chromosomes`` prune; others are
+    looked through for pixels below the diagonal.
+    """
     bins, pixels = spark.read.parquet(f"{folder}/bins"), spark.read.parquet(f"{folder}/pixels")
     if "weight" not in bins.columns:
         bins = bins.withColumn("weight", F.lit(None).cast("double"))
     size = bins.agg(F.max(F.col("end") - F.col("start"))).first()[0]
     last = F.max("end").over(Window.partitionBy("chrom"))
-    if bins.withColumn("last", last).where((F.col("end") - F.col("start") != size) & (F.col("end") != F.col("last"))).limit(1).count():
+    if not bins.withColumn("last", last).where((F.col("end") - F.col("start") != size) & (F.col("end") != F.col("last"))).isEmpty():
         raise ValueError("bins of different sizes")
-    # A map with both triangles has each pixel twice; one with pixels in either order is folded.
-    lower = pixels.where("bin1_id > bin2_id")
-    if lower.limit(1).count():
-        turned = lower.select(F.col("bin2_id").alias("bin1_id"), F.col("bin1_id").alias("bin2_id"), "count")
-        above = pixels.where("bin1_id <= bin2_id").select("bin1_id", "bin2_id", "count")
-        missing = turned.join(above.select("bin1_id", "bin2_id"), ["bin1_id", "bin2_id"], "left_anti")
-        pixels = above.unionByName(missing)
-    return ContactMap(chrom_offsets(bins), bins, pixels, int(size))
+    return ContactMap(chrom_offsets(bins), bins, pixels if laid_out(pixels) else folded(pixels), int(size))
+
+
+def laid_out(pixels: DataFrame) -> bool:
+    return set(LAYOUT) <= set(pixels.columns)
+
+
+def near(pixels: DataFrame, most: int) -> DataFrame:
+    """Pixels whose bins are at most ``most`` apart; of a laid-out map only files of one chromosome's pixels are read, and
+    of those only row groups that hold such distances. All pixels of one chromosome within that distance are among them."""
+    if laid_out(pixels):
+        return pixels.where((F.col("trans") == 0) & (F.col("apart") <= most))
+    return pixels.where(F.col("bin2_id") - F.col("bin1_id") <= most)
+
+
+def of_chromosomes(cmap: ContactMap, names: list[str]) -> ContactMap:
+    """The map of some chromosomes, bins numbered as before. Of a laid-out map only their parts are read."""
+    chroms = cmap.chroms.where(F.col("chrom").isin(names))
+    known = chroms.select("chrom", "chrom_idx", "start_bin", "end_bin").collect()  # as many as names
+    if lost := sorted(set(names) - {r["chrom"] for r in known}):
+        raise ValueError(f"no chromosomes {lost}")
+    if laid_out(cmap.pixels):
+        ids = [r["chrom_idx"] for r in known]
+        inside = F.col("part").isin(sorted({i % PARTS for i in ids})) & F.col("of1").isin(ids) & F.col("of2").isin(ids)
+    else:
+        side = lambda c: reduce(or_, [F.col(c).between(r["start_bin"], r["end_bin"] - 1) for r in known])
+        inside = side("bin1_id") & side("bin2_id")
+    return replace(cmap, chroms=chroms, bins=cmap.bins.where(F.col("chrom").isin(names)), pixels=cmap.pixels.where(inside))
 
 
 def read_dump(spark: SparkSession, bins_path: str, pixels_path: str) -> ContactMap:
@@ -74,9 +119,19 @@ def read_dump(spark: SparkSession, bins_path: str, pixels_path: str) -> ContactM
 
 
 def write_map(cmap: ContactMap, folder: str) -> None:
-    """Bins (with weights) and pixels as Parquet; a source is never changed in place."""
+    """Bins (with weights) and pixels as Parquet; a source is never changed in place.
+
+    Pixels lie in folders by part (a chromosome, or several of a genome of more than PARTS) and by whether both anchors are
+    of one chromosome, in files by runs of first anchors, so a long chromosome has many; files are in order of distance.
+    """
+    from gridloom.operators.genome import to_local
+
     cmap.bins.write.parquet(f"{folder}/bins")
-    cmap.pixels.write.parquet(f"{folder}/pixels")
+    rows = to_local(folded(cmap.pixels.select("bin1_id", "bin2_id", F.col("count").cast("double").alias("count"))), cmap.chroms, inter=True)
+    trans = (F.col("sub1") != F.col("sub2")).cast("int")
+    rows = rows.select("bin1_id", "bin2_id", "count", F.col("sub1").alias("of1"), F.col("sub2").alias("of2"), (F.col("bin2_id") - F.col("bin1_id")).alias("apart"), (F.col("sub1") % PARTS).alias("part"), trans.alias("trans"))
+    dealt = rows.repartition("part", "trans", F.floor(F.col("bin1_id") / RUN)).sortWithinPartitions("part", "trans", F.floor(F.col("apart") / STEP), "bin1_id")
+    dealt.write.option("parquet.block.size", ROW_GROUP).partitionBy("part", "trans").parquet(f"{folder}/pixels")
 
 
 def write_weights(cmap: ContactMap, folder: str) -> None:

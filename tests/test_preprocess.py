@@ -151,3 +151,27 @@ def test_local_bins_in_a_genome_of_many_scaffolds(spark):
     got = genome.to_local(spark.createDataFrame(pixels, "bin1_id long, bin2_id long, count double"), chroms, inter=True)
     assert sorted((r.sub1, r.sub2, r.i, r.j) for r in got.collect()) == want
     assert genome.chrom_cells(chroms)[0].count() <= 2 * len(sizes)
+
+
+@pytest.mark.parametrize("most", [100_000, 40])
+def test_exact_medians(spark, most):
+    """Groups of all kinds: even and odd, heavy tails, ties, negative and huge values, one value, nulls only."""
+    from gridloom.functions.order_statistics import exact_median
+
+    rng = np.random.default_rng(most)
+    groups = {0: rng.lognormal(0, 6, 1001), 1: rng.lognormal(0, 6, 1000), 2: rng.integers(0, 3, 500).astype(float), 3: np.array([7.5]), 4: -rng.random(333) * 1e-300, 5: np.concatenate([np.full(300, 1.0), np.full(300, 2.0)]), 6: np.concatenate([rng.normal(0, 1, 400) * 4e307, [np.inf, np.inf, -np.inf]]), 9: rng.integers(0, 9, 300) * 5e-324, 7: np.array([1.0, 3.0])}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [(0, None), (8, None)]
+    table = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    got = {r.g: r["median"] for r in exact_median(table, ["g"], "v", most).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        assert got[k] == pytest.approx(float(np.median(x)), rel=1e-15), k
+    one = exact_median(table.where("g = 0"), [], "v", most).collect()
+    assert [r["median"] for r in one] == [np.median(groups[0])]
+
+
+def test_a_large_group_is_never_gathered(spark):
+    from gridloom.functions.order_statistics import exact_median
+
+    table = spark.range(2_000_001).select(F.lit(1).alias("g"), (F.col("id") * 7919 % 2_000_001).cast("double").alias("v"))
+    assert exact_median(table, ["g"], "v").first()["median"] == 1_000_000.0

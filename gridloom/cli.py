@@ -104,7 +104,7 @@ def _sampled(cmap, amount: float | None, seed: int):
     """A share of the contacts of each sub-matrix; a number of contacts is taken as a share of all."""
     from pyspark.sql import functions as F
 
-    from gridloom.operators.preprocess import subsample_share
+    from gridloom.operators.sampling import draw_share
 
     if amount is None:
         return cmap
@@ -114,7 +114,7 @@ def _sampled(cmap, amount: float | None, seed: int):
         amount /= cmap.pixels.agg(F.sum("count")).first()[0] or 1.0
         if amount > 1:
             raise ValueError("more contacts asked for than there are")
-    return replace(cmap, pixels=subsample_share(cmap.pixels, cmap.chroms, amount, seed))
+    return replace(cmap, pixels=draw_share(cmap.pixels, cmap.chroms, amount, seed))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.preprocess import degrees, marginals, median_mad
+from gridloom.scratch import Scratch
 
 IGNORED_DIAGONALS = 2
 LEAST_FILLED = 10
@@ -41,31 +44,57 @@ def correction_round(pixels: DataFrame, bias: DataFrame) -> DataFrame:
     return joined.select("bin_id", (F.col("b") / m).alias("b"), m.alias("m"))
 
 
+def _both_ways(pixels: DataFrame, folder: str, buckets: int) -> str:
+    """A table (i, j, count) of each pixel from both of its bins, bucketed by j: the name of the table."""
+    turned = pixels.where("bin1_id <> bin2_id").select(F.col("bin2_id").alias("i"), F.col("bin1_id").alias("j"), "count")
+    rows = pixels.select(F.col("bin1_id").alias("i"), F.col("bin2_id").alias("j"), "count").unionByName(turned)
+    name = f"gridloom_pixels_{uuid.uuid4().hex}"
+    rows.repartition(buckets, "j").write.bucketBy(buckets, "j").sortBy("j").option("path", folder).saveAsTable(name)
+    return name
+
+
+def marginals_of(both: DataFrame, bias: DataFrame) -> DataFrame:
+    """bias (bin_id, b) to (bin_id, b, own): own is the bin's sum of b * count * b over its pixels.
+
+    The pixels lie in buckets by j and meet the bias of j there; what is shuffled is the bias and the partial sums by i.
+    """
+    side = bias.select(F.col("bin_id").alias("j"), F.col("b").alias("_b"))
+    sums = both.join(side, "j").groupBy("i").agg(F.sum(F.col("count") * F.col("_b")).alias("_s"))
+    return bias.join(sums.withColumnRenamed("i", "bin_id"), "bin_id", "left").select("bin_id", "b", (F.col("b") * F.col("_s")).alias("own"))
+
+
 def ice(pixels: DataFrame, bins: DataFrame, iterations: int = 200, n_mads: float = 5.0, inter: bool = False, least: int = LEAST_FILLED, tolerance: float = TOLERANCE) -> DataFrame:
-    """bins with new weights (null where masked). Each round ends in a table of one row a bin, so plans don't grow."""
+    """bins with new weights (null where masked).
+
+    Pixels are shuffled once, into a bucketed table with each pixel under both of its bins; a round joins it to the bias
+    without an exchange of pixels and ends in a table of one row a bin. Only the spread of the marginals comes to the driver.
+    """
     spark = pixels.sparkSession
+    scratch = Scratch(spark, "balance")
     kept = usable_pixels(pixels, bins, inter)
+    kept = scratch.keep(kept, "usable")
     good = usable_bins(kept, bins, n_mads, least)
+    good = scratch.keep(good, "bins")
     for k in (1, 2):
         kept = kept.join(good.select(F.col("bin_id").alias(f"bin{k}_id")), f"bin{k}_id", "left_semi")
-    kept = kept.persist()
+    name = _both_ways(kept, f"{scratch.path}/pixels", int(spark.conf.get("spark.sql.shuffle.partitions")))
     try:
-        bias = good.withColumn("b", F.lit(1.0))
+        both = spark.table(name)
+        marginal = F.when(F.col("own") != 0, F.col("own"))
+        state = scratch.keep(marginals_of(both, good.withColumn("b", F.lit(1.0))), "marginals")
         for _ in range(iterations):
-            step = correction_round(kept, bias)
-            rows = step.toArrow()  # one row a bin: a dimension table, not the contacts
-            m = rows.column("m").to_numpy()
-            bias = spark.createDataFrame(rows.select(["bin_id", "b"]))
-            if not len(m) or m.var() < tolerance:
+            mean = state.agg(F.avg(marginal)).first()[0]
+            m = F.coalesce(marginal / F.lit(mean or 1.0), F.lit(1.0))
+            spread = state.agg(F.var_pop(m)).first()[0]
+            before, state = state, scratch.keep(marginals_of(both, state.select("bin_id", (F.col("b") / m).alias("b"))), "marginals")
+            scratch.forget(before)
+            if spread is None or spread < tolerance:
                 break
-        own = kept
-        for k in (1, 2):
-            own = own.join(bias.select(F.col("bin_id").alias(f"bin{k}_id"), F.col("b").alias(f"b{k}")), f"bin{k}_id")
-        mean = marginals(own.withColumn("v", F.col("b1") * F.col("b2") * F.col("count")), "v").where("marginal <> 0").agg(F.avg("marginal").alias("a")).first()["a"]
-        weights = bias.select("bin_id", (F.col("b") / F.lit((mean or 1.0) ** 0.5)).alias("weight"))
+        mean = state.agg(F.avg(marginal)).first()[0]
+        weights = state.select("bin_id", (F.col("b") / F.lit((mean or 1.0) ** 0.5)).alias("weight"))
         return bins.drop("weight").join(weights, "bin_id", "left")
     finally:
-        kept.unpersist()
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def normalise(cmap, norm: str = "auto", **options):

@@ -260,7 +260,8 @@ def normxcorr2(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, si
 
 def normxcorr2_inter(local: DataFrame, kernel: DataFrame, sizes: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, size: int, missing_tol: float = 0.75, eps: float = EPS) -> DataFrame:
     """Between chromosomes: sizes (sub, n, m); cells outside, and those of missing rows or columns, are left out; no band."""
-    sums = scatter_sums(local, kernel, None, intra=False).join(F.broadcast(sizes), "sub").where("i < n AND j < m")
+    # Pairs of chromosomes may be many: no hint, their table decides by its size.
+    sums = scatter_sums(local, kernel, None, intra=False).join(sizes, "sub").where("i < n AND j < m")
     return pearson(area_mask(sums, kernel, missing_rows, missing_columns, size).drop("n", "m"), kernel, missing_tol, eps)
 
 
@@ -287,10 +288,25 @@ def normxcorr2_at(points: DataFrame, cells: DataFrame, kernel: DataFrame, sizes:
         met = met.where((F.col("i") >= 0) & (F.col("j") >= F.col("i")) & (F.col("j") - F.col("i") <= max_dist))
         masked = band_mask(met, kernel, sizes, missing, max_dist, size)
     else:
-        masked = area_mask(met.join(F.broadcast(sizes), "sub"), kernel, missing, missing_columns, size).drop("n", "m")
+        masked = area_mask(met.join(sizes, "sub"), kernel, missing, missing_columns, size).drop("n", "m")
     return pearson(masked, kernel, missing_tol, eps, ["pid"])
 
 
+def check_mask(local: DataFrame, missing: DataFrame, sizes: DataFrame, missing_columns: DataFrame | None = None) -> DataFrame:
+    """``local`` as it is; the task that reads a row fails if it lies outside its matrix or, with a value, on a missing bin.
+
+    The check is part of the plan and costs no job: sizes are one row a matrix, missing bins meet the rows by their keys.
+    """
+    width = "m" if "m" in sizes.columns else "n"
+    rows = local.join(sizes.select("sub", F.col("n").alias("_n"), F.col(width).alias("_m")), "sub", "left")
+    for axis, side in (("i", missing), ("j", missing if missing_columns is None else missing_columns)):
+        rows = rows.join(side.select("sub", F.col("bin").alias(axis), F.lit(True).alias(f"_{axis}")).distinct(), ["sub", axis], "left")
+    outside = F.col("_n").isNull() | (F.col("i") < 0) | (F.col("j") < 0) | (F.col("i") >= F.col("_n")) | (F.col("j") >= F.col("_m"))
+    covered = (F.coalesce("_i", F.lit(False)) | F.coalesce("_j", F.lit(False))) & (F.coalesce("v", F.lit(0.0)) != 0)
+    fault = F.when(outside, F.lit("the mask and the signal have different shapes")).when(covered, F.lit("there is signal under the mask"))
+    return rows.withColumn("v", F.when(fault.isNotNull(), F.raise_error(fault).cast("double")).otherwise(F.col("v"))).select(*local.columns)
+
+
 def check_kernels(kernels: list[np.ndarray], shape: tuple[int, int] | None = None) -> None:
     """What a correlation needs: square kernels of one odd size that aren't flat, smaller than the signal's ``shape``."""
     size = kernels[0].shape[0]

@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.components import component_of
+from gridloom.operators.ordering import numbered
+from gridloom.scratch import Scratch
+
 
 def candidates(corr: DataFrame, threshold: float) -> DataFrame:
     return corr.where((F.col("r") >= threshold) & (F.col("r") != 0))
@@ -55,12 +59,38 @@ def _least(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def label(pixels: DataFrame, tile: int = TILE) -> DataFrame:
+#: Links of a sub-matrix and kernel between groups of its tiles that one task may merge.
+MOST_LINKS = 1_000_000
+
+
+def _merged(links: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+    """links (sub, kernel_id, root, other) between groups of tiles to (sub, kernel_id, root, first): the first pixel of each
+    one's whole group. Where a sub-matrix has more than ``most`` links, all are contracted in tables."""
+    base = ["sub", "kernel_id"]
+    links = scratch.keep(links, "links")
+    largest = links.groupBy(*base).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        node = lambda c: F.struct(*base, F.col(c).alias("root"))
+        heads = component_of(links.select(node("root").alias("a"), node("other").alias("b")), scratch)
+        first = heads.groupBy("head").agg(F.min("node.root").alias("first"))
+        return heads.join(first, "head").select("node.*", "first")
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        roots, ends = np.unique(frame[["root", "other"]].to_numpy(), return_inverse=True)
+        ends = ends.reshape(-1, 2)
+        low = _least(np.arange(len(roots)), ends[:, 0], ends[:, 1])
+        return pd.DataFrame({"sub": frame["sub"].iloc[0], "kernel_id": frame["kernel_id"].iloc[0], "root": roots, "first": roots[low]})
+
+    return links.groupBy(*base).applyInPandas(merge, "sub int, kernel_id int, root long, first long")
+
+
+def label(pixels: DataFrame, tile: int = TILE, most: int = MOST_LINKS) -> DataFrame:
     """Adds ``label``: foci of a sub-matrix and kernel numbered from 1 by their first pixel in row-major order.
 
     Tiles are labelled apart, with a margin of one pixel from the tiles before; pixels of the margin, which two tiles
-    have, link the groups of both. Only those links of a sub-matrix, a thousandth of its candidates, meet in one place.
+    have, link the groups of both. Foci are numbered by a sort dealt out by range, not by a window over a chromosome.
     """
+    scratch = Scratch(pixels.sparkSession, "foci")
     base = ["sub", "kernel_id"]
     placed = pixels.withColumn("flat", F.col("i") * _WIDTH + F.col("j")).withColumn("ti", F.floor(F.col("i") / tile)).withColumn("tj", F.floor(F.col("j") / tile))
     last = lambda c: F.col(c) % tile == tile - 1
@@ -72,20 +102,13 @@ def label(pixels: DataFrame, tile: int = TILE) -> DataFrame:
         frame = frame.sort_values("flat", ignore_index=True)
         return frame.assign(root=_roots(frame["flat"].to_numpy()))[[*base, "flat", "ghost", "root"]]
 
-    local = spread.groupBy(*base, "ti", "tj").applyInPandas(each, "sub int, kernel_id int, flat long, ghost boolean, root long")
+    local = scratch.keep(spread.groupBy(*base, "ti", "tj").applyInPandas(each, "sub int, kernel_id int, flat long, ghost boolean, root long"), "tiles")
     own = local.where("NOT ghost").drop("ghost")
     links = local.where("ghost").select(*base, "flat", F.col("root").alias("other")).join(own, [*base, "flat"]).where("root <> other").select(*base, "root", "other").distinct()
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        roots, ends = np.unique(frame[["root", "other"]].to_numpy(), return_inverse=True)
-        ends = ends.reshape(-1, 2)
-        low = _least(np.arange(len(roots)), ends[:, 0], ends[:, 1])
-        return pd.DataFrame({"sub": frame["sub"].iloc[0], "kernel_id": frame["kernel_id"].iloc[0], "root": roots, "first": roots[low]})
-
-    merged = links.groupBy(*base).applyInPandas(merge, "sub int, kernel_id int, root long, first long")
-    rooted = own.join(merged, [*base, "root"], "left").select(*base, "flat", F.coalesce("first", "root").alias("first"))
-    number = F.dense_rank().over(Window.partitionBy(*base).orderBy("first")).cast("long")
-    labels = rooted.withColumn("label", number).drop("first")
+    rooted = own.join(_merged(links, scratch, most), [*base, "root"], "left").select(*base, "flat", F.coalesce("first", "root").alias("first"))
+    firsts = rooted.where(F.col("flat") == F.col("first")).select(*base, "first")  # a group's first pixel names it
+    numbers = numbered(firsts, [*base, "first"], lambda x: scratch.keep(x, "firsts"), "label", base)
+    labels = rooted.join(numbers, [*base, "first"]).drop("first")
     return placed.drop("ti", "tj").join(labels, [*base, "flat"]).drop("flat")
 
 

@@ -20,7 +20,9 @@ def cells(patterns: DataFrame, local: DataFrame, sizes: DataFrame, missing: Data
     width = "n" if missing_columns is None else "m"
     spark = patterns.sparkSession
     footprint = small_frame(spark, [(a, b) for a in range(size) for b in range(size)], "a int, b int")
-    at = patterns.join(F.broadcast(footprint)).join(F.broadcast(sizes), "sub").withColumn("x", F.col("i") + F.col("a") - h).withColumn("y", F.col("j") + F.col("b") - h)
+    # One row a chromosome; of pairs of chromosomes there may be many.
+    known = F.broadcast(sizes) if missing_columns is None else sizes
+    at = patterns.join(F.broadcast(footprint)).join(known, "sub").withColumn("x", F.col("i") + F.col("a") - h).withColumn("y", F.col("j") + F.col("b") - h)
     gone = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") >= F.col("n")) | (F.col("y") >= F.col(width))
     for axis, side in (("x", missing), ("y", missing if missing_columns is None else missing_columns)):
         at = at.join(side.select("sub", F.col("bin").alias(axis), F.lit(True).alias(f"_{axis}")), ["sub", axis], "left")
@@ -36,8 +38,8 @@ def validity(patterns: DataFrame, window_cells: DataFrame, sizes: DataFrame, mos
     """Adds undetected, zero (shares) and valid. A pattern in the last row or column is never valid."""
     n = F.count(F.lit(1))
     stats = window_cells.groupBy("pid").agg((F.sum(F.when(F.col("v").isNull(), 1).otherwise(0)) / n).alias("undetected"), F.try_divide(F.sum(F.when(F.col("v") == 0, 1).otherwise(0)), F.count("v")).alias("zero"))
-    joined = patterns.join(stats, "pid").join(F.broadcast(sizes), "sub")
     width = "m" if "m" in sizes.columns else "n"
+    joined = patterns.join(stats, "pid").join(sizes if width == "m" else F.broadcast(sizes), "sub")
     inside = (F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("i") < F.col("n") - 1) & (F.col("j") < F.col(width) - 1)
     ok = inside & (F.col("undetected") < most_missing / 100) & F.coalesce(F.col("zero") < most_zero / 100, F.lit(False))
     return joined.withColumn("valid", ok).drop("n", "m")

@@ -53,15 +53,18 @@ def prepared(cmap: ContactMap, max_dist: int, largest: int, raw: bool = False, s
 def prepared_inter(cmap: ContactMap, raw: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(pixels between chromosomes over their pair's median, sizes (sub, n, m), missing rows, missing columns).
 
-    ``sub`` is sub1 * number of chromosomes + sub2.
+    ``sub`` is sub1 * number of chromosomes + sub2. Only pairs with pixels have rows: of many scaffolds, few meet.
     """
     n_chroms = cmap.chroms.count()
     values = preprocess.raw_values(cmap.pixels, cmap.bins) if raw else preprocess.balanced(cmap.pixels, cmap.bins)
-    scaled = preprocess.inter_scale(genome.to_local(values, cmap.chroms, inter=True).where("sub1 <> sub2"))
+    scratch = Scratch(cmap.bins.sparkSession, "inter")
+    across = scratch.keep(genome.to_local(values, cmap.chroms, inter=True).where("sub1 <> sub2").select("sub1", "sub2", "i", "j", "v"), "across")
+    scaled = preprocess.inter_scale(across)
     pair = (F.col("sub1") * n_chroms + F.col("sub2")).alias("sub")
     signal = scaled.select(pair, "i", "j", "v").where("v IS NOT NULL AND v <> 0")
     side = lambda k, n: cmap.chroms.select(F.col("chrom").alias(f"chrom{k}"), F.col("chrom_idx").alias(f"sub{k}"), (F.col("end_bin") - F.col("start_bin")).alias(n))
-    pairs = side(1, "n").join(side(2, "m"), F.col("sub1") < F.col("sub2"))
+    pairs = across.select("sub1", "sub2").distinct().join(side(1, "n"), "sub1").join(side(2, "m"), "sub2")
+    pairs = scratch.keep(pairs.select("chrom1", "chrom2", "sub1", "sub2", "n", "m"), "pairs")
     gone = cmap.bins.where("weight IS NULL").join(F.broadcast(cmap.chroms), "chrom").select("chrom", (F.col("bin_id") - F.col("start_bin")).alias("bin"))
     rows, columns = (pairs.join(gone.withColumnRenamed("chrom", f"chrom{k}"), f"chrom{k}").select(pair, "bin") for k in (1, 2))
     return signal, pairs.select(pair, "n", "m"), rows, columns
@@ -144,7 +147,7 @@ def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bo
     if resume:
         parts = [(spark.read.parquet(f"{resume}/01_signal_{k}"), *p[1:]) for k, p in enumerate(parts)]
     else:
-        parts = [(scratch.keep(dump_stage(p[0].join(F.broadcast(p[1].select("sub")), "sub", "left_semi"), dump, f"01_signal_{k}"), "signal"), *p[1:]) for k, p in enumerate(parts)]
+        parts = [(scratch.keep(dump_stage(correlate.check_mask(p[0].join(p[1].select("sub"), "sub", "left_semi"), p[2], p[1], *p[3:]), dump, f"01_signal_{k}"), "signal"), *p[1:]) for k, p in enumerate(parts)]
     found, shown, piles = [], [], None
     for turn in range(config.max_iterations):
         correlate.check_kernels(kernels)
@@ -209,7 +212,8 @@ def quantify(cmap: ContactMap, config: KernelConfig, positions: DataFrame, raw:
     known = anchors.where("chrom1 = chrom2").join(F.broadcast(cmap.chroms.select(F.col("chrom").alias("chrom1"), "length")), "chrom1").where("start2 < length")
     reach = known.agg(F.max(F.col("start2") - F.col("start1"))).first()[0] or 0
     reach_bins = max_dist_bins(replace(config, max_dist=reach), cmap.bin_size) + 1
-    rows = anchors.withColumn("qid", F.xxhash64("chrom1", "start1", "chrom2", "start2"))
+    scratch = Scratch(cmap.bins.sparkSession, "positions")
+    rows = scratch.keep(anchors.withColumn("qid", F.monotonically_increasing_id()), "numbered")
     for k in (1, 2):
         pos = rows.withColumn("chrom", F.col(f"chrom{k}")).withColumn("pos", F.floor((F.col(f"start{k}") + F.col(f"end{k}")) / 2))
         rows = genome.coords_to_bins(pos, cmap.bins, cmap.bin_size).withColumnRenamed("bin_id", f"m{k}").drop("chrom", "pos")
@@ -221,7 +225,6 @@ def quantify(cmap: ContactMap, config: KernelConfig, positions: DataFrame, raw:
         side = cmap.chroms.select(F.col("chrom").alias(f"chrom{k}"), F.col("chrom_idx").alias(f"x{k}"), F.col("start_bin").alias(f"s{k}"))
         at = at.join(F.broadcast(side), f"chrom{k}")
     place = lambda k: F.col(f"m{k}") - F.col(f"s{k}")
-    scratch = Scratch(cmap.bins.sparkSession, "positions")
     cis = scratch.keep(at.where("x1 = x2").select("qid", F.col("x1").alias("sub"), place(1).alias("i"), place(2).alias("j")), "cis")
     # A far pair widens the band to its distance, but only the diagonals that windows reach are read.
     d = F.col("j") - F.col("i")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import benjamini_hochberg, rank_glyphs
-from gridloom.operators import balance, correlate, foci, genome, matrix, nms, preprocess, windows
+from gridloom.operators import balance, correlate, foci, genome, matrix, nms, preprocess, sampling, windows
 from gridloom.plans import pipeline
 from gridloom.plans.oracle import ALONE, BAND, BIN_PARTS, BIN_SIZE, EDGES, LEAST_BINS, MOST_MISSING, MOST_ZERO, SIZE, THRESHOLD, assemble, log10p, pieces
 from gridloom.scratch import Scratch
@@ -433,6 +433,15 @@ def sampled_share(spark, sf_dir):
     return preprocess.subsample_share(m.pixels, m.chroms, 0.3)
 
 
+@query("SELECT c.chrom_idx AS sub1, d.chrom_idx AS sub2, floor(sum(p.count) * 0.3::DOUBLE)::DOUBLE AS total, true AS bounded FROM pixels p JOIN bins0 x ON x.bin_id = p.bin1_id JOIN bins0 y ON y.bin_id = p.bin2_id JOIN chroms c ON c.chrom_idx = x.chrom_idx JOIN chroms d ON d.chrom_idx = y.chrom_idx GROUP BY 1, 2")
+def sampled_tree(spark, sf_dir):
+    """What is fixed of a random draw: its sum in each sub-matrix, and that no pixel gives more than it has."""
+    m = base_map(spark, sf_dir)
+    drawn = sampling.draw_share(m.pixels, m.chroms, 0.3).withColumnRenamed("count", "drawn")
+    rows = genome.to_local(m.pixels.join(drawn, ["bin1_id", "bin2_id"], "left"), m.chroms, inter=True)
+    return rows.groupBy("sub1", "sub2").agg(F.sum("drawn").alias("total"), F.bool_and(F.coalesce(F.col("drawn") <= F.col("count"), F.lit(True))).alias("bounded"))
+
+
 @query("SELECT count(*) AS nnz, sum(count) AS total, max(bin2_id - bin1_id) AS widest, max(count) AS largest FROM pixels")
 def map_reductions(spark, sf_dir):
     return contacts(spark, sf_dir).agg(F.count(F.lit(1)).alias("nnz"), F.sum("count").alias("total"), F.max(F.col("bin2_id") - F.col("bin1_id")).alias("widest"), F.max("count").alias("largest"))
@@ -812,8 +821,35 @@ _QUANTIFY = {
 }
 
 
+def _quantify_kernels_blocks() -> dict[str, str]:
+    """Each kernel's own correlation; windows and their validity don't depend on the kernel."""
+    own = ("kern", "sums", "cells", "masked", "terms", "moments", "dens", "corr")
+    out = {k: v for k, v in _QUANTIFY.items() if k not in own}
+    for k, kernel in enumerate(_KERNELS):
+        of_kernel = pieces(kernel)
+        for name in own:
+            out[f"{name}_{k}"] = of_kernel[name] if name == "kern" else re.sub(rf"\b({'|'.join(own)})\b(?!\.)", rf"\1_{k}", of_kernel[name])
+    each = " UNION ALL ".join(f"SELECT {k} AS kernel_id, k.sub, k.i, k.j, CASE WHEN k.valid THEN coalesce(c.r, 0.0::DOUBLE) END AS score, CASE WHEN k.valid THEN coalesce(pow(10.0::DOUBLE, {log10p('c.r', 'c.n_obs')}), 1.0::DOUBLE) END AS pvalue FROM checked k LEFT JOIN corr_{k} c ON c.sub = k.sub AND c.i = k.i AND c.j = k.j" for k in range(len(_KERNELS)))
+    out["scored"] = f"SELECT sub, i, j, score, pvalue FROM (SELECT *, row_number() OVER (PARTITION BY sub, i, j ORDER BY score DESC NULLS LAST, kernel_id) AS first FROM ({each})) WHERE first = 1"
+    order = [*[k for k in out if k not in ("scored", "tested")], "scored", "tested"]
+    return {k: out[k] for k in order}
+
+
+_SCORED = f"SELECT 'chr' || (s.sub + 1) AS chrom1, s.i * {BIN_SIZE} AS start1, (s.i + 1) * {BIN_SIZE} AS end1, 'chr' || (s.sub + 1) AS chrom2, s.j * {BIN_SIZE} AS start2, (s.j + 1) * {BIN_SIZE} AS end2, c.start_bin + s.i AS bin1, c.start_bin + s.j AS bin2, round(s.score, 6) + 0.0 AS score, round(s.pvalue, 6) + 0.0 AS pvalue, round(t.qvalue, 6) + 0.0 AS qvalue FROM scored s JOIN chroms c ON c.chrom_idx = s.sub LEFT JOIN tested t USING (sub, i, j)"
+
+
+@query(_SCORED, _quantify_kernels_blocks())
+def quantify_kernels(spark, sf_dir):
+    """Two kernels: each position has the score of the better one."""
+    return _quantified(spark, sf_dir, replace(CONFIG, pearson=0.0, kernels=_KERNELS))
+
+
 @query(f"SELECT 'chr' || (s.sub + 1) AS chrom1, s.i * {BIN_SIZE} AS start1, (s.i + 1) * {BIN_SIZE} AS end1, 'chr' || (s.sub + 1) AS chrom2, s.j * {BIN_SIZE} AS start2, (s.j + 1) * {BIN_SIZE} AS end2, c.start_bin + s.i AS bin1, c.start_bin + s.j AS bin2, round(s.score, 6) + 0.0 AS score, round(s.pvalue, 6) + 0.0 AS pvalue, round(t.qvalue, 6) + 0.0 AS qvalue FROM scored s JOIN chroms c ON c.chrom_idx = s.sub LEFT JOIN tested t USING (sub, i, j)", _QUANTIFY)
 def quantify_full(spark, sf_dir):
+    return _quantified(spark, sf_dir, replace(CONFIG, pearson=0.0))
+
+
+def _quantified(spark, sf_dir, config):
     m = base_map(spark, sf_dir)
     side = m.chroms.select("chrom", F.col("chrom_idx").alias("sub"), (F.col("end_bin") - F.col("start_bin")).alias("n"))
     k = F.col("o_orderkey")
@@ -821,5 +857,5 @@ def quantify_full(spark, sf_dir):
     at = at.select("chrom", (k * 7 % F.col("n")).alias("i"), (k % 20).alias("d"), "n").where("i + d < n")
     a, b = F.col("i") * BIN_SIZE, (F.col("i") + F.col("d")) * BIN_SIZE
     positions = at.select(F.col("chrom").alias("chrom1"), a.alias("start1"), (a + BIN_SIZE).alias("end1"), F.col("chrom").alias("chrom2"), b.alias("start2"), (b + BIN_SIZE).alias("end2"))
-    rows = pipeline.quantify(m, replace(CONFIG, pearson=0.0), positions)
+    rows = pipeline.quantify(m, config, positions)
     return rows.drop("window").withColumns({x: six(x) for x in ("score", "pvalue", "qvalue")})

@@ -71,3 +71,25 @@ def test_sliding_box_sums(spark, size, tile):
             if w.any():
                 want[i, j] = (w.sum(), (w * w).sum())
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_masks_are_checked_inside_the_plan(spark):
+    rows = spark.createDataFrame([(0, 1, 2, 1.0), (0, 3, 3, 0.0), (0, 2, 4, 2.0)], "sub int, i long, j long, v double")
+    sizes, gone = spark.createDataFrame([(0, 5)], "sub int, n long"), lambda *b: spark.createDataFrame([(0, x) for x in b], "sub int, bin long")
+    assert sorted(correlate.check_mask(rows, gone(0, 3), sizes).collect()) == sorted(rows.collect())
+    for mask, n, said in ((gone(4), 5, "under the mask"), (gone(1), 5, "under the mask"), (gone(0), 4, "shapes")):
+        with pytest.raises(Exception, match=said):
+            correlate.check_mask(rows, mask, spark.createDataFrame([(0, n)], "sub int, n long")).collect()
+
+
+def test_a_thousand_scaffolds(spark):
+    """Pairs of chromosomes are made from pixels, not from the square of their number."""
+    from gridloom.plans import pipeline
+    from gridloom.sources.contacts import BINS, PIXELS, ContactMap, chrom_offsets
+
+    bins = spark.createDataFrame([(k, f"s{k // 3}", k % 3 * 10, k % 3 * 10 + 10, 1.0) for k in range(3000)], BINS)
+    pixels = spark.createDataFrame([(k, k + 30 + d, 1.0 + d) for k in range(0, 2900, 7) for d in (0, 1)], PIXELS)
+    signal, pairs, _, _ = pipeline.prepared_inter(ContactMap(chrom_offsets(bins), bins, pixels, 10))
+    met = {(k // 3, (k + 30 + d) // 3) for k in range(0, 2900, 7) for d in (0, 1)}
+    assert pairs.count() == len(met) and {r.sub for r in pairs.collect()} == {a * 1000 + b for a, b in met}
+    assert signal.count() == pixels.count()

@@ -110,8 +110,8 @@ def test_snake_shaped_focus_is_one(spark):
     assert {r.label for r in foci.label(spark.createDataFrame(cells, "sub int, kernel_id int, i long, j long, r double")).collect()} == {1}
 
 
-@pytest.mark.parametrize("tile", [3, 7, 1024])
-def test_labels_over_tiles(spark, tile):
+@pytest.mark.parametrize(("tile", "most"), [(3, 1), (3, 10**6), (7, 5), (1024, 1)])
+def test_labels_over_tiles(spark, tile, most):
     """Random maps near the density where groups wind through many tiles, against a flood fill."""
     rng = np.random.default_rng(tile)
     m = rng.random((30, 30)) < 0.58
@@ -126,7 +126,7 @@ def test_labels_over_tiles(spark, tile):
                     want[x, y] = n
                     todo += [(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)]
     rows = spark.createDataFrame([(0, 0, int(i), int(j), 1.0) for i, j in zip(*np.nonzero(m), strict=True)], "sub int, kernel_id int, i long, j long, r double")
-    got = foci.label(rows, tile).collect()
+    got = foci.label(rows, tile, most).collect()
     assert {(r.i, r.j): r.label for r in got} == {(int(i), int(j)): int(want[i, j]) for i, j in zip(*np.nonzero(m), strict=True)}
 
 

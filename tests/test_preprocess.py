@@ -175,3 +175,57 @@ def test_a_large_group_is_never_gathered(spark):
 
     table = spark.range(2_000_001).select(F.lit(1).alias("g"), (F.col("id") * 7919 % 2_000_001).cast("double").alias("v"))
     assert exact_median(table, ["g"], "v").first()["median"] == 1_000_000.0
+
+
+def test_draws_by_a_tree(spark):
+    """Exact sums, bounds, the same on any layout, another seed another draw; shares near what is expected."""
+    from gridloom.operators import sampling
+
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(a), int(a + d)): float(n) for a, d, n in zip(rng.integers(0, 60, 900), rng.integers(0, 20, 900), rng.integers(0, 50, 900), strict=True)}.items())
+    pix = spark.createDataFrame([(a, b, n) for (a, b), n in rows], "bin1_id long, bin2_id long, count double")
+    has, total = {k: n for k, n in rows}, int(sum(n for _, n in rows))
+    draw = lambda p, n, seed=1, leaf=40: {(r.bin1_id, r.bin2_id): r["count"] for r in sampling.draw_contacts(p, F.lit(n), seed, leaf=leaf).collect()}
+    got = draw(pix.repartition(3), 5000)
+    assert sum(got.values()) == 5000 and all(0 < n <= has[k] for k, n in got.items())
+    assert draw(pix.repartition(7, "bin2_id"), 5000) == got and draw(pix, 5000, 2) != got
+    off = np.array([got.get(k, 0) - n * 5000 / total for k, n in has.items() if n])
+    spread = np.sqrt([n * (5000 / total) * (1 - 5000 / total) for n in has.values() if n])
+    assert abs(off / spread).max() < 5 and 0.8 < (off / spread).std() < 1.2
+    assert draw(pix, total) == {k: n for k, n in has.items() if n} and draw(pix, 0) == {}
+    with pytest.raises(ValueError):
+        sampling.draw_contacts(pix, F.lit(total + 1))
+
+
+def test_splits_beyond_whole_contacts():
+    """Far more contacts than could be rows."""
+    from gridloom.operators import sampling
+
+    rng = np.random.default_rng(0)
+    counts = np.array([10**11, 3 * 10**11, 5, 10**10, 7 * 10**8])
+    for n in (0, 7, 10**6, 2 * 10**11, int(counts.sum())):
+        got = sampling.split(rng, counts, n)
+        assert got.sum() == n and (got <= counts).all() and (got >= 0).all()
+        assert abs(got[1] - n * (counts[1] / counts.sum())) <= 8 * (n * 0.25) ** 0.5
+    drawn = [sampling.hypergeometric(rng, 6 * 10**8, 6 * 10**8, 1000) for _ in range(400)]
+    assert abs(np.mean(drawn) - 500) < 5 and 12 < np.std(drawn) < 20
+
+
+def test_a_round_of_balancing_leaves_pixels_in_place(spark, tmp_path):
+    cmap, _ = synthetic_map(spark, 80)
+    name = balance._both_ways(cmap.pixels, str(tmp_path / "both"), 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        both, bias = spark.table(name), cmap.bins.select("bin_id", F.lit(2.0).alias("b"))
+        step = balance.marginals_of(both, bias)
+        text = step._sc._jvm.PythonSQLUtils.explainString(step._jdf.queryExecution(), "simple")
+        # Exchanges: the bias by j, partial sums by i, the bias by its bin; none between the pixels and their join.
+        above = text.split("SortMergeJoin [j#")[1].split("FileScan parquet")[0]
+        assert "Bucketed: true" in text and "Exchange" not in above and text.count("FileScan parquet") == 1
+        own = {r.bin_id: r.own for r in step.collect()}
+        want = {r.bin_id: r.marginal * 4 for r in preprocess.marginals(cmap.pixels).collect()}
+        assert {k: v for k, v in own.items() if v} == pytest.approx({k: v for k, v in want.items() if v})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql(f"DROP TABLE {name}")

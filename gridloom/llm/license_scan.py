@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Workspace, map_batches, texts_of
+from gridloom.llm.common import Workspace, hot_keys, map_batches, spread_join, texts_of
 from gridloom.llm.license_texts import WHOLE_TEXTS
 
 THRESHOLD = 0.6
@@ -216,16 +216,25 @@ def directory(path: Column) -> Column:
 
 
 def inherit(own: DataFrame) -> DataFrame:
-    """Adds license, origin (own, inherited, none) and license_doc_id. Paths are joined once for each directory."""
+    """Adds license, origin (own, inherited, none) and license_doc_id. Paths are joined once for each directory.
+
+    A directory above many others (the root is above all) and one with many files are dealt out: no task meets them whole.
+    """
     placed = own.withColumn("dir", directory(F.col("path")))
     rank = F.struct(-F.col("cosine"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("own_license"))
     speaking = placed.where("is_license_file AND dir IS NOT NULL").groupBy("dir").agg(F.min_by(F.struct("own_license", "doc_id"), rank).alias("says"))
-    dirs = placed.where("dir IS NOT NULL AND own_license IS NULL").select("dir").distinct()
+    total = own.count()
+    dirs = placed.where("dir IS NOT NULL").groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
     parts = F.split("dir", "/")
     above = F.explode(F.concat(F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("above"))), F.when(F.col("dir") != "", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("above")))).otherwise(F.array())))
     chain = dirs.select("dir", above.alias("a")).select("dir", "a.depth", "a.above")
-    nearest = chain.join(speaking.withColumnRenamed("dir", "above"), "above").groupBy("dir").agg(F.max_by("says", "depth").alias("says"))
-    joined = placed.join(nearest, "dir", "left")
+    high = hot_keys(chain.groupBy("above").agg(F.count(F.lit(1)).alias("n")), "above", "n", total)
+    nearest = spread_join(chain, speaking.withColumnRenamed("dir", "above"), "above", high, F.col("dir")).groupBy("dir").agg(F.max_by("says", "depth").alias("says"))
+    nearest = dirs.select("dir").join(nearest, "dir", "left")
+    full = hot_keys(dirs, "dir", "n", total)
+    joined = spread_join(placed.where("dir IS NOT NULL"), nearest, "dir", full, F.struct("path", "doc_id"))
+    nowhere = placed.where("dir IS NULL").join(nearest, "dir", "left")
+    joined = joined.unionByName(nowhere)
     return joined.select(
         "doc_id", "path", "own_license", "cosine", "is_license_file",
         F.coalesce("own_license", "says.own_license").alias("license"),

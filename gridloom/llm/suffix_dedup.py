@@ -277,7 +277,10 @@ def suffix_order(strings: list[bytes], chunk: int = CHUNK) -> tuple[np.ndarray,
 
     An end sorts before any byte; equal suffixes sort by their strings' ends, and so by string number. Round r inserts the
     suffix of length r + 1 of every string that has one: a scan of the transform and the common prefixes in order, then a
-    merge that reads the files in order and writes new ones. What is held is a number a string and a chunk of each file.
+    merge that reads the files in order and writes new ones. The rounds hold some numbers a string and a chunk of each file.
+    Before them the symbols of all strings are in memory once, and at the end the transform, the common prefixes and six
+    64-bit numbers a suffix, as names come from a walk with random access: about 55 bytes a byte of strings, so 0.2 GB for
+    the GROUP_BYTES that a call gets. That bounds a task; the external files don't make the strings of a call unbounded.
     """
     sizes = np.array([len(s) for s in strings])
     most, total = int(sizes.max()), len(strings)

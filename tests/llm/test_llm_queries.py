@@ -41,13 +41,25 @@ def test_op1(spark, rows):
     counts = Counter(t for r in rows for t in set(license_scan.terms(r.text or "")))
     m = license_scan.Matcher(len(rows), counts)
     got = run(spark, "op1_license_scan")
-    assert len(got) == len(rows) and {r.doc_id: (r.own_license, r.cosine) for r in got} == {r.doc_id: m.scan(r.text or "")[:2] for r in rows}
+    assert len(got) == len(rows) and {r.doc_id: (r.own_license, r.cosine) for r in got} == {r.doc_id: m.find(r.text or "")[:2] for r in rows}
     assert sum(r.own_license is not None for r in got) > 0
     for r in got:  # every planted line stands alone in its text
         text = next(x.text for x in rows if x.doc_id == r.doc_id)
         assert (r.own_license is not None) == any(t in text.split("\n") for _, t in license_scan.TEMPLATES)
 
 
+def test_equal_texts_have_equal_scores(spark):
+    from gridloom.llm.toxicity import score_toxicity
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    more = docs.unionByName(docs.selectExpr("doc_id + 1000000 AS doc_id", "text")).repartition(7)
+    scores = defaultdict(set)
+    rows = score_toxicity(more, spark.read.parquet(f"{FOLDER}/labels.parquet"), Workspace(spark, "t")).join(more, "doc_id").collect()
+    for r in rows:
+        scores[r.text].add((r.score, r.predicted))
+    assert len(rows) == 400 and all(len(x) == 1 for x in scores.values())
+
+
 def test_op2(spark, rows):
     fps = np.array([slow_fingerprint(r.text) for r in rows], np.uint64)
     label = components(fps)
@@ -95,7 +107,7 @@ def test_scores(spark, rows, name, threshold):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's larger tables are absent")
-@pytest.mark.parametrize(("name", "label", "least", "most"), [("op5_toxicity", "toxic", 0.9, 0.03), ("op9_quality_classifier", "quality", 0.97, 0.1)])
+@pytest.mark.parametrize(("name", "label", "least", "most"), [("op5_toxicity", "toxic", 0.9, 0.03), ("op9_quality_classifier", "quality", 0.99, 0.05)])
 def test_held_out_rows(spark, name, label, least, most):
     """Enough rows for shares: held-out rows with label 1 are found, few of those with label 0 are marked."""
     folder = "/root/testdata/sf0.1"

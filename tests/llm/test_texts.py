@@ -318,3 +318,22 @@ def test_clean_text_has_no_license():
     m = license_scan.Matcher(1000, {"the": 900})
     for text in ("the version of the work under 3 conditions", "all of it is reserved for us", re.sub("License", "Lizenz", "Released under the MIT License") + " by others and many more words here"):
         assert m.scan(text)[0] is None
+
+
+def test_inheritance_below_hot_directories(spark, monkeypatch):
+    """Half of all files in one directory, and a root that speaks for hundreds of others."""
+    from gridloom.llm import common, license_scan
+
+    monkeypatch.setattr(common, "LEAST_HOT", 8)
+    rows = [(0, "LICENSE", "MIT", 1.0, True), (1, "big/sub/COPYING", "GPL-3.0", 1.0, True)]
+    rows += [(k, f"big/sub/f{k}", None, 0.0, False) for k in range(2, 600)]
+    rows += [(k, f"d{k}/e/f", None, 0.0, False) for k in range(600, 1100)]
+    rows += [(1100, None, None, 0.0, False), (1101, None, "MIT", 0.9, False), (1102, "d600/e/g", "BSD-3-Clause", 0.9, False)]
+    own = spark.createDataFrame(rows, "doc_id long, path string, own_license string, cosine double, is_license_file boolean").repartition(6)
+    got = {r.doc_id: (r.license, r.origin, r.license_doc_id) for r in license_scan.inherit(own).collect()}
+    assert len(got) == len(rows)
+    for k in range(2, 600):
+        assert got[k] == ("GPL-3.0", "inherited", 1)
+    for k in range(600, 1100):
+        assert got[k] == ("MIT", "inherited", 0)
+    assert got[0] == ("MIT", "own", 0) and got[1100] == (None, "none", None) and got[1101] == ("MIT", "own", 1101) and got[1102] == ("BSD-3-Clause", "own", 1102)

@@ -200,22 +200,30 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _write_windows(rows, order: list[str], config, args: argparse.Namespace) -> None:
-    """One window a pattern, in the order of the table, and a drawing of their mean."""
+    """One window a pattern, in the order of the table, and a drawing of their mean. The driver holds a window at a time, and
+    as Spark fetches them, a partition's rows."""
     from gridloom.operators.windows import to_numpy
     from gridloom.sources import sinks
 
-    kept = list(rows.orderBy(*order).select("window").toLocalIterator())
-    size = next((len(r.window) for r in kept if r.window), config.kernels[0].shape[0])
-    windows = to_numpy([{"window": r.window or [[None] * size] * size} for r in kept], size)
-    sinks.save_windows(windows, args.prefix, args.win_fmt)
-    if args.no_plotting or not np.isfinite(windows).any():
+    first = rows.where("window IS NOT NULL").select("window").first()
+    size, n = len(first.window) if first else config.kernels[0].shape[0], rows.count()
+    total, seen = np.zeros((size, size)), np.zeros((size, size))
+
+    def each():
+        for r in rows.orderBy(*order).select("window").toLocalIterator():
+            w = to_numpy([r], size)[0] if r.window else np.full((size, size), np.nan)
+            total[:] += np.nan_to_num(w)
+            seen[:] += np.isfinite(w)
+            yield w
+
+    sinks.stream_windows(each(), n, (size, size), args.prefix, args.win_fmt)
+    if args.no_plotting or not seen.any():
         return
-    seen = np.isfinite(windows).sum(axis=0)
-    pile = np.where(seen > 0, np.nansum(windows, axis=0) / np.maximum(seen, 1), np.nan)
+    pile = np.where(seen > 0, total / np.maximum(seen, 1), np.nan)
     if not config.max_dist:  # cells below the diagonal are missing
         full = np.nan_to_num(pile)
         pile = full + full.T - np.diag(np.diag(full))
-    sinks.save_pileup(pile, args.prefix, f"Pileup of {len(kept)} {config.name}")
+    sinks.save_pileup(pile, args.prefix, f"Pileup of {n} {config.name}")
 
 
 def _view(cmap, args: argparse.Namespace) -> str:

@@ -251,12 +251,12 @@ def _any_kernel(size: int) -> np.ndarray:
 def make_config(cmap: ContactMap, config: KernelConfig, positions: DataFrame, size: int, raw: bool = False, inter: bool = False) -> KernelConfig:
     """A configuration whose kernel is the blurred mean window of given positions."""
     base = replace(config, kernels=[_any_kernel(size)], max_perc_zero=101.0, max_perc_undetected=101.0)
-    rows = quantify(cmap, base, positions, raw=raw, inter=inter).where("window IS NOT NULL").select("window").toLocalIterator()
-    total, n = np.zeros((size, size)), np.zeros((size, size))
-    for w in windows.to_numpy(list(rows), size):
-        total += np.nan_to_num(w)
-        n += ~np.isnan(w)
-    return replace(config, kernels=[blur(total / np.maximum(n, 1))])
+    rows = quantify(cmap, base, positions, raw=raw, inter=inter).where("window IS NOT NULL")
+    cells = rows.select(F.posexplode("window").alias("a", "row")).select("a", F.posexplode("row").alias("b", "v"))
+    mean = np.zeros((size, size))
+    for r in cells.groupBy("a", "b").agg(F.avg("v").alias("mean")).collect():  # as many rows as a window has cells
+        mean[r["a"], r["b"]] = r["mean"] or 0.0
+    return replace(config, kernels=[blur(mean)])
 
 
 def top_windows(patterns: DataFrame, n: int) -> DataFrame:

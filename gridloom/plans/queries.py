@@ -86,7 +86,7 @@ def base_map(spark: SparkSession, sf_dir: str) -> ContactMap:
     marg = preprocess.marginals(pixels)
     weight = F.when(F.col("bin_id") % 17 != 5, F.lit(10.0) / F.sqrt("marginal"))
     weighed = bins.join(marg, "bin_id", "left").select("bin_id", "chrom", "start", "end", weight.alias("weight"))
-    return ContactMap(chrom_offsets(bins), scratch.keep(weighed, "bins"), pixels, BIN_SIZE)
+    return ContactMap(scratch.keep(chrom_offsets(bins), "chroms"), scratch.keep(weighed, "bins"), pixels, BIN_SIZE)
 
 
 def stored_map(spark: SparkSession, sf_dir: str) -> ContactMap:

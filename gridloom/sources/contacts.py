@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.scratch import Scratch
+
 CHROMS = "chrom string, chrom_idx int, length bigint, start_bin bigint, end_bin bigint"
 BINS = "bin_id bigint, chrom string, start bigint, end bigint, weight double"
 PIXELS = "bin1_id bigint, bin2_id bigint, count double"
@@ -35,6 +37,11 @@ def chrom_offsets(bins: DataFrame) -> DataFrame:
     )
 
 
+def chrom_table(bins: DataFrame) -> DataFrame:
+    """``chrom_offsets`` as a written table: a row a chromosome that every operator reads, made by one pass over the bins."""
+    return Scratch(bins.sparkSession, "chroms").keep(chrom_offsets(bins), "chroms")
+
+
 def upper(pixels: DataFrame) -> DataFrame:
     """Pixels with bin1_id <= bin2_id, both orders summed."""
     return (
@@ -75,7 +82,7 @@ def read_map(spark: SparkSession, folder: str) -> ContactMap:
     last = F.max("end").over(Window.partitionBy("chrom"))
     if not bins.withColumn("last", last).where((F.col("end") - F.col("start") != size) & (F.col("end") != F.col("last"))).isEmpty():
         raise ValueError("bins of different sizes")
-    return ContactMap(chrom_offsets(bins), bins, pixels if laid_out(pixels) else folded(pixels), int(size))
+    return ContactMap(chrom_table(bins), bins, pixels if laid_out(pixels) else folded(pixels), int(size))
 
 
 def laid_out(pixels: DataFrame) -> bool:
@@ -115,7 +122,7 @@ def read_dump(spark: SparkSession, bins_path: str, pixels_path: str) -> ContactM
     bins = spark.createDataFrame(rows, BINS)
     raw = spark.read.csv(pixels_path, sep="\t").select(*[F.expr(f"try_cast(_c{k} AS {kind})").alias(c) for k, (c, kind) in enumerate((("bin1_id", "bigint"), ("bin2_id", "bigint"), ("count", "double")))])
     size = bins.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
-    return ContactMap(chrom_offsets(bins), bins, raw.where("bin1_id IS NOT NULL AND bin2_id IS NOT NULL"), int(size))
+    return ContactMap(chrom_table(bins), bins, raw.where("bin1_id IS NOT NULL AND bin2_id IS NOT NULL"), int(size))
 
 
 def write_map(cmap: ContactMap, folder: str) -> None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from gridloom.sources.contacts import BINS, PIXELS, ContactMap, chrom_offsets
+from gridloom.sources.contacts import BINS, PIXELS, ContactMap, chrom_table
 
 #: Rows of an HDF5 map, and bytes of a dump, in a slice; rows of an Arrow batch.
 ROWS, BYTES, BATCH = 1 << 21, 32 << 20, 1 << 17
@@ -165,4 +165,4 @@ def read_cool(spark: SparkSession, path: str) -> ContactMap:
     table = lambda name: spark.read.format("contactmap").options(path=path, table=name, kind="cool").load()
     bins = table("bins")
     size = bins.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
-    return ContactMap(chrom_offsets(bins), bins, table("pixels"), int(size))
+    return ContactMap(chrom_table(bins), bins, table("pixels"), int(size))

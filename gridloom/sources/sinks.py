@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterable
 from pathlib import Path
 from xml.sax.saxutils import escape
 
@@ -35,16 +36,33 @@ def write_patterns(patterns: DataFrame, prefix: str, decimals: int = 10, order:
     return path
 
 
-def save_windows(windows: np.ndarray, prefix: str, kind: str = "json") -> str:
-    """Windows (n, height, width) as a JSON object by number, or as an array file."""
+def stream_windows(windows: Iterable[np.ndarray], n: int, shape: tuple[int, int], prefix: str, kind: str = "json") -> str:
+    """``n`` windows of one shape, one at a time, as a JSON object by number or as an array file."""
     check_prefix(prefix)
-    if kind == "npy":
-        np.save(f"{prefix}.npy", windows)
-    elif kind == "json":
-        Path(f"{prefix}.json").write_text(json.dumps({str(i): w.tolist() for i, w in enumerate(windows)}, indent=4))
-    else:
+    if kind not in ("json", "npy"):
         raise ValueError(f"unknown format {kind}: use json or npy")
-    return f"{prefix}.{kind}"
+    path, written = f"{prefix}.{kind}", 0
+    with open(path, "wb") as out:
+        if kind == "npy":
+            np.lib.format.write_array_header_1_0(out, {"descr": np.lib.format.dtype_to_descr(np.dtype(float)), "fortran_order": False, "shape": (n, *shape)})
+        for written, w in enumerate(windows, 1):
+            if w.shape != tuple(shape):
+                raise ValueError(f"a window of {w.shape} among those of {tuple(shape)}")
+            if kind == "npy":
+                out.write(np.ascontiguousarray(w, float).tobytes())
+            else:
+                item = json.dumps({str(written - 1): w.tolist()}, indent=4)
+                out.write((("{" if written == 1 else ",") + item[1:-2]).encode())
+        if kind == "json":
+            out.write(b"\n}" if written else b"{}")
+    if written != n:
+        raise ValueError(f"{written} windows where {n} were announced")
+    return path
+
+
+def save_windows(windows: np.ndarray, prefix: str, kind: str = "json") -> str:
+    """Windows (n, height, width) as a JSON object by number, or as an array file."""
+    return stream_windows(iter(windows), len(windows), windows.shape[1:], prefix, kind)
 
 
 def save_pileup(pile: np.ndarray, prefix: str, title: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridloom.operators.preprocess import degrees, marginals, median_mad
@@ -81,17 +81,27 @@ def ice(pixels: DataFrame, bins: DataFrame, iterations: int = 200, n_mads: float
     try:
         both = spark.table(name)
         marginal = F.when(F.col("own") != 0, F.col("own"))
-        state = scratch.keep(marginals_of(both, good.withColumn("b", F.lit(1.0))), "marginals")
+        sums = [F.count(F.lit(1)).alias("bins"), F.count(marginal).alias("n"), F.sum(marginal).alias("s"), F.sum(marginal * marginal).alias("q")]
+
+        def written(bias: DataFrame) -> tuple[DataFrame, float, float]:
+            """A round's table, the mean marginal, and the variance of marginals over it (empty ones count as the mean);
+            the sums are taken while the table is written."""
+            seen = Observation()
+            table = scratch.keep(marginals_of(both, bias).observe(seen, *sums), "marginals")
+            of = seen.get
+            if not of["n"]:
+                return table, 1.0, 0.0
+            mean = of["s"] / of["n"]
+            return table, mean, (of["q"] / mean**2 + of["bins"] - of["n"]) / of["bins"] - 1
+
+        state, mean, spread = written(good.withColumn("b", F.lit(1.0)))
         for _ in range(iterations):
-            mean = state.agg(F.avg(marginal)).first()[0]
-            m = F.coalesce(marginal / F.lit(mean or 1.0), F.lit(1.0))
-            spread = state.agg(F.var_pop(m)).first()[0]
-            before, state = state, scratch.keep(marginals_of(both, state.select("bin_id", (F.col("b") / m).alias("b"))), "marginals")
+            last = spread < tolerance
+            before, (state, mean, spread) = state, written(state.select("bin_id", (F.col("b") / F.coalesce(marginal / F.lit(mean), F.lit(1.0))).alias("b")))
             scratch.forget(before)
-            if spread is None or spread < tolerance:
+            if last:
                 break
-        mean = state.agg(F.avg(marginal)).first()[0]
-        weights = state.select("bin_id", (F.col("b") / F.lit((mean or 1.0) ** 0.5)).alias("weight"))
+        weights = state.select("bin_id", (F.col("b") / F.lit(mean**0.5)).alias("weight"))
         return bins.drop("weight").join(weights, "bin_id", "left")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")

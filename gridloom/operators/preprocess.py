@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.order_statistics import exact_median
+from gridloom.scratch import Scratch
 
 #: Detrended values from here on become 1.
 OUTLIER = 10.0
@@ -96,21 +96,79 @@ def distance_law(local: DataFrame, max_dist: int | None = None, fun: Callable[[C
     return rows.groupBy("sub", "d").agg(fun(F.col("v")).alias("y"))
 
 
-def smoothed(law: DataFrame) -> DataFrame:
-    """The closest law that never rises with distance, by pooling neighbours that violate it; one short curve a sub-matrix."""
+#: Distances of a curve that one task pools.
+PART = 65_536
 
-    def pool(curve: pd.DataFrame) -> pd.DataFrame:
-        curve = curve.sort_values("d")
-        levels: list[list[float]] = []  # mean, weight
-        for y in curve["y"].fillna(0.0):
-            levels.append([y, 1])
-            while len(levels) > 1 and levels[-2][0] < levels[-1][0]:
-                y2, n2 = levels.pop()
-                y1, n1 = levels[-1]
-                levels[-1] = [(y1 * n1 + y2 * n2) / (n1 + n2), n1 + n2]
-        return curve.assign(y=np.repeat([x[0] for x in levels], [int(x[1]) for x in levels]))
 
-    return law.groupBy("sub").applyInPandas(pool, "sub int, d long, y double")
+def pool(means: list[float], weights: list[int]) -> list[tuple[int, int, float]]:
+    """(first, weight, mean) of the runs that become one level, so that levels never rise."""
+    levels: list[tuple[int, int, float]] = []
+    for k, (y, n) in enumerate(zip(means, weights, strict=True)):
+        first = k
+        while levels and levels[-1][2] < y:
+            first, n0, y0 = levels.pop()
+            y, n = (y0 * n0 + y * n) / (n0 + n), n0 + n
+        levels.append((first, n, y))
+    return levels
+
+
+_LEVELS = "sub int, part long, d long, n long, mean double"
+
+
+def _pool_frame(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values("d", ignore_index=True)
+    runs = pool(frame["mean"].tolist(), frame["n"].tolist())
+    first = frame.iloc[[r[0] for r in runs]]
+    return first.assign(n=[r[1] for r in runs], mean=[r[2] for r in runs])[["sub", "part", "d", "n", "mean"]]
+
+
+def smoothed(law: DataFrame, part: int = PART) -> DataFrame:
+    """The closest law that never rises with distance, by pooling neighbours that violate it; nulls and NaN count as zero.
+
+    Curves are cut into parts of ``part`` distances that are pooled apart, to levels that fall. Neighbouring parts are then
+    merged, two by two: where the first level on the right lies above the last on the left, the levels between these two
+    heights, which lie together around the border, are pooled; all others fall already and stay where they are. What was
+    pooled before a merge is pooled after it as well, so any cut gives the same curve. No task holds a curve: it holds a
+    part, or the levels of two neighbours between the heights of a border.
+    """
+    scratch = Scratch(law.sparkSession, "smoothed")
+    at = F.floor(F.col("d") / part).alias("part")
+    law = scratch.keep(law.select("sub", at, "d", F.coalesce(F.nanvl("y", F.lit(0.0)), F.lit(0.0)).alias("y")), "law")
+    last = law.agg(F.max("part")).first()[0] or 0
+    levels = law.select("sub", "part", "d", F.lit(1).cast("long").alias("n"), F.col("y").alias("mean")).groupBy("sub", "part").applyInPandas(_pool_frame, _LEVELS)
+    if last:
+        levels = scratch.keep(levels, "levels")
+    width = 1
+    while width <= last:
+        levels = scratch.keep(_merged(levels, width), "levels")
+        width *= 2
+    # A level is known in each part that it reaches into: up to the next level of its curve there, the law's last distance at most.
+    starts = levels.select("sub", "part", "d", "mean")
+    if last:
+        carried = Window.partitionBy("sub").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        ends = starts.groupBy("sub", "part").agg(F.max_by("mean", "d").alias("end"))
+        every = law.select("sub", "part").distinct().join(ends, ["sub", "part"], "left")  # a row a part
+        before = every.select("sub", "part", (F.col("part") * part).alias("d"), F.last("end", ignorenulls=True).over(carried).alias("mean"))
+        starts = before.where("mean IS NOT NULL").unionByName(starts)
+    none = F.lit(None).cast("double")
+    both = starts.withColumn("asks", F.lit(0)).unionByName(law.select("sub", "part", "d", none.alias("mean"), F.lit(1).alias("asks")))
+    # At the border of a part, a level that starts there comes after the one that is carried over.
+    rising = Window.partitionBy("sub", "part").orderBy("d", "asks", F.desc("mean"))
+    return both.withColumn("y", F.last("mean", ignorenulls=True).over(rising)).where("asks = 1").select("sub", "d", "y")
+
+
+def _merged(levels: DataFrame, width: int) -> DataFrame:
+    """Falling levels of runs of ``width`` parts to those of runs of twice as many."""
+    at = ["sub", "_pair"]
+    rows = levels.withColumn("_pair", F.expr(f"part div {2 * width}")).withColumn("_right", F.expr(f"part div {width} % 2 = 1"))
+    ends = rows.groupBy(*at).agg(
+        F.max_by("mean", F.when(~F.col("_right"), F.col("d"))).alias("_low"), F.min_by("mean", F.when(F.col("_right"), F.col("d"))).alias("_high")
+    )
+    met = rows.join(ends.where("_low < _high"), at, "left")
+    between = F.coalesce(F.when(F.col("_right"), F.col("mean") > F.col("_low")).otherwise(F.col("mean") < F.col("_high")), F.lit(False))
+    columns = ["sub", "part", "d", "n", "mean"]
+    pooled = met.where(between).select(*columns, "_pair").groupBy(*at).applyInPandas(_pool_frame, _LEVELS)
+    return met.where(~between).select(*columns).unionByName(pooled)
 
 
 def detrend(local: DataFrame, law: DataFrame, max_val: float | None = OUTLIER) -> DataFrame:

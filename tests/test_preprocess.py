@@ -30,6 +30,22 @@ def test_smoothing_never_rises_and_keeps_falling_curves(spark):
     assert (np.diff(out) <= 1e-12).all() and abs(out.mean() - y.mean()) < 1e-9
 
 
+@pytest.mark.parametrize("part", [1, 7, 1000])
+def test_smoothing_is_the_same_for_any_cut(spark, part):
+    rng = np.random.default_rng(1)
+    n = 50
+    curves = [rng.random(n), np.linspace(0, 1, n), np.linspace(1, 0, n), np.linspace(1, 0, n) + rng.normal(0, 0.05, n), np.r_[np.linspace(1, 0.5, n - 1), 90.0], np.ones(n), np.r_[np.nan, rng.random(n - 1)]]
+    rows = [(k, 3 * d, None if k == 0 and d == 5 else float(v)) for k, y in enumerate(curves) for d, v in enumerate(y)]
+    got = {(r["sub"], r["d"]): r["y"] for r in preprocess.smoothed(spark.createDataFrame(rows, "sub int, d long, y double"), part).collect()}
+    for k, y in enumerate(curves):
+        y = np.nan_to_num(y)
+        y[5] *= k > 0
+        mean = lambda a, b, y=y: y[a : b + 1].mean()
+        want = [min(max(mean(a, b) for b in range(d, n)) for a in range(d + 1)) for d in range(n)]
+        assert np.allclose([got[k, 3 * d] for d in range(n)], want, atol=1e-9)
+    assert not preprocess.smoothed(spark.createDataFrame([], "sub int, d long, y double"), part).count()
+
+
 def test_detrend_sets_outliers_to_one(spark):
     rows = local_frame(spark, [(0, 0, 1, 50.0), (0, 1, 2, 1.0)])
     law = spark.createDataFrame([(0, 1, 2.0)], "sub int, d long, y double")

@@ -7,7 +7,7 @@ numpy block; for wide kernels and large maps.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -258,8 +258,11 @@ def normxcorr2(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, si
     return pearson(band_mask(inside, kernel, sizes, missing, max_dist, size), kernel, missing_tol, eps)
 
 
-def normxcorr2_inter(local: DataFrame, kernel: DataFrame, sizes: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, size: int, missing_tol: float = 0.75, eps: float = EPS) -> DataFrame:
-    """Between chromosomes: sizes (sub, n, m); cells outside, and those of missing rows or columns, are left out; no band."""
+def normxcorr2_inter(local: DataFrame, kernel: DataFrame, sizes: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, size: int, missing_tol: float = 0.75, eps: float = EPS, plan: str = "scatter", factors: list | None = None, tile: int = TILE) -> DataFrame:
+    """Between chromosomes: sizes (sub, n, m); cells outside, and those of missing rows or columns, are left out; no band.
+    ``plan`` as in ``normxcorr2``; ``factors`` of the kernels serve the tiles."""
+    if plan == "tile":
+        return _tiled_inter(local, kernel, size, sizes, missing_rows, missing_columns, missing_tol, eps, factors, tile)
     # Pairs of chromosomes may be many: no hint, their table decides by its size.
     sums = scatter_sums(local, kernel, None, intra=False).join(sizes, "sub").where("i < n AND j < m")
     return pearson(area_mask(sums, kernel, missing_rows, missing_columns, size).drop("n", "m"), kernel, missing_tol, eps)
@@ -319,75 +322,122 @@ def check_kernels(kernels: list[np.ndarray], shape: tuple[int, int] | None = Non
         raise ValueError("the kernel is larger than the signal")
 
 
-def _tiled(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes: DataFrame, missing: DataFrame, missing_tol: float, eps: float, factors: list | None = None) -> DataFrame:
-    """Dense blocks along the band; pixels are copied only into halos."""
+def _grids(kernel: DataFrame, size: int) -> dict[int, np.ndarray]:
     h = size // 2
     grids: dict[int, np.ndarray] = {}
     for row in kernel.collect():  # at most 31 x 31 cells a kernel
         grids.setdefault(row["kernel_id"], np.zeros((size, size)))[row["di"] + h, row["dj"] + h] = row["w"]
-    cell = lambda c, off: F.floor((F.col(c) + off) / TILE)
+    return grids
+
+
+def _block(v: np.ndarray, m: np.ndarray, size: int, grids: dict[int, np.ndarray], factors: list | None, missing_tol: float, eps: float, tile: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kernel_id, correlations, observed cells) of a dense tile: values ``v`` and missing cells ``m``, both with a halo."""
+
+    def windows(a: np.ndarray, k: np.ndarray) -> np.ndarray:
+        out = np.zeros((tile, tile))
+        for a0, b0 in np.argwhere(k != 0):
+            out += k[a0, b0] * a[a0 : a0 + tile, b0 : b0 + tile]
+        return out
+
+    def by_factors(a: np.ndarray, down: np.ndarray, across: np.ndarray) -> np.ndarray:
+        out = np.zeros((tile, tile))
+        for f in range(down.shape[1]):
+            column = sum(w * a[x0 : x0 + tile] for x0, w in enumerate(down[:, f].tolist()) if w)
+            out += sum(w * column[:, y0 : y0 + tile] for y0, w in enumerate(across[f].tolist()) if w)
+        return out
+
+    cut = lambda z: np.where(np.abs(z) < eps, 0.0, z)
+    box, K = (np.ones((size, 1)), np.ones((1, size))), float(size * size)
+    v1, v2, m0 = by_factors(v, *box), by_factors(v * v, *box), cut(by_factors(m, *box))
+    seen = (v2 != 0) & (K - m0 > 0)
+    for kernel_id, k in grids.items():
+        with np.errstate(all="ignore"):
+            N = K - m0
+            km, k2m = (k.sum() - cut(windows(m, k))) / N, ((k * k).sum() - cut(windows(m, k * k))) / N
+            sm, s2 = cut(v1 / K) * K / N, cut(v2 / K) * K / N
+            den = np.sqrt(np.maximum((s2 - sm * sm) * (k2m - km * km), 0))
+            den[N < int((1 - missing_tol) * K)] = 0
+            vk = by_factors(v, *factors[kernel_id]) if factors else windows(v, k)
+            r = (cut(vk / K) - sm * km * N / K) * K / N / den
+            r = np.clip(np.where((den >= LEAST_DENOMINATOR) & np.isfinite(r) & seen, r, 0), -1, 1)
+        yield kernel_id, r, N
+
+
+def _halos(local: DataFrame, h: int, tile: int) -> DataFrame:
+    """Pixels at each tile (ti, tj) that they lie in or beside."""
+    cell = lambda c, off: F.floor((F.col(c) + off) / tile)
     for axis, name in (("i", "ti"), ("j", "tj")):
-        local = local.withColumn(name, F.explode(F.sequence(F.greatest(cell(axis, -h), F.lit(0)), cell(axis, h))))
-    local = local.where(F.col("tj") >= F.col("ti")).where((F.col("tj") - F.col("ti") - 1) * TILE <= max_dist)
-    rows = local.join(F.broadcast(sizes.select("sub", "n")), "sub").select("sub", "n", "ti", "tj", "i", "j", "v")
-    # Missing bins go to the tiles whose rows or columns hold them.
-    reach = -(-(max_dist + h) // TILE) + 1
-    far = F.floor((F.col("bin") + h) / TILE)
-    near = F.greatest(F.floor((F.col("bin") - h) / TILE), F.lit(0).cast("long"))
-    spread = lambda low, high, name: F.explode(F.sequence(low, high)).alias(name)
-    as_row = missing.select("sub", "bin", spread(near, far, "ti")).select("sub", "bin", "ti", spread(F.col("ti"), F.col("ti") + reach, "tj"))
-    as_column = missing.select("sub", "bin", spread(near, far, "tj")).select("sub", "bin", spread(F.greatest(F.col("tj") - reach, F.lit(0).cast("long")), F.col("tj"), "ti"), "tj")
-    gone = as_row.unionByName(as_column).distinct()
+        local = local.withColumn(name, F.explode(F.sequence(F.greatest(cell(axis, -h), F.lit(0).cast("long")), cell(axis, h))))
+    return local
+
+
+def _tiles(rows: DataFrame, gone: DataFrame, size: int, missing_cells: Callable[..., np.ndarray], put_out: Callable[..., np.ndarray], correlated: Callable[..., Iterator], tile: int) -> DataFrame:
+    """rows (sub, n, m, ti, tj, i, j, v) and missing bins gone (sub, ti, tj, bin, of_row, of_column) to r, n_obs and log10_p.
+
+    ``missing_cells(x, y, n, m, lost)`` and ``put_out(x, y, n, m)`` give cells of a tile by their rows and columns.
+    """
+    h, edge = size // 2, tile + 2 * (size // 2)
 
     def each(key: tuple, frame: pd.DataFrame, lost_bins: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame({c: [] for c in ("sub", "kernel_id", "i", "j", "r", "n_obs")})
         sub, ti, tj = (int(x) for x in key)
-        n = int(frame["n"].iloc[0])
-        edge = TILE + 2 * h
-        x0, y0 = ti * TILE - h, tj * TILE - h
+        n, m = int(frame["n"].iloc[0]), int(frame["m"].iloc[0])
+        x0, y0 = ti * tile - h, tj * tile - h
         v = np.zeros((edge, edge))
         v[frame["i"].to_numpy() - x0, frame["j"].to_numpy() - y0] = frame["v"].to_numpy()
         x, y = np.arange(edge)[:, None] + x0, np.arange(edge)[None, :] + y0
-        own = lost_bins["bin"].to_numpy()
-        miss = np.isin(x, own) | np.isin(y, own)
-        d = y - x
-        m = ((x >= 0) & (d >= 0) & (y < n) & (d <= max_dist) & miss) | ((x < 0) & (y < max_dist + size)) | ((y >= n) & (x >= n - max_dist - 2)) | ((d >= -size) & (d <= -1))
-        m = m.astype(float)
-
-        def windows(a: np.ndarray, k: np.ndarray) -> np.ndarray:
-            out = np.zeros((TILE, TILE))
-            for a0, b0 in np.argwhere(k != 0):
-                out += k[a0, b0] * a[a0 : a0 + TILE, b0 : b0 + TILE]
-            return out
-
-        def by_factors(a: np.ndarray, down: np.ndarray, across: np.ndarray) -> np.ndarray:
-            out = np.zeros((TILE, TILE))
-            for f in range(down.shape[1]):
-                column = sum(w * a[x0 : x0 + TILE] for x0, w in enumerate(down[:, f].tolist()) if w)
-                out += sum(w * column[:, y0 : y0 + TILE] for y0, w in enumerate(across[f].tolist()) if w)
-            return out
-
-        cut = lambda z: np.where(np.abs(z) < eps, 0.0, z)
-        box, K = (np.ones((size, 1)), np.ones((1, size))), float(size * size)
-        v1, v2, m0 = by_factors(v, *box), by_factors(v * v, *box), cut(by_factors(m, *box))
-        xi, yj = np.arange(TILE)[:, None] + ti * TILE, np.arange(TILE)[None, :] + tj * TILE
-        band = (xi < n) & (yj < n) & (yj >= xi) & (yj - xi <= max_dist) & (v2 != 0) & (K - m0 > 0)
+        lost = np.isin(x, lost_bins.loc[lost_bins["of_row"], "bin"]) | np.isin(y, lost_bins.loc[lost_bins["of_column"], "bin"])
+        own = put_out(x[h : h + tile], y[:, h : h + tile], n, m)
         frames = []
-        for kernel_id, k in grids.items():
-            with np.errstate(all="ignore"):
-                N = K - m0
-                km, k2m = (k.sum() - cut(windows(m, k))) / N, ((k * k).sum() - cut(windows(m, k * k))) / N
-                sm, s2 = cut(v1 / K) * K / N, cut(v2 / K) * K / N
-                den = np.sqrt(np.maximum((s2 - sm * sm) * (k2m - km * km), 0))
-                den[N < int((1 - missing_tol) * K)] = 0
-                vk = by_factors(v, *factors[kernel_id]) if factors else windows(v, k)
-                r = (cut(vk / K) - sm * km * N / K) * K / N / den
-                r = np.clip(np.where((den >= LEAST_DENOMINATOR) & np.isfinite(r), r, 0), -1, 1)
-            a, b = np.nonzero(band & (r != 0))
-            frames.append(pd.DataFrame({"sub": sub, "kernel_id": kernel_id, "i": a + ti * TILE, "j": b + tj * TILE, "r": r[a, b], "n_obs": N[a, b]}))
+        for kernel_id, r, seen in correlated(v, missing_cells(x, y, n, m, lost).astype(float)):
+            a, b = np.nonzero(own & (r != 0))
+            frames.append(pd.DataFrame({"sub": sub, "kernel_id": kernel_id, "i": a + ti * tile, "j": b + tj * tile, "r": r[a, b], "n_obs": seen[a, b]}))
         return pd.concat(frames)
 
     at = ["sub", "ti", "tj"]
-    got = rows.groupBy(*at).cogroup(gone.groupBy(*at)).applyInPandas(each, "sub int, kernel_id int, i long, j long, r double, n_obs double")
+    gone = gone.toDF(*gone.columns)  # new names: both sides may come from one table
+    got = rows.groupBy(*at).cogroup(gone.groupBy(*at)).applyInPandas(each, f"sub {rows.schema['sub'].dataType.simpleString()}, kernel_id int, i long, j long, r double, n_obs double")
     return got.withColumn("log10_p", corr_to_log10p(F.col("r"), F.col("n_obs")))
+
+
+def _tiled(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes: DataFrame, missing: DataFrame, missing_tol: float, eps: float, factors: list | None = None) -> DataFrame:
+    """Dense blocks along the band; pixels are copied only into halos."""
+    h, grids = size // 2, _grids(kernel, size)
+    local = _halos(local, h, TILE).where(F.col("tj") >= F.col("ti")).where((F.col("tj") - F.col("ti") - 1) * TILE <= max_dist)
+    rows = local.join(F.broadcast(sizes.select("sub", "n", F.col("n").alias("m"))), "sub").select("sub", "n", "m", "ti", "tj", "i", "j", "v")
+    # Missing bins go to the tiles whose rows or columns hold them.
+    reach = -(-(max_dist + h) // TILE) + 1
+    far = F.floor((F.col("bin") + h) / TILE)
+    near = F.greatest(F.floor((F.col("bin") - h) / TILE), F.lit(0).cast("long"))
+    spread = lambda low, high, name: F.explode(F.sequence(low, high)).alias(name)
+    as_row = missing.select("sub", "bin", spread(near, far, "ti")).select("sub", "bin", "ti", spread(F.col("ti"), F.col("ti") + reach, "tj"))
+    as_column = missing.select("sub", "bin", spread(near, far, "tj")).select("sub", "bin", spread(F.greatest(F.col("tj") - reach, F.lit(0).cast("long")), F.col("tj"), "ti"), "tj")
+    both = F.lit(True)
+    gone = as_row.unionByName(as_column).distinct().withColumn("of_row", both).withColumn("of_column", both)
+
+    def missing_cells(x: np.ndarray, y: np.ndarray, n: int, m: int, lost: np.ndarray) -> np.ndarray:
+        d = y - x
+        inside = (x >= 0) & (d >= 0) & (y < n) & (d <= max_dist) & lost
+        return inside | ((x < 0) & (y < max_dist + size)) | ((y >= n) & (x >= n - max_dist - 2)) | ((d >= -size) & (d <= -1))
+
+    put_out = lambda x, y, n, m: (x < n) & (y < n) & (y >= x) & (y - x <= max_dist)
+    return _tiles(rows, gone, size, missing_cells, put_out, lambda v, m: _block(v, m, size, grids, factors, missing_tol, eps, TILE), TILE)
+
+
+def _tiled_inter(local: DataFrame, kernel: DataFrame, size: int, sizes: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, missing_tol: float, eps: float, factors: list | None = None, tile: int = TILE) -> DataFrame:
+    """Dense blocks between chromosomes, only where pixels lie: a tile without any has no window to put out.
+
+    Missing rows and columns meet the tiles that there are, so their number doesn't grow with the other chromosome.
+    """
+    h, grids = size // 2, _grids(kernel, size)
+    # Pairs of chromosomes may be many: no hint, their table decides by its size.
+    rows = _halos(local.where("v <> 0"), h, tile).join(sizes.select("sub", "n", "m"), "sub").select("sub", "n", "m", "ti", "tj", "i", "j", "v")
+    tiles = rows.select("sub", "ti", "tj").distinct()
+    far = F.floor((F.col("bin") + h) / tile)
+    near = F.greatest(F.floor((F.col("bin") - h) / tile), F.lit(0).cast("long"))
+    side = lambda lost, at: lost.select("sub", "bin", F.explode(F.sequence(near, far)).alias(at)).join(tiles, ["sub", at])
+    parts = [side(lost, at).select("sub", "ti", "tj", "bin", F.lit(at == "ti").alias("of_row"), F.lit(at == "tj").alias("of_column")) for lost, at in ((missing_rows, "ti"), (missing_columns, "tj"))]
+    missing_cells = lambda x, y, n, m, lost: (x < 0) | (y < 0) | (x >= n) | (y >= m) | lost
+    put_out = lambda x, y, n, m: (x < n) & (y < m)
+    return _tiles(rows, parts[0].unionByName(parts[1]), size, missing_cells, put_out, lambda v, m: _block(v, m, size, grids, factors, missing_tol, eps, tile), tile)

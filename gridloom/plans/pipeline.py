@@ -86,7 +86,7 @@ def _search(scratch: Scratch, cmap: ContactMap, config: KernelConfig, part: tupl
     kernel, reach = kernel_frame(spark, kernels), max_dist_bins(config, cmap.bin_size)
     tolerance = config.max_perc_undetected / 100
     if inter:
-        corr = correlate.normxcorr2_inter(part[0], kernel, *part[1:], size, tolerance)
+        corr = correlate.normxcorr2_inter(part[0], kernel, *part[1:], size, tolerance, plan=plan, factors=factors)
     else:
         corr = correlate.normxcorr2(part[0], kernel, reach, size, part[1], part[2], tolerance, plan=plan, factors=factors)
     corr = dump_stage(corr, dump, f"03_normxcorr2_{name}_{turn}")

@@ -67,6 +67,24 @@ def test_plans_agree_over_tiles(spark, factored):
     assert both.where("r IS NULL OR r2 IS NULL OR abs(r - r2) > 1e-9").count() == 0 and a.count() > 10_000
 
 
+@pytest.mark.parametrize("factored", [False, True])
+def test_plans_agree_between_chromosomes(spark, factored):
+    """Two pairs of unlike sizes over several small tiles, one of them empty in the middle, with missing rows and columns."""
+    rng = np.random.default_rng(2)
+    shapes, lost = {1: (50, 35), 2: (20, 61)}, ({(1, 0), (1, 15), (1, 16), (2, 19)}, {(1, 34), (2, 31), (2, 32)})
+    rows = [(s, i, j, float(rng.random())) for s, (n, m) in shapes.items() for i in range(n) for j in range(m) if rng.random() < 0.4 and (s, i) not in lost[0] and (s, j) not in lost[1] and not (s == 2 and 16 <= j < 50)]
+    local = spark.createDataFrame(rows, "sub int, i long, j long, v double")
+    sizes = spark.createDataFrame([(s, *nm) for s, nm in shapes.items()], "sub int, n long, m long")
+    gone = [spark.createDataFrame(sorted(x), "sub int, bin long") for x in lost]
+    both = [kernels.bump(7, 1.3), kernels.blocks(7)]
+    factors = [kernels.factorise(x, 1 - 1e-12) for x in both] if factored else None
+    scatter, tile = (
+        {tuple(r[:4]): r[4:6] for r in correlate.normxcorr2_inter(local, kernels.kernel_frame(spark, both), sizes, *gone, 7, 0.5, plan=p, factors=factors, tile=16).collect()} for p in ("scatter", "tile")
+    )
+    assert len(scatter) > 3000 and scatter.keys() == tile.keys()
+    assert all(abs(r - tile[k][0]) < 1e-9 and n == tile[k][1] for k, (r, n) in scatter.items())
+
+
 def log10_erfc(x):
     """From the continued fraction of erfc, which holds far below the smallest double."""
     if x < 2:
@@ -267,7 +285,8 @@ def test_window_files(tmp_path):
         sinks.check_prefix(str(tmp_path / "none" / "x"))
 
 
-def test_pairs_between_chromosomes(spark):
+@pytest.mark.parametrize("plan", ["scatter", "tile"])
+def test_pairs_between_chromosomes(spark, plan):
     """A bump planted between two chromosomes is found, and scored in either order of its anchors."""
     from gridloom.sources.contacts import BINS, PIXELS, ContactMap, chrom_offsets
 
@@ -279,7 +298,7 @@ def test_pairs_between_chromosomes(spark):
     pixels = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(i, j, rng.poisson(mean), strict=True) if c], PIXELS)
     cmap = ContactMap(chrom_offsets(bins), bins, pixels, 1000)
     config = kernels.KernelConfig("t", [kernels.bump(7, 1.5)], 10_000, 0, 1, 5000, 0.6, 1000, 30, 50)
-    rows = [r for r in pipeline.detect(cmap, config, inter=True)[0].collect() if r.chrom1 != r.chrom2]
+    rows = [r for r in pipeline.detect(cmap, config, plan=plan, inter=True)[0].collect() if r.chrom1 != r.chrom2]
     assert any(abs(r.bin1 - 15) <= 1 and abs(r.bin2 - n - 22) <= 1 for r in rows)
     assert not any(r.chrom1 != r.chrom2 for r in pipeline.detect(cmap, config)[0].collect())
     pairs = [("chr1", 15_000, 16_000, "chr2", 22_000, 23_000), ("chr2", 22_000, 23_000, "chr1", 15_000, 16_000), ("chr1", 5000, 6000, "chr1", 9000, 10_000)]

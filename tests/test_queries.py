@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 #: One of each kind; the driver compares all of them.
-CHOSEN = ["contact_pixels", "coords_to_bins", "bed2d_normalise", "bed_pairs_range_join", "bin_marginals", "detectable_intra", "detectable_inter", "ice_2iter", "detrended", "inter_median_scale", "ztransform", "sampled_contacts_hash", "normxcorr_masked", "normxcorr_tiled", "normxcorr_inter", "foci_labels", "window_validity", "footprint_bands", "nms_greedy", "fdr_bh", "best_kernel", "symmetric_map", "detect_full", "detect_kernels", "detect_windows", "normxcorr_tsvd", "detrended_smooth", "detrended_raw", "sampled_contacts_exact", "quantify_full", "sampled_share", "xcorr_box_separable", "ice_weights", "normxcorr_unmasked", "xcorr_box_wide", "stored_chromosome", "sampled_tree", "quantify_kernels"]
+CHOSEN = ["contact_pixels", "coords_to_bins", "bed2d_normalise", "bed_pairs_range_join", "bin_marginals", "detectable_intra", "detectable_inter", "ice_2iter", "detrended", "inter_median_scale", "ztransform", "sampled_contacts_hash", "normxcorr_masked", "normxcorr_tiled", "normxcorr_inter", "normxcorr_inter_tiled", "foci_labels", "window_validity", "footprint_bands", "nms_greedy", "fdr_bh", "best_kernel", "symmetric_map", "detect_full", "detect_kernels", "detect_windows", "normxcorr_tsvd", "detrended_smooth", "detrended_raw", "sampled_contacts_exact", "quantify_full", "sampled_share", "xcorr_box_separable", "ice_weights", "normxcorr_unmasked", "xcorr_box_wide", "stored_chromosome", "sampled_tree", "quantify_kernels"]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables are absent")
 

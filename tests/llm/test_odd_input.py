@@ -1,12 +1,13 @@
 """Odd tables: identifiers beyond 2^53 beside null ones, columns named like those inside, long and empty texts, no rows."""
 
 import os
+import shutil
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from gridloom.llm import exact_dedup, license_scan, mixing, ogg, quality, sentencepiece_codec, simhash, suffix_dedup, token_counts, toxicity
+from gridloom.llm import dedup_state, exact_dedup, license_scan, mixing, ogg, quality, sentencepiece_codec, simhash, suffix_dedup, token_counts, toxicity
 from gridloom.llm.common import Workspace
 
 BIG = (1 << 53) + 1
@@ -115,6 +116,31 @@ def test_state_of_exact_dedup_outlives_a_run(spark, tmp_path):
         assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == want
 
 
+def test_a_compacted_state_gives_the_same_decisions(spark, tmp_path):
+    """Three runs, the state folded after each on one side only; a fold made twice, or that left older batches, changes nothing."""
+    runs = [[(10, "a b"), (2, "c"), (None, None)], [(1, "a\tb"), (5, "new"), (6, "new"), (0, "c")], [(7, "new"), (8, "a  b"), (9, ""), (11, "last")]]
+    states = [f"file://{tmp_path}/{name}" for name in ("grows", "folded")]
+    assert dedup_state.compact_state(spark, states[1]) == 0  # no state yet
+    for k, rows in enumerate(runs):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / f"t{k}"))
+        grows, folded = (sorted(map(tuple, exact_dedup.exact_dedup(spark.read.parquet(str(tmp_path / f"t{k}")), Workspace(spark, "s"), state=s).collect()), key=str) for s in states)
+        assert grows == folded and len(folded) == len(rows)
+        if k == 1:
+            shutil.copytree(tmp_path / "folded" / "updates", tmp_path / "before")
+            newest = max(int(n.removeprefix("batch=")) for n in os.listdir(tmp_path / "before") if n.startswith("batch="))
+        gone = dedup_state.compact_state(spark, states[1])
+        assert gone >= (k > 0) and dedup_state.compact_state(spark, states[1]) == 0
+        if k == 1:  # as if the call had broken off before the older batches went
+            for name in os.listdir(tmp_path / "before"):
+                if name.startswith("batch=") and name != f"batch={newest}":
+                    shutil.copytree(tmp_path / "before" / name, tmp_path / "folded" / "updates" / name)
+    left = [n for n in os.listdir(tmp_path / "folded" / "updates") if n.startswith("batch=")]
+    assert len(left) == 1 and spark.read.parquet(str(tmp_path / "folded" / "updates")).select("digest").distinct().count() == 5
+    # A newest batch without a commit will be written anew: nothing is folded into it.
+    os.remove(next((tmp_path / "grows" / "checkpoint" / "commits").glob(str(max(int(n) for n in os.listdir(tmp_path / "grows" / "checkpoint" / "commits") if n.isdigit())))))
+    assert dedup_state.compact_state(spark, states[0]) == 0
+
+
 def test_packets_of_megabytes_are_read_in_linear_time():
     import time
 

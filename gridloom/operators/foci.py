@@ -63,6 +63,11 @@ def _least(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 MOST_LINKS = 1_000_000
 
 
+def _type(rows: DataFrame) -> str:
+    """Sub-matrices are numbered by integers, pairs of chromosomes by longs."""
+    return rows.schema["sub"].dataType.simpleString()
+
+
 def _merged(links: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     """links (sub, kernel_id, root, other) between groups of tiles to (sub, kernel_id, root, first): the first pixel of each
     one's whole group. Where a sub-matrix has more than ``most`` links, all are contracted in tables."""
@@ -81,7 +86,7 @@ def _merged(links: DataFrame, scratch: Scratch, most: int) -> DataFrame:
         low = _least(np.arange(len(roots)), ends[:, 0], ends[:, 1])
         return pd.DataFrame({"sub": frame["sub"].iloc[0], "kernel_id": frame["kernel_id"].iloc[0], "root": roots, "first": roots[low]})
 
-    return links.groupBy(*base).applyInPandas(merge, "sub int, kernel_id int, root long, first long")
+    return links.groupBy(*base).applyInPandas(merge, f"sub {_type(links)}, kernel_id int, root long, first long")
 
 
 def label(pixels: DataFrame, tile: int = TILE, most: int = MOST_LINKS) -> DataFrame:
@@ -102,7 +107,7 @@ def label(pixels: DataFrame, tile: int = TILE, most: int = MOST_LINKS) -> DataFr
         frame = frame.sort_values("flat", ignore_index=True)
         return frame.assign(root=_roots(frame["flat"].to_numpy()))[[*base, "flat", "ghost", "root"]]
 
-    local = scratch.keep(spread.groupBy(*base, "ti", "tj").applyInPandas(each, "sub int, kernel_id int, flat long, ghost boolean, root long"), "tiles")
+    local = scratch.keep(spread.groupBy(*base, "ti", "tj").applyInPandas(each, f"sub {_type(pixels)}, kernel_id int, flat long, ghost boolean, root long"), "tiles")
     own = local.where("NOT ghost").drop("ghost")
     links = local.where("ghost").select(*base, "flat", F.col("root").alias("other")).join(own, [*base, "flat"]).where("root <> other").select(*base, "root", "other").distinct()
     rooted = own.join(_merged(links, scratch, most), [*base, "root"], "left").select(*base, "flat", F.coalesce("first", "root").alias("first"))

@@ -53,14 +53,14 @@ def prepared(cmap: ContactMap, max_dist: int, largest: int, raw: bool = False, s
 def prepared_inter(cmap: ContactMap, raw: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(pixels between chromosomes over their pair's median, sizes (sub, n, m), missing rows, missing columns).
 
-    ``sub`` is sub1 * number of chromosomes + sub2. Only pairs with pixels have rows: of many scaffolds, few meet.
+    ``sub`` is sub1 * number of chromosomes + sub2, a long: of 10^5 scaffolds there are 10^10 pairs. Only pairs with pixels have rows: of many scaffolds, few meet.
     """
     n_chroms = cmap.chroms.count()
     values = preprocess.raw_values(cmap.pixels, cmap.bins) if raw else preprocess.balanced(cmap.pixels, cmap.bins)
     scratch = Scratch(cmap.bins.sparkSession, "inter")
     across = scratch.keep(genome.to_local(values, cmap.chroms, inter=True).where("sub1 <> sub2").select("sub1", "sub2", "i", "j", "v"), "across")
     scaled = preprocess.inter_scale(across)
-    pair = (F.col("sub1") * n_chroms + F.col("sub2")).alias("sub")
+    pair = (F.col("sub1").cast("long") * n_chroms + F.col("sub2")).alias("sub")
     signal = scaled.select(pair, "i", "j", "v").where("v IS NOT NULL AND v <> 0")
     side = lambda k, n: cmap.chroms.select(F.col("chrom").alias(f"chrom{k}"), F.col("chrom_idx").alias(f"sub{k}"), (F.col("end_bin") - F.col("start_bin")).alias(n))
     pairs = across.select("sub1", "sub2").distinct().join(side(1, "n"), "sub1").join(side(2, "m"), "sub2")
@@ -99,7 +99,7 @@ def _search(scratch: Scratch, cmap: ContactMap, config: KernelConfig, part: tupl
         at = corr.select("sub", "kernel_id", "i", "j", "r", "log10_p")
         picked = foci.snap_to_diagonal(picked, 0).drop("r", "log10_p").join(at, ["sub", "kernel_id", "i", "j"], "left")
     score = F.coalesce("r", F.lit(0.0)).alias("score")  # off the stored pixels of the diagonal there is no correlation
-    pid = F.struct(F.lit(turn).alias("turn"), F.lit(inter).alias("inter"), "kernel_id", "sub", "label").alias("pid")
+    pid = F.struct(F.lit(turn).alias("turn"), F.lit(inter).alias("inter"), "kernel_id", F.col("sub").cast("long").alias("sub"), "label").alias("pid")
     picked = scratch.keep(picked.select(pid, "sub", "kernel_id", "i", "j", score, _p_value().alias("pvalue")), "picked")
     cells = scratch.keep(windows.cells(picked, part[0], part[1], part[2], size, part[3] if inter else None), "cells")
     checked = windows.validity(picked, cells, part[1], config.max_perc_zero, config.max_perc_undetected).where("valid").withColumn("iteration", F.lit(turn))
@@ -231,8 +231,9 @@ def quantify(cmap: ContactMap, config: KernelConfig, positions: DataFrame, raw:
     diagonals = cis.select("sub", F.explode(F.sequence(d - size + 1, d + size - 1)).alias("d")).where("d >= 0").distinct()
     scored = _scored(config, prepared(cmap, reach_bins, size, raw, diagonals=diagonals), cis, kernels, reach_bins)
     if inter:
-        n, first = cmap.chroms.count(), F.col("x1") < F.col("x2")
-        pair = F.when(first, F.col("x1") * n + F.col("x2")).otherwise(F.col("x2") * n + F.col("x1"))
+        n, x1, x2 = cmap.chroms.count(), F.col("x1").cast("long"), F.col("x2").cast("long")
+        first = x1 < x2
+        pair = F.when(first, x1 * n + x2).otherwise(x2 * n + x1)
         across = at.where("x1 <> x2").select("qid", pair.alias("sub"), F.when(first, place(1)).otherwise(place(2)).alias("i"), F.when(first, place(2)).otherwise(place(1)).alias("j"))
         scored = scored.unionByName(_scored(config, prepared_inter(cmap, raw), across, kernels, reach_bins))
     best = nms.best_kernel(scored, ["qid"])

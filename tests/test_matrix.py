@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import correlate, matrix
 from gridloom.sources.kernels import bump, factorise, kernel_frame, stripe
@@ -93,3 +94,21 @@ def test_a_thousand_scaffolds(spark):
     met = {(k // 3, (k + 30 + d) // 3) for k in range(0, 2900, 7) for d in (0, 1)}
     assert pairs.count() == len(met) and {r.sub for r in pairs.collect()} == {a * 1000 + b for a, b in met}
     assert signal.count() == pixels.count()
+
+
+def test_pairs_of_very_many_scaffolds_have_numbers_of_their_own(spark):
+    """The square of 60,000 doesn't fit an integer; correlation by either plan and foci keep the number."""
+    from gridloom.operators import foci
+    from gridloom.plans import pipeline
+    from gridloom.sources.contacts import ContactMap, chrom_offsets
+
+    n = 60_000
+    k = F.col("id")
+    bins = spark.range(n * 2).select(k.alias("bin_id"), F.concat(F.lit("s"), F.floor(k / 2)).alias("chrom"), (k % 2 * 10).alias("start"), (k % 2 * 10 + 10).alias("end"), F.lit(1.0).alias("weight"))
+    cmap = ContactMap(chrom_offsets(bins), bins, spark.createDataFrame([(2 * n - 4, 2 * n - 1, 5.0), (2 * n - 4, 2 * n - 2, 1.0)], "bin1_id long, bin2_id long, count double"), 10)
+    signal, pairs, rows, columns = pipeline.prepared_inter(cmap)
+    want = (n - 2) * n + n - 1
+    assert [tuple(r) for r in pairs.collect()] == [(want, 2, 2)]
+    for plan in ("scatter", "tile"):
+        corr = correlate.normxcorr2_inter(signal, kernel_frame(spark, [bump(7, 1.3)]), pairs, rows, columns, 7, 1.0, plan=plan)
+        assert {r["sub"] for r in foci.label(corr.select("sub", "kernel_id", "i", "j", "r", "log10_p")).collect()} == {want}

@@ -47,9 +47,17 @@ def whole_windows(outputs: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
     return outputs.join(F.broadcast(sizes.select("sub", F.col("n").alias("_n"), F.col(width).alias("_m"))), "sub").where(inside).drop("_n", "_m")
 
 
-def xcorr2(local: DataFrame, kernel: DataFrame, sizes: DataFrame, size: int, max_dist: int | None = None, eps: float = EPS, intra: bool = True) -> DataFrame:
-    """The plain cross-correlation of whole windows: sum of v * w."""
-    sums = whole_windows(scatter_sums(local, kernel, max_dist, intra), sizes, size)
+def centred_windows(outputs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Outputs whose centre lies inside its matrix: windows may hang over the borders, where nothing is stored."""
+    width = "m" if "m" in sizes.columns else "n"
+    met = outputs.join(F.broadcast(sizes.select("sub", F.col("n").alias("_n"), F.col(width).alias("_m"))), "sub")
+    return met.where("i < _n AND j < _m").drop("_n", "_m")
+
+
+def xcorr2(local: DataFrame, kernel: DataFrame, sizes: DataFrame, size: int, max_dist: int | None = None, eps: float = EPS, intra: bool = True, whole: bool = True) -> DataFrame:
+    """The plain cross-correlation: sum of v * w, of ``whole`` windows or also of those that hang over a border."""
+    sums = scatter_sums(local, kernel, max_dist, intra)
+    sums = whole_windows(sums, sizes, size) if whole else centred_windows(sums, sizes)
     return sums.select("sub", "kernel_id", "i", "j", snapped(F.col("vk"), eps).alias("x")).where("x <> 0")
 
 

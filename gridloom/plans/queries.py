@@ -448,28 +448,29 @@ def map_reductions(spark, sf_dir):
 
 
 # -- correlation ---------------------------------------------------------------------------------------------------
-#: Where every cell counts, only windows that lie whole inside the matrix are put out.
+#: Windows that lie whole inside the matrix.
 _WHOLE = f"i >= {SIZE // 2} AND j >= {SIZE // 2} AND i < n - {SIZE // 2} AND j < n - {SIZE // 2}"
 
 
-@query(f"SELECT sub, i, j, round(vk, 6) + 0.0 AS x FROM sums WHERE abs(vk) >= 0.0001 AND {_WHOLE}")
+@query("SELECT sub, i, j, round(vk, 6) + 0.0 AS x FROM sums WHERE abs(vk) >= 0.0001")
 def xcorr_raw(spark, sf_dir):
+    """Every window with a stored value, as are the two below: those that hang over a border too."""
     det, sizes, _ = signal(spark, sf_dir)
-    rows = correlate.xcorr2(det, kernel_frame(spark, [KERNEL]), sizes, SIZE, BAND)
+    rows = correlate.xcorr2(det, kernel_frame(spark, [KERNEL]), sizes, SIZE, BAND, whole=False)
     return rows.select("sub", "i", "j", six("x").alias("x"))
 
 
-@query(f"SELECT sub, i, j, round(v1, 6) + 0.0 AS v1, round(v2, 6) + 0.0 AS v2 FROM sums WHERE {_WHOLE}")
+@query("SELECT sub, i, j, round(v1, 6) + 0.0 AS v1, round(v2, 6) + 0.0 AS v2 FROM sums")
 def xcorr_box(spark, sf_dir):
     det, sizes, _ = signal(spark, sf_dir)
-    rows = correlate.whole_windows(correlate.scatter_sums(det, kernel_frame(spark, [KERNEL]), BAND), sizes, SIZE)
+    rows = correlate.centred_windows(correlate.scatter_sums(det, kernel_frame(spark, [KERNEL]), BAND), sizes)
     return rows.select("sub", "i", "j", six("v1").alias("v1"), six("v2").alias("v2"))
 
 
-@query(f"SELECT sub, i, j, round(vk, 6) + 0.0 AS vk, round(v1, 6) + 0.0 AS v1, round(v2, 6) + 0.0 AS v2 FROM sums WHERE {_WHOLE}")
+@query("SELECT sub, i, j, round(vk, 6) + 0.0 AS vk, round(v1, 6) + 0.0 AS v1, round(v2, 6) + 0.0 AS v2 FROM sums")
 def xcorr_box_separable(spark, sf_dir):
     det, sizes, _ = signal(spark, sf_dir)
-    rows = correlate.whole_windows(correlate.factored_sums(det, [factorise(KERNEL, 1 - 1e-13)], BAND), sizes, SIZE)
+    rows = correlate.centred_windows(correlate.factored_sums(det, [factorise(KERNEL, 1 - 1e-13)], BAND), sizes)
     return rows.select("sub", "i", "j", six("vk").alias("vk"), six("v1").alias("v1"), six("v2").alias("v2"))
 
 

@@ -112,3 +112,23 @@ def test_pairs_of_very_many_scaffolds_have_numbers_of_their_own(spark):
     for plan in ("scatter", "tile"):
         corr = correlate.normxcorr2_inter(signal, kernel_frame(spark, [bump(7, 1.3)]), pairs, rows, columns, 7, 1.0, plan=plan)
         assert {r["sub"] for r in foci.label(corr.select("sub", "kernel_id", "i", "j", "r", "log10_p")).collect()} == {want}
+
+
+@pytest.mark.parametrize("name", ["xcorr_raw", "xcorr_box", "xcorr_box_separable"])
+def test_windows_over_the_borders_are_put_out(spark, name):
+    """Every window with a stored value, as in the SQL: also those that aren't whole."""
+    import os
+
+    import __spark_entry__ as entry
+
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables are absent")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+    names = ["sub", "i", "j"]
+    want = con.execute(f"select {', '.join(names)} from ({entry.oracle_sql()[name]})").fetchall()
+    got = [tuple(r) for r in entry.queries()[name](spark, folder).select(*names).collect()]
+    assert sorted(got) == sorted(want) and min(i for _, i, _ in got) == 0

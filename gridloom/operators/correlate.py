@@ -22,6 +22,8 @@ EPS = 1e-4
 #: Denominators below this make the correlation zero.
 LEAST_DENOMINATOR = 1e-10
 TILE = 256
+#: Windows whose kernel sums are taken at once.
+CHUNK = 1 << 17
 
 
 def snapped(x: Column, eps: float = EPS) -> Column:
@@ -266,9 +268,10 @@ def normxcorr2(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, si
     return pearson(band_mask(inside, kernel, sizes, missing, max_dist, size), kernel, missing_tol, eps)
 
 
-def normxcorr2_inter(local: DataFrame, kernel: DataFrame, sizes: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, size: int, missing_tol: float = 0.75, eps: float = EPS, plan: str = "scatter", factors: list | None = None, tile: int = TILE) -> DataFrame:
+def normxcorr2_inter(local: DataFrame, kernel: DataFrame, sizes: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, size: int, missing_tol: float = 0.75, eps: float = EPS, plan: str = "tile", factors: list | None = None, tile: int | None = None) -> DataFrame:
     """Between chromosomes: sizes (sub, n, m); cells outside, and those of missing rows or columns, are left out; no band.
-    ``plan`` as in ``normxcorr2``; ``factors`` of the kernels serve the tiles."""
+    ``plan`` as in ``normxcorr2``; ``scatter`` shuffles every window (up to size * size rows a pixel), several times where
+    missing bins aren't few, and is for small maps. ``factors`` of the kernels serve the tiles."""
     if plan == "tile":
         return _tiled_inter(local, kernel, size, sizes, missing_rows, missing_columns, missing_tol, eps, factors, tile)
     # Pairs of chromosomes may be many: no hint, their table decides by its size.
@@ -433,19 +436,93 @@ def _tiled(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes:
     return _tiles(rows, gone, size, missing_cells, put_out, lambda v, m: _block(v, m, size, grids, factors, missing_tol, eps, TILE), TILE)
 
 
-def _tiled_inter(local: DataFrame, kernel: DataFrame, size: int, sizes: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, missing_tol: float, eps: float, factors: list | None = None, tile: int = TILE) -> DataFrame:
-    """Dense blocks between chromosomes, only where pixels lie: a tile without any has no window to put out.
+def _area_points(frame: pd.DataFrame, rows_seen: np.ndarray, columns_seen: np.ndarray, size: int, grids: dict[int, np.ndarray], factors: list | None, missing_tol: float, eps: float, tile: int, origin: tuple[int, int], shape: tuple[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kernel_id, i, j, correlations, observed cells) of a tile's windows with a stored value: work by pixels, not by cells.
 
-    Missing rows and columns meet the tiles that there are, so their number doesn't grow with the other chromosome.
+    A pixel adds to the windows around it, one place of the kernel at a time. A cell is observed if its row and its column
+    are, so the sums of a kernel over observed cells are products of ``rows_seen`` and ``columns_seen`` with it.
     """
-    h, grids = size // 2, _grids(kernel, size)
+    h, K = size // 2, float(size * size)
+    wide = tile + 4 * h  # windows of halo pixels fall beside the tile and are cut off
+    at = (frame["i"].to_numpy() - origin[0] + 3 * h) * wide + frame["j"].to_numpy() - origin[1] + 3 * h
+    v = frame["v"].to_numpy()
+    inside = min(tile, shape[0] - origin[0]), min(tile, shape[1] - origin[1])
+
+    def spread(values: np.ndarray, k: np.ndarray) -> np.ndarray:
+        out = np.zeros(wide * wide)
+        for a, b in np.argwhere(k != 0):
+            out[at - (a * wide + b)] += values * k[a, b]  # pixels are distinct, so are their places
+        return out.reshape(wide, wide)[2 * h : 2 * h + inside[0], 2 * h : 2 * h + inside[1]]
+
+    ones = np.ones((size, size))
+    squares = spread(v * v, ones)
+    x, y = np.nonzero(squares)
+    down, across = (np.lib.stride_tricks.sliding_window_view(s.astype(float), size) for s in (rows_seen, columns_seen))
+    seen = down.sum(1)[x] * across.sum(1)[y]
+    some = seen > 0
+    x, y, N = x[some], y[some], seen[some]
+    v1, v2 = spread(v, ones)[x, y], squares[x, y]
+    cut = lambda z: np.where(np.abs(z) < eps, 0.0, z)
+
+    def observed(k: np.ndarray) -> np.ndarray:
+        half = down @ k
+        return np.concatenate([np.einsum("pk,pk->p", half[x[s : s + CHUNK]], across[y[s : s + CHUNK]]) for s in range(0, len(x), CHUNK)] or [np.zeros(0)])
+
+    sm, s2 = cut(v1 / K) * K / N, cut(v2 / K) * K / N
+    for kernel_id, k in grids.items():
+        with np.errstate(all="ignore"):
+            km, k2m = (k.sum() - cut(k.sum() - observed(k))) / N, ((k * k).sum() - cut((k * k).sum() - observed(k * k))) / N
+            den = np.sqrt(np.maximum((s2 - sm * sm) * (k2m - km * km), 0))
+            den[N < int((1 - missing_tol) * K)] = 0
+            vk = spread(v, np.matmul(*factors[kernel_id]) if factors else k)[x, y]
+            r = (cut(vk / K) - sm * km * N / K) * K / N / den
+            r = np.clip(np.where((den >= LEAST_DENOMINATOR) & np.isfinite(r), r, 0), -1, 1)
+        full = r != 0
+        yield kernel_id, x[full] + origin[0], y[full] + origin[1], r[full], N[full]
+
+
+def area_tile(sizes: DataFrame) -> int:
+    """Side of the tiles between chromosomes: TILE, and up to four times as many bins where that gives over 16,384 tiles.
+
+    Far maps are thin: the work of a tile follows its pixels, and larger ones are fewer.
+    """
+    area = sizes.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0.0
+    tile = TILE
+    while tile < 4 * TILE and area / tile**2 > 1 << 14:
+        tile *= 2
+    return tile
+
+
+def _tiled_inter(local: DataFrame, kernel: DataFrame, size: int, sizes: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, missing_tol: float, eps: float, factors: list | None = None, tile: int | None = None) -> DataFrame:
+    """Tiles between chromosomes, only where pixels lie: a tile without any has no window to put out.
+
+    Missing rows and columns meet the tiles that there are, so their number doesn't grow with the other chromosome. The
+    only shuffle is that of the pixels (and halos) to their tiles: windows are put out by the task that makes them.
+    """
+    h, grids, tile = size // 2, _grids(kernel, size), tile or area_tile(sizes)
     # Pairs of chromosomes may be many: no hint, their table decides by its size.
     rows = _halos(local.where("v <> 0"), h, tile).join(sizes.select("sub", "n", "m"), "sub").select("sub", "n", "m", "ti", "tj", "i", "j", "v")
     tiles = rows.select("sub", "ti", "tj").distinct()
     far = F.floor((F.col("bin") + h) / tile)
     near = F.greatest(F.floor((F.col("bin") - h) / tile), F.lit(0).cast("long"))
     side = lambda lost, at: lost.select("sub", "bin", F.explode(F.sequence(near, far)).alias(at)).join(tiles, ["sub", at])
-    parts = [side(lost, at).select("sub", "ti", "tj", "bin", F.lit(at == "ti").alias("of_row"), F.lit(at == "tj").alias("of_column")) for lost, at in ((missing_rows, "ti"), (missing_columns, "tj"))]
-    missing_cells = lambda x, y, n, m, lost: (x < 0) | (y < 0) | (x >= n) | (y >= m) | lost
-    put_out = lambda x, y, n, m: (x < n) & (y < m)
-    return _tiles(rows, parts[0].unionByName(parts[1]), size, missing_cells, put_out, lambda v, m: _block(v, m, size, grids, factors, missing_tol, eps, tile), tile)
+    parts = [side(lost, at).select("sub", "ti", "tj", "bin", F.lit(at == "ti").alias("of_row")) for lost, at in ((missing_rows, "ti"), (missing_columns, "tj"))]
+    names = ("sub", "kernel_id", "i", "j", "r", "n_obs")
+
+    def each(key: tuple, frame: pd.DataFrame, lost: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame({c: [] for c in names})
+        sub, ti, tj = (int(x) for x in key)
+        shape, origin = (int(frame["n"].iloc[0]), int(frame["m"].iloc[0])), (ti * tile, tj * tile)
+        seen = []
+        for o, n, bins in zip(origin, shape, (lost.loc[lost["of_row"], "bin"], lost.loc[~lost["of_row"], "bin"]), strict=True):
+            x = np.arange(o - h, o + tile + h)
+            seen.append((x >= 0) & (x < n) & ~np.isin(x, bins))
+        found = _area_points(frame, *seen, size, grids, factors, missing_tol, eps, tile, origin, shape)
+        return pd.concat([pd.DataFrame(dict(zip(names, (sub, *columns), strict=True))) for columns in found])
+
+    at = ["sub", "ti", "tj"]
+    gone = parts[0].unionByName(parts[1])
+    gone = gone.toDF(*gone.columns)  # new names: both sides may come from one table
+    got = rows.groupBy(*at).cogroup(gone.groupBy(*at)).applyInPandas(each, f"sub {rows.schema['sub'].dataType.simpleString()}, kernel_id int, i long, j long, r double, n_obs double")
+    return got.withColumn("log10_p", corr_to_log10p(F.col("r"), F.col("n_obs")))

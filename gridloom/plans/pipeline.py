@@ -74,7 +74,7 @@ def _p_value() -> Column:
     return F.coalesce(F.pow(F.lit(10.0), F.col("log10_p")), F.lit(1.0))
 
 
-def _search(scratch: Scratch, cmap: ContactMap, config: KernelConfig, part: tuple, kernels: list, turn: int, plan: str, dump: str | None, factors: list | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _search(scratch: Scratch, cmap: ContactMap, config: KernelConfig, part: tuple, kernels: list, turn: int, plan: str | None, dump: str | None, factors: list | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One pass over one kind of sub-matrices: (patterns in whole-map bins, their windows, sums of windows by kernel and cell).
 
     ``part`` is (signal, sizes, missing) within chromosomes, (signal, sizes, missing rows, missing columns) between.
@@ -86,9 +86,9 @@ def _search(scratch: Scratch, cmap: ContactMap, config: KernelConfig, part: tupl
     kernel, reach = kernel_frame(spark, kernels), max_dist_bins(config, cmap.bin_size)
     tolerance = config.max_perc_undetected / 100
     if inter:
-        corr = correlate.normxcorr2_inter(part[0], kernel, *part[1:], size, tolerance, plan=plan, factors=factors)
+        corr = correlate.normxcorr2_inter(part[0], kernel, *part[1:], size, tolerance, plan=plan or "tile", factors=factors)
     else:
-        corr = correlate.normxcorr2(part[0], kernel, reach, size, part[1], part[2], tolerance, plan=plan, factors=factors)
+        corr = correlate.normxcorr2(part[0], kernel, reach, size, part[1], part[2], tolerance, plan=plan or "scatter", factors=factors)
     corr = dump_stage(corr, dump, f"03_normxcorr2_{name}_{turn}")
     snaps = config.max_dist == 0 and not inter
     enough = (F.col("r") >= config.pearson) & (F.col("r") != 0)
@@ -120,12 +120,13 @@ def _search(scratch: Scratch, cmap: ContactMap, config: KernelConfig, part: tupl
     return rows, shown, pile
 
 
-def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bool = False, plan: str = "scatter", dump: str | None = None, factor: float | None = None, inter: bool = False, tsvd: float | None = None, with_windows: bool = False, resume: str | None = None) -> tuple[DataFrame, DataFrame]:
+def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bool = False, plan: str | None = None, dump: str | None = None, factor: float | None = None, inter: bool = False, tsvd: float | None = None, with_windows: bool = False, resume: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(patterns with the columns DETECT, mean window by kernel: kernel_id, a, b, mean); ``with_windows`` adds the columns
     ``window`` and ``order`` (by kernel, iteration, sub-matrix and focus) to the patterns.
 
     ``tsvd`` keeps only the singular factors of the kernels that hold this share of their energy, and correlates by them.
 
+    ``plan`` is that of the correlation; without one, ``scatter`` within chromosomes and ``tile`` between them.
     ``inter`` also looks between chromosomes, for configurations whose patterns lie off the diagonal. ``resume`` is the
     ``dump`` folder of an earlier run over the same map: its signal is taken instead of preparing the map again.
     """

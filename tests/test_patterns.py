@@ -331,3 +331,16 @@ def test_shapes_of_presets():
     for name in kernels.PRESETS:
         flat = [k.ravel() for k in kernels.load_config(name).kernels]
         assert all(np.corrcoef(a, b)[0, 1] < 0.95 for i, a in enumerate(flat) for b in flat[:i])
+
+
+def test_windows_between_chromosomes_are_not_shuffled(spark):
+    """Up to 49 windows a pixel: only pixels go to other tasks, and tiles of thin maps are larger."""
+    local = spark.createDataFrame([(1, 3, 4, 1.0), (1, 9, 60, 2.0)], "sub int, i long, j long, v double")
+    sizes = spark.createDataFrame([(1, 20, 70)], "sub int, n long, m long")
+    lost = spark.createDataFrame([(1, 2)], "sub int, bin long")
+    got = correlate.normxcorr2_inter(local, kernels.kernel_frame(spark, [kernels.bump(7, 1.3)]), sizes, lost, lost, 7, 0.5)
+    text = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "Exchange" not in text.split("FlatMapCoGroupsInPandas")[0] and "FlatMapCoGroupsInPandas" in text
+    assert {(r.i, r.j) for r in got.where("abs(i - 9) <= 1 AND abs(j - 60) <= 1").collect()} >= {(9, 60)}
+    side = lambda n: correlate.area_tile(spark.createDataFrame([(1, n, n)], "sub int, n long, m long"))
+    assert (side(2000), side(50_000), side(10**6)) == (256, 512, 1024)

@@ -52,9 +52,9 @@ def upper(pixels: DataFrame) -> DataFrame:
 
 #: A stored map lies in so many parts by chromosome of the first anchor, each split in pixels of one chromosome and of two.
 PARTS = 1024
-#: Bins of a run of first anchors that one task writes, bins of a step of distance that files are sorted by, and bytes of a
+#: Pixels of a run of first anchors that one task writes, on average; bins of a run at most; bins of a step of distance that files are sorted by, and bytes of a
 #: row group, the least that a search by distance reads.
-RUN, STEP, ROW_GROUP = 1 << 16, 64, 4 << 20
+WRITTEN, RUN, STEP, ROW_GROUP = 1 << 20, 1 << 16, 64, 4 << 20
 #: What a stored map knows of its pixels besides: part and kind (its folders), chromosomes of the anchors, distance in bins.
 LAYOUT = ["part", "trans", "of1", "of2", "apart"]
 
@@ -130,6 +130,7 @@ def write_map(cmap: ContactMap, folder: str) -> None:
 
     Pixels lie in folders by part (a chromosome, or several of a genome of more than PARTS) and by whether both anchors are
     of one chromosome, in files by runs of first anchors, so a long chromosome has many; files are in order of distance.
+    Runs are as long as the number of pixels allows, so a task writes about WRITTEN of them in a map of any size.
     """
     from gridloom.operators.genome import to_local
 
@@ -137,7 +138,9 @@ def write_map(cmap: ContactMap, folder: str) -> None:
     rows = to_local(folded(cmap.pixels.select("bin1_id", "bin2_id", F.col("count").cast("double").alias("count"))), cmap.chroms, inter=True)
     trans = (F.col("sub1") != F.col("sub2")).cast("int")
     rows = rows.select("bin1_id", "bin2_id", "count", F.col("sub1").alias("of1"), F.col("sub2").alias("of2"), (F.col("bin2_id") - F.col("bin1_id")).alias("apart"), (F.col("sub1") % PARTS).alias("part"), trans.alias("trans"))
-    dealt = rows.repartition("part", "trans", F.floor(F.col("bin1_id") / RUN)).sortWithinPartitions("part", "trans", F.floor(F.col("apart") / STEP), "bin1_id")
+    tasks = max(1, -(-cmap.pixels.count() // WRITTEN))
+    run = max(1, min(RUN, (cmap.bins.agg(F.max("bin_id")).first()[0] or 0) // tasks))
+    dealt = rows.repartition(tasks, "part", "trans", F.floor(F.col("bin1_id") / run)).sortWithinPartitions("part", "trans", F.floor(F.col("apart") / STEP), "bin1_id")
     dealt.write.option("parquet.block.size", ROW_GROUP).partitionBy("part", "trans").parquet(f"{folder}/pixels")
 
 
@@ -152,13 +155,20 @@ def write_weights(cmap: ContactMap, folder: str) -> None:
     fs.delete(path(f"{folder}/bins_old"), True)
 
 
+#: Rows of a task that makes pairs.
+KEYED = 250_000
+
+
 def cooccurrence(rows: DataFrame, key: str, bin_id: str) -> DataFrame:
     """Upper-triangle pixels: pairs of rows with one key, by their bins.
 
     Rows are counted by (key, bin) first, so a key gives at most a pixel for each pair of its bins, however many rows
-    it has.
+    it has. They are dealt out by key once, which serves the count and both sides of the join, and to as many tasks as
+    their number asks for: a task holds the pairs of about KEYED rows.
     """
-    counts = rows.groupBy(F.col(key).alias("k"), F.col(bin_id).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // KEYED))
+    dealt = rows.select(F.col(key).alias("k"), F.col(bin_id).alias("b")).repartition(n, "k")
+    counts = dealt.groupBy("k", "b").agg(F.count(F.lit(1)).alias("c"))
     one, two = counts.toDF("k", "bin1_id", "c1"), counts.toDF("k", "bin2_id", "c2")
     n = F.when(F.col("bin1_id") == F.col("bin2_id"), F.expr("c1 * (c1 - 1) div 2")).otherwise(F.col("c1") * F.col("c2"))
     pairs = one.join(two, "k").where("bin1_id <= bin2_id").groupBy("bin1_id", "bin2_id").agg(F.sum(n).cast("double").alias("count"))

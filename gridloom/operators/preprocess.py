@@ -56,15 +56,16 @@ def degrees(pixels: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def median_mad(values: DataFrame, column: str) -> DataFrame:
-    """One row: median, and the median distance from it; none without values."""
+    """One row: median, and the median distance from it; none without values. The values are made once."""
+    values = Scratch(values.sparkSession, "spread").keep(values.select(column), "values")
     middle = exact_median(values, [], column)
     apart = values.crossJoin(F.broadcast(middle)).select(F.abs(F.col(column) - F.col("median")).alias("apart"))  # one row
     return middle.crossJoin(exact_median(apart, [], "apart").withColumnRenamed("median", "mad"))
 
 
 def detectable_intra(pixels: DataFrame, bins: DataFrame, n_mads: float = 3.0) -> DataFrame:
-    """Bins with at least max(1, median - n_mads * MAD) filled pixels."""
-    degree = degrees(pixels, bins)
+    """Bins with at least max(1, median - n_mads * MAD) filled pixels. Pixels are looked through once: degrees are a table."""
+    degree = Scratch(bins.sparkSession, "degrees").keep(degrees(pixels, bins), "degree")
     spread = median_mad(degree, "degree")
     return degree.join(F.broadcast(spread)).where(F.col("degree") >= F.greatest(F.lit(1.0), F.col("median") - n_mads * F.col("mad"))).select("bin_id")
 
@@ -73,7 +74,7 @@ def detectable_inter(cells: DataFrame, n_mads: float = 3.0) -> DataFrame:
     """cells (row_id, col_id, count) of a rectangular map: rows and columns whose sum is over median - n_mads * MAD."""
     out = None
     for axis in ("row", "col"):
-        sums = cells.groupBy(F.col(f"{axis}_id").alias("bin_id")).agg(F.sum("count").alias("total"))
+        sums = Scratch(cells.sparkSession, "sums").keep(cells.groupBy(F.col(f"{axis}_id").alias("bin_id")).agg(F.sum("count").alias("total")), axis)
         kept = sums.join(F.broadcast(median_mad(sums, "total"))).where(F.col("total") > F.col("median") - n_mads * F.col("mad"))
         kept = kept.select(F.lit(axis).alias("axis"), "bin_id")
         out = kept if out is None else out.unionByName(kept)
@@ -197,7 +198,7 @@ def _draws(pixels: DataFrame, seed: int) -> DataFrame:
     one = F.explode(F.sequence(F.lit(1).cast("long"), F.col("count").cast("long"))).alias("n")
     key = F.concat_ws(":", F.lit(seed), "bin1_id", "bin2_id", "n")
     draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
-    return pixels.where("count >= 1").select("bin1_id", "bin2_id", one).withColumn("draw", draw)
+    return pixels.where("count >= 1").select(*[c for c in pixels.columns if c != "count"], one).withColumn("draw", draw)
 
 
 def _counted(contacts: DataFrame) -> DataFrame:
@@ -244,16 +245,18 @@ def subsample_share(pixels: DataFrame, chroms: DataFrame, share: float, seed: in
 
     if not 0 < share <= 1:
         raise ValueError("a share of contacts lies above 0 and is at most 1")
-    places = to_local(pixels, chroms, inter=True).select("sub1", "sub2", "bin1_id", "bin2_id")
     sub = ["sub1", "sub2"]
-    draws = _draws(pixels, seed).join(places, ["bin1_id", "bin2_id"]).withColumn("cell", F.floor(F.col("draw") / (1 << 20)))  # 4,096 cells
+    placed = to_local(pixels, chroms, inter=True).select(*sub, "bin1_id", "bin2_id", "count")
+    draws = _draws(placed, seed).withColumn("cell", F.floor(F.col("draw") / (1 << 20)))  # 4,096 cells
     rising = Window.partitionBy(*sub).orderBy("cell")
     counts = draws.groupBy(*sub, "cell").agg(F.count(F.lit(1)).alias("k"))
     upto = F.sum("k").over(rising.rowsBetween(Window.unboundedPreceding, 0))
     wanted = F.floor(F.sum("k").over(Window.partitionBy(*sub)) * F.lit(share))
-    ends = counts.select(*sub, "cell", (upto - F.col("k")).alias("before"), upto.alias("upto"), wanted.alias("wanted")).where("before < wanted")
-    kept = draws.join(ends, [*sub, "cell"])
-    whole = kept.where("upto <= wanted").select("bin1_id", "bin2_id")
+    ends = counts.select(*sub, "cell", (upto - F.col("k")).alias("before"), upto.alias("upto"), wanted.alias("wanted")).where("before < wanted AND upto >= wanted")
+    # A row a sub-matrix: no hint, its table decides by its size.
+    ends = Scratch(pixels.sparkSession, "share").keep(ends.select(*sub, F.col("cell").alias("last"), (F.col("wanted") - F.col("before")).alias("room")), "ends")
+    kept = draws.join(ends, sub)
+    whole = kept.where("cell < last").select("bin1_id", "bin2_id")
     place = F.row_number().over(Window.partitionBy(*sub).orderBy("draw", "bin1_id", "bin2_id", "n"))
-    part = kept.where("upto > wanted").withColumn("place", place).where(F.col("place") <= F.col("wanted") - F.col("before")).select("bin1_id", "bin2_id")
+    part = kept.where("cell = last").withColumn("place", place).where("place <= room").select("bin1_id", "bin2_id")
     return _counted(whole.unionByName(part))

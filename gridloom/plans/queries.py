@@ -259,7 +259,8 @@ def missing_bins(spark, sf_dir):
 
 @query(f"SELECT bin1_id, bin2_id, count FROM pixels WHERE bin1_id IN ({_DETECTABLE}) AND bin2_id IN ({_DETECTABLE})")
 def erase_missing(spark, sf_dir):
-    return preprocess.erase_missing(base_map(spark, sf_dir).pixels, detectable_intra(spark, sf_dir))
+    pixels = Scratch(spark, "map").keep(contacts(spark, sf_dir), "pixels")
+    return preprocess.erase_missing(pixels, preprocess.detectable_intra(pixels, base_bins(spark, sf_dir), 1.5))
 
 
 _RECT = "SELECT (l_partkey // (SELECT w FROM width))::BIGINT AS row_id, l_suppkey % 40 AS col_id, count(*)::DOUBLE AS count FROM lineitem GROUP BY 1, 2"

@@ -5,9 +5,11 @@ components of links are the groups. Four bits of 64 only reach similarities of 0
 minimum hashes: at a similarity of 0.8 a pair misses all bands with probability (1 - 0.8^4)^32 = 5e-8. Texts with equal
 sets are one node, with the SimHash of the set as its fingerprint.
 
-1. Each node meets the smallest leader of its buckets. That settles most groups with one comparison a node, also a group
+1. Fingerprints within four bits are found as op2 finds them (``simhash.near_links``): tiles inside lossless buckets,
+   compared in full by exclusive-or and bit counts. Their links hold where the shingles confirm them.
+2. Each node meets the smallest leader of its buckets. That settles most groups with one comparison a node, also a group
    that holds a third of all texts: the leader's text is repeated and the group dealt out.
-2. Buckets whose nodes aren't all in one component yet are cut into tiles by population count. Tile pairs are compared in
+3. Buckets whose nodes aren't all in one component yet are cut into tiles by population count. Tile pairs are compared in
    full by exclusive-or and bit counts; pairs within ``RADIUS`` bits whose nodes aren't together yet are confirmed by
    their shingles. Equal tile pairs of several buckets are compared once.
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import Workspace, hot_keys, located, map_batches, spread_join, texts_of, unpacked
 from gridloom.llm.components import connected_components
-from gridloom.llm.simhash import first_row, links_of, majority, shingle_hashes, tile_pairs, tiled
+from gridloom.llm.simhash import first_row, links_of, majority, near_links, shingle_hashes, tile_pairs, tiled
 
 SHINGLE = 5
 LEAST = 0.8
@@ -148,12 +150,22 @@ def similar_labels(rows: DataFrame, work: Workspace, shingle: int = SHINGLE, lea
     multi = work.keep(spread_join(members, buckets.drop("n"), "bucket", hot_keys(buckets, "bucket", "n", members.count()), F.col("node")), "multi")
     work.forget(members)
 
-    # Texts of nodes that share a bucket with another, once each.
-    wanted = nodes.join(multi.select("node").distinct(), "node", "left_semi").select("node", "sim", F.col("at").alias("node_at"))
+    # Fingerprints within four bits: a node of each fingerprint, and the others of equal ones with it.
+    heads = work.keep(nodes.groupBy(F.col("sim").alias("fp")).agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
+    tied = near_links(heads.select("fp"), work)
+    head = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_node"))
+    close = tied.join(head("u"), "u").join(head("v"), "v").select(F.col("u_node").alias("node"), F.col("v_node").alias("leader"))
+    equal = nodes.join(heads.where("n > 1"), nodes["sim"] == heads["fp"]).where("node <> head").select("node", F.col("head").alias("leader"))
+    close = work.keep(close.unionByName(equal), "close")
+
+    # Texts of nodes that share a bucket with another or are close to it, once each.
+    asked = multi.select("node").unionByName(close.select("node")).unionByName(close.select(F.col("leader").alias("node"))).distinct()
+    wanted = nodes.join(asked, "node", "left_semi").select("node", "sim", F.col("at").alias("node_at"))
     texts = rows.select(F.col("at").alias("node_at"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")).join(wanted, "node_at").drop("node_at")
     texts = work.keep(texts, "texts")
+    # Close nodes are confirmed with the node that they were found by, all others with the smallest of their buckets.
     stars = multi.groupBy("node").agg(F.min("leader").alias("leader")).where("node <> leader")
-    stars = work.keep(stars, "stars")
+    stars = work.keep(close.unionByName(stars).distinct(), "stars")
     led = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
     leaders = texts.select(F.col("node").alias("leader"), F.col("sim").alias("leader_sim"), F.col("text").alias("leader_text"))
     pairs = spread_join(stars.join(texts, "node"), leaders, "leader", hot_keys(led, "leader", "n", stars.count()), F.col("node"))

@@ -181,6 +181,22 @@ def test_near_stage_drops_all_pairs_from_four_fifths_up(spark):
     assert corpus_pipeline.near(spark, docs(spark, []), "").count() == 0
 
 
+def test_near_stage_compares_fingerprints_by_tiles_without_any_band(spark, monkeypatch):
+    """op2's search over all fingerprints is a step of its own: texts within four bits meet without a common minimum hash."""
+    from pyspark.sql import functions as F
+
+    from gridloom.llm import minhash
+
+    real = minhash.mark
+    monkeypatch.setattr(minhash, "mark", lambda rows, shingle: real(rows, shingle).withColumn("bands", F.array().cast("array<long>")))
+    words = [f"w{k}" for k in range(600)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words[::-1]), ""]
+    prints = [minhash.majority(minhash.shingle_set(t)) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 < (prints[0] ^ prints[2]).bit_count()
+    kept = minhash.drop_similar(docs(spark, list(enumerate(texts))), Workspace(spark, "t"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
 @pytest.mark.parametrize("chunk", [1 << 18, 7, 1])
 def test_suffix_order_equals_sorting(chunk):
     rng = random.Random(1)

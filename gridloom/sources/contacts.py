@@ -155,8 +155,8 @@ def write_weights(cmap: ContactMap, folder: str) -> None:
     fs.delete(path(f"{folder}/bins_old"), True)
 
 
-#: Rows of a task that makes pairs.
-KEYED = 250_000
+#: Rows of a task that makes pairs, and pixels of a task that adds them up.
+KEYED, PAIRED = 250_000, 1 << 20
 
 
 def cooccurrence(rows: DataFrame, key: str, bin_id: str) -> DataFrame:
@@ -164,15 +164,32 @@ def cooccurrence(rows: DataFrame, key: str, bin_id: str) -> DataFrame:
 
     Rows are counted by (key, bin) first, so a key gives at most a pixel for each pair of its bins, however many rows
     it has. They are dealt out by key once, which serves the count and both sides of the join, and to as many tasks as
-    their number asks for: a task holds the pairs of about KEYED rows.
+    their number asks for: a task holds the pairs of about KEYED rows. Pairs are added up by as many tasks as there can be
+    pixels for, PAIRED each: if these are more than the session's, pairs are dealt out by pixel as they are, else added up
+    before their shuffle as well.
     """
-    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // KEYED))
-    dealt = rows.select(F.col(key).alias("k"), F.col(bin_id).alias("b")).repartition(n, "k")
-    counts = dealt.groupBy("k", "b").agg(F.count(F.lit(1)).alias("c"))
+    spark = rows.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, -(-rows.count() // KEYED))
+    known = rows.select(F.col(key).alias("k"), F.col(bin_id).alias("b")).where("k IS NOT NULL AND b IS NOT NULL")
+    counts = known.repartition(n, "k").groupBy("k", "b").agg(F.count(F.lit(1)).alias("c"))
     one, two = counts.toDF("k", "bin1_id", "c1"), counts.toDF("k", "bin2_id", "c2")
-    n = F.when(F.col("bin1_id") == F.col("bin2_id"), F.expr("c1 * (c1 - 1) div 2")).otherwise(F.col("c1") * F.col("c2"))
-    pairs = one.join(two, "k").where("bin1_id <= bin2_id").groupBy("bin1_id", "bin2_id").agg(F.sum(n).cast("double").alias("count"))
-    return pairs.where("count > 0")
+    met = F.when(F.col("bin1_id") == F.col("bin2_id"), F.expr("c1 * (c1 - 1) div 2")).otherwise(F.col("c1") * F.col("c2"))
+    pairs = one.join(two, "k").where("bin1_id <= bin2_id")
+    tasks = -(-_most_pixels(counts) // PAIRED)
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        pairs = pairs.select("bin1_id", "bin2_id", met.alias("met")).where("met > 0").repartition(max(n, tasks), "bin1_id", "bin2_id")
+        met = F.col("met")
+    return pairs.groupBy("bin1_id", "bin2_id").agg(F.sum(met).cast("double").alias("count")).where("count > 0")
+
+
+def _most_pixels(counts: DataFrame) -> int:
+    """Pixels at most of rows (k, b): pairs of bins of one key, or cells of the triangle of all bins if these are fewer."""
+    own = counts.groupBy("k").agg(F.count(F.lit(1)).cast("double").alias("n"), F.min("b").alias("low"), F.max("b").alias("high"))
+    found = own.agg(F.sum(F.expr("n * (n + 1) / 2")).alias("pairs"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+    if found["pairs"] is None:
+        return 0
+    width = found["high"] - found["low"] + 1
+    return min(int(found["pairs"]), width * (width + 1) // 2)
 
 
 def read_bedgraph2(spark: SparkSession, path: str, bins: DataFrame) -> DataFrame:

@@ -27,6 +27,22 @@ def test_pairs_are_made_in_tasks_of_bounded_rows(spark, monkeypatch):
     assert {(r.bin1_id, r.bin2_id): r["count"] for r in got.collect()} == want
 
 
+def test_pairs_are_added_up_in_tasks_of_bounded_pixels(spark, monkeypatch):
+    monkeypatch.setattr(contacts, "PAIRED", 50, raising=False)
+    rows = spark.createDataFrame([(k // 3, (k * k) % 1009) for k in range(999)] + [(None, 5), (None, 6), (7, None)], "o long, b long")
+    got = contacts.cooccurrence(rows, "o", "b")
+    (tasks,) = set(re.findall(r"hashpartitioning\(bin1_id#\d+L, bin2_id#\d+L, (\d+)\)", plan(got)))
+    want = {}
+    for o in range(333):
+        own = [(k * k) % 1009 for k in range(3 * o, 3 * o + 3)]
+        for x in range(3):
+            for y in range(x):
+                pair = min(own[x], own[y]), max(own[x], own[y])
+                want[pair] = want.get(pair, 0) + 1
+    assert {(r.bin1_id, r.bin2_id): r["count"] for r in got.collect()} == want
+    assert len(want) / int(tasks) <= 50 < len(want) / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_a_stored_map_is_written_by_tasks_of_bounded_pixels(spark, tmp_path, monkeypatch):
     cmap, _ = synthetic_map(spark, 60, chroms=3)
     most = cmap.pixels.count() // 20

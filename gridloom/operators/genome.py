@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,26 @@ def coords_to_bins(coords: DataFrame, bins: DataFrame, bin_size: int) -> DataFra
     return coords.join(known, (F.col("chrom") == F.col("_chrom")) & (at == F.col("_start")), "left").drop("_chrom", "_start")
 
 
+#: Bytes of a column of a table of bins, at least.
+NARROW = 4
+
+
+def at_bins(pixels: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Pixels join ``side``, which has a row a bin at most.
+
+    A side that Spark may broadcast is left to it. A larger one is hashed by partition and pixels stream past it: a merge
+    would sort them, and a task's share of pixels grows with the map while its share of bins stays small.
+    """
+    limit = re.match(r"(-?\d+)([kmg]?)", pixels.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower())
+    most = int(limit[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[limit[2]]
+    return pixels.join(side.hint("shuffle_hash") if side.count() * len(side.columns) * NARROW > most else side, key, how)
+
+
 def bins_to_coords(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     """Adds chrom, start, end of both bins (columns bin1, bin2)."""
     for k in (1, 2):
         side = bins.select(F.col("bin_id").alias(f"bin{k}"), F.col("chrom").alias(f"chrom{k}"), F.col("start").alias(f"start{k}"), F.col("end").alias(f"end{k}"))
-        pairs = pairs.join(side, f"bin{k}")
+        pairs = at_bins(pairs, side, f"bin{k}")
     return pairs
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.order_statistics import exact_median
+from gridloom.operators.genome import at_bins
 from gridloom.scratch import Scratch
 
 #: Detrended values from here on become 1.
@@ -18,7 +19,7 @@ OUTLIER = 10.0
 def balanced(pixels: DataFrame, bins: DataFrame) -> DataFrame:
     """v = count * weight1 * weight2; pixels of bins without a weight go."""
     for k in (1, 2):
-        pixels = pixels.join(bins.where("weight IS NOT NULL").select(F.col("bin_id").alias(f"bin{k}_id"), F.col("weight").alias(f"w{k}")), f"bin{k}_id")
+        pixels = at_bins(pixels, bins.where("weight IS NOT NULL").select(F.col("bin_id").alias(f"bin{k}_id"), F.col("weight").alias(f"w{k}")), f"bin{k}_id")
     return pixels.withColumn("v", F.col("w1") * F.col("w2") * F.col("count")).drop("w1", "w2")
 
 
@@ -30,7 +31,7 @@ def raw_values(pixels: DataFrame, bins: DataFrame) -> DataFrame:
 def erase_missing(pixels: DataFrame, detectable: DataFrame) -> DataFrame:
     """Pixels whose bins are both in ``detectable`` (bin_id)."""
     for k in (1, 2):
-        pixels = pixels.join(detectable.select(F.col("bin_id").alias(f"bin{k}_id")), f"bin{k}_id", "left_semi")
+        pixels = at_bins(pixels, detectable.select(F.col("bin_id").alias(f"bin{k}_id")), f"bin{k}_id", "left_semi")
     return pixels
 
 

@@ -2,7 +2,7 @@
 
 import re
 
-from gridloom.operators import preprocess
+from gridloom.operators import genome, preprocess
 from gridloom.sources import contacts
 from gridloom.sources.contacts import BINS, PIXELS, chrom_offsets, read_map, write_map
 from gridloom.synth import synthetic_map
@@ -61,3 +61,20 @@ def test_degrees_are_made_once_and_shares_drawn_in_place(spark):
     assert "ExistingRDD" not in plan(preprocess.median_mad(pixels, "count"))
     joins = [x for x in plan(preprocess.subsample_share(pixels, chrom_offsets(bins), 0.3)).splitlines() if "Join" in x]
     assert joins and not any("[bin1_id" in x for x in joins)
+
+
+def test_pixels_stream_past_the_bins(spark):
+    bins = spark.createDataFrame([(b, "c", b * 10, b * 10 + 10, None if b % 7 == 3 else 1.0 + b) for b in range(30)], BINS)
+    pixels = spark.createDataFrame([(a, b, 2.0) for a in range(30) for b in range(a, 30)], PIXELS)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    coords = lambda: genome.bins_to_coords(pixels.toDF("bin1", "bin2", "count"), bins.drop("weight"))
+    made = lambda: [preprocess.balanced(pixels, bins), preprocess.raw_values(pixels, bins), coords()]
+    rows = lambda frames: [sorted(map(tuple, f.collect())) for f in frames]
+    want = rows(made())
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64b")
+        got = made()
+        assert not any("SortMergeJoin" in plan(f) for f in got) and all("ShuffledHashJoin" in plan(f) for f in got)
+        assert rows(got) == want and len(want[0]) == len(want[1]) == 26 * 27 // 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)

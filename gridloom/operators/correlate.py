@@ -333,12 +333,12 @@ def check_kernels(kernels: list[np.ndarray], shape: tuple[int, int] | None = Non
         raise ValueError("the kernel is larger than the signal")
 
 
-def _grids(kernel: DataFrame, size: int) -> dict[int, np.ndarray]:
+def grids(kernel: DataFrame, size: int) -> dict[int, np.ndarray]:
     h = size // 2
-    grids: dict[int, np.ndarray] = {}
+    out: dict[int, np.ndarray] = {}
     for row in kernel.collect():  # at most 31 x 31 cells a kernel
-        grids.setdefault(row["kernel_id"], np.zeros((size, size)))[row["di"] + h, row["dj"] + h] = row["w"]
-    return grids
+        out.setdefault(row["kernel_id"], np.zeros((size, size)))[row["di"] + h, row["dj"] + h] = row["w"]
+    return out
 
 
 def _block(v: np.ndarray, m: np.ndarray, size: int, grids: dict[int, np.ndarray], factors: list | None, missing_tol: float, eps: float, tile: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -414,7 +414,7 @@ def _tiles(rows: DataFrame, gone: DataFrame, size: int, missing_cells: Callable[
 
 def _tiled(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes: DataFrame, missing: DataFrame, missing_tol: float, eps: float, factors: list | None = None) -> DataFrame:
     """Dense blocks along the band; pixels are copied only into halos."""
-    h, grids = size // 2, _grids(kernel, size)
+    h, of_kernels = size // 2, grids(kernel, size)
     local = _halos(local, h, TILE).where(F.col("tj") >= F.col("ti")).where((F.col("tj") - F.col("ti") - 1) * TILE <= max_dist)
     rows = local.join(F.broadcast(sizes.select("sub", "n", F.col("n").alias("m"))), "sub").select("sub", "n", "m", "ti", "tj", "i", "j", "v")
     # Missing bins go to the tiles whose rows or columns hold them.
@@ -433,10 +433,10 @@ def _tiled(local: DataFrame, kernel: DataFrame, max_dist: int, size: int, sizes:
         return inside | ((x < 0) & (y < max_dist + size)) | ((y >= n) & (x >= n - max_dist - 2)) | ((d >= -size) & (d <= -1))
 
     put_out = lambda x, y, n, m: (x < n) & (y < n) & (y >= x) & (y - x <= max_dist)
-    return _tiles(rows, gone, size, missing_cells, put_out, lambda v, m: _block(v, m, size, grids, factors, missing_tol, eps, TILE), TILE)
+    return _tiles(rows, gone, size, missing_cells, put_out, lambda v, m: _block(v, m, size, of_kernels, factors, missing_tol, eps, TILE), TILE)
 
 
-def _area_points(frame: pd.DataFrame, rows_seen: np.ndarray, columns_seen: np.ndarray, size: int, grids: dict[int, np.ndarray], factors: list | None, missing_tol: float, eps: float, tile: int, origin: tuple[int, int], shape: tuple[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def area_points(frame: pd.DataFrame, rows_seen: np.ndarray, columns_seen: np.ndarray, size: int, grids: dict[int, np.ndarray], factors: list | None, missing_tol: float, eps: float, tile: int, origin: tuple[int, int], shape: tuple[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(kernel_id, i, j, correlations, observed cells) of a tile's windows with a stored value: work by pixels, not by cells.
 
     A pixel adds to the windows around it, one place of the kernel at a time. A cell is observed if its row and its column
@@ -494,12 +494,27 @@ def area_tile(sizes: DataFrame) -> int:
 
 
 def _tiled_inter(local: DataFrame, kernel: DataFrame, size: int, sizes: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, missing_tol: float, eps: float, factors: list | None = None, tile: int | None = None) -> DataFrame:
-    """Tiles between chromosomes, only where pixels lie: a tile without any has no window to put out.
+    """The correlation between chromosomes by tiles: windows are put out by the task that makes them."""
+    of_kernels, tile = grids(kernel, size), tile or area_tile(sizes)
+    names = ("sub", "kernel_id", "i", "j", "r", "n_obs")
+
+    def each(sub: int, frame: pd.DataFrame, seen: list[np.ndarray], origin: tuple[int, int], shape: tuple[int, int]) -> pd.DataFrame:
+        found = area_points(frame, *seen, size, of_kernels, factors, missing_tol, eps, tile, origin, shape)
+        return pd.concat([pd.DataFrame(dict(zip(names, (sub, *columns), strict=True))) for columns in found])
+
+    got = on_area_tiles(local, size, sizes, missing_rows, missing_columns, each, "kernel_id int, i long, j long, r double, n_obs double", tile)
+    return got.withColumn("log10_p", corr_to_log10p(F.col("r"), F.col("n_obs")))
+
 
-    Missing rows and columns meet the tiles that there are, so their number doesn't grow with the other chromosome. The
-    only shuffle is that of the pixels (and halos) to their tiles: windows are put out by the task that makes them.
+def on_area_tiles(local: DataFrame, size: int, sizes: DataFrame, missing_rows: DataFrame, missing_columns: DataFrame, made: Callable[..., pd.DataFrame], columns: str, tile: int) -> DataFrame:
+    """What ``made(sub, pixels, [observed rows, observed columns], origin, shape)`` makes of each tile between chromosomes: sub
+    and ``columns``. Pixels and observed rows and columns reach over the tile by half a window.
+
+    Tiles are only where pixels lie: one without any has no window to put out. Missing rows and columns meet the tiles
+    that there are, so their number doesn't grow with the other chromosome. The only shuffle is that of the pixels (and
+    halos) to their tiles.
     """
-    h, grids, tile = size // 2, _grids(kernel, size), tile or area_tile(sizes)
+    h = size // 2
     # Pairs of chromosomes may be many: no hint, their table decides by its size.
     rows = _halos(local.where("v <> 0"), h, tile).join(sizes.select("sub", "n", "m"), "sub").select("sub", "n", "m", "ti", "tj", "i", "j", "v")
     tiles = rows.select("sub", "ti", "tj").distinct()
@@ -507,7 +522,8 @@ def _tiled_inter(local: DataFrame, kernel: DataFrame, size: int, sizes: DataFram
     near = F.greatest(F.floor((F.col("bin") - h) / tile), F.lit(0).cast("long"))
     side = lambda lost, at: lost.select("sub", "bin", F.explode(F.sequence(near, far)).alias(at)).join(tiles, ["sub", at])
     parts = [side(lost, at).select("sub", "ti", "tj", "bin", F.lit(at == "ti").alias("of_row")) for lost, at in ((missing_rows, "ti"), (missing_columns, "tj"))]
-    names = ("sub", "kernel_id", "i", "j", "r", "n_obs")
+    schema = f"sub {rows.schema['sub'].dataType.simpleString()}, {columns}"
+    names = ["sub", *(c.split()[0] for c in columns.split(", "))]
 
     def each(key: tuple, frame: pd.DataFrame, lost: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
@@ -518,11 +534,9 @@ def _tiled_inter(local: DataFrame, kernel: DataFrame, size: int, sizes: DataFram
         for o, n, bins in zip(origin, shape, (lost.loc[lost["of_row"], "bin"], lost.loc[~lost["of_row"], "bin"]), strict=True):
             x = np.arange(o - h, o + tile + h)
             seen.append((x >= 0) & (x < n) & ~np.isin(x, bins))
-        found = _area_points(frame, *seen, size, grids, factors, missing_tol, eps, tile, origin, shape)
-        return pd.concat([pd.DataFrame(dict(zip(names, (sub, *columns), strict=True))) for columns in found])
+        return made(sub, frame, seen, origin, shape)
 
     at = ["sub", "ti", "tj"]
     gone = parts[0].unionByName(parts[1])
     gone = gone.toDF(*gone.columns)  # new names: both sides may come from one table
-    got = rows.groupBy(*at).cogroup(gone.groupBy(*at)).applyInPandas(each, f"sub {rows.schema['sub'].dataType.simpleString()}, kernel_id int, i long, j long, r double, n_obs double")
-    return got.withColumn("log10_p", corr_to_log10p(F.col("r"), F.col("n_obs")))
+    return rows.groupBy(*at).cogroup(gone.groupBy(*at)).applyInPandas(each, schema)

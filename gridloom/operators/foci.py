@@ -31,14 +31,17 @@ def adjacency(pixels: DataFrame) -> DataFrame:
 
 #: Rows and columns of a tile that is labelled in one step.
 TILE = 1024
-_WIDTH = 1 << 31
+#: Pixels are numbered by row * WIDTH + column.
+WIDTH = 1 << 31
+#: Pixels of a focus at least.
+LEAST = 2
 
 
-def _roots(flat: np.ndarray) -> np.ndarray:
+def roots(flat: np.ndarray) -> np.ndarray:
     """For sorted row-major pixel numbers: the number of the first pixel of each one's 4-connected group."""
     low = np.arange(len(flat))
     links = []
-    for step in (1, _WIDTH):
+    for step in (1, WIDTH):
         at = np.minimum(np.searchsorted(flat, flat + step), len(flat) - 1)
         hit = np.flatnonzero(flat[at] == flat + step)
         links.append((hit, at[hit]))
@@ -68,7 +71,7 @@ def _type(rows: DataFrame) -> str:
     return rows.schema["sub"].dataType.simpleString()
 
 
-def _merged(links: DataFrame, scratch: Scratch, most: int) -> DataFrame:
+def merged(links: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     """links (sub, kernel_id, root, other) between groups of tiles to (sub, kernel_id, root, first): the first pixel of each
     one's whole group. Where a sub-matrix has more than ``most`` links, all are contracted in tables."""
     base = ["sub", "kernel_id"]
@@ -97,7 +100,7 @@ def label(pixels: DataFrame, tile: int = TILE, most: int = MOST_LINKS) -> DataFr
     """
     scratch = Scratch(pixels.sparkSession, "foci")
     base = ["sub", "kernel_id"]
-    placed = pixels.withColumn("flat", F.col("i") * _WIDTH + F.col("j")).withColumn("ti", F.floor(F.col("i") / tile)).withColumn("tj", F.floor(F.col("j") / tile))
+    placed = pixels.withColumn("flat", F.col("i") * WIDTH + F.col("j")).withColumn("ti", F.floor(F.col("i") / tile)).withColumn("tj", F.floor(F.col("j") / tile))
     last = lambda c: F.col(c) % tile == tile - 1
     at = lambda i, j, ghost: F.struct((F.col("ti") + i).alias("ti"), (F.col("tj") + j).alias("tj"), F.lit(ghost).alias("ghost"))
     homes = F.filter(F.array(at(0, 0, False), F.when(last("i"), at(1, 0, True)), F.when(last("j"), at(0, 1, True))), lambda x: x.isNotNull())
@@ -105,19 +108,19 @@ def label(pixels: DataFrame, tile: int = TILE, most: int = MOST_LINKS) -> DataFr
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("flat", ignore_index=True)
-        return frame.assign(root=_roots(frame["flat"].to_numpy()))[[*base, "flat", "ghost", "root"]]
+        return frame.assign(root=roots(frame["flat"].to_numpy()))[[*base, "flat", "ghost", "root"]]
 
     local = scratch.keep(spread.groupBy(*base, "ti", "tj").applyInPandas(each, f"sub {_type(pixels)}, kernel_id int, flat long, ghost boolean, root long"), "tiles")
     own = local.where("NOT ghost").drop("ghost")
     links = local.where("ghost").select(*base, "flat", F.col("root").alias("other")).join(own, [*base, "flat"]).where("root <> other").select(*base, "root", "other").distinct()
-    rooted = own.join(_merged(links, scratch, most), [*base, "root"], "left").select(*base, "flat", F.coalesce("first", "root").alias("first"))
+    rooted = own.join(merged(links, scratch, most), [*base, "root"], "left").select(*base, "flat", F.coalesce("first", "root").alias("first"))
     firsts = rooted.where(F.col("flat") == F.col("first")).select(*base, "first")  # a group's first pixel names it
     numbers = numbered(firsts, [*base, "first"], lambda x: scratch.keep(x, "firsts"), "label", base)
     labels = rooted.join(numbers, [*base, "first"]).drop("first")
     return placed.drop("ti", "tj").join(labels, [*base, "flat"]).drop("flat")
 
 
-def sized(labelled: DataFrame, least: int = 2) -> DataFrame:
+def sized(labelled: DataFrame, least: int = LEAST) -> DataFrame:
     """Foci of at least ``least`` pixels."""
     n = F.count(F.lit(1)).over(Window.partitionBy("sub", "kernel_id", "label"))
     return labelled.withColumn("size", n).where(F.col("size") >= least)

@@ -183,8 +183,11 @@ def detrend(local: DataFrame, law: DataFrame, max_val: float | None = OUTLIER) -
 
 
 def inter_scale(local: DataFrame) -> DataFrame:
-    """v over the median of stored values of its pair of chromosomes (sub1, sub2)."""
-    middle = exact_median(local, ["sub1", "sub2"], "v")
+    """v over the median of stored values of its pair of chromosomes (sub1, sub2).
+
+    Medians are a table, a row a pair: pixels aren't shuffled by pair, of which there may be few, where it can be broadcast.
+    """
+    middle = Scratch(local.sparkSession, "medians").keep(exact_median(local, ["sub1", "sub2"], "v"), "medians")
     return local.join(middle, ["sub1", "sub2"]).withColumn("v", F.try_divide("v", "median")).drop("median")
 
 

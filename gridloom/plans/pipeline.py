@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import benjamini_hochberg
-from gridloom.operators import correlate, foci, genome, nms, preprocess, windows
+from gridloom.operators import areas, correlate, foci, genome, nms, preprocess, windows
 from gridloom.scratch import Scratch
 from gridloom.sources.contacts import ContactMap, near, swap_anchors
 from gridloom.sources.kernels import KernelConfig, blur, factorise, kernel_frame
@@ -65,8 +65,9 @@ def prepared_inter(cmap: ContactMap, raw: bool = False) -> tuple[DataFrame, Data
     side = lambda k, n: cmap.chroms.select(F.col("chrom").alias(f"chrom{k}"), F.col("chrom_idx").alias(f"sub{k}"), (F.col("end_bin") - F.col("start_bin")).alias(n))
     pairs = across.select("sub1", "sub2").distinct().join(side(1, "n"), "sub1").join(side(2, "m"), "sub2")
     pairs = scratch.keep(pairs.select("chrom1", "chrom2", "sub1", "sub2", "n", "m"), "pairs")
+    # Tables, whose size tells whether the pixels that meet them have to be shuffled.
     gone = cmap.bins.where("weight IS NULL").join(F.broadcast(cmap.chroms), "chrom").select("chrom", (F.col("bin_id") - F.col("start_bin")).alias("bin"))
-    rows, columns = (pairs.join(gone.withColumnRenamed("chrom", f"chrom{k}"), f"chrom{k}").select(pair, "bin") for k in (1, 2))
+    rows, columns = (scratch.keep(pairs.join(gone.withColumnRenamed("chrom", f"chrom{k}"), f"chrom{k}").select(pair, "bin"), f"gone{k}") for k in (1, 2))
     return signal, pairs.select(pair, "n", "m"), rows, columns
 
 
@@ -78,13 +79,20 @@ def _search(scratch: Scratch, cmap: ContactMap, config: KernelConfig, part: tupl
     """One pass over one kind of sub-matrices: (patterns in whole-map bins, their windows, sums of windows by kernel and cell).
 
     ``part`` is (signal, sizes, missing) within chromosomes, (signal, sizes, missing rows, missing columns) between.
-    The map is correlated once: what is needed of it, the candidates, goes to a table.
+    The map is correlated once: what is needed of it goes to a table. These are its candidates, and between chromosomes by
+    tiles, where no stage is dumped, only parts of foci.
     """
     spark, size = cmap.bins.sparkSession, kernels[0].shape[0]
     inter = len(part) == 4
     name = "inter" if inter else "intra"
     kernel, reach = kernel_frame(spark, kernels), max_dist_bins(config, cmap.bin_size)
     tolerance = config.max_perc_undetected / 100
+    pid = F.struct(F.lit(turn).alias("turn"), F.lit(inter).alias("inter"), "kernel_id", F.col("sub").cast("long").alias("sub"), "label").alias("pid")
+    if inter and plan in (None, "tile") and not dump:
+        found = areas.valid_foci(part[0], kernel, *part[1:], size, config.pearson, config.max_perc_zero, config.max_perc_undetected, factors)
+        found = scratch.keep(found.select(pid, "sub", "kernel_id", "i", "j", F.col("r").alias("score"), _p_value().alias("pvalue"), "window"), "found")
+        cells = found.select("pid", F.posexplode("window").alias("at", "v")).select("pid", F.expr(f"at div {size}").alias("a"), (F.col("at") % size).alias("b"), "v")
+        return _placed(scratch, cmap, found.drop("window"), cells, size, turn, inter)
     if inter:
         corr = correlate.normxcorr2_inter(part[0], kernel, *part[1:], size, tolerance, plan=plan or "tile", factors=factors)
     else:
@@ -99,10 +107,17 @@ def _search(scratch: Scratch, cmap: ContactMap, config: KernelConfig, part: tupl
         at = corr.select("sub", "kernel_id", "i", "j", "r", "log10_p")
         picked = foci.snap_to_diagonal(picked, 0).drop("r", "log10_p").join(at, ["sub", "kernel_id", "i", "j"], "left")
     score = F.coalesce("r", F.lit(0.0)).alias("score")  # off the stored pixels of the diagonal there is no correlation
-    pid = F.struct(F.lit(turn).alias("turn"), F.lit(inter).alias("inter"), "kernel_id", F.col("sub").cast("long").alias("sub"), "label").alias("pid")
     picked = scratch.keep(picked.select(pid, "sub", "kernel_id", "i", "j", score, _p_value().alias("pvalue")), "picked")
     cells = scratch.keep(windows.cells(picked, part[0], part[1], part[2], size, part[3] if inter else None), "cells")
-    checked = windows.validity(picked, cells, part[1], config.max_perc_zero, config.max_perc_undetected).where("valid").withColumn("iteration", F.lit(turn))
+    checked = windows.validity(picked, cells, part[1], config.max_perc_zero, config.max_perc_undetected).where("valid")
+    out = _placed(scratch, cmap, checked, cells, size, turn, inter)
+    scratch.forget(corr, picked, cells)
+    return out
+
+
+def _placed(scratch: Scratch, cmap: ContactMap, checked: DataFrame, cells: DataFrame, size: int, turn: int, inter: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``_search`` returns, of valid patterns and of the cells of all windows."""
+    checked = checked.withColumn("iteration", F.lit(turn))
     if inter:
         n = cmap.chroms.count()
         placed = checked.withColumn("sub1", F.expr(f"cast(sub div {n} as int)")).withColumn("sub2", (F.col("sub") % n).cast("int"))
@@ -116,7 +131,6 @@ def _search(scratch: Scratch, cmap: ContactMap, config: KernelConfig, part: tupl
     valid = cells.join(rows.select("pid"), "pid", "left_semi")
     pile = scratch.keep(valid.groupBy("pid.kernel_id", "a", "b").agg(F.sum("v").alias("total"), F.count("v").alias("n")), "pile")
     shown = scratch.keep(windows.as_arrays(valid, size), "windows")
-    scratch.forget(corr, picked, cells)
     return rows, shown, pile
 
 

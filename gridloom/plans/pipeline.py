@@ -163,6 +163,8 @@ def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bo
         parts = [(spark.read.parquet(f"{resume}/01_signal_{k}"), *p[1:]) for k, p in enumerate(parts)]
     else:
         parts = [(scratch.keep(dump_stage(correlate.check_mask(p[0].join(p[1].select("sub"), "sub", "left_semi"), p[2], p[1], *p[3:]), dump, f"01_signal_{k}"), "signal"), *p[1:]) for k, p in enumerate(parts)]
+        if inter:
+            scratch.forget(across)  # the pixels that the signal was made of
     found, shown, piles = [], [], None
     for turn in range(config.max_iterations):
         correlate.check_kernels(kernels)

@@ -157,8 +157,8 @@ def detect(cmap: ContactMap, config: KernelConfig, raw: bool = False, smooth: bo
     sizes = sizes.where(F.col("n") > size)
     parts = [(signal, sizes, gone)]
     if inter:
-        across, areas, rows, columns = prepared_inter(cmap, raw)
-        parts.append((across, areas.where((F.col("n") > size) & (F.col("m") > size)), rows, columns))
+        across, shapes, rows, columns = prepared_inter(cmap, raw)
+        parts.append((across, shapes.where((F.col("n") > size) & (F.col("m") > size)), rows, columns))
     if resume:
         parts = [(spark.read.parquet(f"{resume}/01_signal_{k}"), *p[1:]) for k, p in enumerate(parts)]
     else:
